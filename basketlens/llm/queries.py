@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from basketlens.llm import quality_rules, url_reputation
+from basketlens.llm import language_id, packing, quality_ranker, quality_rules, url_reputation
 
 STOP_LIST = ", ".join(f"'{x}'" for x in sorted(set(quality_rules.STOP_WORDS)))
 
@@ -14,6 +14,33 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _held_out(of: int, remainder: int, key: str = "doc_id"):
+    """True where crc32 of the key as text has this remainder; false for a null key."""
+    return F.coalesce(F.crc32(F.col(key).cast("string")) % of == remainder, F.lit(False))
+
+
+def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(_table(spark, sf_dir, "documents"), tokenizer_path(), 2048, 0)
+
+
+def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = _table(spark, sf_dir, "documents").select("doc_id", "text"), _table(spark, sf_dir, "labels")
+    ranker = quality_ranker.learn(docs, labels.where(~_held_out(4, 2)))
+    return quality_ranker.score(docs, ranker).select("doc_id", _held_out(4, 2).alias("held_out"), "score", "predicted")
+
+
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    model = language_id.learn(docs.select("doc_id", "text", "lang"), ~_held_out(5, 0))
+    return language_id.predict(docs, model).select("doc_id", _held_out(5, 0).alias("held_out"), "lang_pred", "score")
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality_rules.judge(_table(spark, sf_dir, "documents").select("doc_id", "text"))
     m = "n_words word_chars n_symbols n_dup_lines n_repeat_words".split()
@@ -144,7 +171,10 @@ from ruled
 """
 
 QUERIES = {
+    "op1_best_fit_packing": op1_best_fit_packing,
+    "op3_quality_classifier": op3_quality_classifier,
     "op5_quality_rules": op5_quality_rules,
+    "op8_language_id": op8_language_id,
     "op9_url_filter": op9_url_filter,
 }
 ORACLE_SQL = {
