@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from basketlens.llm import language_id, packing, quality_ranker, quality_rules, url_reputation
+from basketlens.llm import language_id, packing, prefix_free, quality_ranker, quality_rules, url_reputation
 
 STOP_LIST = ", ".join(f"'{x}'" for x in sorted(set(quality_rules.STOP_WORDS)))
 
@@ -170,12 +170,19 @@ select page_id, host, path, rule, case
 from ruled
 """
 
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    left = prefix_free.strip(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    removed = F.col("n_bytes") - F.octet_length("kept")
+    return left.select("doc_id", "n_bytes", removed.cast("long").alias("n_removed"), F.size("runs").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 QUERIES = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op3_quality_classifier": op3_quality_classifier,
     "op5_quality_rules": op5_quality_rules,
     "op8_language_id": op8_language_id,
     "op9_url_filter": op9_url_filter,
+    "op10_suffix_dedup": op10_suffix_dedup,
 }
 ORACLE_SQL = {
     "op5_quality_rules": OP5_SQL,
