@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from basketlens.llm import language_id, packing, prefix_free, quality_ranker, quality_rules, url_reputation
+from basketlens.llm import language_id, packing, prefix_free, quality_ranker, quality_rules, simhash, url_reputation
 
 STOP_LIST = ", ".join(f"'{x}'" for x in sorted(set(quality_rules.STOP_WORDS)))
 
@@ -170,6 +170,11 @@ select page_id, host, path, rule, case
 from ruled
 """
 
+def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_groups(simhash.fingerprints(_table(spark, sf_dir, "documents"), 4), 4)
+    return found.select("doc_id", simhash.hexadecimal(F.col("fp")).alias("fingerprint"), "component_id")
+
+
 def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     left = prefix_free.strip(_table(spark, sf_dir, "documents").select("doc_id", "text"))
     removed = F.col("n_bytes") - F.octet_length("kept")
@@ -180,6 +185,7 @@ QUERIES = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op3_quality_classifier": op3_quality_classifier,
     "op5_quality_rules": op5_quality_rules,
+    "op7_simhash_near_dedup": op7_simhash_near_dedup,
     "op8_language_id": op8_language_id,
     "op9_url_filter": op9_url_filter,
     "op10_suffix_dedup": op10_suffix_dedup,
