@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from basketlens.llm import language_id, packing, prefix_free, quality_ranker, quality_rules, simhash, url_reputation
+from basketlens.llm import fm_dedup, language_id, packing, prefix_free, quality_ranker, quality_rules, simhash, url_reputation
 
 STOP_LIST = ", ".join(f"'{x}'" for x in sorted(set(quality_rules.STOP_WORDS)))
 
@@ -170,6 +170,12 @@ select page_id, host, path, rule, case
 from ruled
 """
 
+def op6_fm_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    left = fm_dedup.strip(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    removed = F.aggregate("runs", F.lit(0).cast("long"), lambda n, r: n + r["end"] - r["start"])
+    return left.select("doc_id", "n_words", removed.alias("n_removed"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_groups(simhash.fingerprints(_table(spark, sf_dir, "documents"), 4), 4)
     return found.select("doc_id", simhash.hexadecimal(F.col("fp")).alias("fingerprint"), "component_id")
@@ -185,6 +191,7 @@ QUERIES = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op3_quality_classifier": op3_quality_classifier,
     "op5_quality_rules": op5_quality_rules,
+    "op6_fm_substring_dedup": op6_fm_substring_dedup,
     "op7_simhash_near_dedup": op7_simhash_near_dedup,
     "op8_language_id": op8_language_id,
     "op9_url_filter": op9_url_filter,
