@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from basketlens.llm import decontaminate, fm_dedup, language_id, packing, prefix_free, quality_ranker, quality_rules, simhash, url_reputation
+from basketlens.llm import decontaminate, fm_dedup, language_id, maxent_lm, packing, prefix_free, quality_ranker, quality_rules, simhash, url_reputation
 
 STOP_LIST = ", ".join(f"'{x}'" for x in sorted(set(quality_rules.STOP_WORDS)))
 
@@ -39,6 +39,11 @@ def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_ranker.score(docs, ranker).select("doc_id", _held_out(4, 2).alias("held_out"), "score", "predicted")
 
 
+def op4_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = maxent_lm.score(_table(spark, sf_dir, "documents").select("doc_id", "text"), ~_held_out(7, 2))
+    return scored.select("doc_id", _held_out(7, 2).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     model = language_id.learn(docs.select("doc_id", "text", "lang"), ~_held_out(5, 0))
@@ -195,6 +200,7 @@ QUERIES = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_decontaminate": op2_decontaminate,
     "op3_quality_classifier": op3_quality_classifier,
+    "op4_lm_score": op4_lm_score,
     "op5_quality_rules": op5_quality_rules,
     "op6_fm_substring_dedup": op6_fm_substring_dedup,
     "op7_simhash_near_dedup": op7_simhash_near_dedup,
