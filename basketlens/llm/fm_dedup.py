@@ -66,7 +66,7 @@ def parsed(docs: DataFrame, length: int) -> DataFrame:
             if hashes:
                 yield lot(hashes, grams, rest)
 
-    return docs.where("doc is not null").mapInArrow(parse, "s1 bigint, s2 bigint, anchor bigint, doc bigint, t bigint, first int, last int")
+    return docs.where("doc is not null").mapInArrow(parse, "s1 bigint not null, s2 bigint not null, anchor bigint, doc bigint, t bigint, first int, last int")
 
 
 def text_hash(text: bytes) -> int:
@@ -175,11 +175,14 @@ def repeated(docs: DataFrame, length: int = 50, crowd: int = 20_000) -> DataFram
     ready(docs.sparkSession)
     rows = parsed(docs, length)
     filed = rows.groupBy("s1", "s2").agg(F.min("doc").alias("least"), F.first("anchor").alias("anchor"))
-    known = rows.join(filed.select("s1", "s2", "least"), ["s1", "s2"])
-    span = F.expr("shiftleft(cast(first as bigint), 32) + last")
-    whole = known.where("doc > least").select("doc", "t", span.alias("span"))
+    # all uses read the same columns of rows and filed, so that Spark makes each once
+    known = rows.drop("anchor").join(filed, ["s1", "s2"])
+    span = F.expr("shiftleft(cast(first as bigint), 32) + last").alias("span")
+    above = known.where("doc > least").select("doc", "t", span, "anchor", F.lit(0).cast("bigint").alias("m"))
     shared = filed.groupBy("anchor").agg(F.count("*").alias("m"), F.min("least").alias("lo"), F.max("least").alias("hi")).where("lo < hi").select("anchor", "m")
-    open_ = cut(known.where("doc = least").select("anchor", "doc", "t", "first", "last").join(shared, "anchor"))
+    settled = cut(above.unionByName(known.where("doc <= least").join(shared, "anchor").select("doc", "t", span, "anchor", "m")))
+    whole = settled.where("m = 0").select("doc", "t", "span")
+    open_ = settled.where("m > 0").select("anchor", "m", "doc", "t", F.shiftrightunsigned("span", 32).cast("int").alias("first"), F.col("span").bitwiseAND(0xFFFFFFFF).cast("int").alias("last"))
     wanted = open_.groupBy("doc", "t").agg(F.collect_list(F.struct("anchor", "m", "first", "last")).alias("open"))
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
