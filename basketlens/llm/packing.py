@@ -28,7 +28,8 @@ from pyspark.sql.window import Window
 from basketlens.llm.runtime import cut, ready
 
 #: Words whose ids a Python worker keeps at most; others are encoded each time they are met.
-CACHED_WORDS = 400_000
+CACHED_WORDS = 1_000_000
+STOPS = ".,!?;:"
 _encoders: dict[str, WordEncoder] = {}
 
 
@@ -45,6 +46,7 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.cache: dict[str, bytes] = {"": b""}
+        self.runs: dict[str, bytes] = {}
 
     def ids(self, text: str) -> bytes:
         """Little-endian unsigned 32-bit ids."""
@@ -53,9 +55,7 @@ class WordEncoder:
             return b"".join(map(self.cache.__getitem__, words))
         except KeyError:
             pass
-        missing = list(set(words).difference(self.cache))
-        encoded = self.tokenizer.encode_batch_fast(missing, add_special_tokens=False)
-        new = {w: np.array(e.ids, "<u4").tobytes() for w, e in zip(missing, encoded)}
+        new = self.encoded(set(words).difference(self.cache))
         if len(self.cache) + len(new) <= CACHED_WORDS:
             self.cache.update(new)
             return b"".join(map(self.cache.__getitem__, words))
@@ -63,6 +63,35 @@ class WordEncoder:
         return b"".join([x if (x := known(w)) is not None else new[w] for w in words])
 
 
+    def encoded(self, words: set[str]) -> dict[str, bytes]:
+        """Ids of words. ASCII letters before a run of stops are lower-cased and encoded apart from it.
+
+        The tokenizer lower-cases, and parts letters from such a run, in any case; so words that differ
+        in these only are encoded once.
+        """
+        cores = {}
+        for w in words:
+            core = w.rstrip(STOPS)
+            cores[w] = core.lower() if core.isascii() and core.isalpha() else w
+        known = self.cache
+        fresh = list({c for c in cores.values() if c not in known})
+        got = {c: np.array(e.ids, "<u4").tobytes() for c, e in zip(fresh, self.tokenizer.encode_batch_fast(fresh, add_special_tokens=False))}
+        if len(known) + len(got) <= CACHED_WORDS:
+            known.update(got)
+        new = {}
+        for w, c in cores.items():
+            head = got[c] if c in got else known[c]
+            new[w] = head if len(c) == len(w) else head + self.stops(w[len(c) :])
+        return new
+
+    def stops(self, run: str) -> bytes:
+        if run not in self.runs:
+            if len(self.runs) > 10_000:
+                self.runs.clear()
+            self.runs[run] = np.array(self.tokenizer.encode(run, add_special_tokens=False).ids, "<u4").tobytes()
+        return self.runs[run]
+
+
 def encoder(path: str) -> WordEncoder:
     """One encoder for each worker process."""
     if path not in _encoders:
