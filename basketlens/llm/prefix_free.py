@@ -18,8 +18,6 @@ keep all. Counts are combined before shuffles, and joins on hot phrases can be s
 
 from __future__ import annotations
 
-import hashlib
-import struct
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -29,17 +27,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from basketlens.llm.phrases import merged, phrases
-from basketlens.llm.runtime import binary_texts, cut, ready
+from basketlens.llm.runtime import binary_texts, cut, ready, renamed, text_key, text_keys
 
 GRAM = 32
 #: Bytes of stretches that are put in order at once.
-LOT = 3_000_000
-_halves = struct.Struct("<qq")
+LOT = 400_000
 
 
-def text_key(text: bytes) -> tuple[int, int]:
-    return _halves.unpack(hashlib.md5(text).digest())
-
 
 def parsed(docs: DataFrame, text: str, length: int) -> DataFrame:
     """One row per phrase: s1, s2 (hash of its stretch), anchor, k1, k2 (key of its text), first, last."""
@@ -70,7 +64,7 @@ def parsed(docs: DataFrame, text: str, length: int) -> DataFrame:
             if hashes:
                 yield lot(hashes, grams, rest)
 
-    return docs.select(text).mapInArrow(parse, "s1 bigint, s2 bigint, anchor bigint, k1 bigint, k2 bigint, first int, last int")
+    return docs.select(text).mapInArrow(parse, "s1 bigint not null, s2 bigint not null, anchor bigint, k1 bigint, k2 bigint, first int, last int")
 
 
 def ranks(symbols: np.ndarray, left: np.ndarray, longest: int) -> np.ndarray:
@@ -85,7 +79,7 @@ def ranks(symbols: np.ndarray, left: np.ndarray, longest: int) -> np.ndarray:
         key = (key << np.uint64(8)) | np.where(left > i, padded[i : i + symbols.size], 0).astype(np.uint64)
     n = 8
     while True:
-        order = np.argsort(key, kind="stable")
+        order = np.argsort(key)
         s = key[order]
         rank = np.empty(symbols.size, np.int64)
         rank[order] = np.cumsum(np.concatenate([[False], s[1:] != s[:-1]]))
@@ -147,7 +141,7 @@ def corpus_order(texts: list[bytes], trigger_width: int = 6, modulus: int = 24)
     offset = np.arange(folded.size) - at[phrase]
     first = suffix[word_at[parse[phrase]] + offset]
     then = follow[place[phrase] + 1]
-    return folded, np.lexsort((then, first)), starts
+    return folded, np.argsort(first << 32 | then), starts
 
 
 def repeated_windows(texts: list[bytes], windows: np.ndarray, length: int) -> list[np.ndarray]:
@@ -158,14 +152,13 @@ def repeated_windows(texts: list[bytes], windows: np.ndarray, length: int) -> li
     np.add.at(counted, starts, 1)
     np.add.at(counted, starts + windows, -1)
     order = order[np.cumsum(counted[:-1])[order] > 0]
+    # neighbours, eight bytes at a time while they agree; the last eight may overlap those before
+    eight = np.ndarray(joined.size - 7, "<u8", joined, strides=(1,)) if length >= 8 else joined
+    step = 8 if length >= 8 else 1
     equal = np.ones(max(0, order.size - 1), bool)
     alive = np.arange(equal.size)
-    for i in range(0, length, 8):  # neighbours, eight bytes at a time while they agree
-        k = min(8, length - i)
-        x, y = order[alive] + i, order[alive + 1] + i
-        same = np.ones(alive.size, bool)
-        for j in range(k):
-            same &= joined[x + j] == joined[y + j]
+    for i in sorted({*range(0, length - step + 1, step), length - step}):
+        same = eight[order[alive] + i] == eight[order[alive + 1] + i]
         equal[alive[~same]] = False
         alive = alive[same]
     hit = np.zeros(folded.size, bool)
@@ -208,9 +201,16 @@ def repeated(docs: DataFrame, text: str = "text", length: int = 200, crowd: int
     """k1, k2 (key of a text) and spans: array of (first << 32 | last) of repeated window starts; texts without any are absent."""
     ready(docs.sparkSession)
     rows = parsed(docs, text, length)
-    counts = rows.groupBy("s1", "s2").agg(F.count("*").alias("n"), *[F.first(x).alias(x) for x in ("anchor", "k1", "k2", "first", "last")])
-    shared = counts.groupBy("anchor").agg(F.count("*").alias("m"), F.min("n").alias("least")).where("m > 1 and least = 1").select("anchor", "m")
-    open_ = cut(counts.join(shared, "anchor").select("anchor", "m", "n", "k1", "k2", "first", "last"))
+    known = ("anchor", "r1", "r2", "rf", "rl")
+    counts = rows.groupBy("s1", "s2").agg(F.count("*").alias("n"), *[F.first(x).alias(y) for x, y in zip(("anchor", "k1", "k2", "first", "last"), known)])
+    # all uses read all columns of the counts, so that Spark makes them once
+    read = F.coalesce(*known).isNotNull()
+    shared = counts.groupBy("anchor").agg(F.count("*").alias("m"), F.min("n").alias("least"), F.min(F.coalesce(*known)).alias("read")).where("m > 1 and least = 1 and read is not null").select("anchor", "m")
+    span = F.expr("shiftleft(cast(first as bigint), 32) + last").alias("span")
+    same = rows.drop("anchor").join(counts.where(read & (F.col("n") > 1)), ["s1", "s2"]).select("k1", "k2", span, F.lit(None).cast("bigint").alias("anchor"), F.lit(0).cast("bigint").alias("m"), "n")
+    shares = counts.join(shared, "anchor").select(F.col("r1").alias("k1"), F.col("r2").alias("k2"), F.expr("shiftleft(cast(rf as bigint), 32) + rl").alias("span"), "anchor", "m", "n")
+    settled = cut(same.unionByName(shares))
+    open_ = settled.where("m > 0").select("anchor", "m", "n", "k1", "k2", F.shiftrightunsigned("span", 32).cast("int").alias("first"), F.col("span").bitwiseAND(0xFFFFFFFF).cast("int").alias("last"))
 
     # the bytes of the stretches that are still open
     wanted = open_.groupBy("k1", "k2").agg(F.collect_list(F.struct("anchor", "m", "n", "first", "last")).alias("open"))
@@ -229,7 +229,7 @@ def repeated(docs: DataFrame, text: str = "text", length: int = 200, crowd: int
             kinds = [pa.int64()] * 5 + [pa.int32(), pa.binary()]
             yield pa.RecordBatch.from_arrays([pa.array(list(x), k) for x, k in zip(columns, kinds)], names=["anchor", "m", "n", "k1", "k2", "first", "stretch"])
 
-    stretches = cut(keyed(docs.select(F.col(text).alias("text"))).join(wanted, ["k1", "k2"]).select("k1", "k2", "text", "open").mapInArrow(fetch, "anchor bigint, m bigint, n bigint, k1 bigint, k2 bigint, first int, stretch binary"))
+    stretches = cut(text_keys(docs.select(F.col(text).alias("text")), "text").join(wanted, ["k1", "k2"]).select("k1", "k2", "text", "open").mapInArrow(fetch, "anchor bigint, m bigint, n bigint, k1 bigint, k2 bigint, first int, stretch binary"))
 
     def order(lot: list[dict]) -> list[tuple]:
         unique: dict[bytes, int] = {}
@@ -254,16 +254,10 @@ def repeated(docs: DataFrame, text: str = "text", length: int = 200, crowd: int
     every = stretches.where(F.col("m") > crowd).mapInArrow(windows, "w1 bigint, w2 bigint, k1 bigint, k2 bigint, span bigint")
     twice = every.groupBy("w1", "w2").count().where("count > 1").select("w1", "w2")
     many = every.join(twice, ["w1", "w2"]).select("k1", "k2", "span")
-    same = rows.join(counts.where("n > 1").select("s1", "s2"), ["s1", "s2"]).select("k1", "k2", F.expr("shiftleft(cast(first as bigint), 32) + last").alias("span"))
+    same = settled.where("m = 0").select("k1", "k2", "span")
     return same.unionByName(few).unionByName(many).groupBy("k1", "k2").agg(F.collect_set("span").alias("spans"))
 
 
-def keyed(docs: DataFrame, text: str = "text") -> DataFrame:
-    """docs with k1, k2, as text_key() gives them."""
-    part = lambda a: F.conv(F.concat(*[F.substring("__md5", a + 14 - 2 * i, 2) for i in range(8)]), 16, -10).cast("bigint")
-    return docs.withColumn("__md5", F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary"))).withColumns({"k1": part(1), "k2": part(17)}).drop("__md5")
-
-
 def covered(spans: list[int] | None, length: int) -> tuple[np.ndarray, np.ndarray]:
     """Disjoint removed byte runs of a text."""
     s = np.array(spans or [], np.int64)
@@ -290,4 +284,32 @@ def _stripped(docs: DataFrame, spans: DataFrame, length: int) -> DataFrame:
             span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(runs, span), pa.array(kept, pa.binary())], names=["key", "n_bytes", "runs", "kept"])
 
-    return keyed(docs).join(spans, ["k1", "k2"], "left").select("key", "text", "spans").mapInArrow(take, f"key {kind}, n_bytes bigint, runs array<struct<start:bigint,end:bigint>>, kept binary")
+    return text_keys(docs, "text").join(spans, ["k1", "k2"], "left").select("key", "text", "spans").mapInArrow(take, f"key {kind}, n_bytes bigint, runs array<struct<start:bigint,end:bigint>>, kept binary")
+
+
+def clean(docs: DataFrame, text: str = "text", length: int = 200, crowd: int = 20_000) -> DataFrame:
+    """docs, with their own columns, and each text less its repeated strings.
+
+    A character of which only some bytes are covered goes as a whole. Rows that had words and have
+    none left are dropped; rows without repeats stay as they are, nulls included.
+    """
+    plain, names, column = renamed(docs, text)
+    spans = repeated(plain.select(column), column, length, crowd)
+    place = plain.columns.index(column)
+
+    def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts, keep = batch.column(place).to_pylist(), np.ones(batch.num_rows, bool)
+            for i, x in enumerate(batch.column(batch.num_columns - 1).to_pylist()):
+                if x:
+                    t = texts[i].encode()
+                    a, b = covered(x, length)
+                    at = np.concatenate([[0], np.stack([a, b], 1).ravel(), [len(t)]]).tolist()
+                    texts[i] = "".join(t[j:k].decode(errors="ignore") for j, k in zip(at[::2], at[1::2]))
+                    keep[i] = bool(texts[i].strip(" \t\n\v\f\r")) or not t.strip()
+            columns = batch.columns[:-1]
+            columns[place] = pa.array(texts, pa.string())
+            yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names[:-1]).filter(pa.array(keep))
+
+    left = text_keys(plain, column).join(spans, ["k1", "k2"], "left").select(*plain.columns, "spans").mapInArrow(take, plain.schema)
+    return left.select(*[F.col(y).alias(x) for x, y in names.items()])

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
 import os
+import struct
 import tempfile
 import uuid
 import zipfile
@@ -10,8 +12,10 @@ from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _PACKAGE = Path(__file__).resolve().parents[1]
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _shipped: set[str] = set()
 
 
@@ -33,10 +37,26 @@ def ready(spark: SparkSession) -> None:
         context.addPyFile(archive)
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share."""
+    ready(spark)
+    return spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """The same rows, written to the shared checkpoint folder and read from there."""
-    ready(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """The same rows, written to the shared checkpoint folder and read from there.
+
+    The shuffle files behind them are removed as soon as the rows are written: nothing reads them
+    again, and the next job writes its own.
+    """
+    spark = df.sparkSession
+    ready(spark)
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        return df.select("*").checkpoint(eager=True)
+    finally:
+        spark.conf.set(_CLEANUP, before)
 
 
 def fresh(prefix: str) -> str:
@@ -52,3 +72,23 @@ def binary_texts(column: pa.Array) -> list[bytes]:
 def partitions_for(spark: SparkSession, least: int = 1) -> int:
     """Shuffle partitions of the session, as a number."""
     return max(least, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
+def renamed(docs: DataFrame, text: str) -> tuple[DataFrame, dict[str, str], str]:
+    """docs with names of our own, so that no column we add clashes; the names; and that of the text."""
+    names = {x: fresh(f"own{i}") for i, x in enumerate(docs.columns)}
+    return docs.select(*[F.col(f"`{x}`").alias(y) for x, y in names.items()]), names, names[text]
+
+
+def text_keys(docs: DataFrame, text: str) -> DataFrame:
+    """docs with k1 and k2, the halves of the MD5 of the text as little-endian longs; null is empty text."""
+    half = lambda a: F.conv(F.concat(*[F.substring("__md5", a + 14 - 2 * i, 2) for i in range(8)]), 16, -10).cast("bigint")
+    return docs.withColumn("__md5", F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary"))).withColumns({"k1": half(1), "k2": half(17)}).drop("__md5")
+
+
+_HALVES = struct.Struct("<qq")
+
+
+def text_key(text: bytes) -> tuple[int, int]:
+    """As text_keys()."""
+    return _HALVES.unpack(hashlib.md5(text).digest())
