@@ -11,7 +11,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from basketlens.llm.runtime import fresh
+from basketlens.llm.runtime import fresh, renamed
 
 GAP = r"[\x20\x09-\x0D]+"
 SYMBOLS = r"[#*$%&|<>]"
@@ -86,19 +86,19 @@ def measures(docs: DataFrame, text: str = "text") -> DataFrame:
     )
     count = lambda pattern: (F.length(raw) - F.length(F.regexp_replace(raw, pattern, ""))).cast("long")
     counts = fresh("counts")
-    df = df.withColumn(
-        counts,
-        F.struct(
-            F.size(w).cast("long").alias("n_words"),
-            F.length(F.array_join(w, "")).cast("long").alias("word_chars"),
-            count(SYMBOLS).alias("n_symbols"),
-            (F.size(lines) - F.size(F.array_distinct(lines))).cast("long").alias("n_dup_lines"),
-            covered.alias("n_repeat_words"),
-            count("!").alias("n_bangs"),
-            F.size(F.filter(w, lambda x: F.lower(x).isin(STOP_WORDS))).cast("long").alias("n_stop_words"),
-            F.size(lines).cast("long").alias("n_lines"),
-        ),
+    # through explode() of the one struct, since Spark would push a filter on the measures below the
+    # projections and write out in it, nested, what they compute once
+    one = F.struct(
+        F.size(w).cast("long").alias("n_words"),
+        F.length(F.array_join(w, "")).cast("long").alias("word_chars"),
+        count(SYMBOLS).alias("n_symbols"),
+        (F.size(lines) - F.size(F.array_distinct(lines))).cast("long").alias("n_dup_lines"),
+        covered.alias("n_repeat_words"),
+        count("!").alias("n_bangs"),
+        F.size(F.filter(w, lambda x: F.lower(x).isin(STOP_WORDS))).cast("long").alias("n_stop_words"),
+        F.size(lines).cast("long").alias("n_lines"),
     )
+    df = df.select("*", F.explode(F.array(one)).alias(counts))
     c = F.col(counts)
     per = lambda a, b: F.coalesce(F.try_divide(c[a].cast("double"), c[b].cast("double")), F.lit(0.0))
     ratios = [
@@ -136,8 +136,6 @@ def judge(docs: DataFrame, text: str = "text", rules=RULES) -> DataFrame:
 
 def keep(docs: DataFrame, text: str = "text", rules=RULES) -> DataFrame:
     """The rows of docs that pass, with exactly their own columns."""
-    own = docs.columns
-    names = {x: fresh(f"own{i}") for i, x in enumerate(own)}
-    plain = docs.select(*[F.col(f"`{x}`").alias(y) for x, y in names.items()])
-    passed = measures(plain, names[text]).where(~base_failed() & compiled(rules))
+    plain, names, column = renamed(docs, text)
+    passed = measures(plain, column).where(~base_failed() & compiled(rules))
     return passed.select(*[F.col(y).alias(x) for x, y in names.items()])

@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from basketlens.llm.components import stars
-from basketlens.llm.runtime import binary_texts, cut, ready
+from basketlens.llm.runtime import binary_texts, cut, ready, renamed, text_key, text_keys
 
 SEED = 42
 BITS = 64
@@ -250,3 +250,89 @@ def near_groups(prints: DataFrame, most: int = 4, key: str = "doc_id", crowd: in
     group = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     named = rooted.join(group, "root").select("fp", "component_id")
     return prints.join(named, "fp").select(key, "fp", "component_id")
+
+
+def shingles(text: bytes, width: int) -> np.ndarray:
+    """Sorted 32-bit hashes of the distinct word shingles of the lower-cased (A-Z) text; of fewer words, one of all."""
+    words = text.lower().split()
+    grams = map(b" ".join, zip(*(words[i:] for i in range(width)))) if len(words) > width else [b" ".join(words)] * bool(words)
+    return np.unique(np.fromiter((xxhash.xxh32_intdigest(g) for g in grams), np.uint32))
+
+
+def similarity(a: np.ndarray, b: np.ndarray) -> float:
+    both = np.intersect1d(a, b, assume_unique=True).size
+    return both / (a.size + b.size - both) if a.size or b.size else 1.0
+
+
+def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5, least: float = 0.8, most: int = 6, crowd: int = 20_000) -> DataFrame:
+    """docs less near copies: no row goes unless a row that stays has its text or Jaccard similarity ``least``.
+
+    Rows with the same text are one document, of which the row with the least key stays. Candidates
+    are groups of fingerprints of the distinct words, within ``most`` bits: these move less under
+    edits than those of shingles do. In a group, the text nearest to the bitwise majority leads. Texts
+    whose shingles of ``width`` words are as similar to the leader's as asked go; the others are
+    grouped anew without the leader, until a round removes none. Keys are integers; a null key comes
+    before all others. Repeated rows (key and text) count as one.
+    """
+    ready(docs.sparkSession)
+    plain, names, column = renamed(docs, text)
+    keyed = text_keys(plain.withColumn("a", F.coalesce(F.col(names[key]).cast("bigint"), F.lit(-(1 << 63)))), column)
+
+    def fingers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = binary_texts(batch.column(1))
+            fp = np.array([fingerprint(b" ".join(set(t.lower().split())), 1) for t in texts], np.uint64)
+            k = np.array([text_key(t) for t in texts], np.int64).reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(k[:, 0]), pa.array(k[:, 1]), pa.array(fp.view(np.int64))], names=["a", "k1", "k2", "fp"])
+
+    rows = keyed.select("a", column).mapInArrow(fingers, "a bigint, k1 bigint, k2 bigint, fp bigint")
+    texts = cut(rows.groupBy("k1", "k2").agg(F.min("a").alias("a"), F.first("fp").alias("fp"), F.count("*").alias("n")))
+
+    def groups(of: DataFrame) -> DataFrame:
+        """of (a, k1, k2, fp) with root, where others have the root, too."""
+        distinct = cut(of.select("fp").distinct())
+        star = stars(links(distinct, most, crowd))
+        rooted = of.join(star, of["fp"] == star["node"], "left").withColumn("root", F.coalesce("root", "fp")).drop("node")
+        many = rooted.groupBy("root").agg(F.count("*").alias("m")).where("m > 1").select("root")
+        return rooted.join(many, "root")
+
+    grouped = cut(groups(texts.drop("n")))
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [shingles(t, width).tobytes() for t in binary_texts(batch.column(5))]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(found, pa.binary())], names=["root", "a", "k1", "k2", "fp", "grams"])
+
+    spec = "root bigint, a bigint, k1 bigint, k2 bigint, fp bigint, grams binary"
+    of_row = ["a", "k1", "k2"]
+    own = cut(keyed.select("a", "k1", "k2", column).join(grouped, of_row).select("root", *of_row, "fp", column).mapInArrow(sets, spec).dropDuplicates(of_row))
+    gone, undecided = None, own
+    bits = [F.sum(F.shiftrightunsigned("fp", i).bitwiseAND(1)).alias(f"b{i}") for i in range(BITS)]
+    centre = F.expr(" | ".join(f"case when 2 * b{i} > m then shiftleft(1L, {i}) else 0L end" for i in range(BITS)))
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            pairs = zip(*(batch.column(x).to_pylist() for x in ("grams", "lead")))
+            close = [similarity(np.frombuffer(x, np.uint32), np.frombuffer(y, np.uint32)) >= least for x, y in pairs]
+            yield pa.RecordBatch.from_arrays([*(batch.column(x) for x in of_row), pa.array(close, pa.bool_())], names=[*of_row, "close"])
+
+    while True:
+        centres = undecided.groupBy("root").agg(F.count("*").alias("m"), *bits).select("root", centre.alias("centre"))
+        near = undecided.join(centres, "root").select("root", F.struct(F.bit_count(F.col("fp").bitwiseXOR(F.col("centre"))).alias("d"), *of_row).alias("place"))
+        leaders = near.groupBy("root").agg(F.min("place").alias("place")).select("root", *[F.col(f"place.{x}").alias(x) for x in of_row])
+        lead = undecided.join(leaders, ["root", *of_row]).select("root", F.col("grams").alias("lead"), F.col("a").alias("la"), F.col("k1").alias("l1"), F.col("k2").alias("l2"))
+        others = undecided.join(lead, "root").where("not (a = la and k1 = l1 and k2 = l2)")
+        judged = cut(others.select(*of_row, "grams", "lead").mapInArrow(compare, "a bigint, k1 bigint, k2 bigint, close boolean"))
+        went = judged.where("close").select(*of_row)
+        if not went.limit(1).count():
+            break
+        gone = went if gone is None else gone.unionByName(went)
+        rest = undecided.join(judged.where("not close").select(*of_row), of_row)
+        again = groups(rest.select(*of_row, "fp")).select("root", *of_row)
+        undecided = cut(rest.drop("root").join(again, of_row).select("root", *of_row, "fp", "grams"))
+    kept = texts.select(*of_row) if gone is None else texts.select(*of_row).join(gone, of_row, "left_anti")
+    left = keyed.join(kept, of_row)
+    repeats = texts.agg(F.coalesce(F.sum("n"), F.lit(0)) - F.count("*")).first()[0]
+    if repeats:  # a repeated row has the key and text of the one that stays
+        left = left.dropDuplicates(of_row)
+    return left.select(*[F.col(y).alias(x) for x, y in names.items()])
