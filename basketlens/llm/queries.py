@@ -119,14 +119,12 @@ def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 _TWO = ", ".join(f"'{x}'" for x in url_reputation.TWO_LABEL_SUFFIXES)
 
 
-def _moments(table: str, name: str) -> str:
+def _moments(table: str, parent: str, name: str) -> str:
+    m = parent
     return f"""{name} as (
   select (1 - rho) / rho as m from (
-    select greatest(0.001, least(0.999, coalesce(case when 1 - share <> 0 then (spread - share) / (1 - share) end, 0.001)))::double as rho from (
-      select case when mean * (1 - mean) <> 0 then (sq / al - mean * mean) / (mean * (1 - mean)) end as spread, cnt / al as share from (
-        select sum(n)::double as al, count(*)::double as cnt, sum(k)::double / nullif(sum(n)::double, 0) as mean,
-               sum(n * (k::double / n) * (k::double / n)) as sq
-        from {table} where n > 0))))"""
+    select greatest(0.001, least(1.0 / 3, coalesce(case when most - chance <> 0 then (seen - chance) / (most - chance) end, 0.001)))::double as rho
+    from (select sum(n * (k::double / n - {m}) * (k::double / n - {m})) as seen, sum({m} * (1 - {m})) as chance, sum(n * {m} * (1 - {m})) as most from {table} where n > 0)))"""
 
 
 OP9_SQL = f"""
@@ -160,12 +158,15 @@ hosts as (
 domains as (select domain, suffix, sum(n) as n, sum(k) as k from hosts group by all),
 suffixes as (select suffix, sum(n) as n, sum(k) as k from domains group by all),
 overall as (select coalesce(sum(k)::double / nullif(sum(n)::double, 0), 0.5) as mean0 from suffixes),
-{_moments("suffixes", "ms")},
-{_moments("domains", "md")},
-{_moments("hosts", "mh")},
-s as (select suffix, (k + m * mean0) / (n + m) as mean_s from suffixes, overall, ms),
-d as (select domain, suffix, (k + m * mean_s) / (n + m) as mean_d from domains join s using (suffix), md),
-h as (select host, k + m * mean_d as a, n - k + m * (1 - mean_d) as b from hosts join d using (domain, suffix), mh),
+sx as (select * from suffixes, overall),
+{_moments("sx", "mean0", "ms")},
+s as (select suffix, (k + m * mean0) / (n + m) as mean_s from sx, ms),
+dx as (select * from domains join s using (suffix)),
+{_moments("dx", "mean_s", "md")},
+d as (select domain, suffix, (k + m * mean_s) / (n + m) as mean_d from dx, md),
+hx as (select * from hosts join d using (domain, suffix)),
+{_moments("hx", "mean_d", "mh")},
+h as (select host, k + m * mean_d as a, n - k + m * (1 - mean_d) as b from hx, mh),
 bad as (select host from h where host <> '' and a / (a + b) - 1.645 * sqrt(a * b / ((a + b) * (a + b) * (a + b + 1))) > 0.5),
 ruled as (
   select page_id, host, path, case

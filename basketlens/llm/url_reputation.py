@@ -15,6 +15,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+LEAST_PAGES = 2
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 # Suffixes of two labels under which names are registered.
@@ -70,21 +71,19 @@ def _levels(host: Column) -> tuple[Column, Column]:
     return domain, suffix
 
 
-def _precision(members: DataFrame, mean: str) -> DataFrame:
-    """One row: the precision of the Beta prior that the members' (n, k) show."""
-    p = F.col("k") / F.col("n")
-    known = members.where("n > 0")
-    sums = known.agg(
-        F.sum("n").cast("double").alias("all"),
-        F.count("*").cast("double").alias("m"),
-        F.sum("k").cast("double").alias("bad"),
-        F.sum(F.col("n") * p * p).alias("sq"),
+def _precision(members: DataFrame, parent: str, name: str) -> DataFrame:
+    """One row: the precision of the Beta prior that members' (n, k) show around their parents' means.
+
+    Their spread beyond what chance gives, as a share of the largest possible; a prior counts for
+    LEAST_PAGES pages at least and 999 at most.
+    """
+    m, p = F.col(parent), F.col("k") / F.col("n")
+    sums = members.where("n > 0").agg(
+        F.sum(F.col("n") * (p - m) * (p - m)).alias("seen"), F.sum(m * (1 - m)).alias("chance"), F.sum(F.col("n") * m * (1 - m)).alias("most")
     )
-    mean_ = F.try_divide(F.col("bad"), F.col("all"))
-    spread = F.try_divide(F.try_divide(F.col("sq"), F.col("all")) - mean_ * mean_, mean_ * (1 - mean_))
-    share = F.try_divide(F.col("m"), F.col("all"))
-    rho = F.greatest(F.lit(0.001), F.least(F.lit(0.999), F.coalesce(F.try_divide(spread - share, 1 - share), F.lit(0.001))))
-    return sums.select(((1 - rho) / rho).alias(mean))
+    rho = F.coalesce(F.try_divide(F.col("seen") - F.col("chance"), F.col("most") - F.col("chance")), F.lit(0.001))
+    rho = F.greatest(F.lit(0.001), F.least(F.lit(1.0 / (1 + LEAST_PAGES)), rho))
+    return sums.select(((1 - rho) / rho).alias(name))
 
 
 def reputations(hosts: DataFrame, z: float = 1.645) -> DataFrame:
@@ -97,11 +96,14 @@ def reputations(hosts: DataFrame, z: float = 1.645) -> DataFrame:
     domains = hosts.groupBy("domain", "suffix").agg(F.sum("n").alias("n"), F.sum("k").alias("k"))
     suffixes = domains.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("k").alias("k"))
     overall = suffixes.agg(F.coalesce(F.try_divide(F.sum("k").cast("double"), F.sum("n").cast("double")), F.lit(0.5)).alias("mean0"))
-    one = lambda df: F.broadcast(df)  # noqa: E731  an aggregate without keys: one row
     shrunk = lambda mean, m: (F.col("k") + F.col(m) * F.col(mean)) / (F.col("n") + F.col(m))
-    s = suffixes.join(one(overall)).join(one(_precision(suffixes, "m_s"))).select("suffix", shrunk("mean0", "m_s").alias("mean_s"))
-    d = domains.join(s, "suffix").join(one(_precision(domains, "m_d"))).select("domain", "suffix", shrunk("mean_s", "m_d").alias("mean_d"))
-    h = hosts.join(d, ["domain", "suffix"]).join(one(_precision(hosts, "m_h")))
+    one = lambda df: F.broadcast(df)  # noqa: E731  an aggregate without keys: one row
+    suffixes = suffixes.crossJoin(one(overall))
+    s = suffixes.crossJoin(one(_precision(suffixes, "mean0", "m_s"))).select("suffix", shrunk("mean0", "m_s").alias("mean_s"))
+    domains = domains.join(s, "suffix")
+    d = domains.crossJoin(one(_precision(domains, "mean_s", "m_d"))).select("domain", "suffix", shrunk("mean_s", "m_d").alias("mean_d"))
+    hosts = hosts.join(d, ["domain", "suffix"])
+    h = hosts.crossJoin(one(_precision(hosts, "mean_d", "m_h")))
     a, b = F.col("k") + F.col("m_h") * F.col("mean_d"), F.col("n") - F.col("k") + F.col("m_h") * (1 - F.col("mean_d"))
     mean, var = a / (a + b), a * b / ((a + b) * (a + b) * (a + b + 1))
     return h.select("host", "domain", "suffix", "n", "k", mean.alias("bad_rate"), (mean - z * F.sqrt(var)).alias("bad_rate_low"))
