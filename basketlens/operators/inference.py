@@ -131,13 +131,40 @@ def bias_corrected_intervals(observed: DataFrame, draws: DataFrame, alpha: float
     return df.groupBy("unit").applyInPandas(one, "unit string, bc_lo double, bc_hi double")
 
 
-def jackknife(members: DataFrame, left: str, right: str) -> DataFrame:
-    """Members with each recipe of the pair left out in turn, as scopes (left_out, target unit); sides under two are skipped."""
-    pair = members.where(F.col("register").isin(left, right))
-    enough = pair.groupBy("register", "unit").count().where("count >= 2").select("register", "unit")
-    out = pair.join(enough, ["register", "unit"], "left_semi").select(F.col("recipe_id").alias("left_out"), F.col("unit").alias("of_unit"))
-    # only groups of the recipe's own unit change, but idf is over all: the others come along as they are
-    return members.crossJoin(out).where("recipe_id <> left_out")
+def jackknife(members: DataFrame, facts: DataFrame, left: str, right: str) -> DataFrame:
+    """(left_out, unit, n_left, n_right, distance) of TF-IDF profiles with each recipe of the pair left out in turn.
+
+    Leaving a recipe out scales its side and changes the terms of its own ingredients only: of one
+    that others of the side have, its count; of one that only it has, the document frequency as well,
+    and so the other side's weight. So each distance follows from the unit's sums and that recipe's
+    rows, and nothing is recomputed or crossed. Sides under two recipes are skipped.
+    """
+    p = profiles.prevalence(members, facts)
+    df = profiles.document_frequency(p)
+    groups = F.broadcast(p.select("register", "unit").distinct().agg(F.count("*").alias("g")))
+    idf = lambda d: F.ln((1 + F.col("g")) / (1 + d)) + 1
+    w = p.where(F.col("register").isin(left, right)).join(df, "canonical_id").crossJoin(groups)
+    w = w.select("register", "unit", "canonical_id", "n_recipes", "prevalence", "df", "g", (F.col("prevalence") * idf(F.col("df"))).alias("w"))
+    other = w.select(F.when(F.col("register") == left, right).otherwise(left).alias("register"), "unit", "canonical_id", F.col("prevalence").alias("po"), F.col("w").alias("wo"))
+    both = w.join(other, ["register", "unit", "canonical_id"], "left").fillna(0.0, ["po", "wo"])
+    sums = both.groupBy("register", "unit").agg(F.max("n_recipes").alias("n"), F.sum(F.col("w") * F.col("w")).alias("ss"), F.sum(F.col("w") * F.col("wo")).alias("dot"))
+    opposite = sums.select(F.when(F.col("register") == left, right).otherwise(left).alias("register"), "unit", F.col("ss").alias("oo"), F.col("n").alias("no"))
+    sums = sums.join(opposite, ["register", "unit"]).where("n >= 2")
+    f, n = F.col("n") / (F.col("n") - 1), F.col("n")
+    rows = members.where(F.col("register").isin(left, right)).join(facts, "recipe_id").join(both, ["register", "unit", "canonical_id"]).join(sums, ["register", "unit"])
+    hits = F.round(F.col("prevalence") * n)
+    alone = hits == 1
+    now = F.when(alone, 0.0).otherwise((hits - 1) / (n - 1) * idf(F.col("df")))
+    other_now = F.when(alone, F.col("po") * idf(F.col("df") - 1)).otherwise(F.col("wo"))
+    steps = rows.groupBy(F.col("recipe_id").alias("left_out"), "register", "unit").agg(
+        F.sum(now * other_now - f * F.col("w") * F.col("wo")).alias("d_dot"),
+        F.sum(now * now - f * f * F.col("w") * F.col("w")).alias("d_ss"),
+        F.sum(other_now * other_now - F.col("wo") * F.col("wo")).alias("d_oo"),
+    )
+    x = steps.join(sums, ["register", "unit"])
+    far = profiles.cosine(f * F.col("dot") + F.col("d_dot"), f * f * F.col("ss") + F.col("d_ss"), F.col("oo") + F.col("d_oo"))
+    mine = F.col("register") == left
+    return x.select("left_out", "unit", F.when(mine, n - 1).otherwise(F.col("no")).alias("n_left"), F.when(mine, F.col("no")).otherwise(n - 1).alias("n_right"), far.alias("distance"))
 
 
 def acceleration(left_out: DataFrame) -> DataFrame:

@@ -15,7 +15,7 @@ def centroids(vectors: DataFrame) -> DataFrame:
 
 
 def cosine_pairs(long: DataFrame, key: str) -> DataFrame:
-    """(a, b, distance), a < b, of few vectors in long form (key, i, v); zero vectors have norm 1; within [0, 2]."""
+    """(a, b, distance), a < b, of a few vectors, such as centroids, in long form (key, i, v); zero vectors have norm 1; within [0, 2]."""
     norms = long.groupBy(key).agg(F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("n"))
     x, y = long.select(F.col(key).alias("a"), "i", F.col("v").alias("va")), long.select(F.col(key).alias("b"), "i", F.col("v").alias("vb"))
     dots = x.join(y, "i").where("a < b").groupBy("a", "b").agg(F.sum(F.col("va") * F.col("vb")).alias("dot"))
@@ -36,13 +36,28 @@ def relabelled(labels: DataFrame, reps: int, stream: str = "separation") -> Data
     return drawn.join(F.broadcast(slots), "place").select("rep", "id", "label").unionByName(base.select(F.lit(0).alias("rep"), "id", "label"))
 
 
-def separation(pairs: DataFrame, labels: DataFrame, reps: int) -> DataFrame:
-    """(rep, gap): mean distance between labels less mean within, observed (rep 0) and shuffled."""
-    r = relabelled(labels, reps)
-    a, b = r.select("rep", F.col("id").alias("a"), F.col("label").alias("la")), r.select("rep", F.col("id").alias("b"), F.col("label").alias("lb"))
-    d = pairs.join(a, "a").join(b, ["rep", "b"])
-    within, between = F.avg(F.when(F.col("la") == F.col("lb"), F.col("distance"))), F.avg(F.when(F.col("la") != F.col("lb"), F.col("distance")))
-    return d.groupBy("rep").agg((between - within).alias("gap"))
+def separation(vectors: DataFrame, reps: int) -> DataFrame:
+    """(rep, gap) of vectors (id, label, vec): mean cosine distance between labels less mean within, observed (rep 0) and shuffled.
+
+    Sums of unit vectors give the means: over all pairs of a set the dot products add up to
+    (|sum|^2 - number of vectors) / 2. So no pair is ever made. A zero vector is at distance 1 to all.
+    """
+    v = vectors.select("id", "label", F.transform("vec", lambda x: x.cast("double")).alias("vec"))
+    norm = F.sqrt(F.aggregate("vec", F.lit(0.0), lambda a, x: a + x * x))
+    unit = v.withColumn("n", F.when(norm == 0, 1.0).otherwise(norm)).select("id", "label", F.when(norm == 0, 0).otherwise(1).alias("one"), F.transform("vec", lambda x: x / F.col("n")).alias("u"))
+    drawn = relabelled(unit, reps).join(unit.drop("label"), "id")
+    width = F.size("u")
+    per = drawn.groupBy("rep", "label").agg(F.count("*").alias("m"), F.sum("one").alias("ones"), F.max(width).alias("d"))
+    sums = drawn.select("rep", "label", F.posexplode("u").alias("i", "x")).groupBy("rep", "label", "i").agg(F.sum("x").alias("x"))
+    inner = sums.groupBy("rep", "label").agg(F.sum(F.col("x") * F.col("x")).alias("q"))
+    whole = sums.groupBy("rep", "i").agg(F.sum("x").alias("x")).groupBy("rep").agg(F.sum(F.col("x") * F.col("x")).alias("q_all"))
+    w = per.join(inner, ["rep", "label"]).groupBy("rep").agg(
+        F.sum(F.col("m") * (F.col("m") - 1) / 2).alias("pairs"), F.sum((F.col("q") - F.col("ones")) / 2).alias("dots"), F.sum("m").alias("all"), F.sum("ones").alias("ones")
+    )
+    x = w.join(whole, "rep")
+    pairs, dots = F.col("all") * (F.col("all") - 1) / 2, (F.col("q_all") - F.col("ones")) / 2
+    within, between = 1 - F.try_divide("dots", "pairs"), 1 - F.try_divide(dots - F.col("dots"), pairs - F.col("pairs"))
+    return x.select("rep", (between - within).alias("gap"))
 
 
 def one_sided(null: DataFrame, value: str) -> DataFrame:

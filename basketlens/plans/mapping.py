@@ -245,16 +245,16 @@ def duplicate_candidates(spark, sf_dir):
 
 
 @registered(
-    f"""with {BASE_SQL}, l as (select recipe_id as l, canonical_id from facts join clean using (recipe_id) where register = '{A}' and recipe_id % 20 = 0), r as (select recipe_id as r, canonical_id from facts join clean using (recipe_id) where register = '{B}'),
+    f"""with {BASE_SQL}, l as (select recipe_id as l, canonical_id from facts join clean using (recipe_id) where register = '{A}' and recipe_id % 50 = 0), r as (select recipe_id as r, canonical_id from facts join clean using (recipe_id) where register = '{B}'),
 nl as (select l, count(*) as n from l group by 1), nr as (select r, count(*) as n from r group by 1), x as (select l, r, count(*) as k from l join r using (canonical_id) group by all),
 best as (select l, r, k / (nl.n + nr.n - k)::double as s from x join nl using (l) join nr using (r) qualify row_number() over (partition by l order by s desc, r) = 1)
 select case when s < 0.25 then 0 when s < 0.5 then 1 when s < 0.75 then 2 else 3 end as bin, count(*) as n from best group by 1"""
 )
 def histogram_best_match(spark, sf_dir):
-    """Official recipes of a studied fraction, each with its most similar commercial one."""
+    """A search: official recipes whose id is divisible by 50, against all commercial ones."""
     recipes, facts = _clean(spark, sf_dir)
     items = recipes.select("recipe_id", "register").join(facts, "recipe_id").select("register", F.col("recipe_id").alias("key"), F.col("canonical_id").alias("item"))
-    best = similarity.best_matches(items.where(f"register = '{A}' and key % 20 = 0"), items.where(f"register = '{B}'"))
+    best = similarity.best_matches(items.where(f"register = '{A}' and key % 50 = 0"), items.where(f"register = '{B}'"))
     return ranking.histogram(best, "similarity", [0, 0.25, 0.5, 0.75, 1]).where("n > 0").select("bin", "n")
 
 
@@ -359,11 +359,7 @@ def centroid_distances(spark, sf_dir):
     return regional.cosine_pairs(regional.centroids(_vectors(Testbed(spark, sf_dir))), "label").select("a", "b", r6("distance"))
 
 
-def _cohort(t):
-    return _vectors(t).where("id % 5 = 0 and id < 500")
-
-
-COHORT_SQL = """v as (select vec_id as id, label, embedding as e from embeddings where vec_id % 5 = 0 and vec_id < 500),
+COHORT_SQL = """v as (select vec_id as id, label, embedding as e from embeddings),
 far as (select a.id as a, b.id as b, 1 - list_dot_product(a.e::double[], b.e::double[]) / (sqrt(list_dot_product(a.e::double[], a.e::double[])) * sqrt(list_dot_product(b.e::double[], b.e::double[]))) as distance from v a join v b on a.id < b.id)"""
 
 
@@ -375,10 +371,8 @@ gaps as (select x.rep as rep, avg(distance) filter (x.label <> y.label) - avg(di
 select round((select gap from gaps where rep = 0), 6) as observed, round((1 + count(*) filter (rep > 0 and gap >= (select gap from gaps where rep = 0))) / (1 + count(*) filter (rep > 0))::double, 6) as p from gaps"""
 )
 def separation_test(spark, sf_dir):
-    """A cohort of a hundred vectors; the number of pairs is bounded by the study, not by the corpus."""
-    v = _cohort(Testbed(spark, sf_dir))
-    pairs = regional.cosine_pairs(v.select("id", F.posexplode("vec").alias("i", "v0")).select("id", "i", F.col("v0").cast("double").alias("v")), "id")
-    return regional.one_sided(regional.separation(pairs, v, 20), "gap").select(r6("observed"), r6("p"))
+    v = _vectors(Testbed(spark, sf_dir))
+    return regional.one_sided(regional.separation(v, 20), "gap").select(r6("observed"), r6("p"))
 
 
 @registered(
@@ -473,11 +467,11 @@ def fidelity_loss(spark, sf_dir):
 
 
 @registered(
-    """with old as (select o_orderkey, o_orderstatus, o_totalprice, 1 as seq from orders where o_orderkey % 3 <> 0), new as (select o_orderkey, 'N' as o_orderstatus, o_totalprice + 1 as o_totalprice, 2 as seq from orders where o_orderkey % 2 = 0)
+    """with old as (select o_orderkey, o_orderstatus, o_totalprice, 1 as seq from orders where o_totalprice < 300000), new as (select o_orderkey, 'N' as o_orderstatus, o_totalprice + 1 as o_totalprice, 2 as seq from orders where o_totalprice > 200000)
 select coalesce(o.o_orderkey, n.o_orderkey) as o_orderkey, coalesce(o.o_orderstatus, n.o_orderstatus) as o_orderstatus, coalesce(n.o_totalprice, o.o_totalprice) as o_totalprice from old o full join new n using (o_orderkey)"""
 )
 def upsert_merge(spark, sf_dir):
     """Only the price is updated where the key is there already."""
     o = Testbed(spark, sf_dir).table("orders").select("o_orderkey", "o_orderstatus", "o_totalprice")
-    new = o.where("o_orderkey % 2 = 0").select("o_orderkey", F.lit("N").alias("o_orderstatus"), (F.col("o_totalprice") + 1).alias("o_totalprice"))
-    return tables.upsert(o.where("o_orderkey % 3 <> 0"), new, ["o_orderkey"], ["o_totalprice"])
+    new = o.where("o_totalprice > 200000").select("o_orderkey", F.lit("N").alias("o_orderstatus"), (F.col("o_totalprice") + 1).alias("o_totalprice"))
+    return tables.upsert(o.where("o_totalprice < 300000"), new, ["o_orderkey"], ["o_totalprice"])

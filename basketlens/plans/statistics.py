@@ -158,12 +158,12 @@ def qualifying_counts(spark, sf_dir):
 
 
 @registered(
-    f"""with {BASE_SQL}, members as (select register, region as unit, recipe_id, 1::bigint as mult from clean where recipe_id % 17 <> 0),
+    f"""with {BASE_SQL}, members as (select register, region as unit, recipe_id, 1::bigint as mult from clean where recipe_id not in (select o_orderkey from orders where o_totalprice > 450000)),
 {profiles.distances_sql("members", profiles.TFIDF)} select unit, n_left, n_right, round(distance, 6) as distance from dist"""
 )
 def excluded_recipes_sensitivity(spark, sf_dir):
     recipes, facts = _clean(spark, sf_dir)
-    listed = recipes.where(F.pmod("recipe_id", F.lit(17)) == 0).select("recipe_id")  # stands for a reviewed list of ids
+    listed = Testbed(spark, sf_dir).table("orders").where("o_totalprice > 450000").select(F.col("o_orderkey").alias("recipe_id"))  # stands for a reviewed list
     return profiles.register_distances(profiles.members_of(views.excluding(recipes, listed), "region"), facts, profiles.TFIDF, A, B).select("unit", "n_left", "n_right", r6("distance"))
 
 
@@ -295,27 +295,30 @@ def rq_result_table(spark, sf_dir):
     return out
 
 
-@registered(
-    f"""{MEMBERS_SQL}, small as (select * from members where unit = 'ASIA' and recipe_id % 40 = 0),
-outs as (select recipe_id as left_out, unit as of_unit from small join (select register, unit from small where register in ('{A}', '{B}') group by all having count(*) >= 2) using (register, unit)),
-moved as (select left_out, register, unit, recipe_id, mult from small, outs where recipe_id <> left_out),
-{profiles.distances_sql("moved", profiles.TFIDF, "left_out")} select left_out, unit, n_left, n_right, round(distance, 6) as distance from dist"""
-)
+JACK_SQL = f"""w as (select register, unit, canonical_id, n_recipes as n, round(prevalence * n_recipes) as h, df, groups as g, prevalence as p, weight as w from dist_w join dist_d using (canonical_id), dist_g where register in ('{A}', '{B}')),
+pair as (select a.*, coalesce(b.p, 0) as po, coalesce(b.w, 0) as wo from w a left join w b on a.unit = b.unit and a.canonical_id = b.canonical_id and a.register <> b.register),
+sums0 as (select register, unit, max(n) as n, sum(w * w) as ss, sum(w * wo) as dot from pair group by all),
+sums as (select a.*, b.ss as oo, b.n as no from sums0 a join sums0 b on a.unit = b.unit and a.register <> b.register where a.n >= 2),
+moved as (
+  select recipe_id as left_out, m.register, m.unit, w, wo, s.n / (s.n - 1)::double as f,
+    case when h = 1 then 0 else (h - 1) / (s.n - 1) * (ln((1 + g) / (1 + df)::double) + 1) end as now, case when h = 1 then po * (ln((1 + g) / df::double) + 1) else wo end as onow
+  from members m join facts using (recipe_id) join pair p on p.register = m.register and p.unit = m.unit and p.canonical_id = facts.canonical_id join sums s on s.register = m.register and s.unit = m.unit
+),
+steps as (select left_out, register, unit, any_value(f) as f, sum(now * onow - f * w * wo) as dd, sum(now * now - f * f * w * w) as ds, sum(onow * onow - wo * wo) as dof from moved group by left_out, register, unit)
+select left_out, unit, case when register = '{A}' then n - 1 else no end as n_left, case when register = '{A}' then no else n - 1 end as n_right,
+  round(1 - (f * dot + dd) / (sqrt(f * f * ss + ds) * sqrt(oo + dof)), 6) as distance from steps join sums using (register, unit)"""
+
+
+@registered(f"{MEMBERS_SQL}, {profiles.distances_sql('members', profiles.TFIDF)}, {JACK_SQL}")
 def jackknife_distances(spark, sf_dir):
-    """Leave-one-out over a studied cohort of one region."""
-    members, facts = _members(spark, sf_dir)
-    cohort = members.where((F.col("unit") == "ASIA") & (F.pmod("recipe_id", F.lit(40)) == 0))
-    out = profiles.register_distances(inference.jackknife(cohort, A, B), facts, profiles.TFIDF, A, B, ["left_out"])
-    return out.select("left_out", "unit", "n_left", "n_right", r6("distance"))
+    return inference.jackknife(*_members(spark, sf_dir), A, B).select("left_out", "unit", "n_left", "n_right", r6("distance"))
 
 
 @registered()
 def bca_interval(spark, sf_dir):
     members, facts = _members(spark, sf_dir)
-    cohort = members.where((F.col("unit") == "ASIA") & (F.pmod("recipe_id", F.lit(40)) == 0))
-    far = lambda m, scope=(): profiles.register_distances(m, facts, profiles.TFIDF, A, B, list(scope))
-    a = inference.acceleration(far(inference.jackknife(cohort, A, B), ["left_out"]))
-    return inference.bias_corrected_intervals(far(cohort), far(inference.bootstrap(cohort, REPS), ["rep"]), acceleration=a)
+    a = inference.acceleration(inference.jackknife(members, facts, A, B))
+    return inference.bias_corrected_intervals(*_boot(spark, sf_dir), acceleration=a)
 
 
 @registered()
