@@ -40,6 +40,8 @@ def toml_records(spark: SparkSession, path: str, schema: str, build: Callable[[d
     files = spark.read.format("binaryFile").load(path).select("path", "content")
     files = files.where(~F.element_at(F.split("path", "/"), -1).startswith("_") & F.col("path").endswith(".toml"))
 
+    names = ["path", "error", *StructType.fromDDL(schema).names]
+
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             rows = []
@@ -48,7 +50,7 @@ def toml_records(spark: SparkSession, path: str, schema: str, build: Callable[[d
                     rows.append({"path": p, "error": None, **build(tomllib.loads(bytes(c).decode()))})
                 except Exception as e:  # noqa: BLE001  one bad file does not stop the run
                     rows.append({"path": p, "error": type(e).__name__})
-            yield pd.DataFrame(rows)
+            yield pd.DataFrame(rows, columns=names)
 
     return files.mapInPandas(parse, f"path string, error string, {schema}").orderBy("path")
 
@@ -69,7 +71,7 @@ def ingredient_lines(raw: DataFrame, key: str = "recipe_id", column: str = "pars
 def markdown_table(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
     """Rows of a Markdown table with as many cells as columns, in file order (line)."""
     lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", "\n")).alias("line", "value"))
-    cells = F.transform(F.split(F.regexp_replace(F.trim("value"), r"^\||\|$", ""), r"(?<!\\)\|"), F.trim)
+    cells = F.transform(F.split(F.regexp_replace(F.trim("value"), r"^\||\|$", ""), r"(?<!\\)\|"), lambda x: F.trim(x))
     rows = lines.where(F.trim("value").startswith("|")).withColumn("c", cells).where((F.size("c") == len(columns)) & ~F.col("value").rlike(r"^[\s|:\-]+$"))
     return rows.select("line", *[F.col("c")[i].alias(x) for i, x in enumerate(columns)])
 
