@@ -112,3 +112,46 @@ def grouped(strings: DataFrame, group: str) -> DataFrame:
     """Groups of strings (key, n, and a group column): members, mentions, rank and running share."""
     g = strings.groupBy(group).agg(F.sum("n").alias("n"), F.count("*").alias("strings"))
     return ranked(g, group)
+
+
+# The categories of entries, in the order of the decision that set them.
+CATEGORIES = (
+    "aromatic", "chilli", "herb", "spice", "vegetable", "fruit", "protein_meat",
+    "protein_fish", "protein_other", "coconut", "acid", "fat", "starch", "sweetener",
+    "seasoning", "other",
+)
+OTHER_CEILING = 0.05
+
+
+def problems(entries: DataFrame, aliases: DataFrame, splits: DataFrame, exclusions: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(list, rule, n) of everything wrong with a vocabulary, all lists in one report; empty if nothing is.
+
+    entries: canonical_id, name, category; aliases, splits: key, canonical_id; exclusions: key; pairs: a, b.
+    """
+    known = entries.select("canonical_id")
+    one = lambda where, rule, df: df.agg(F.count("*").alias("n")).select(F.lit(where).alias("list"), F.lit(rule).alias("rule"), "n")
+    twice = lambda df, *keys: df.groupBy(*keys).count().where("count > 1")
+    blank = lambda c: F.trim(F.coalesce(c, F.lit(""))) == ""
+    other = entries.agg((F.count_if(F.col("category") == "other") / F.greatest(F.count("*"), F.lit(1))).alias("s")).where(F.col("s") > OTHER_CEILING)
+    unordered = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    few = splits.groupBy("key").agg(F.count_distinct("canonical_id").alias("n")).where("n < 2")
+    found = [
+        one("entries", "id is ING_ and four digits", entries.where(~F.col("canonical_id").rlike("^ING_[0-9]{4}$"))),
+        one("entries", "id once", twice(entries, "canonical_id")),
+        one("entries", "name once", twice(entries.where(~blank("name")), "name")),
+        one("entries", "name given", entries.where(blank("name"))),
+        one("entries", "category in list", entries.where(~F.coalesce(F.col("category").isin(*CATEGORIES), F.lit(False)))),
+        one("entries", "others within their ceiling", other),
+        one("aliases", "key given", aliases.where(blank("key"))),
+        one("aliases", "entry exists", aliases.join(known, "canonical_id", "left_anti")),
+        one("aliases", "one entry for a key", index(aliases.select("key", F.col("canonical_id").alias("entry"))).where(F.col("entry") == CONFLICT)),
+        one("splits", "entry exists", splits.join(known, "canonical_id", "left_anti")),
+        one("splits", "two entries at least", few),
+        one("pairs", "two different entries", pairs.where("a = b")),
+        one("pairs", "pair once", twice(unordered, "a", "b")),
+        one("lists", "keys in one list only", overlaps(aliases, splits, exclusions)),
+    ]
+    out = found[0]
+    for x in found[1:]:
+        out = out.unionByName(x)
+    return out.where("n > 0")

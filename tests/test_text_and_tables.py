@@ -3,7 +3,7 @@ import datetime
 import pytest
 from pyspark.sql import functions as F
 
-from basketlens.functions import layout, pages, privacy, text
+from basketlens.functions import layout, pages, privacy, text, thai
 from basketlens.operators import attribution, geo, quality, reports, similarity, vocabulary
 from basketlens.sources import conduct, tables
 from basketlens.streaming import ingest
@@ -190,3 +190,29 @@ def test_stream(spark, tmp_path):
         ingest.start(stream, f"{tmp_path}/out", f"{tmp_path}/state").awaitTermination()
     got = spark.read.parquet(f"{tmp_path}/out")
     assert sorted((r["source"], r["text"]) for r in got.collect()) == [("s", "a"), ("t", "[REDACTED]")]
+
+
+def test_segmentation():
+    words = frozenset(["ตำบล", "จำเป็น", "จา", "เป็น", "น้ำ", "น้า", "ข่า", "หอมแดง"])
+    segment = thai.fewest_words(words)
+    assert segment("ข่าหอมแดง") == ["ข่า", "หอมแดง"] and segment("") == []
+    assert thai.repair_am("ต าบล จ าเป็น น้ า", segment, words) == ("ตำบล จำเป็น น้ า", 2, 0, 1)
+    assert thai.tokens("ข่าหอมแดง 3 หัว (สด) oil *", segment) == ["ข่า", "หอมแดง", "oil"]
+    assert thai.word_count("ข่าหอมแดง two words", segment) == 4
+
+
+def test_segmentation_in_columns(spark):
+    words = ["ตำบล", "ข่า"]
+    r = one(spark, lambda c: F.struct(thai.repaired(c, words).alias("r"), thai.line_tokens(c, words).alias("t")), "ต าบล", None)
+    assert r[0]["y"]["r"]["text"] == "ตำบล" and r[1]["y"]["t"] is None
+
+
+def test_vocabulary_problems_in_one_report(spark):
+    frame = lambda rows, schema: spark.createDataFrame(rows, schema)
+    entries = [(f"ING_{i:04d}", f"n{i}", "acid") for i in range(40)]
+    ok = (frame([("x", "ING_0001")], "key string, canonical_id string"), frame([("s", "ING_0001"), ("s", "ING_0002")], "key string, canonical_id string"), frame([("e",)], "key string"), frame([("ING_0001", "ING_0002")], "a string, b string"))
+    assert vocabulary.problems(frame(entries, "canonical_id string, name string, category string"), *ok).count() == 0
+    bad = frame([*entries, ("ING_1", "n1", "none"), ("ING_0001", None, "other")], "canonical_id string, name string, category string")
+    lists = (frame([("x", "ING_0001"), ("x", "ING_0002"), ("y", "ING_9999"), ("e", "ING_0003")], "key string, canonical_id string"), ok[1].limit(1), ok[2], frame([("A", "B"), ("B", "A"), ("C", "C")], "a string, b string"))
+    got = {(r["list"], r["rule"]) for r in vocabulary.problems(bad, *lists).collect()}
+    assert len(got) == 11 and ("entries", "others within their ceiling") not in got
