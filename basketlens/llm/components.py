@@ -27,7 +27,8 @@ def stars(links: DataFrame) -> DataFrame:
         before = tuple(now)
         both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        up = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        # merge joins: a broadcast each round would pile up tables in the driver
+        up = both.join(least.hint("merge"), "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         up = up.where("a <> b").distinct()
         down = up.groupBy("a").agg(F.min("b").alias("m"))
-        links = cut(up.join(down, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(down.select("a", F.col("m").alias("b"))).distinct())
+        links = cut(up.join(down.hint("merge"), "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(down.select("a", F.col("m").alias("b"))).distinct())

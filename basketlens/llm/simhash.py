@@ -29,12 +29,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from basketlens.llm.components import stars
-from basketlens.llm.runtime import binary_texts, cut, ready, renamed, text_key, text_keys
+from basketlens.llm.runtime import binary_texts, cut, ready, renamed, text_key, text_keys, trimmed
 
 SEED = 42
 BITS = 64
 FAN = 4
-PAIRS = 1 << 19
+#: Pairs of nodes whose members are compared at once.
+PARENTS = 1 << 15
 
 
 def fingerprint(text: bytes, width: int) -> int:
@@ -58,6 +59,7 @@ def fingerprints(docs: DataFrame, width: int = 4, key: str = "doc_id", text: str
     """key and fp (the fingerprint's bits as a signed long) of every row."""
     ready(docs.sparkSession)
 
+    @trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fp = np.array([fingerprint(t, width) for t in binary_texts(batch.column(1))], np.uint64)
@@ -137,9 +139,12 @@ class GrayIndex:
         ends = [np.append(first[1:], n) for first, *_ in self.levels]
         top = len(self.levels) - 1
         roots = np.arange(self.levels[top][0].size)
-        todo = [(top, roots[k : k + PAIRS], roots[k : k + PAIRS]) for k in range(0, roots.size, PAIRS)]
-        while todo:
+        todo = [(top, roots, roots)]
+        while todo:  # depth first, PARENTS pairs at a time, so that what waits stays small
             level, a, b = todo.pop()
+            if a.size > PARENTS:
+                todo.append((level, a[PARENTS:], b[PARENTS:]))
+                a, b = a[:PARENTS], b[:PARENTS]
             first, pattern, mask, children = self.levels[level]
             # groups that are one set already
             low = np.minimum.reduceat(sets.root, first)
@@ -161,15 +166,13 @@ class GrayIndex:
                 a, b = a[~sure], b[~sure]
             if not a.size or not level:
                 continue
-            for k in range(0, a.size, PAIRS // FAN**2):
-                x, y = a[k : k + PAIRS // FAN**2], b[k : k + PAIRS // FAN**2]
-                i = children[x][:, None, None] + np.arange(FAN)[:, None]
-                j = children[y][:, None, None] + np.arange(FAN)[None, :]
-                i, j = np.broadcast_arrays(i, j)
-                real = (i < children[x + 1][:, None, None]) & (j < children[y + 1][:, None, None]) & ((x != y)[:, None, None] | (i <= j))
-                if level == 1:
-                    real &= i != j
-                todo.append((level - 1, i[real], j[real]))
+            i = children[a][:, None, None] + np.arange(FAN)[:, None]
+            j = children[b][:, None, None] + np.arange(FAN)[None, :]
+            i, j = np.broadcast_arrays(i, j)
+            real = (i < children[a + 1][:, None, None]) & (j < children[b + 1][:, None, None]) & ((a != b)[:, None, None] | (i <= j))
+            if level == 1:
+                real &= i != j
+            todo.append((level - 1, i[real], j[real]))
         return sets
 
 
@@ -205,6 +208,7 @@ def links(fps: DataFrame, most: int, crowd: int = 20_000) -> DataFrame:
 
 
 def _joiner(most: int, lot: int = 200_000):
+    @trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def done(mask: np.ndarray, bucket: np.ndarray, fp: np.ndarray) -> pa.RecordBatch:
             new = (mask[1:] != mask[:-1]) | (bucket[1:] != bucket[:-1])
@@ -270,14 +274,15 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", width: in
     Rows with the same text are one document, of which the row with the least key stays. Candidates
     are groups of fingerprints of the distinct words, within ``most`` bits: these move less under
     edits than those of shingles do. In a group, the text nearest to the bitwise majority leads. Texts
-    whose shingles of ``width`` words are as similar to the leader's as asked go; the others are
-    grouped anew without the leader, until a round removes none. Keys are integers; a null key comes
+    whose shingles of ``width`` words are as similar to the leader's as asked go; the others of the
+    group find a new leader among them, until a round removes none. Keys are integers; a null key comes
     before all others. Repeated rows (key and text) count as one.
     """
     ready(docs.sparkSession)
     plain, names, column = renamed(docs, text)
     keyed = text_keys(plain.withColumn("a", F.coalesce(F.col(names[key]).cast("bigint"), F.lit(-(1 << 63)))), column)
 
+    @trimmed
     def fingers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = binary_texts(batch.column(1))
@@ -288,16 +293,13 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", width: in
     rows = keyed.select("a", column).mapInArrow(fingers, "a bigint, k1 bigint, k2 bigint, fp bigint")
     texts = cut(rows.groupBy("k1", "k2").agg(F.min("a").alias("a"), F.first("fp").alias("fp"), F.count("*").alias("n")))
 
-    def groups(of: DataFrame) -> DataFrame:
-        """of (a, k1, k2, fp) with root, where others have the root, too."""
-        distinct = cut(of.select("fp").distinct())
-        star = stars(links(distinct, most, crowd))
-        rooted = of.join(star, of["fp"] == star["node"], "left").withColumn("root", F.coalesce("root", "fp")).drop("node")
-        many = rooted.groupBy("root").agg(F.count("*").alias("m")).where("m > 1").select("root")
-        return rooted.join(many, "root")
-
-    grouped = cut(groups(texts.drop("n")))
+    distinct = cut(texts.select("fp").distinct())
+    star = stars(links(distinct, most, crowd))
+    rooted = texts.drop("n").join(star.hint("merge"), texts["fp"] == star["node"], "left").withColumn("root", F.coalesce("root", "fp")).drop("node")
+    many = rooted.groupBy("root").agg(F.count("*").alias("m")).where("m > 1").select("root")
+    grouped = cut(rooted.join(many.hint("merge"), "root"))
 
+    @trimmed
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [shingles(t, width).tobytes() for t in binary_texts(batch.column(5))]
@@ -310,6 +312,7 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", width: in
     bits = [F.sum(F.shiftrightunsigned("fp", i).bitwiseAND(1)).alias(f"b{i}") for i in range(BITS)]
     centre = F.expr(" | ".join(f"case when 2 * b{i} > m then shiftleft(1L, {i}) else 0L end" for i in range(BITS)))
 
+    @trimmed
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             pairs = zip(*(batch.column(x).to_pylist() for x in ("grams", "lead")))
@@ -318,18 +321,18 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", width: in
 
     while True:
         centres = undecided.groupBy("root").agg(F.count("*").alias("m"), *bits).select("root", centre.alias("centre"))
-        near = undecided.join(centres, "root").select("root", F.struct(F.bit_count(F.col("fp").bitwiseXOR(F.col("centre"))).alias("d"), *of_row).alias("place"))
+        near = undecided.join(centres.hint("merge"), "root").select("root", F.struct(F.bit_count(F.col("fp").bitwiseXOR(F.col("centre"))).alias("d"), *of_row).alias("place"))
         leaders = near.groupBy("root").agg(F.min("place").alias("place")).select("root", *[F.col(f"place.{x}").alias(x) for x in of_row])
-        lead = undecided.join(leaders, ["root", *of_row]).select("root", F.col("grams").alias("lead"), F.col("a").alias("la"), F.col("k1").alias("l1"), F.col("k2").alias("l2"))
-        others = undecided.join(lead, "root").where("not (a = la and k1 = l1 and k2 = l2)")
+        lead = undecided.join(leaders.hint("merge"), ["root", *of_row]).select("root", F.col("grams").alias("lead"), F.col("a").alias("la"), F.col("k1").alias("l1"), F.col("k2").alias("l2"))
+        others = undecided.join(lead.hint("merge"), "root").where("not (a = la and k1 = l1 and k2 = l2)")
         judged = cut(others.select(*of_row, "grams", "lead").mapInArrow(compare, "a bigint, k1 bigint, k2 bigint, close boolean"))
         went = judged.where("close").select(*of_row)
         if not went.limit(1).count():
             break
         gone = went if gone is None else gone.unionByName(went)
-        rest = undecided.join(judged.where("not close").select(*of_row), of_row)
-        again = groups(rest.select(*of_row, "fp")).select("root", *of_row)
-        undecided = cut(rest.drop("root").join(again, of_row).select("root", *of_row, "fp", "grams"))
+        rest = undecided.join(judged.where("not close").select(*of_row).hint("merge"), of_row)
+        many = rest.groupBy("root").agg(F.count("*").alias("m")).where("m > 1").select("root")
+        undecided = cut(rest.join(many.hint("merge"), "root").select("root", *of_row, "fp", "grams"))
     kept = texts.select(*of_row) if gone is None else texts.select(*of_row).join(gone, of_row, "left_anti")
     left = keyed.join(kept, of_row)
     repeats = texts.agg(F.coalesce(F.sum("n"), F.lit(0)) - F.count("*")).first()[0]
