@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from basketlens.llm.runtime import binary_texts, ready
+from basketlens.llm.runtime import binary_texts, ready, trimmed
 
 BLOCK_WORDS = 2_000_000
 #: Seeds longer than this are not looked for; a whole item may be longer.
@@ -168,6 +168,7 @@ def blocks(docs: DataFrame, items: DataFrame, text: str, item_key: str, item_tex
         got = rows.select(F.col(item_key).alias("k"), F.col(item_text).alias("t")).where("t is not null").orderBy("k", "t").collect()
         block = Items([r["k"] for r in got], [r["t"].encode() for r in got])
 
+        @trimmed
         def count(batches: Iterator[pa.RecordBatch], block: Items = block) -> Iterator[pa.RecordBatch]:
             total, n = np.zeros(len(block.number) + 1, np.int64), 0
             for batch in batches:
@@ -195,6 +196,7 @@ def find(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "te
     found = None
     for block in blocks(docs, items, text, item_key, item_text, rare):
 
+        @trimmed
         def run(batches: Iterator[pa.RecordBatch], block: Items = block) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 texts = binary_texts(batch.column(1))
@@ -218,6 +220,7 @@ def drop(docs: DataFrame, items: DataFrame, text: str = "text", item_key: str =
     left = docs
     for block in blocks(docs, items, text, item_key, item_text, rare):
 
+        @trimmed
         def run(batches: Iterator[pa.RecordBatch], block: Items = block) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 keep, texts = np.ones(batch.num_rows, bool), binary_texts(batch.column(place))

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from basketlens.llm.phrases import merged, phrases
 from basketlens.llm.prefix_free import _runs, in_lots
-from basketlens.llm.runtime import binary_texts, cut, ready
+from basketlens.llm.runtime import binary_texts, cut, ready, trimmed
 
 GRAM = 8
 #: Words of stretches in one index.
@@ -41,6 +41,7 @@ LOT = 200_000
 def parsed(docs: DataFrame, length: int) -> DataFrame:
     """docs: doc, text. One row per phrase: s1, s2 (hash of its stretch), anchor, doc, t (hash of the text), first, last."""
 
+    @trimmed
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["s1", "s2", "anchor", "doc", "t", "first", "last"]
         types = [pa.int64()] * 5 + [pa.int32()] * 2
@@ -185,6 +186,7 @@ def repeated(docs: DataFrame, length: int = 50, crowd: int = 20_000) -> DataFram
     open_ = settled.where("m > 0").select("anchor", "m", "doc", "t", F.shiftrightunsigned("span", 32).cast("int").alias("first"), F.col("span").bitwiseAND(0xFFFFFFFF).cast("int").alias("last"))
     wanted = open_.groupBy("doc", "t").agg(F.collect_list(F.struct("anchor", "m", "first", "last")).alias("open"))
 
+    @trimmed
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set = set()
         for batch in batches:
@@ -214,6 +216,7 @@ def repeated(docs: DataFrame, length: int = 50, crowd: int = 20_000) -> DataFram
     few = stretches.where(F.col("m") <= crowd).repartition("anchor").sortWithinPartitions("anchor")
     few = few.mapInArrow(in_lots("anchor", lambda r: len(r["stretch"]) // 6, search, ["doc", "t", "span"], [pa.int64()] * 3, LOT), "doc bigint, t bigint, span bigint")
 
+    @trimmed
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for r in batch.to_pylist():
@@ -238,6 +241,7 @@ def strip(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int
     plain = docs.select(F.col(key).cast("bigint").alias("doc"), F.col(text).alias("text"))
     spans = repeated(plain, length, crowd)
 
+    @trimmed
     def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n, runs, kept = [], [], []

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from basketlens.llm.runtime import ready
+from basketlens.llm.runtime import ready, trimmed
 
 ORDERS = 3
 CHUNK = 1 << 19
@@ -70,6 +70,7 @@ def learn(docs: DataFrame, train: Column, text: str = "text", lang: str = "lang"
     langs = sorted(shares)
     bits = 16 - max(0, (len(langs) - 1).bit_length() - 6) if langs else 16
 
+    @trimmed
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
         for batch in batches:
@@ -100,6 +101,7 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray, int], key: str
     held = docs.sparkSession.sparkContext.broadcast(table)
     kind = docs.schema[key].dataType.simpleString()
 
+    @trimmed
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         logp = held.value
         for batch in batches:

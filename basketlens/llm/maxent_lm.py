@@ -32,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from basketlens.llm.runtime import binary_texts, cut, ready
+from basketlens.llm.runtime import binary_texts, cut, ready, release, trimmed
 
 CLASSES = 49
 ROWS = 2048
@@ -157,6 +157,7 @@ def train(docs: DataFrame, text: str = "text", rounds: int = 1) -> np.ndarray:
     for _ in range(rounds):
         held = docs.sparkSession.sparkContext.broadcast(weights)
 
+        @trimmed
         def learn(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
             learner, lot, weight = Learner(held.value), [], 0
             for batch in batches:
@@ -177,6 +178,7 @@ def train(docs: DataFrame, text: str = "text", rounds: int = 1) -> np.ndarray:
             total = sum(np.frombuffer(x, np.float64) for x in table["total"].to_pylist())
             seen = sum(np.frombuffer(x, np.int64) for x in table["seen"].to_pylist())
             out = [table["part"][0].as_py()], [table["branch"][0].as_py()], [total.tobytes()], [seen.tobytes()]
+            release()
             return pa.Table.from_arrays([pa.array(x, t) for x, t in zip(out, types)], names=names)
 
         sums = rows.mapInArrow(learn, schema).groupBy("part", "branch").applyInArrow(add, schema).groupBy("part").applyInArrow(add, schema).collect()
@@ -214,11 +216,13 @@ def shared_counts(blocked: DataFrame) -> DataFrame:
     def count(table: pa.Table) -> pa.Table:
         counts = block_counts(table)
         out = [[table["block"][0].as_py()] * len(counts), list(counts), list(counts.values())]
+        release()
         return pa.Table.from_arrays([pa.array(x, t) for x, t in zip(out, (pa.int32(), pa.binary(), pa.int64()))], names=["block", "word", "own"])
 
     own = blocked.select("block", "train", "text").groupBy("block").applyInArrow(count, "block int, word binary, own bigint")
     summed = own.selectExpr("*", "sum(own) over (partition by word) as n", "min(block) over (partition by word) as lead")
 
+    @trimmed
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["block", "word", "cls", "n", "distinct"]
         tokens, distinct = np.zeros(CLASSES, np.int64), np.zeros(CLASSES, np.int64)
@@ -285,6 +289,7 @@ def score(docs: DataFrame, train_rows: Column, key: str = "doc_id", text: str =
                 out.append((c.size, int((c > 0).sum()), n_all, seen - c.size * math.log10(n_all + v_all + 1), seen + float(logs[begin : end + 1].sum())))
                 begin = end + 1
             lot, weight = [], 0
+        release()
         columns = list(zip(*out)) or [[]] * 5
         kinds = [pa.int64()] * 3 + [pa.float64()] * 2
         return pa.Table.from_arrays([table["key"].combine_chunks(), table["train"].combine_chunks(), *(pa.array(list(x), k) for x, k in zip(columns, kinds))], names=["key", "train", "n_tokens", "n_known", "train_tokens", "base_score", "score"])

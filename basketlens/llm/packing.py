@@ -25,10 +25,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from basketlens.llm.runtime import cut, ready
+from basketlens.llm.runtime import cut, ready, trimmed
 
 #: Words whose ids a Python worker keeps at most; others are encoded each time they are met.
-CACHED_WORDS = 1_000_000
+CACHED_WORDS = 500_000
 STOPS = ".,!?;:"
 _encoders: dict[str, WordEncoder] = {}
 
@@ -105,6 +105,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int =
     kind = docs.schema[key].dataType.simpleString()
     schema = f"`{key}` {kind}, piece int, start bigint, length bigint, ids_crc32 bigint, task int, rank bigint" + ", ids array<int>" * with_ids
 
+    @trimmed
     def cut_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, task, ranks = encoder(tokenizer).ids, TaskContext.get().partitionId(), {}
         end, step = np.array([end_id], "<u4").tobytes(), 4 * capacity
@@ -216,6 +217,7 @@ def place(cut_pieces: DataFrame, capacity: int = 2048) -> DataFrame:
     fields = {f.name: f.dataType.simpleString() for f in cut_pieces.schema if f.name not in ("task", "rank")}
     schema = ", ".join(f"`{k}` {v}" for k, v in fields.items()) + ", sequence_id bigint, offset bigint"
 
+    @trimmed
     def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             length, rank, more = (batch.column(x).to_numpy(zero_copy_only=False) for x in ("length", "rank", "earlier"))

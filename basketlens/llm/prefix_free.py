@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from basketlens.llm.phrases import merged, phrases
-from basketlens.llm.runtime import binary_texts, cut, ready, renamed, text_key, text_keys
+from basketlens.llm.runtime import binary_texts, cut, ready, renamed, text_key, text_keys, trimmed
 
 GRAM = 32
 #: Bytes of stretches that are put in order at once.
@@ -38,6 +38,7 @@ LOT = 400_000
 def parsed(docs: DataFrame, text: str, length: int) -> DataFrame:
     """One row per phrase: s1, s2 (hash of its stretch), anchor, k1, k2 (key of its text), first, last."""
 
+    @trimmed
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["s1", "s2", "anchor", "k1", "k2", "first", "last"]
         types = [pa.int64()] * 5 + [pa.int32()] * 2
@@ -177,6 +178,7 @@ def _runs(starts: np.ndarray) -> Iterator[tuple[int, int]]:
 def in_lots(order_of: str, size: Callable[[dict], int], work: Callable[[list[dict]], list[tuple]], names: list[str], types: list, most: int) -> Callable:
     """A mapInArrow function over rows sorted by a column: ``work`` gets lots of whole groups of about ``most``."""
 
+    @trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lot, weight = [], 0
 
@@ -215,6 +217,7 @@ def repeated(docs: DataFrame, text: str = "text", length: int = 200, crowd: int
     # the bytes of the stretches that are still open
     wanted = open_.groupBy("k1", "k2").agg(F.collect_list(F.struct("anchor", "m", "n", "first", "last")).alias("open"))
 
+    @trimmed
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set = set()
         for batch in batches:
@@ -243,6 +246,7 @@ def repeated(docs: DataFrame, text: str = "text", length: int = 200, crowd: int
     few = stretches.where(F.col("m") <= crowd)
     few = few.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(in_lots("anchor", lambda r: len(r["stretch"]), order, ["k1", "k2", "span"], kinds, LOT), "k1 bigint, k2 bigint, span bigint")
 
+    @trimmed
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for r in batch.to_pylist():
@@ -272,6 +276,7 @@ def strip(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int
 def _stripped(docs: DataFrame, spans: DataFrame, length: int) -> DataFrame:
     kind = docs.schema["key"].dataType.simpleString()
 
+    @trimmed
     def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n, runs, kept = [], [], []
@@ -297,6 +302,7 @@ def clean(docs: DataFrame, text: str = "text", length: int = 200, crowd: int = 2
     spans = repeated(plain.select(column), column, length, crowd)
     place = plain.columns.index(column)
 
+    @trimmed
     def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts, keep = batch.column(place).to_pylist(), np.ones(batch.num_rows, bool)

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from basketlens.llm.quality_rules import STOP_WORDS
-from basketlens.llm.runtime import binary_texts, ready
+from basketlens.llm.runtime import binary_texts, ready, trimmed
 
 CUT = 0.7
 FEATURES = (
@@ -99,6 +99,7 @@ class Ranker:
 def _mapped(docs: DataFrame, key: str, text: str, schema: str, make) -> DataFrame:
     ready(docs.sparkSession)
 
+    @trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x = np.array([features(t) for t in binary_texts(batch.column(1))]).reshape(-1, len(FEATURES))

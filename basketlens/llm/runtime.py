@@ -2,39 +2,37 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
 import hashlib
-import os
 import struct
 import tempfile
 import uuid
-import zipfile
-from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_PACKAGE = Path(__file__).resolve().parents[1]
+from basketlens.session import ship
+
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-_shipped: set[str] = set()
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+BATCH_BYTES = 4_000_000
 
 
 def ready(spark: SparkSession) -> None:
-    """Sends this package to the executors once per application and sees to a checkpoint folder.
+    """Sends this package to the executors, sees to a checkpoint folder, and bounds Arrow batches.
 
     The folder is the one that spark.checkpoint.dir names. Only where that is unset, as in tests
-    on one machine, a folder of our own is set.
+    on one machine, a folder of our own is set. Batches are bounded by rows as Spark comes, which
+    lets ten thousand long texts into one; a bound in bytes is set unless the session has one.
     """
     context = spark.sparkContext
     if not context.getConf().get("spark.checkpoint.dir") and context.getCheckpointDir() is None:
         context.setCheckpointDir(tempfile.mkdtemp(prefix="basketlens-checkpoint-"))
-    if context.applicationId not in _shipped:
-        _shipped.add(context.applicationId)
-        archive = os.path.join(os.path.realpath(tempfile.mkdtemp()), "basketlens_pkg.zip")
-        with zipfile.ZipFile(archive, "w") as z:
-            for p in sorted(_PACKAGE.rglob("*.py")):
-                z.write(p, p.relative_to(_PACKAGE.parent))
-        context.addPyFile(archive)
+    if spark.conf.get(_BATCH, None) is None:
+        spark.conf.set(_BATCH, str(BATCH_BYTES))
+    ship(spark)
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -64,6 +62,28 @@ def fresh(prefix: str) -> str:
     return f"__{prefix}_{uuid.uuid4().hex[:8]}"
 
 
+def release() -> None:
+    """Gives memory that Python holds but does not use back to the machine."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not the GNU C library
+        pass
+
+
+def trimmed(f):
+    """For functions on batches: a worker is kept for later tasks, but not the memory of this one."""
+
+    @functools.wraps(f)
+    def run(batches):
+        try:
+            yield from f(batches)
+        finally:
+            release()
+
+    return run
+
+
 def binary_texts(column: pa.Array) -> list[bytes]:
     """UTF-8 bytes of each text; null gives empty bytes."""
     return [x or b"" for x in column.cast(pa.large_binary()).to_pylist()]
