@@ -1,4 +1,5 @@
 import datetime
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -216,3 +217,13 @@ def test_vocabulary_problems_in_one_report(spark):
     lists = (frame([("x", "ING_0001"), ("x", "ING_0002"), ("y", "ING_9999"), ("e", "ING_0003")], "key string, canonical_id string"), ok[1].limit(1), ok[2], frame([("A", "B"), ("B", "A"), ("C", "C")], "a string, b string"))
     got = {(r["list"], r["rule"]) for r in vocabulary.problems(bad, *lists).collect()}
     assert len(got) == 11 and ("entries", "others within their ceiling") not in got
+
+
+def test_similar_sets_against_brute_force(spark):
+    r = random.Random(4)
+    sets = {i: frozenset(r.sample(range(12), r.randint(1, 7))) for i in range(60)}
+    df = spark.createDataFrame([(i, x) for i, s in sets.items() for x in s], "key int, item int")
+    for least in (0.3, 0.5, 0.8):
+        expected = {(a, b) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= least}
+        got = {(x["a"], x["b"]) for x in similarity.similar_sets(df, least, strict=False).collect()}
+        assert got == expected
