@@ -27,6 +27,7 @@ _ANCHORED = rf"(?:(?<![ก-๎])|(?<=คุณ)){_HON}(?![{COMBINING}])"
 _SEP = _GAP[:-1] + r"\-]?"
 _PHONE = rf"(?<!{_D})0{_D}{{1,2}}{_SEP}{_D}{{3,4}}{_SEP}{_D}{{4}}(?!{_D})"
 
+# The redaction and leak patterns.
 #: (class, pattern), applied in this order on the running text; a first group is a label and stays.
 PATTERNS = tuple(
     (c, re.compile(p))
