@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from basketlens.llm.phrases import merged, phrases
 from basketlens.llm.prefix_free import _runs, in_lots
-from basketlens.llm.runtime import binary_texts, cut, ready, trimmed
+from basketlens.llm.runtime import binary_texts, cut, dealt_anew, ready, trimmed
 
 GRAM = 8
 #: Words of stretches in one index.
@@ -175,13 +175,17 @@ def repeated(docs: DataFrame, length: int = 50, crowd: int = 20_000) -> DataFram
     """doc, t and spans: array of (first << 32 | last) of window starts to remove; documents without any are absent. docs: doc, text."""
     ready(docs.sparkSession)
     rows = parsed(docs, length)
-    filed = rows.groupBy("s1", "s2").agg(F.min("doc").alias("least"), F.first("anchor").alias("anchor"))
+    filed = rows.groupBy("s1", "s2").agg(F.min("doc").alias("least"), F.max("doc").alias("most"), F.first("anchor").alias("anchor"))
     # all uses read the same columns of rows and filed, so that Spark makes each once
-    known = rows.drop("anchor").join(filed, ["s1", "s2"])
+    read = F.coalesce("anchor", "most", "least").isNotNull()
     span = F.expr("shiftleft(cast(first as bigint), 32) + last").alias("span")
-    above = known.where("doc > least").select("doc", "t", span, "anchor", F.lit(0).cast("bigint").alias("m"))
-    shared = filed.groupBy("anchor").agg(F.count("*").alias("m"), F.min("least").alias("lo"), F.max("least").alias("hi")).where("lo < hi").select("anchor", "m")
-    settled = cut(above.unionByName(known.where("doc <= least").join(shared, "anchor").select("doc", "t", span, "anchor", "m")))
+    several = dealt_anew(filed.where(read & (F.col("most") > F.col("least"))).select("s1", "s2", "least"), "s1", "s2")
+    above = rows.drop("anchor").join(several, ["s1", "s2"]).where("doc > least").select("doc", "t", span, F.lit(None).cast("bigint").alias("anchor"), F.lit(0).cast("bigint").alias("m"))
+    shared = filed.groupBy("anchor").agg(F.count("*").alias("m"), F.min("least").alias("lo"), F.max("least").alias("hi"), F.max("most").alias("read"))
+    shared = shared.where("lo < hi and read is not null").select("anchor", "m")
+    wanted = filed.where(read).join(shared, "anchor").select("s1", "s2", "least", "anchor", "m")
+    found = rows.drop("anchor").join(wanted, ["s1", "s2"]).where("doc <= least").select("doc", "t", span, "anchor", "m")
+    settled = cut(above.unionByName(found))
     whole = settled.where("m = 0").select("doc", "t", "span")
     open_ = settled.where("m > 0").select("anchor", "m", "doc", "t", F.shiftrightunsigned("span", 32).cast("int").alias("first"), F.col("span").bitwiseAND(0xFFFFFFFF).cast("int").alias("last"))
     wanted = open_.groupBy("doc", "t").agg(F.collect_list(F.struct("anchor", "m", "first", "last")).alias("open"))

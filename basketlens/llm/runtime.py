@@ -57,6 +57,15 @@ def cut(df: DataFrame) -> DataFrame:
         spark.conf.set(_CLEANUP, before)
 
 
+def dealt_anew(df: DataFrame, *columns: str) -> DataFrame:
+    """df whose columns no longer count as the keys it is partitioned by: each is inverted twice.
+
+    A join on them then shuffles this side, too, and only such joins does adaptive execution split
+    where the other side has very many rows of one key. For sides that are small.
+    """
+    return df.withColumns({c: F.bitwise_not(F.bitwise_not(F.col(c))) for c in columns})
+
+
 def fresh(prefix: str) -> str:
     """A column name that no input column has."""
     return f"__{prefix}_{uuid.uuid4().hex[:8]}"
