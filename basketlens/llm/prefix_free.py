@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from basketlens.llm.phrases import merged, phrases
-from basketlens.llm.runtime import binary_texts, cut, ready, renamed, text_key, text_keys, trimmed
+from basketlens.llm.runtime import binary_texts, cut, dealt_anew, ready, renamed, text_key, text_keys, trimmed
 
 GRAM = 32
 #: Bytes of stretches that are put in order at once.
@@ -209,7 +209,8 @@ def repeated(docs: DataFrame, text: str = "text", length: int = 200, crowd: int
     read = F.coalesce(*known).isNotNull()
     shared = counts.groupBy("anchor").agg(F.count("*").alias("m"), F.min("n").alias("least"), F.min(F.coalesce(*known)).alias("read")).where("m > 1 and least = 1 and read is not null").select("anchor", "m")
     span = F.expr("shiftleft(cast(first as bigint), 32) + last").alias("span")
-    same = rows.drop("anchor").join(counts.where(read & (F.col("n") > 1)), ["s1", "s2"]).select("k1", "k2", span, F.lit(None).cast("bigint").alias("anchor"), F.lit(0).cast("bigint").alias("m"), "n")
+    twice = dealt_anew(counts.where(read & (F.col("n") > 1)).select("s1", "s2", "n"), "s1", "s2")
+    same = rows.drop("anchor").join(twice, ["s1", "s2"]).select("k1", "k2", span, F.lit(None).cast("bigint").alias("anchor"), F.lit(0).cast("bigint").alias("m"), "n")
     shares = counts.join(shared, "anchor").select(F.col("r1").alias("k1"), F.col("r2").alias("k2"), F.expr("shiftleft(cast(rf as bigint), 32) + rl").alias("span"), "anchor", "m", "n")
     settled = cut(same.unionByName(shares))
     open_ = settled.where("m > 0").select("anchor", "m", "n", "k1", "k2", F.shiftrightunsigned("span", 32).cast("int").alias("first"), F.col("span").bitwiseAND(0xFFFFFFFF).cast("int").alias("last"))
