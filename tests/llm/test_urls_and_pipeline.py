@@ -1,3 +1,6 @@
+import pytest
+from oracle import same
+
 import corpus_pipeline
 from basketlens.llm import queries, url_reputation
 
@@ -54,3 +57,9 @@ def test_pipeline_on_edges(spark, rows, tmp_path):
     spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint").write.parquet(f"{folder}/documents.parquet")
     spark.createDataFrame([], "item_id bigint, text string").write.parquet(f"{folder}/benchmark.parquet")
     assert {1, 7, 10} <= {r["doc_id"] for r in corpus_pipeline.run(spark, folder).collect()}
+
+
+@pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
+def test_query_equals_its_sql(spark, name):
+    sf = "/root/testdata/sf0.01"
+    same(queries.QUERIES[name](spark, sf), sf, queries.ORACLE_SQL[name])
