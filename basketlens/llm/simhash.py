@@ -19,6 +19,7 @@ zero and is linked like any other. Repeated rows share a fingerprint.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import repeat
 
@@ -36,6 +37,10 @@ BITS = 64
 FAN = 4
 #: Pairs of nodes whose members are compared at once.
 PARENTS = 1 << 15
+#: Cells in which shingles are counted, to tell rare from common ones; any count gives the same result.
+CELLS = 1 << 20
+_CELL_PART = 1 << 12
+_CELL_SHIFT = np.uint64(44)
 
 
 def fingerprint(text: bytes, width: int) -> int:
@@ -257,26 +262,146 @@ def near_groups(prints: DataFrame, most: int = 4, key: str = "doc_id", crowd: in
 
 
 def shingles(text: bytes, width: int) -> np.ndarray:
-    """Sorted 32-bit hashes of the distinct word shingles of the lower-cased (A-Z) text; of fewer words, one of all."""
+    """Sorted 64-bit hashes of the distinct word shingles of the lower-cased (A-Z) text; of fewer words, one of all; of none, 0."""
     words = text.lower().split()
-    grams = map(b" ".join, zip(*(words[i:] for i in range(width)))) if len(words) > width else [b" ".join(words)] * bool(words)
-    return np.unique(np.fromiter((xxhash.xxh32_intdigest(g) for g in grams), np.uint32))
+    if not words:
+        return np.zeros(1, np.uint64)
+    h = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
+    n = max(1, h.size - width + 1)
+    out = np.zeros(n, np.uint64)
+    for k in range(min(width, h.size)):
+        out = (out ^ h[k : k + n]) * np.uint64(0x9E3779B97F4A7C15)
+        out ^= out >> np.uint64(29)
+    return np.unique(out)
 
 
 def similarity(a: np.ndarray, b: np.ndarray) -> float:
     both = np.intersect1d(a, b, assume_unique=True).size
-    return both / (a.size + b.size - both) if a.size or b.size else 1.0
+    return both / (a.size + b.size - both)
+
+
+def _cells(docs: DataFrame, column: str, width: int) -> np.ndarray:
+    """How many shingles of all rows fall into each of CELLS cells by hash: as a cell's count, so rare or common."""
+
+    @trimmed
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(CELLS, np.int64)
+        for batch in batches:
+            for t in binary_texts(batch.column(0)):
+                np.add.at(total, (shingles(t, width) >> _CELL_SHIFT).astype(np.int64), 1)
+        parts = total.reshape(-1, _CELL_PART)
+        yield pa.RecordBatch.from_arrays([pa.array(range(len(parts)), pa.int32()), pa.array([x.tobytes() for x in parts], pa.binary())], names=["part", "n"])
+
+    def add(table: pa.Table) -> pa.Table:
+        total = sum(np.frombuffer(x, np.int64) for x in table["n"].to_pylist())
+        return pa.table({"part": table["part"][:1].cast(pa.int32()), "n": pa.array([total.tobytes()], pa.binary())})
+
+    cells = np.zeros((CELLS // _CELL_PART, _CELL_PART), np.int64)
+    for part, n in docs.select(column).mapInArrow(count, "part int, n binary").groupBy("part").applyInArrow(add, "part int, n binary").collect():
+        cells[part] = np.frombuffer(n, np.int64)
+    return cells.reshape(-1)
+
+
+def prefix(grams: np.ndarray, cells: np.ndarray, least: float) -> np.ndarray:
+    """The first shingles in the common order, rare cells first: two sets with Jaccard ``least`` share one of these."""
+    ordered = grams[np.lexsort((grams, cells[(grams >> _CELL_SHIFT).astype(np.int64)]))]
+    return ordered[: grams.size - math.ceil(least * grams.size - 1e-9) + 1]
+
+
+def _can(size: np.ndarray, at: np.ndarray, i: np.ndarray, j: np.ndarray, least: float) -> np.ndarray:
+    """Whether rows i and j, whose first common shingle stands at these places, can have so many in common."""
+    return np.minimum(size[i] - at[i], size[j] - at[j]) >= np.ceil(least / (1 + least) * (size[i] + size[j]) - 1e-6)
+
+
+def _buckets(judge, names: list[str], lot: int = 200_000):
+    """A function on batches that are sorted by h: judge(columns by name) gets whole buckets, about ``lot`` rows at a time."""
+
+    @trimmed
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[list[np.ndarray]] = []
+        rows = 0
+        for batch in batches:
+            held.append([batch.column(x).to_numpy(zero_copy_only=False) for x in names])
+            rows += batch.num_rows
+            if rows < lot:
+                continue
+            columns = [np.concatenate(x) for x in zip(*held)]
+            border = np.flatnonzero(columns[0][1:] != columns[0][:-1])
+            held = [columns]
+            if border.size:
+                k = int(border[-1]) + 1
+                yield judge(dict(zip(names, (x[:k] for x in columns))))
+                held = [[x[k:] for x in columns]]
+                rows -= k
+        if rows:
+            yield judge(dict(zip(names, (np.concatenate(x) for x in zip(*held)))))
+
+    return run
+
+
+def _ranks(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each row's place in its bucket, and the bucket's size."""
+    first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
+    sizes = np.diff(np.append(first, h.size))
+    return np.arange(h.size) - np.repeat(first, sizes), np.repeat(sizes, sizes)
+
+
+def _paired(least: float, near: int = 64):
+    """Rows (h, id, size, at) that can be similar to another of their bucket; of buckets over ``near`` rows, all."""
+
+    def judge(x: dict[str, np.ndarray]) -> pa.RecordBatch:
+        new = np.concatenate([[True], (x["h"][1:] != x["h"][:-1]) | (x["id"][1:] != x["id"][:-1])])
+        x = {k: v[new] for k, v in x.items()}  # copies of a text are one
+        place, sizes = _ranks(x["h"])
+        keep = sizes > near
+        some = np.flatnonzero((sizes > 1) & ~keep)
+        for step in range(1, near):
+            i = some[place[some] + step < sizes[some]]
+            if not i.size:
+                break
+            i = i[_can(x["size"], x["at"], i, i + step, least)]
+            keep[i] = keep[i + step] = True
+        return pa.RecordBatch.from_arrays([pa.array(v[keep]) for v in x.values()], names=list(x))
+
+    return _buckets(judge, ["h", "id", "size", "at"])
+
+
+def _pairs(least: float, leaders: int):
+    """u, v: the first ``leaders`` rows of each bucket with all behind them, where they can be similar; null, v: v has a bucket where it is behind these."""
+
+    def judge(x: dict[str, np.ndarray]) -> pa.RecordBatch:
+        place, sizes = _ranks(x["h"])
+        pairs = []
+        rows = np.flatnonzero(sizes > 1)
+        for k in range(leaders):
+            rows = rows[place[rows] > k]
+            if not rows.size:
+                break
+            lead = rows - place[rows] + k
+            can = _can(x["size"], x["at"], lead, rows, least)
+            pairs.append(np.column_stack([x["id"][lead[can]], x["id"][rows[can]]]))
+        got = np.unique(np.concatenate(pairs), axis=0) if pairs else np.zeros((0, 2), np.int64)
+        behind = np.unique(x["id"][place >= leaders])
+        u = pa.concat_arrays([pa.array(got[:, 0]), pa.nulls(behind.size, pa.int64())])
+        return pa.RecordBatch.from_arrays([u, pa.array(np.concatenate([got[:, 1], behind]))], names=["u", "v"])
+
+    return _buckets(judge, ["h", "id", "size", "at"])
 
 
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5, least: float = 0.8, most: int = 6, crowd: int = 20_000) -> DataFrame:
-    """docs less near copies: no row goes unless a row that stays has its text or Jaccard similarity ``least``.
-
-    Rows with the same text are one document, of which the row with the least key stays. Candidates
-    are groups of fingerprints of the distinct words, within ``most`` bits: these move less under
-    edits than those of shingles do. In a group, the text nearest to the bitwise majority leads. Texts
-    whose shingles of ``width`` words are as similar to the leader's as asked go; the others of the
-    group find a new leader among them, until a round removes none. Keys are integers; a null key comes
-    before all others. Repeated rows (key and text) count as one.
+    """docs less near copies: no two rows that stay have Jaccard similarity ``least``, and a row goes only if one that stays has its text or this similarity.
+
+    Rows with the same text are one document, of which the row with the least key stays. Similarity
+    is that of the sets of shingles of ``width`` words. Texts are put in an order: fingerprints of the
+    distinct words within ``most`` bits form groups, and texts near the bitwise majority of their group
+    come first. In this order a text stays unless an earlier one that stays is similar to it.
+
+    Candidates are exact among texts in groups: with shingles in a common order, rare ones first, similar texts share one of
+    the first few, at places that leave enough for the similarity. In a round, the first texts of each
+    such shingle's bucket are compared with all behind them. A text that is behind these in no bucket
+    and similar to none before it stays, those similar to it go, and rounds take more first texts until
+    all are decided. Keys are integers; a null key comes before all others. Repeated rows (key and
+    text) count as one.
     """
     ready(docs.sparkSession)
     plain, names, column = renamed(docs, text)
@@ -295,45 +420,59 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", width: in
 
     distinct = cut(texts.select("fp").distinct())
     star = stars(links(distinct, most, crowd))
-    rooted = texts.drop("n").join(star.hint("merge"), texts["fp"] == star["node"], "left").withColumn("root", F.coalesce("root", "fp")).drop("node")
-    many = rooted.groupBy("root").agg(F.count("*").alias("m")).where("m > 1").select("root")
-    grouped = cut(rooted.join(many.hint("merge"), "root"))
+    rooted = cut(texts.join(star.hint("merge"), texts["fp"] == star["node"], "left").select("k1", "fp", F.coalesce("root", "fp").alias("root")))
+    bits = [F.sum(F.shiftrightunsigned("fp", i).bitwiseAND(1)).alias(f"b{i}") for i in range(BITS)]
+    centre = F.expr(" | ".join(f"case when 2 * b{i} > m then shiftleft(1L, {i}) else 0L end" for i in range(BITS)))
+    centres = rooted.groupBy("root").agg(F.count("*").alias("m"), *bits).where("m > 1").select("root", centre.alias("centre"))
+    ranked = rooted.join(centres.hint("merge"), "root").select(F.col("k1").alias("id"), F.coalesce(F.bit_count(F.col("fp").bitwiseXOR(F.col("centre"))), F.lit(0)).alias("d"))
+
+    cells = docs.sparkSession.sparkContext.broadcast(_cells(keyed, column, width))
 
     @trimmed
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [shingles(t, width).tobytes() for t in binary_texts(batch.column(5))]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(found, pa.binary())], names=["root", "a", "k1", "k2", "fp", "grams"])
+            for k in range(0, batch.num_rows, 500):
+                part = batch.slice(k, 500)
+                sets = [shingles(t, width) for t in binary_texts(part.column(1))]
+                first = [prefix(x, cells.value, least) for x in sets]
+                n = [x.size for x in first]
+                at = np.concatenate([np.arange(x) for x in n])
+                own = np.repeat(part.column(0).to_numpy(), n), np.repeat([x.size for x in sets], n)
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(first).view(np.int64)), pa.array(own[0]), pa.array(own[1].astype(np.int32)), pa.array(at.astype(np.int32))], names=["h", "id", "size", "at"])
+
+    spec = "h bigint, id bigint, size int, at int"
+    paired = lambda df: df.repartition("h").sortWithinPartitions("h", "id").mapInArrow(_paired(least), spec)
+    live = cut(paired(keyed.select("k1", column).mapInArrow(postings, spec)).join(ranked.hint("merge"), "id").select("h", "id", "size", "at", "d"))
 
-    spec = "root bigint, a bigint, k1 bigint, k2 bigint, fp bigint, grams binary"
-    of_row = ["a", "k1", "k2"]
-    own = cut(keyed.select("a", "k1", "k2", column).join(grouped, of_row).select("root", *of_row, "fp", column).mapInArrow(sets, spec).dropDuplicates(of_row))
-    gone, undecided = None, own
-    bits = [F.sum(F.shiftrightunsigned("fp", i).bitwiseAND(1)).alias(f"b{i}") for i in range(BITS)]
-    centre = F.expr(" | ".join(f"case when 2 * b{i} > m then shiftleft(1L, {i}) else 0L end" for i in range(BITS)))
+    @trimmed
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [shingles(t, width).tobytes() for t in binary_texts(batch.column(1))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], names=["id", "grams"])
 
     @trimmed
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            pairs = zip(*(batch.column(x).to_pylist() for x in ("grams", "lead")))
-            close = [similarity(np.frombuffer(x, np.uint32), np.frombuffer(y, np.uint32)) >= least for x, y in pairs]
-            yield pa.RecordBatch.from_arrays([*(batch.column(x) for x in of_row), pa.array(close, pa.bool_())], names=[*of_row, "close"])
+            pairs = zip(*(batch.column(x).to_pylist() for x in ("ugrams", "vgrams")))
+            close = [similarity(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)) >= least for x, y in pairs]
+            yield pa.RecordBatch.from_arrays([batch.column("u"), batch.column("v")], names=["u", "v"]).filter(pa.array(close, pa.bool_()))
 
-    while True:
-        centres = undecided.groupBy("root").agg(F.count("*").alias("m"), *bits).select("root", centre.alias("centre"))
-        near = undecided.join(centres.hint("merge"), "root").select("root", F.struct(F.bit_count(F.col("fp").bitwiseXOR(F.col("centre"))).alias("d"), *of_row).alias("place"))
-        leaders = near.groupBy("root").agg(F.min("place").alias("place")).select("root", *[F.col(f"place.{x}").alias(x) for x in of_row])
-        lead = undecided.join(leaders.hint("merge"), ["root", *of_row]).select("root", F.col("grams").alias("lead"), F.col("a").alias("la"), F.col("k1").alias("l1"), F.col("k2").alias("l2"))
-        others = undecided.join(lead.hint("merge"), "root").where("not (a = la and k1 = l1 and k2 = l2)")
-        judged = cut(others.select(*of_row, "grams", "lead").mapInArrow(compare, "a bigint, k1 bigint, k2 bigint, close boolean"))
-        went = judged.where("close").select(*of_row)
-        if not went.limit(1).count():
-            break
-        gone = went if gone is None else gone.unionByName(went)
-        rest = undecided.join(judged.where("not close").select(*of_row).hint("merge"), of_row)
-        many = rest.groupBy("root").agg(F.count("*").alias("m")).where("m > 1").select("root")
-        undecided = cut(rest.join(many.hint("merge"), "root").select("root", *of_row, "fp", "grams"))
-    kept = texts.select(*of_row) if gone is None else texts.select(*of_row).join(gone, of_row, "left_anti")
+    of_row = ["a", "k1", "k2"]
+    alive = live.select("id").distinct().join(texts.select(*of_row).hint("merge"), F.col("id") == F.col("k1")).select(*of_row)
+    own = cut(keyed.select(*of_row, column).join(alive, of_row).dropDuplicates(of_row).select("k1", column).mapInArrow(sets, "id bigint, grams binary"))
+    of = lambda x: own.select(F.col("id").alias(x), F.col("grams").alias(f"{x}grams")).hint("merge")
+    gone, leaders = None, 1
+    while live.limit(1).count():
+        met = cut(live.repartition("h").sortWithinPartitions("h", "d", "id").select("h", "id", "size", "at").mapInArrow(_pairs(least, leaders), "u bigint, v bigint").distinct())
+        similar = cut(met.where("u is not null").join(of("u"), "u").join(of("v"), "v").mapInArrow(compare, "u bigint, v bigint"))
+        waits = met.where("u is null").select(F.col("v").alias("id")).unionByName(similar.select(F.col("v").alias("id"))).distinct()
+        stays = cut(live.select("id").distinct().join(waits.hint("merge"), "id", "left_anti"))
+        goes = cut(similar.join(stays.withColumnRenamed("id", "u").hint("merge"), "u").select(F.col("v").alias("id")).distinct())
+        gone = goes if gone is None else gone.unionByName(goes)
+        rest = live.join(stays.unionByName(goes).hint("merge"), "id", "left_anti")
+        live = cut(paired(rest.select("h", "id", "size", "at")).join(rest.select("id", "d").distinct().hint("merge"), "id").select("h", "id", "size", "at", "d"))
+        leaders *= 4
+    kept = texts.select(*of_row) if gone is None else texts.select(*of_row).join(gone.hint("merge"), F.col("k1") == F.col("id"), "left_anti")
     left = keyed.join(kept, of_row)
     repeats = texts.agg(F.coalesce(F.sum("n"), F.lit(0)) - F.count("*")).first()[0]
     if repeats:  # a repeated row has the key and text of the one that stays

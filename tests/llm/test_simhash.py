@@ -81,6 +81,36 @@ def test_keep_one_near_copies(spark):
     assert {4, 5} <= left and len(left & {1, 2, 3}) == 1
 
 
+def jaccard(a, b, width=5):
+    grams = lambda t: {tuple(w[i : i + width]) for w in [t.lower().split()] for i in range(max(1, len(w) - width + 1))}
+    a, b = grams(a), grams(b)
+    return len(a & b) / len(a | b)
+
+
+def check_kept(spark, texts, least=0.8):
+    got = [r[0] for r in simhash.keep_one(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")).select("doc_id").collect()]
+    left = set(got)
+    assert len(left) == len(got)
+    assert not [(i, j) for i in left for j in left if i < j and jaccard(texts[i], texts[j]) >= least]
+    assert all(any(jaccard(t, texts[j]) >= least for j in left) for i, t in enumerate(texts) if i not in left)
+    return left
+
+
+def test_keep_one_in_a_family_of_dissimilar_edits(spark):
+    r = np.random.default_rng(5)
+    base = [f"w{x}" for x in r.integers(0, 5000, 300)]
+
+    def edited(words, n, mark):
+        words = list(words)
+        for i in r.choice(len(words), n, replace=False):
+            words[i] = f"{mark}x{i}"
+        return words
+
+    family = [edited(base, 7, k) for k in range(40)]
+    texts = [" ".join(x) for x in family] + [" ".join(edited(x, 1, "p")) for x in family[:10]]
+    assert len(check_kept(spark, texts)) <= 40
+
+
 def test_empty_table(nothing):
     assert simhash.keep_one(nothing).count() == 0
     assert simhash.near_groups(simhash.fingerprints(nothing)).count() == 0
