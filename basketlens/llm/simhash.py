@@ -396,7 +396,7 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", width: in
     distinct words within ``most`` bits form groups, and texts near the bitwise majority of their group
     come first. In this order a text stays unless an earlier one that stays is similar to it.
 
-    Candidates are exact among texts in groups: with shingles in a common order, rare ones first, similar texts share one of
+    Candidates are exact: with shingles in a common order, rare ones first, similar texts share one of
     the first few, at places that leave enough for the similarity. In a round, the first texts of each
     such shingle's bucket are compared with all behind them. A text that is behind these in no bucket
     and similar to none before it stays, those similar to it go, and rounds take more first texts until
@@ -424,7 +424,7 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", width: in
     bits = [F.sum(F.shiftrightunsigned("fp", i).bitwiseAND(1)).alias(f"b{i}") for i in range(BITS)]
     centre = F.expr(" | ".join(f"case when 2 * b{i} > m then shiftleft(1L, {i}) else 0L end" for i in range(BITS)))
     centres = rooted.groupBy("root").agg(F.count("*").alias("m"), *bits).where("m > 1").select("root", centre.alias("centre"))
-    ranked = rooted.join(centres.hint("merge"), "root").select(F.col("k1").alias("id"), F.coalesce(F.bit_count(F.col("fp").bitwiseXOR(F.col("centre"))), F.lit(0)).alias("d"))
+    ranked = rooted.join(centres.hint("merge"), "root", "left").select(F.col("k1").alias("id"), F.coalesce(F.bit_count(F.col("fp").bitwiseXOR(F.col("centre"))), F.lit(0)).alias("d"))
 
     cells = docs.sparkSession.sparkContext.broadcast(_cells(keyed, column, width))
 

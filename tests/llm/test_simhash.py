@@ -111,6 +111,16 @@ def test_keep_one_in_a_family_of_dissimilar_edits(spark):
     assert len(check_kept(spark, texts)) <= 40
 
 
+def test_keep_one_finds_block_edits(spark):
+    r = np.random.default_rng(6)
+    words = lambda n: " ".join(f"w{x}" for x in r.integers(0, 5000, n))
+    texts, n = [], 30
+    for k in range(n):
+        t = words(300)
+        texts += [t, f"{t} {words(30 + k)}"]
+    assert len(check_kept(spark, texts)) == n
+
+
 def test_empty_table(nothing):
     assert simhash.keep_one(nothing).count() == 0
     assert simhash.near_groups(simhash.fingerprints(nothing)).count() == 0
