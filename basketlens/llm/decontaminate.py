@@ -1,12 +1,18 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
+"""Benchmark decontamination: pairs of words as seeds, then Smith-Waterman alignment.
 
-Texts are lower-cased (A-Z), ASCII punctuation is taken as space, and words are compared whole. Word
-frequencies of the whole corpus tell how often an n-gram would occur by chance, words independent of
-each other; from each word of a test item, the shortest n-gram expected fewer than ``rare`` times is
-a seed, however often it does occur, so a passage leaked into many documents keeps its seeds. An item
-without such an n-gram is its own seed. Where a seed occurs in a text, the item is aligned with the
-words around it: match 2, mismatch and gap -1. The score is the best local alignment as a share of
-that of an exact copy; from ``least`` on, the document counts as holding the item.
+Texts are lower-cased (A-Z), ASCII punctuation is taken as space, and words are compared whole. An
+item is aligned with a text: match 2, mismatch and gap -1. The score is the best local alignment as a
+share of that of an exact copy; from ``least`` on, the document counts as holding the item.
+
+Which words are aligned is found without loss, whatever the corpus' size. Of an alignment of an item
+of L words with that score, at least least * L - 1 matched words have the next one at most two words
+on, in the item and in the text, since each wider step costs 2 or more. So pairs of words at most two
+apart are seeds, those at the rarest SEEDED of the item's words by frequencies of the whole corpus;
+where as many of these are met near one diagonal as must be among them, the words around are aligned.
+
+Items under SHORT words would match by chance: there, from each word, the shortest n-gram expected
+fewer than ``rare`` times in the corpus, words independent of each other, is a seed; an item without
+such an n-gram is its own seed.
 
 Test items are the query side. They are taken in blocks of at most BLOCK_WORDS words, each held in
 full by every task; texts are never shuffled. Null or empty items match nothing, null or empty texts
@@ -15,6 +21,7 @@ hold nothing; repeated items and rows are reported each.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import repeat
 
@@ -28,6 +35,11 @@ from basketlens.llm.runtime import binary_texts, ready, trimmed
 BLOCK_WORDS = 2_000_000
 #: Seeds longer than this are not looked for; a whole item may be longer.
 LONGEST = 12
+#: Items of fewer words are found by rare n-grams only.
+SHORT = 8
+#: Share of an item's words at which pairs are seeds.
+SEEDED = 0.75
+_FLAGS = 1 << 20
 _FOLD = bytes(ord(chr(i).lower()) if 65 <= i <= 90 else 32 if 33 <= i <= 47 or 58 <= i <= 64 or 91 <= i <= 96 or 123 <= i <= 126 else i for i in range(256))
 
 
@@ -65,12 +77,25 @@ class Items:
             h ^= h >> np.uint64(29)
         return h
 
-    def seed(self, counts: np.ndarray, total: int, rare: float) -> None:
+    def seed(self, counts: np.ndarray, total: int, rare: float, least: float) -> None:
         """counts: occurrences of each number in the corpus of ``total`` words."""
         share = np.maximum(counts, 1) / max(total, 1)
         found: dict[int, list[tuple[int, int]]] = {}
+        pairs: list[tuple[int, int, int, int]] = []
+        self.sizes = np.array([w.size for w in self.items], np.int64)
+        #: How far gaps can move an alignment, and how many seeds it has at least.
+        self.slack = np.floor((2 - 2 * least) * self.sizes).astype(np.int64) + 1
+        self.need = np.ones(self.sizes.size, np.int64)
         for i, words in enumerate(self.items):
             chance, any_ = share[words], False
+            if words.size >= SHORT:
+                after = chance[1:] + np.append(chance[2:], 0)
+                taken = np.argsort(chance[:-1] * after, kind="stable")
+                all_ = math.ceil(least * words.size - 1 - 1e-9)
+                taken = taken[: max(math.ceil(SEEDED * taken.size), taken.size - all_ + 1)]
+                self.need[i] = max(1, all_ - (words.size - 1 - taken.size))
+                pairs += [(words[a], words[a + d], i, a) for a in taken.tolist() for d in (1, 2) if a + d < words.size]
+                continue
             for a in range(words.size):
                 expected = total * np.cumprod(chance[a : a + LONGEST])
                 short = np.flatnonzero(expected < rare)
@@ -79,21 +104,37 @@ class Items:
                     any_ = True
             if words.size and not any_:
                 found.setdefault(words.size, []).append((i, 0))
+        both = np.array(sorted(set(pairs)), np.int64).reshape(-1, 4)
+        key = both[:, 0] << 32 | both[:, 1]
+        order = np.argsort(key, kind="stable")
+        self.pairs = (key[order], both[order, 2:])
+        self.flags = np.zeros(_FLAGS, bool)
+        self.flags[self.flag(both[:, 0], both[:, 1])] = True
         self.seeds = {}
         for n, places in found.items():
             h = np.array([self.grams(self.items[i], n, np.array([a]))[0] for i, a in places], np.uint64)
             order = np.argsort(h)
             self.seeds[n] = (h[order], np.array(places, np.int64)[order])
 
+    @staticmethod
+    def flag(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return (a.astype(np.int64) * 0x9E3779B1 ^ b.astype(np.int64) * 0x85EBCA6B) >> 7 & (_FLAGS - 1)
+
     def hits(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """item, place in it, and place in ids, of every seed that occurs."""
         out = [np.zeros((0, 3), np.int64)]
         known = np.concatenate([[0], np.cumsum(ids > 0)])
+        looked = []
         for n, (h, places) in self.seeds.items():
             if ids.size < n:
                 continue
             at = np.flatnonzero(known[n:] - known[:-n] == n)
-            key = self.grams(ids, n, at)
+            looked.append((h, places, at, self.grams(ids, n, at)))
+        for d in (1, 2):  # a pair over the end of a text is a hit too many, no more
+            at = np.flatnonzero((ids[:-d] > 0) & (ids[d:] > 0))
+            at = at[self.flags[self.flag(ids[at], ids[at + d])]]
+            looked.append((*self.pairs, at, ids[at].astype(np.int64) << 32 | ids[at + d]))
+        for h, places, at, key in looked:
             lo, hi = np.searchsorted(h, key, "left"), np.searchsorted(h, key, "right")
             some = hi > lo
             size = (hi - lo)[some]
@@ -139,17 +180,31 @@ def matches(block: Items, texts: list[bytes], least: float) -> list[tuple[int, i
     if not item.size:
         return []
     text = np.searchsorted(starts, at, "right") - 1
-    stop = np.append(starts[1:], ids.size)[text] - 1
-    length = np.array([w.size for w in block.items])[item]
-    lo = np.maximum(at - place - length // 2 - 4, starts[text])
-    hi = np.minimum(at - place + length + length // 2 + 5, stop)
-    order = np.lexsort((lo, item, text))
-    pairs: list[list[int]] = []  # windows of an item in a text that overlap are one
-    for t, i, a, b in zip(*(x[order].tolist() for x in (text, item, lo, hi))):
-        if pairs and pairs[-1][0] == t and pairs[-1][1] == i and a <= pairs[-1][3]:
-            pairs[-1][3] = max(pairs[-1][3], b)
-        else:
-            pairs.append([t, i, a, b])
+    order = np.lexsort((at - place, item, text))
+    item, place, at, text = item[order], place[order], at[order], text[order]
+    # hits with as many others near their diagonal as an alignment must have
+    other = lambda i, j: (item[i] != item[j]) | (text[i] != text[j])
+    diagonal, need = at - place, block.need[item]
+    last = np.minimum(np.arange(at.size) + need - 1, at.size - 1)
+    full = np.flatnonzero((last - np.arange(at.size) == need - 1) & ~other(np.arange(at.size), last) & (diagonal[last] - diagonal <= block.slack[item]))
+    within = np.zeros(at.size + 1, np.int64)
+    np.add.at(within, full, 1)
+    np.add.at(within, last[full] + 1, -1)
+    keep = np.cumsum(within[:-1]) > 0
+    item, place, diagonal, text, need = item[keep], place[keep], diagonal[keep], text[keep], need[keep]
+    if not item.size:
+        return []
+    lo = np.maximum(diagonal - block.slack[item], starts[text])
+    hi = np.minimum(diagonal + block.sizes[item] + block.slack[item] + 1, np.append(starts[1:], ids.size)[text] - 1)
+    # windows of an item in a text that overlap are one
+    new = np.concatenate([[True], other(np.arange(1, item.size), np.arange(item.size - 1)) | (lo[1:] > hi[:-1])])
+    window, first = np.cumsum(new) - 1, np.flatnonzero(new)
+    met = np.bincount(np.unique(np.column_stack([window, place]), axis=0)[:, 0], minlength=first.size)
+    end = np.append(first[1:], item.size) - 1
+    enough = met >= need[first]
+    pairs = list(zip(*(x[enough].tolist() for x in (text[first], item[first], lo[first], hi[end]))))
+    if not pairs:
+        return []
     score, _ = align([block.items[i] for _, i, _, _ in pairs], [ids[a:b] for *_, a, b in pairs])
     best: dict[tuple[int, int], tuple[float, int, int]] = {}
     for (t, i, a, b), s in zip(pairs, score.tolist()):
@@ -159,7 +214,7 @@ def matches(block: Items, texts: list[bytes], least: float) -> list[tuple[int, i
     return [(t, i, *x) for (t, i), x in best.items()]
 
 
-def blocks(docs: DataFrame, items: DataFrame, text: str, item_key: str, item_text: str, rare: float) -> Iterator[Items]:
+def blocks(docs: DataFrame, items: DataFrame, text: str, item_key: str, item_text: str, rare: float, least: float) -> Iterator[Items]:
     """Test items with their seeds, by words of all docs."""
     size = items.agg(F.coalesce(F.sum(F.length(item_text)), F.lit(0))).first()[0] // 2
     parts = 1 + int(size) // BLOCK_WORDS
@@ -184,7 +239,7 @@ def blocks(docs: DataFrame, items: DataFrame, text: str, item_key: str, item_tex
         counts = np.zeros(len(block.number) + 1)
         for word, n in docs.select(text).mapInArrow(count, "word bigint, n bigint").groupBy("word").agg(F.sum("n")).collect():
             counts[word] = n
-        block.seed(counts, int(counts[0]), rare)
+        block.seed(counts, int(counts[0]), rare, least)
         yield block
 
 
@@ -194,7 +249,7 @@ def find(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "te
     schema = f"`{key}` {docs.schema[key].dataType.simpleString()}, `{item_key}` {items.schema[item_key].dataType.simpleString()}, score double, first_word bigint, end_word bigint"
     kind = pa.int64() if items.schema[item_key].dataType.simpleString() == "bigint" else None
     found = None
-    for block in blocks(docs, items, text, item_key, item_text, rare):
+    for block in blocks(docs, items, text, item_key, item_text, rare, least):
 
         @trimmed
         def run(batches: Iterator[pa.RecordBatch], block: Items = block) -> Iterator[pa.RecordBatch]:
@@ -218,7 +273,7 @@ def drop(docs: DataFrame, items: DataFrame, text: str = "text", item_key: str =
     ready(docs.sparkSession)
     place = docs.columns.index(text)
     left = docs
-    for block in blocks(docs, items, text, item_key, item_text, rare):
+    for block in blocks(docs, items, text, item_key, item_text, rare, least):
 
         @trimmed
         def run(batches: Iterator[pa.RecordBatch], block: Items = block) -> Iterator[pa.RecordBatch]:

@@ -94,6 +94,32 @@ def test_alignment_against_brute_force():
     assert decontaminate.align(a, b)[0].tolist() == [smith_waterman(x, y) for x, y in zip(a, b)]
 
 
+@pytest.mark.parametrize("scale", [1, 1_000_000])
+def test_seeds_lose_nothing_however_large_the_corpus(scale):
+    r = np.random.default_rng(8)
+    vocabulary = [f"w{k}" for k in range(400)]
+    chance = 1 / np.arange(1, 401)
+    draw = lambda n: [vocabulary[k] for k in r.choice(400, n, p=chance / chance.sum())]
+    items = [draw(int(n)) for n in r.integers(8, 40, 40)]
+    block = decontaminate.Items(list(range(len(items))), [" ".join(x).encode() for x in items])
+    texts = []
+    for k, item in enumerate(items):
+        every = 2 + k % 4
+        edits = (lambda i, w: [f"x{i}"], lambda i, w: [], lambda i, w: [w, f"x{i}"], lambda i, w: [w, "x", "y"])[k // 4 % 4]
+        copy = [y for i, w in enumerate(item) for y in (edits(i, w) if i % every == 0 else [w])]
+        texts.append(" ".join(draw(30) + copy + draw(30)).encode())
+    ids, starts = block.ids(texts)
+    counts = np.bincount(ids, minlength=len(block.number) + 1) * scale
+    block.seed(counts, int(counts.sum()), 0.01, 0.45)
+    got = {(t, i): round(s, 6) for t, i, s, *_ in decontaminate.matches(block, texts, 0.45)}
+    ends = np.append(starts[1:], ids.size) - 1
+    expected = {}
+    for t in range(len(texts)):
+        score, _ = decontaminate.align(block.items, [ids[starts[t] : ends[t]]] * len(items))
+        expected |= {(t, i): round(s / (2 * block.items[i].size), 6) for i, s in enumerate(score.tolist()) if s / (2 * block.items[i].size) >= 0.45}
+    assert got == expected and sum(t == i for t, i in got) > 25
+
+
 def test_decontamination(spark, docs, nothing):
     item = "Which of the green rivers, if any, flows past seven old mills before noon on Tuesday?"
     edited = item.replace("green", "blue").replace("if any, ", "").replace("old", "very old").upper()
