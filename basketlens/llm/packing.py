@@ -4,22 +4,27 @@ A document is its token ids and an end id; only a document longer than the capac
 pieces of the capacity and a shorter last one. Bins are planned over the histogram of piece lengths,
 which has no more entries than the capacity, so the plan sees all pieces of the corpus and its size
 does not depend on them. A bin is filled greedily, largest fitting length first; then its smallest
-piece gives way to the two unpacked pieces that together fit the widened gap most tightly, as long
-as that narrows the gap. A bin's pattern is repeated while the counts allow it, which is what the
-same choices one by one would give. Pieces find their places by their rank among pieces of their
-length: a running rank within the task, plus the counts of earlier tasks.
-
-Null text is empty text: one end id. Repeated rows are packed each. An empty table gives no rows.
+piece, if it is the only one, too, gives way to the two unpacked pieces that together fit the widened
+gap most tightly, as long as that narrows the gap. The same choices are made again while every length
+has as many pieces left as they take at any moment, so a bin's pattern is repeated that often at once.
+Pieces find their places by their rank among pieces of their length: a running rank within the task,
+plus the counts of earlier tasks.
+
+Null text is empty text: one end id. Repeated rows, and rows without a key, are packed each. An empty
+table gives no rows. A very long text is cut like any other, with its ids in memory at once. Only key
+and text are read, so other columns may have any names.
 """
 
 from __future__ import annotations
 
 import os
+import struct
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -27,9 +32,10 @@ from pyspark.sql.window import Window
 
 from basketlens.llm.runtime import cut, ready, trimmed
 
-#: Words whose ids a Python worker keeps at most; others are encoded each time they are met.
+#: When a Python worker keeps the ids of more words, it starts again without any.
 CACHED_WORDS = 500_000
-STOPS = ".,!?;:"
+#: ASCII punctuation but the apostrophe, which can join the letters before or after it.
+MARKS = "".join(chr(i) for i in range(33, 127) if not chr(i).isalnum() and chr(i) != "'")
 _encoders: dict[str, WordEncoder] = {}
 
 
@@ -45,51 +51,87 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.cache: dict[str, bytes] = {"": b""}
-        self.runs: dict[str, bytes] = {}
-
-    def ids(self, text: str) -> bytes:
-        """Little-endian unsigned 32-bit ids."""
-        words = text.replace("\n", " ").replace("\t", " ").split(" ")
-        try:
-            return b"".join(map(self.cache.__getitem__, words))
-        except KeyError:
-            pass
-        new = self.encoded(set(words).difference(self.cache))
-        if len(self.cache) + len(new) <= CACHED_WORDS:
-            self.cache.update(new)
-            return b"".join(map(self.cache.__getitem__, words))
-        known = self.cache.get
-        return b"".join([x if (x := known(w)) is not None else new[w] for w in words])
-
-
-    def encoded(self, words: set[str]) -> dict[str, bytes]:
-        """Ids of words. ASCII letters before a run of stops are lower-cased and encoded apart from it.
-
-        The tokenizer lower-cases, and parts letters from such a run, in any case; so words that differ
-        in these only are encoded once.
+        vocabulary = self.tokenizer.get_vocab()
+        #: Which ids close a run of letters.
+        self.closes = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
+        self.closes[[i for w, i in vocabulary.items() if w.endswith("</w>")]] = True
+        self.forget()
+
+    def forget(self) -> None:
+        #: Words, and for each its ids' number and place in the table.
+        self.words = pa.array([""], pa.large_string())
+        self.sizes, self.begins, self.table = np.zeros(1, np.int64), np.zeros(1, np.int64), np.zeros(0, "<u4")
+        self.cores: dict[str, bytes] = {"": b""}
+
+    def ids(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, unsigned and joined, and where each text begins, with the end of the last."""
+        texts = texts.cast(pa.large_string()).fill_null("")
+        split = pc.split_pattern(pc.replace_substring(pc.replace_substring(texts, "\n", " "), "\t", " "), " ")
+        words = split.flatten().dictionary_encode()
+        if len(self.words) > CACHED_WORDS:
+            self.forget()
+        which = pc.index_in(words.dictionary, self.words)
+        fresh = words.dictionary.filter(which.is_null())
+        self.add(fresh)
+        which = which.to_numpy(zero_copy_only=False)
+        unknown = np.isnan(which)
+        which = np.where(unknown, 0, which).astype(np.int64)
+        which[unknown] = np.arange(len(self.words) - len(fresh), len(self.words))
+        index = which[words.indices.to_numpy()]
+        n = self.sizes[index]
+        ends = np.concatenate([[0], np.cumsum(n)])
+        at = np.repeat(self.begins[index] - ends[:-1], n)
+        at += np.arange(at.size)
+        lists = split.offsets.to_numpy()
+        return self.table[at], ends[lists - lists[0]]
+
+    def add(self, fresh: pa.Array) -> None:
+        new = self.encoded(fresh.to_pylist())
+        sizes = np.fromiter(map(len, new), np.int64, len(new)) // 4
+        self.words = pa.concat_arrays([self.words, fresh])
+        self.begins = np.concatenate([self.begins, self.table.size + np.cumsum(sizes) - sizes])
+        self.sizes = np.concatenate([self.sizes, sizes])
+        self.table = np.concatenate([self.table, np.frombuffer(b"".join(new), "<u4")])
+
+    def encoded(self, words: list[str]) -> list[bytes]:
+        """Little-endian unsigned 32-bit ids of each word.
+
+        The tokenizer lower-cases, and parts letters from a run of marks behind them, in any case. So
+        letters and marks are encoded apart, each once.
         """
-        cores = {}
+        cores = self.cores
+        runs, others, lows, marks = {}, {}, [], []
         for w in words:
-            core = w.rstrip(STOPS)
-            cores[w] = core.lower() if core.isascii() and core.isalpha() else w
-        known = self.cache
-        fresh = list({c for c in cores.values() if c not in known})
-        got = {c: np.array(e.ids, "<u4").tobytes() for c, e in zip(fresh, self.tokenizer.encode_batch_fast(fresh, add_special_tokens=False))}
-        if len(known) + len(got) <= CACHED_WORDS:
-            known.update(got)
-        new = {}
-        for w, c in cores.items():
-            head = got[c] if c in got else known[c]
-            new[w] = head if len(c) == len(w) else head + self.stops(w[len(c) :])
-        return new
-
-    def stops(self, run: str) -> bytes:
-        if run not in self.runs:
-            if len(self.runs) > 10_000:
-                self.runs.clear()
-            self.runs[run] = np.array(self.tokenizer.encode(run, add_special_tokens=False).ids, "<u4").tobytes()
-        return self.runs[run]
+            core = w.rstrip(MARKS)
+            mark = w[len(core) :] if len(core) < len(w) else ""
+            if core.isascii() and core.isalpha():
+                core = core.lower()
+            elif not core.isalpha() or not core.lower().isalpha():
+                core, mark = w, ""
+                others[w] = None
+            if core not in cores:
+                runs[core] = None
+            lows.append(core)
+            marks.append(mark)
+        self.letters([x for x in runs if x not in others])
+        self.one_by_one([x for x in {*others, *marks} if x not in cores])
+        return [cores[c] + cores[m] if m else cores[c] for c, m in zip(lows, marks)]
+
+    def one_by_one(self, words: list[str]) -> None:
+        for w, e in zip(words, self.tokenizer.encode_batch_fast(words, add_special_tokens=False)):
+            self.cores[w] = struct.pack(f"<{len(e.ids)}I", *e.ids)
+
+    def letters(self, words: list[str], lot: int = 1000) -> None:
+        """Words of letters only, many in one text: each ends in the one id of its ids that closes a run."""
+        lots = [words[k : k + lot] for k in range(0, len(words), lot)]
+        for some, e in zip(lots, self.tokenizer.encode_batch_fast([" ".join(x) for x in lots], add_special_tokens=False)):
+            ids = np.array(e.ids, "<u4")
+            ends = np.flatnonzero(self.closes[ids]) + 1
+            if ends.size != len(some):  # a tokenizer without such ids
+                self.one_by_one(some)
+                continue
+            raw, at = ids.tobytes(), (4 * ends).tolist()
+            self.cores.update({w: raw[i:j] for w, i, j in zip(some, [0, *at], at)})
 
 
 def encoder(path: str) -> WordEncoder:
@@ -108,19 +150,22 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int =
     @trimmed
     def cut_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, task, ranks = encoder(tokenizer).ids, TaskContext.get().partitionId(), {}
-        end, step = np.array([end_id], "<u4").tobytes(), 4 * capacity
+        end, step = np.array([end_id], "<u4").tobytes(), capacity
         for batch in batches:
             rows, kept = ([], [], [], [], [], []), []
-            for i, t in enumerate(batch.column(1).to_pylist()):
-                whole = encode(t or "") + end
-                for p, at in enumerate(range(0, len(whole), step)):
-                    part = whole[at : at + step]
-                    n = len(part) // 4
+            flat, begins = encode(batch.column(1))
+            begins = begins.tolist()
+            for i, (low, high) in enumerate(zip(begins, begins[1:])):
+                for p, at in enumerate(range(low, high + 1, step)):
+                    part = flat[at : min(at + step, high)]
+                    n, crc = part.size, zlib.crc32(part)
+                    if n < step:  # the last piece, which the end id closes
+                        n, crc = n + 1, zlib.crc32(end, crc)
                     ranks[n] = ranks.get(n, -1) + 1
-                    for column, x in zip(rows, (i, p, at // 4, n, zlib.crc32(part), ranks[n])):
+                    for column, x in zip(rows, (i, p, at - low, n, crc, ranks[n])):
                         column.append(x)
                     if with_ids:
-                        kept.append(np.frombuffer(part, "<u4").astype("i4"))
+                        kept.append(np.append(part, np.array([end_id] * (n - part.size), "<u4")).astype("i4"))
             own = batch.column(0).take(pa.array(rows[0], pa.int64()))
             out = [own, pa.array(rows[1], pa.int32()), *(pa.array(x, pa.int64()) for x in rows[2:5]), pa.array([task] * len(own), pa.int32()), pa.array(rows[5], pa.int64())]
             names = [key, "piece", "start", "length", "ids_crc32", "task", "rank"]
@@ -150,12 +195,13 @@ def plan(counts: dict[int, int], capacity: int) -> list[tuple[list[int], int]]:
                 x = int(fits[x - 1])
             return x
 
-        chosen, gap = [], capacity
+        chosen, gap, fewest = [], capacity, n.copy()
         while gap and (x := largest(gap)):
             chosen.append(x)
             left[x] -= 1
             gap -= x
-        while gap and len(chosen) > 1:
+        np.minimum(fewest, left, out=fewest)
+        while gap:
             small = min(chosen)
             room = gap + small
             there = np.maximum.accumulate(np.where(left > 0, lengths, 0))
@@ -172,12 +218,13 @@ def plan(counts: dict[int, int], capacity: int) -> list[tuple[list[int], int]]:
                 break
             chosen.remove(small)
             chosen += [int(a[best]), int(b[best])]
-            left[small] += 1
             left[a[best]] -= 1
             left[b[best]] -= 1
+            np.minimum(fewest, left, out=fewest)
+            left[small] += 1
             gap = room - int(sums[best])
         used, each = np.unique(chosen, return_counts=True)
-        times = int((n[used] // each).min())
+        times = 1 + int((fewest[used] // each).min())
         n[used] -= each * times
         bins.append((sorted(chosen, reverse=True), times))
 
