@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from basketlens.llm.components import stars
-from basketlens.llm.runtime import binary_texts, cut, ready, renamed, text_key, text_keys, trimmed
+from basketlens.llm.runtime import binary_texts, cut, dealt_anew, ready, renamed, text_key, text_keys, trimmed
 
 SEED = 42
 BITS = 64
@@ -192,12 +192,8 @@ def links(fps: DataFrame, most: int, crowd: int = 20_000) -> DataFrame:
     level = fps.select("fp", F.lit(0).cast("bigint").alias("mask"))
     masks = [0]
     while True:
-        filed = None
-        for m in masks:
-            parts = blocks_of(~m & (1 << BITS) - 1, most + 1)
-            here = level.where(F.col("mask") == F.lit(_signed(m))) if len(masks) > 1 else level
-            new = here.select("fp", F.explode(F.array(*[F.lit(_signed(m | p)) for p in parts])).alias("mask"))
-            filed = new if filed is None else filed.unionByName(new)
+        parts = F.create_map(*[x for m in masks for x in (F.lit(_signed(m)), F.array(*[F.lit(_signed(m | p)) for p in blocks_of(~m & (1 << BITS) - 1, most + 1)]))])
+        filed = level.select("fp", F.explode(F.element_at(parts, F.col("mask"))).alias("mask"))
         masks = sorted({m | p for m in masks for p in blocks_of(~m & (1 << BITS) - 1, most + 1)})
         filed = filed.withColumn("bucket", F.col("fp").bitwiseAND(F.col("mask")))
         sizes = filed.groupBy("mask", "bucket").agg(F.count("*").alias("n")).where("n > 1")
@@ -313,95 +309,158 @@ def _can(size: np.ndarray, at: np.ndarray, i: np.ndarray, j: np.ndarray, least:
     return np.minimum(size[i] - at[i], size[j] - at[j]) >= np.ceil(least / (1 + least) * (size[i] + size[j]) - 1e-6)
 
 
-def _buckets(judge, names: list[str], lot: int = 200_000):
-    """A function on batches that are sorted by h: judge(columns by name) gets whole buckets, about ``lot`` rows at a time."""
+NAMES = ["h", "id", "size", "at"]
+
+
+def _buckets(judge, whole, crowd: int, lot: int = 200_000):
+    """A function on batches of rows (h, id, size, at) sorted by h, some buckets at a time: judge() gets those of at most ``crowd`` rows, whole() the rows of others."""
 
     @trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[list[np.ndarray]] = []
-        rows = 0
+        rows, large = 0, None  # large: the bucket at the end of what is done, if it has over crowd rows
+
+        def done(columns: list[np.ndarray], last: bool) -> Iterator[pa.RecordBatch]:
+            nonlocal held, rows, large
+            h = columns[0]
+            first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
+            sizes = np.diff(np.append(first, h.size))
+            big = sizes > crowd
+            big[0] |= large is not None and h[0] == large
+            ready_, held, rows = np.ones(first.size, bool), [], 0
+            ready_[-1] = last or big[-1]
+            large = int(h[-1]) if big[-1] else None
+            for keep, what in ((ready_ & ~big, judge), (ready_ & big, whole)):
+                if keep.any():
+                    at = np.repeat(keep, sizes)
+                    yield what(dict(zip(NAMES, (x[at] for x in columns))))
+            if not ready_[-1]:
+                held, rows = [[x[first[-1] :] for x in columns]], int(sizes[-1])
+
         for batch in batches:
-            held.append([batch.column(x).to_numpy(zero_copy_only=False) for x in names])
+            held.append([batch.column(x).to_numpy(zero_copy_only=False) for x in NAMES])
             rows += batch.num_rows
-            if rows < lot:
-                continue
-            columns = [np.concatenate(x) for x in zip(*held)]
-            border = np.flatnonzero(columns[0][1:] != columns[0][:-1])
-            held = [columns]
-            if border.size:
-                k = int(border[-1]) + 1
-                yield judge(dict(zip(names, (x[:k] for x in columns))))
-                held = [[x[k:] for x in columns]]
-                rows -= k
+            if rows >= lot:
+                yield from done([np.concatenate(x) for x in zip(*held)], False)
         if rows:
-            yield judge(dict(zip(names, (np.concatenate(x) for x in zip(*held)))))
+            yield from done([np.concatenate(x) for x in zip(*held)], True)
 
     return run
 
 
-def _ranks(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Each row's place in its bucket, and the bucket's size."""
+def _neighbours(h: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places i < j of all pairs of rows with the same h (sorted), by their distance."""
     first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
     sizes = np.diff(np.append(first, h.size))
-    return np.arange(h.size) - np.repeat(first, sizes), np.repeat(sizes, sizes)
+    left = np.repeat(first + sizes, sizes) - np.arange(h.size)  # rows of the bucket from this one on
+    i = np.flatnonzero(left > 1)
+    step = 1
+    while i.size:
+        yield i, i + step
+        step += 1
+        i = i[left[i] > step]
 
 
-def _paired(least: float, near: int = 64):
-    """Rows (h, id, size, at) that can be similar to another of their bucket; of buckets over ``near`` rows, all."""
+def _paired(least: float, crowd: int):
+    """Rows (h, id, size, at) that can be similar to another of their bucket; of buckets over ``crowd`` rows, all."""
 
     def judge(x: dict[str, np.ndarray]) -> pa.RecordBatch:
         new = np.concatenate([[True], (x["h"][1:] != x["h"][:-1]) | (x["id"][1:] != x["id"][:-1])])
         x = {k: v[new] for k, v in x.items()}  # copies of a text are one
-        place, sizes = _ranks(x["h"])
-        keep = sizes > near
-        some = np.flatnonzero((sizes > 1) & ~keep)
-        for step in range(1, near):
-            i = some[place[some] + step < sizes[some]]
-            if not i.size:
-                break
-            i = i[_can(x["size"], x["at"], i, i + step, least)]
-            keep[i] = keep[i + step] = True
-        return pa.RecordBatch.from_arrays([pa.array(v[keep]) for v in x.values()], names=list(x))
+        keep = np.zeros(x["h"].size, bool)
+        for i, j in _neighbours(x["h"]):
+            can = _can(x["size"], x["at"], i, j, least)
+            keep[i[can]] = keep[j[can]] = True
+        return whole({k: v[keep] for k, v in x.items()})
+
+    def whole(x: dict[str, np.ndarray]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(v) for v in x.values()], names=NAMES)
 
-    return _buckets(judge, ["h", "id", "size", "at"])
+    return _buckets(judge, whole, crowd)
 
 
-def _pairs(least: float, leaders: int):
-    """u, v: the first ``leaders`` rows of each bucket with all behind them, where they can be similar; null, v: v has a bucket where it is behind these."""
+def _pairs(least: float, crowd: int):
+    """u and v, pairs of a bucket that can be similar; of buckets over ``crowd`` rows, the rows: h, u (id), size, at."""
+    names = ["h", "u", "v", "size", "at"]
 
     def judge(x: dict[str, np.ndarray]) -> pa.RecordBatch:
-        place, sizes = _ranks(x["h"])
-        pairs = []
-        rows = np.flatnonzero(sizes > 1)
-        for k in range(leaders):
-            rows = rows[place[rows] > k]
-            if not rows.size:
-                break
-            lead = rows - place[rows] + k
-            can = _can(x["size"], x["at"], lead, rows, least)
-            pairs.append(np.column_stack([x["id"][lead[can]], x["id"][rows[can]]]))
-        got = np.unique(np.concatenate(pairs), axis=0) if pairs else np.zeros((0, 2), np.int64)
-        behind = np.unique(x["id"][place >= leaders])
-        u = pa.concat_arrays([pa.array(got[:, 0]), pa.nulls(behind.size, pa.int64())])
-        return pa.RecordBatch.from_arrays([u, pa.array(np.concatenate([got[:, 1], behind]))], names=["u", "v"])
-
-    return _buckets(judge, ["h", "id", "size", "at"])
-
-
-def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5, least: float = 0.8, most: int = 6, crowd: int = 20_000) -> DataFrame:
-    """docs less near copies: no two rows that stay have Jaccard similarity ``least``, and a row goes only if one that stays has its text or this similarity.
-
-    Rows with the same text are one document, of which the row with the least key stays. Similarity
-    is that of the sets of shingles of ``width`` words. Texts are put in an order: fingerprints of the
-    distinct words within ``most`` bits form groups, and texts near the bitwise majority of their group
-    come first. In this order a text stays unless an earlier one that stays is similar to it.
-
-    Candidates are exact: with shingles in a common order, rare ones first, similar texts share one of
-    the first few, at places that leave enough for the similarity. In a round, the first texts of each
-    such shingle's bucket are compared with all behind them. A text that is behind these in no bucket
-    and similar to none before it stays, those similar to it go, and rounds take more first texts until
-    all are decided. Keys are integers; a null key comes before all others. Repeated rows (key and
-    text) count as one.
+        pairs = [np.zeros((0, 2), np.int64)]
+        for i, j in _neighbours(x["h"]):
+            can = (x["id"][i] != x["id"][j]) & _can(x["size"], x["at"], i, j, least)
+            pairs.append(np.column_stack([x["id"][i[can]], x["id"][j[can]]]))
+        got = np.unique(np.concatenate(pairs), axis=0)
+        none = pa.nulls(len(got), pa.int64())
+        return pa.RecordBatch.from_arrays([none, pa.array(got[:, 0]), pa.array(got[:, 1]), none.cast(pa.int32()), none.cast(pa.int32())], names=names)
+
+    def whole(x: dict[str, np.ndarray]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(x["h"]), pa.array(x["id"]), pa.nulls(x["h"].size, pa.int64()), pa.array(x["size"]), pa.array(x["at"])], names=names)
+
+    return _buckets(judge, whole, crowd)
+
+
+def _similar(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """The pairs (u, v) with Jaccard ``least`` or more. sets: id, grams."""
+
+    @trimmed
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            both = zip(*(batch.column(x).to_pylist() for x in ("ugrams", "vgrams")))
+            close = [similarity(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)) >= least for x, y in both]
+            yield pa.RecordBatch.from_arrays([batch.column("u"), batch.column("v")], names=["u", "v"]).filter(pa.array(close, pa.bool_()))
+
+    of = lambda x: dealt_anew(sets.select(F.col("id").alias(x), F.col("grams").alias(f"{x}grams")), x).hint("merge")
+    return cut(pairs.join(of("v"), "v").join(of("u"), "u").select("u", "v", "ugrams", "vgrams").mapInArrow(compare, "u bigint, v bigint"))
+
+
+def _leaders(texts: DataFrame, most: int, crowd: int) -> DataFrame:
+    """u and v: the text nearest to the bitwise majority of a fingerprint group, and each other of the group. texts: k1, fp."""
+    star = stars(links(cut(texts.select("fp").distinct()), most, crowd))
+    rooted = cut(texts.join(star.hint("merge"), texts["fp"] == star["node"], "left").select(F.col("k1").alias("id"), "fp", F.coalesce("root", "fp").alias("root")))
+    bits = [F.sum(F.shiftrightunsigned("fp", i).bitwiseAND(1)).alias(f"b{i}") for i in range(BITS)]
+    centre = F.expr(" | ".join(f"case when 2 * b{i} > m then shiftleft(1L, {i}) else 0L end" for i in range(BITS)))
+    centres = rooted.groupBy("root").agg(F.count("*").alias("m"), *bits).where("m > 1").select("root", centre.alias("centre"))
+    near = cut(rooted.join(dealt_anew(centres, "root").hint("merge"), "root").select("root", "id", F.bit_count(F.col("fp").bitwiseXOR(F.col("centre"))).alias("d")))
+    first = near.groupBy("root").agg(F.min(F.struct("d", "id")).getField("id").alias("u"))
+    return cut(near.join(dealt_anew(first, "root").hint("merge"), "root").where("id <> u").select("u", F.col("id").alias("v")))
+
+
+def _crowded(live: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """Similar pairs (u, v) of rows (h, id, size, at) in large buckets, enough to join all that are similar through others.
+
+    In a round, some rows of each bucket, one of each cell by hash, are compared with all of it. They
+    leave the bucket then, and so does of similar texts each but the least everywhere: it goes in any
+    case. Cells become more with each round. Hot buckets can be split in all of these joins.
+    """
+    found, cells = None, 8
+    enough = F.least(F.col("size") - F.col("at"), F.col("usize") - F.col("uat")) >= F.ceil(F.lit(least / (1 + least)) * (F.col("size") + F.col("usize")) - 1e-6)
+    while live.limit(1).count():
+        cell = F.pmod(F.xxhash64("id"), F.lit(cells))
+        first = cut(live.groupBy("h", cell.alias("cell")).agg(F.min(F.struct("id", "size", "at")).alias("x")).select("h", F.col("x.id").alias("lead"), F.col("x.size").alias("usize"), F.col("x.at").alias("uat")))
+        met = live.join(dealt_anew(first, "h").hint("merge"), "h").where((F.col("id") != F.col("lead")) & enough)
+        similar = _similar(met.select(F.least("id", "lead").alias("u"), F.greatest("id", "lead").alias("v")).distinct(), sets, least)
+        found = similar if found is None else found.unionByName(similar)
+        goes = stars(similar.select(F.col("u").alias("a"), F.col("v").alias("b"))).select(F.col("node").alias("id"))
+        led = dealt_anew(first.select("h", F.col("lead").alias("id")), "h", "id")
+        left = live.join(led.hint("merge"), ["h", "id"], "left_anti").join(dealt_anew(goes, "id").hint("merge"), "id", "left_anti")
+        live = cut(left.select(*NAMES))
+        cells *= 8
+    return found
+
+
+def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5, least: float = 0.8, most: int = 6, crowd: int = 20_000, near: int = 1000) -> DataFrame:
+    """docs less near copies: of texts that are joined by Jaccard similarity ``least``, directly or through others, some stay, and no two that stay have it.
+
+    Similarity is that of the sets of shingles of ``width`` words. Rows with the same text are one
+    document, of which the row with the least key stays. First, fingerprints of the distinct words
+    within ``most`` bits form groups, and in each the text nearest to the bitwise majority is compared
+    with all others: those similar to it go. The rest is joined exactly: with shingles in a common
+    order, rare ones first, similar texts share one of the first few, at places that leave enough for
+    the similarity. All such pairs are compared; where a shingle has over ``near`` texts, in rounds.
+    Of texts joined by similar pairs, one stays.
+
+    Keys are integers; a null key comes before all others. Repeated rows (key and text) count as one,
+    as do null and empty texts. A text under ``width`` words is one shingle. A very long text is one
+    set, held whole. Columns may have any names. An empty table gives no rows.
     """
     ready(docs.sparkSession)
     plain, names, column = renamed(docs, text)
@@ -417,32 +476,35 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", width: in
 
     rows = keyed.select("a", column).mapInArrow(fingers, "a bigint, k1 bigint, k2 bigint, fp bigint")
     texts = cut(rows.groupBy("k1", "k2").agg(F.min("a").alias("a"), F.first("fp").alias("fp"), F.count("*").alias("n")))
-
-    distinct = cut(texts.select("fp").distinct())
-    star = stars(links(distinct, most, crowd))
-    rooted = cut(texts.join(star.hint("merge"), texts["fp"] == star["node"], "left").select("k1", "fp", F.coalesce("root", "fp").alias("root")))
-    bits = [F.sum(F.shiftrightunsigned("fp", i).bitwiseAND(1)).alias(f"b{i}") for i in range(BITS)]
-    centre = F.expr(" | ".join(f"case when 2 * b{i} > m then shiftleft(1L, {i}) else 0L end" for i in range(BITS)))
-    centres = rooted.groupBy("root").agg(F.count("*").alias("m"), *bits).where("m > 1").select("root", centre.alias("centre"))
-    ranked = rooted.join(centres.hint("merge"), "root", "left").select(F.col("k1").alias("id"), F.coalesce(F.bit_count(F.col("fp").bitwiseXOR(F.col("centre"))), F.lit(0)).alias("d"))
+    led = _leaders(texts, most, crowd)
 
     cells = docs.sparkSession.sparkContext.broadcast(_cells(keyed, column, width))
 
     @trimmed
     def postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
         for batch in batches:
             for k in range(0, batch.num_rows, 500):
                 part = batch.slice(k, 500)
-                sets = [shingles(t, width) for t in binary_texts(part.column(1))]
+                new = {}
+                for i, x in enumerate(part.column(0).to_pylist()):
+                    if x not in seen:  # copies of a text are filed once, as far as this task remembers
+                        new.setdefault(x, i)
+                seen.update(new)
+                if len(seen) > 500_000:
+                    seen.clear()
+                if not new:
+                    continue
+                sets = [shingles(t, width) for t in binary_texts(part.column(1).take(pa.array(list(new.values()))))]
                 first = [prefix(x, cells.value, least) for x in sets]
                 n = [x.size for x in first]
                 at = np.concatenate([np.arange(x) for x in n])
-                own = np.repeat(part.column(0).to_numpy(), n), np.repeat([x.size for x in sets], n)
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(first).view(np.int64)), pa.array(own[0]), pa.array(own[1].astype(np.int32)), pa.array(at.astype(np.int32))], names=["h", "id", "size", "at"])
+                own = np.repeat(np.array(list(new), np.int64), n), np.repeat([x.size for x in sets], n)
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(first).view(np.int64)), pa.array(own[0]), pa.array(own[1].astype(np.int32)), pa.array(at.astype(np.int32))], names=NAMES)
 
     spec = "h bigint, id bigint, size int, at int"
-    paired = lambda df: df.repartition("h").sortWithinPartitions("h", "id").mapInArrow(_paired(least), spec)
-    live = cut(paired(keyed.select("k1", column).mapInArrow(postings, spec)).join(ranked.hint("merge"), "id").select("h", "id", "size", "at", "d"))
+    filed = lambda df: df.repartition("h").sortWithinPartitions("h", "id")
+    live = cut(filed(keyed.select("k1", column).mapInArrow(postings, spec)).mapInArrow(_paired(least, near), spec))
 
     @trimmed
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -450,30 +512,21 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", width: in
             found = [shingles(t, width).tobytes() for t in binary_texts(batch.column(1))]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], names=["id", "grams"])
 
-    @trimmed
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            pairs = zip(*(batch.column(x).to_pylist() for x in ("ugrams", "vgrams")))
-            close = [similarity(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)) >= least for x, y in pairs]
-            yield pa.RecordBatch.from_arrays([batch.column("u"), batch.column("v")], names=["u", "v"]).filter(pa.array(close, pa.bool_()))
-
     of_row = ["a", "k1", "k2"]
-    alive = live.select("id").distinct().join(texts.select(*of_row).hint("merge"), F.col("id") == F.col("k1")).select(*of_row)
-    own = cut(keyed.select(*of_row, column).join(alive, of_row).dropDuplicates(of_row).select("k1", column).mapInArrow(sets, "id bigint, grams binary"))
-    of = lambda x: own.select(F.col("id").alias(x), F.col("grams").alias(f"{x}grams")).hint("merge")
-    gone, leaders = None, 1
-    while live.limit(1).count():
-        met = cut(live.repartition("h").sortWithinPartitions("h", "d", "id").select("h", "id", "size", "at").mapInArrow(_pairs(least, leaders), "u bigint, v bigint").distinct())
-        similar = cut(met.where("u is not null").join(of("u"), "u").join(of("v"), "v").mapInArrow(compare, "u bigint, v bigint"))
-        waits = met.where("u is null").select(F.col("v").alias("id")).unionByName(similar.select(F.col("v").alias("id"))).distinct()
-        stays = cut(live.select("id").distinct().join(waits.hint("merge"), "id", "left_anti"))
-        goes = cut(similar.join(stays.withColumnRenamed("id", "u").hint("merge"), "u").select(F.col("v").alias("id")).distinct())
-        gone = goes if gone is None else gone.unionByName(goes)
-        rest = live.join(stays.unionByName(goes).hint("merge"), "id", "left_anti")
-        live = cut(paired(rest.select("h", "id", "size", "at")).join(rest.select("id", "d").distinct().hint("merge"), "id").select("h", "id", "size", "at", "d"))
-        leaders *= 4
-    kept = texts.select(*of_row) if gone is None else texts.select(*of_row).join(gone.hint("merge"), F.col("k1") == F.col("id"), "left_anti")
-    left = keyed.join(kept, of_row)
+    asked = live.select("id").unionByName(led.select(F.col("u").alias("id"))).unionByName(led.select(F.col("v").alias("id"))).distinct()
+    asked = asked.join(texts.select(*of_row).hint("merge"), F.col("id") == F.col("k1")).select(*of_row)
+    own = cut(keyed.select(*of_row, column).join(asked.hint("merge"), of_row).dropDuplicates(of_row).select("k1", column).mapInArrow(sets, "id bigint, grams binary"))
+
+    copies = _similar(led, own, least).select(F.col("v").alias("id"))
+    rest = live.join(dealt_anew(copies, "id").hint("merge"), "id", "left_anti").select(*NAMES)
+    met = cut(filed(rest).mapInArrow(_pairs(least, near), "h bigint, u bigint, v bigint, size int, at int"))
+    joined = _similar(met.where("v is not null").select("u", "v").distinct(), own, least)
+    many = _crowded(met.where("v is null").select("h", F.col("u").alias("id"), "size", "at").distinct(), own, least)
+    if many is not None:
+        joined = joined.unionByName(many)
+    other = stars(joined.select(F.col("u").alias("a"), F.col("v").alias("b"))).select(F.col("node").alias("id"))
+    kept = texts.join(dealt_anew(copies.unionByName(other), "id").hint("merge"), F.col("k1") == F.col("id"), "left_anti").select(*of_row)
+    left = keyed.join(kept.hint("merge"), of_row)
     repeats = texts.agg(F.coalesce(F.sum("n"), F.lit(0)) - F.count("*")).first()[0]
     if repeats:  # a repeated row has the key and text of the one that stays
         left = left.dropDuplicates(of_row)

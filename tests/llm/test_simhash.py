@@ -87,15 +87,38 @@ def jaccard(a, b, width=5):
     return len(a & b) / len(a | b)
 
 
-def check_kept(spark, texts, least=0.8):
-    got = [r[0] for r in simhash.keep_one(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")).select("doc_id").collect()]
+def check_kept(spark, texts, least=0.8, **how):
+    """No two that stay are similar, and each that goes is joined with one that stays by similar pairs."""
+    got = [r[0] for r in simhash.keep_one(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(3), **how).select("doc_id").collect()]
     left = set(got)
     assert len(left) == len(got)
-    assert not [(i, j) for i in left for j in left if i < j and jaccard(texts[i], texts[j]) >= least]
-    assert all(any(jaccard(t, texts[j]) >= least for j in left) for i, t in enumerate(texts) if i not in left)
+    close = [(i, j) for i in range(len(texts)) for j in range(i) if jaccard(texts[i], texts[j]) >= least]
+    assert not [x for x in close if left.issuperset(x)]
+    root = sets_of(len(texts), close)
+    assert {root[i] for i in left} == set(root)
     return left
 
 
+@pytest.mark.parametrize("how", [{}, {"near": 2}, {"near": 2, "most": 0}])
+def test_keep_one_against_brute_force(spark, how):
+    """Groups with several leaders, chains, families of dissimilar edits, short texts and copies, whatever the bounds."""
+    r = np.random.default_rng(11)
+    texts = ["", "one", "One", "two words", "a b c d e", "a b c d e f", "f e d c b a", " ".join(["x"] * 90), " ".join(["x"] * 400)]
+    for k in range(12):
+        words = [f"w{x}" for x in r.integers(0, 900, int(r.integers(20, 200)))]
+        texts += [" ".join(words)] * 2
+        for n in range(12):
+            if r.random() < 0.5:
+                at = int(r.integers(0, len(words)))
+                words[at:at] = [f"n{k}{n}{i}" for i in range(int(r.integers(1, 9)))]
+            else:
+                for i in r.choice(len(words), int(r.integers(1, 5)), replace=False):
+                    words[i] = f"e{k}{n}{i}"
+            texts.append(" ".join(words))
+    texts += [f"{t} {texts[20]}" for t in texts[60:70]]
+    check_kept(spark, texts, **how)
+
+
 def test_keep_one_in_a_family_of_dissimilar_edits(spark):
     r = np.random.default_rng(5)
     base = [f"w{x}" for x in r.integers(0, 5000, 300)]
@@ -109,6 +132,7 @@ def test_keep_one_in_a_family_of_dissimilar_edits(spark):
     family = [edited(base, 7, k) for k in range(40)]
     texts = [" ".join(x) for x in family] + [" ".join(edited(x, 1, "p")) for x in family[:10]]
     assert len(check_kept(spark, texts)) <= 40
+    check_kept(spark, texts, near=3)
 
 
 def test_keep_one_finds_block_edits(spark):
