@@ -1,30 +1,37 @@
 """Language-model scoring: a hashed maximum-entropy model with a class-factored softmax.
 
-Tokens are the words of the lower-cased (A-Z) text and one end. A word's class is a hash of its last
-three bytes; the end is a class of its own. The model's probability of a token is that of its class,
-given the words before it, times that of the token in its class. Class logits are sums of weights of
-hashed features: the word before (n-gram), the one before that and the third one (skips), and the
-pair before, with words taken by their endings. Weights are trained by gradient steps: each task runs
+Tokens are the words of the lower-cased (A-Z) text and one end. Each word has a path of classes, one at
+each of LEVELS: the first BY_ENDING by a hash of its ending, the others by a hash of the word. The
+model's probability of a token is the product of those of its classes, each by a softmax over the
+classes of its level given the words before it and the classes above, and that of the token in its last
+class. Logits are sums of weights of
+hashed features: the word before (n-gram) and the one before that (skip), whole or by their endings, the
+pair of both, and a bias of the class above. Weights are trained by gradient steps: each task runs
 AdaGrad over its own training tokens, and tasks' weights are averaged, each row by how often the task
-saw it, in a tree of sums; ``rounds`` such passes are made. Within a class, tokens have add-one
-relative frequency over all training tokens, with one share for all unknown tokens of the class, so
-the probabilities of a context sum to one.
+saw it, in a tree of sums; ``rounds`` such passes are made. How rows are dealt to tasks thus enters the
+weights. In the last class, which frequent words have nearly for themselves, tokens have add-one
+relative frequency over all training tokens, with one share for all unknown tokens of the class, so the
+probabilities of a context sum to one.
 
 Exact counts of words cannot be held anywhere as a whole. Rows are dealt into blocks of about
-BLOCK_BYTES by key; a block counts its words, counts are summed by word, and a word's sum goes back
-only to blocks that cannot know it themselves, because other blocks have the word, too. Each block is
-then scored with its counts. What is sent grows with the corpus, what a task holds does not.
-
-Null text is empty: one end token. Rows with a null key are scored and count as training text.
+BLOCK_BYTES by a hash of key and text; a block counts its words, counts are summed by word, and a word's
+sum goes back only to blocks that cannot know it themselves, because other blocks have the word, too.
+Each block is then scored with its counts. What is sent grows with the corpus, what a task holds does not.
+
+Null text is empty: one end token. Rows with a null key are scored, and are training text as the
+condition says. Repeated rows are scored each; those of one key and text share a block. A very long text
+is one row of its block. Only key and text are read, so other columns may have any names. An empty table
+gives no rows.
 """
 
 from __future__ import annotations
 
 import hashlib
 import math
+import zlib
 from collections import Counter
 from collections.abc import Iterator
-from itertools import repeat
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -34,41 +41,49 @@ from pyspark.sql import functions as F
 
 from basketlens.llm.runtime import binary_texts, cut, ready, release, trimmed
 
-CLASSES = 49
-ROWS = 2048
-FEATURES = 4
+#: Classes of each level below one of the level above, and rows of weights for each of its features.
+LEVELS = (8, 8, 8, 8)
+ROWS = (1 << 12, 1 << 13, 1 << 13, 1 << 15)
+#: Levels whose class is a hash of the ending.
+BY_ENDING = 3
+LEAVES = math.prod(LEVELS)
+FEATURES = 3
 BLOCK_BYTES = 12_000_000
 STEP = 8192
 #: Longer words go by a digest, of equal length whatever the word.
 LONG = 40
 END = b""
-_CHUNK_ROWS = 128
+_CHUNK_ROWS = 1024
 
 
 def word_key(word: bytes) -> bytes:
-    """The word, or for a long one its digest and last three bytes behind a byte that UTF-8 has not."""
-    return word if len(word) <= LONG else b"\xff" + hashlib.md5(word).digest() + word[-3:]
+    """The word, or for a long one its digests and last three bytes behind a byte that UTF-8 has not."""
+    return word if len(word) <= LONG else b"\xff" + hashlib.md5(word).digest() + zlib.crc32(word).to_bytes(4, "little") + word[-3:]
+
+
+def key_hash(key: bytes) -> int:
+    """crc32 of the word of a key."""
+    return zlib.crc32(key) if key[:1] != b"\xff" else int.from_bytes(key[17:21], "little")
 
 
 _GAP = np.zeros(256, bool)
 _GAP[[32, 9, 10, 11, 12, 13]] = True
 
 
+def _mixed(h: np.ndarray) -> np.ndarray:
+    h = h * np.uint32(0x85EBCA6B)
+    return h ^ (h >> np.uint32(13))
+
+
 def _ending(a: np.ndarray, b: np.ndarray, c: np.ndarray) -> np.ndarray:
     """A hash, not 0, of the last byte, the one before and the third (0 where there is none)."""
     h = (a.astype(np.uint32) | b.astype(np.uint32) << np.uint32(8) | c.astype(np.uint32) << np.uint32(16)) * np.uint32(0x9E3779B1)
-    h ^= h >> np.uint32(15)
-    h *= np.uint32(0x85EBCA6B)
-    return (h ^ (h >> np.uint32(13))) | np.uint32(1)
-
-
-def class_of(ending: np.ndarray) -> np.ndarray:
-    return np.where(ending == 0, 0, 1 + (ending >> np.uint32(8)) % np.uint32(CLASSES - 1)).astype(np.int64)
+    return _mixed(h ^ (h >> np.uint32(15))) | np.uint32(1)
 
 
 def endings(texts: list[bytes]) -> np.ndarray:
-    """A hash of each token's ending, over all texts; 0 for an end."""
-    buf = np.frombuffer(b" \xff ".join([*texts, b""]).lower(), np.uint8)
+    """A hash of each token's ending, over all texts (lower-cased); 0 for an end."""
+    buf = np.frombuffer(b" \xff ".join([*texts, b""]), np.uint8)
     word = ~_GAP[buf]
     last = np.flatnonzero(word[:-1] & ~word[1:])
     a = buf[last]
@@ -79,81 +94,136 @@ def endings(texts: list[bytes]) -> np.ndarray:
     return np.where(a == 255, np.uint32(0), _ending(a, b, c))
 
 
-def key_classes(keys: pa.Array) -> np.ndarray:
-    """Class of each word key."""
-    keys = keys.cast(pa.large_binary())
-    if not len(keys):
-        return np.zeros(0, np.int64)
-    offsets = np.frombuffer(keys.buffers()[1], "<i8")[keys.offset : keys.offset + len(keys) + 1]
-    data = np.frombuffer(keys.buffers()[2], np.uint8) if keys.buffers()[2] else np.zeros(1, np.uint8)
-    begin, end = offsets[:-1], offsets[1:]
-    at = [np.where(end - begin > k, data[np.maximum(end - 1 - k, 0) % max(data.size, 1)], 0) for k in range(3)]
-    return class_of(np.where(end == begin, np.uint32(0), _ending(*at)))
-
-
-def contexts(u: np.ndarray) -> np.ndarray:
-    """Rows of the weights that each token's features name: (FEATURES, tokens); nothing reaches over an end."""
-    pad = np.concatenate([np.zeros(3, np.uint32), u])
-    one = pad[2:-1]
-    two = np.where(one == 0, np.uint32(0), pad[1:-2])
-    three = np.where(two == 0, np.uint32(0), pad[:-3])
-    pair = (one * np.uint32(0x01000193)) ^ (two * np.uint32(0xC2B2AE35))
-    shift = np.uint32(32 - ROWS.bit_length() + 1)
-    mix = lambda x, k: ((x * np.uint32(0x85EBCA6B)) ^ np.uint32(k * 0x7F4A7C15 & 0xFFFFFFFF)) * np.uint32(0xC2B2AE3D) >> shift
-    return np.stack([mix(x, k).astype(np.int64) + k * ROWS for k, x in enumerate((one, two, three, pair))])
-
-
-def class_logs(weights: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    """Natural-log probabilities of all classes: (tokens, CLASSES)."""
+def tokens_of(texts: list[bytes]) -> tuple[list[list[bytes]], np.ndarray, np.ndarray]:
+    """Words of each text with its end, and of all tokens the hash of the ending and of the word; 0 for an end."""
+    texts = [t.lower() for t in texts]
+    words = [t.split() for t in texts]
+    for w in words:
+        w.append(END)
+    n = sum(map(len, words))
+    return words, endings(texts), np.fromiter(map(zlib.crc32, chain.from_iterable(words)), np.uint32, n)
+
+
+def paths(ending: np.ndarray, word: np.ndarray) -> list[np.ndarray]:
+    """The class of each token at each level."""
+    out, h = [], _mixed(ending ^ np.uint32(0x2545F491))
+    for level, size in enumerate(LEVELS):
+        if level == BY_ENDING:
+            h = _mixed(word ^ np.uint32(0x2545F491))
+        out.append((h % np.uint32(size)).astype(np.int64))
+        h = h // np.uint32(size)
+    return out
+
+
+def leaf(path: list[np.ndarray]) -> np.ndarray:
+    out = path[0]
+    for c, size in zip(path[1:], LEVELS[1:]):
+        out = out * size + c
+    return out
+
+
+def key_leaves(keys: pa.Array) -> np.ndarray:
+    """Last class of each word key, as a number."""
+    words = keys.cast(pa.large_binary()).to_pylist()
+    ends = np.array([(*w[-3:][::-1], 0, 0, 0)[:3] for w in words], np.uint32).reshape(-1, 3)
+    ending = np.where([not w for w in words], np.uint32(0), _ending(ends[:, 0], ends[:, 1], ends[:, 2])) if words else np.zeros(0, np.uint32)
+    return leaf(paths(ending, np.fromiter(map(key_hash, words), np.uint32, len(words))))
+
+
+def contexts(ending: np.ndarray, word: np.ndarray, path: list[np.ndarray]) -> list[np.ndarray]:
+    """For each level, the rows of its weights that each token's features and the classes above name: (FEATURES + 1, tokens); nothing reaches over an end."""
+    e, w = (np.concatenate([np.zeros(2, np.uint32), x]) for x in (ending, word))
+    e1, w1 = e[1:-1], w[1:-1]
+    w2 = np.where(w1 == 0, np.uint32(0), w[:-2])
+    e2 = np.where(w1 == 0, np.uint32(0), e[:-2])
+    pair = (w1 * np.uint32(0x01000193)) ^ (w2 * np.uint32(0xC2B2AE35))
+    ends = (e1 * np.uint32(0x01000193)) ^ (e2 * np.uint32(0xC2B2AE35))
+    out, above = [], np.zeros(ending.size, np.uint32)
+    for level, rows in enumerate(ROWS):
+        shift = np.uint32(33 - rows.bit_length())
+        of = []
+        for k, x in enumerate((w1, ends, e2) if level < BY_ENDING else (w1, w2, pair)):
+            h = _mixed(x ^ (above * np.uint32(0x9E3779B1)) ^ np.uint32((k + 1) * 0x7F4A7C15 & 0xFFFFFFFF)) * np.uint32(0xC2B2AE3D)
+            of.append((h >> shift).astype(np.int64) + k * rows)
+        of.append(above.astype(np.int64) + FEATURES * rows)
+        out.append(np.stack(of))
+        above = above * np.uint32(LEVELS[level]) + path[level].astype(np.uint32)
+    return out
+
+
+def shapes() -> list[tuple[int, int]]:
+    """Rows and columns of the weights of each level: hashed features, then a bias for each class above."""
+    return [(FEATURES * rows + math.prod(LEVELS[:level]), LEVELS[level]) for level, rows in enumerate(ROWS)]
+
+
+def logits(weights: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """Sums of the weights that tokens' features name: (tokens, classes)."""
     z = weights[rows[0]]
     for r in rows[1:]:
         z += weights[r]
-    z += weights[-1]
-    z -= z.max(axis=1, keepdims=True)
+    return np.clip(z, -60, 60, out=z)  # far beyond what is learned, and short of an overflow
+
+
+def class_logs(weights: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """Natural-log probabilities of all classes of a level: (tokens, classes)."""
+    z = logits(weights, rows)
     return z - np.log(np.exp(z).sum(axis=1, keepdims=True))
 
 
+def token_logs(weights: np.ndarray, rows: np.ndarray, target: np.ndarray) -> np.ndarray:
+    """Natural-log probability of each token's class."""
+    out = np.empty(target.size, np.float32)
+    for k in range(0, target.size, STEP):
+        z, y = logits(weights, rows[:, k : k + STEP]), target[k : k + STEP]
+        own = z[np.arange(y.size), y]
+        out[k : k + STEP] = own - np.log(np.exp(z, out=z).sum(axis=1))
+    return out
+
+
 class Learner:
-    """AdaGrad over a task's tokens; the last row of the weights is the bias."""
-
-    def __init__(self, weights: np.ndarray, rate: float = 0.35, batch: int = 1 << 15):
-        self.w, self.rate, self.batch = weights.copy(), rate, batch
-        self.square = np.full(weights.shape, 1e-6, np.float32)
-        self.seen = np.zeros(len(weights), np.int64)
-
-    def learn(self, u: np.ndarray) -> None:
-        rows, target = contexts(u), class_of(u)
-        for k in range(0, u.size, self.batch):
-            r, y = rows[:, k : k + self.batch], target[k : k + self.batch]
-            n = y.size
-            g = np.empty((CLASSES, n), np.float32)
-            for i in range(0, n, STEP):
-                g[:, i : i + STEP] = np.exp(class_logs(self.w, r[:, i : i + STEP])).T
-            g[y, np.arange(n)] -= 1
-            step = np.zeros(self.w.shape, np.float64)
-            flat = r - (np.arange(FEATURES) * ROWS)[:, None]
-            for f in range(FEATURES):
-                part = step[f * ROWS : (f + 1) * ROWS]
-                for c in range(CLASSES):
-                    part[:, c] = np.bincount(flat[f], g[c], ROWS)
-                self.seen[f * ROWS : (f + 1) * ROWS] += np.bincount(flat[f], minlength=ROWS)
-            step[-1] = g.sum(axis=1)
-            self.seen[-1] += n
-            self.square += step.astype(np.float32) ** 2
-            self.w -= (self.rate * step / np.sqrt(self.square)).astype(np.float32)
-
-
-def train(docs: DataFrame, text: str = "text", rounds: int = 1) -> np.ndarray:
-    """Weights (FEATURES * ROWS + 1, CLASSES) from all rows of docs."""
+    """AdaGrad over a task's tokens."""
+
+    def __init__(self, weights: list[np.ndarray], rate: float = 0.3, batch: int = 1 << 16):
+        self.w, self.rate, self.batch = [w.copy() for w in weights], rate, batch
+        self.square = [np.ones(w.shape, np.float32) for w in weights]
+        self.seen = [np.zeros(len(w), np.int64) for w in weights]
+
+    def learn(self, ending: np.ndarray, word: np.ndarray) -> None:
+        path = paths(ending, word)
+        rows = contexts(ending, word, path)
+        for k in range(0, ending.size, self.batch):
+            for level, of in enumerate(rows):
+                self.step(level, of[:, k : k + self.batch], path[level][k : k + self.batch])
+
+    def step(self, level: int, rows: np.ndarray, target: np.ndarray) -> None:
+        w, square, seen, size, n = self.w[level], self.square[level], self.seen[level], ROWS[level], target.size
+        g = np.empty((n, LEVELS[level]), np.float32)
+        for i in range(0, n, STEP):
+            p = logits(w, rows[:, i : i + STEP])
+            np.exp(p, out=p)
+            g[i : i + STEP] = p / p.sum(axis=1, keepdims=True)
+        g[np.arange(n), target] -= 1
+        for f in range(FEATURES + 1):
+            at = (rows[f] - f * size).astype(np.uint16)  # sorted fast; no feature has more rows
+            order = np.argsort(at, kind="stable")
+            at = at[order]
+            first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
+            step, met = np.add.reduceat(g[order], first, axis=0), at[first].astype(np.int64) + f * size
+            seen[met] += np.diff(np.append(first, n))
+            square[met] += step**2
+            w[met] -= self.rate * step / np.sqrt(square[met])
+
+
+def train(docs: DataFrame, text: str = "text", rounds: int = 1) -> list[np.ndarray]:
+    """Weights of each level from all rows of docs."""
     ready(docs.sparkSession)
-    size = FEATURES * ROWS + 1
-    weights = np.zeros((size, CLASSES), np.float32)
+    weights = [np.zeros(x, np.float32) for x in shapes()]
     rows = docs.select(F.col(text))
     tasks = max(1, rows.rdd.getNumPartitions())
     fan = math.isqrt(tasks - 1) + 1
-    schema = "part int, branch int, total binary, seen binary"
-    types = [pa.int32(), pa.int32(), pa.binary(), pa.binary()]
-    names = ["part", "branch", "total", "seen"]
+    schema = "level int, part int, branch int, total binary, seen binary"
+    types = [pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary()]
+    names = ["level", "part", "branch", "total", "seen"]
     for _ in range(rounds):
         held = docs.sparkSession.sparkContext.broadcast(weights)
 
@@ -165,28 +235,30 @@ def train(docs: DataFrame, text: str = "text", rounds: int = 1) -> np.ndarray:
                     lot.append(t)
                     weight += len(t) + 1
                     if weight > 1_000_000:
-                        learner.learn(endings(lot))
+                        learner.learn(*tokens_of(lot)[1:])
                         lot, weight = [], 0
             if lot:
-                learner.learn(endings(lot))
-            total, branch = learner.w.astype(np.float64) * learner.seen[:, None], TaskContext.get().partitionId() % fan
-            parts = range(0, size, _CHUNK_ROWS)
-            out = [[i for i, _ in enumerate(parts)], [branch] * len(parts), [total[k : k + _CHUNK_ROWS].tobytes() for k in parts], [learner.seen[k : k + _CHUNK_ROWS].tobytes() for k in parts]]
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, types)], names=names)
+                learner.learn(*tokens_of(lot)[1:])
+            branch = TaskContext.get().partitionId() % fan
+            for level, (w, seen) in enumerate(zip(learner.w, learner.seen)):
+                parts = range(0, len(w), _CHUNK_ROWS)
+                total = w * seen[:, None].astype(np.float32)
+                out = [[level] * len(parts), [i for i, _ in enumerate(parts)], [branch] * len(parts), [total[k : k + _CHUNK_ROWS].tobytes() for k in parts], [seen[k : k + _CHUNK_ROWS].tobytes() for k in parts]]
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, types)], names=names)
 
         def add(table: pa.Table) -> pa.Table:
-            total = sum(np.frombuffer(x, np.float64) for x in table["total"].to_pylist())
+            total = sum(np.frombuffer(x, np.float32).astype(np.float64) for x in table["total"].to_pylist()).astype(np.float32)
             seen = sum(np.frombuffer(x, np.int64) for x in table["seen"].to_pylist())
-            out = [table["part"][0].as_py()], [table["branch"][0].as_py()], [total.tobytes()], [seen.tobytes()]
+            out = [[table[x][0].as_py()] for x in ("level", "part", "branch")] + [[total.tobytes()], [seen.tobytes()]]
             release()
             return pa.Table.from_arrays([pa.array(x, t) for x, t in zip(out, types)], names=names)
 
-        sums = rows.mapInArrow(learn, schema).groupBy("part", "branch").applyInArrow(add, schema).groupBy("part").applyInArrow(add, schema).collect()
-        for r in sums:  # as many rows as the weights have chunks
-            seen = np.frombuffer(r["seen"], np.int64)
+        sums = rows.mapInArrow(learn, schema).groupBy("level", "part", "branch").applyInArrow(add, schema).groupBy("level", "part").applyInArrow(add, schema)
+        for r in sums.toLocalIterator():  # as many rows as the weights have chunks
+            seen, w = np.frombuffer(r["seen"], np.int64), weights[r["level"]]
             at = slice(r["part"] * _CHUNK_ROWS, r["part"] * _CHUNK_ROWS + seen.size)
-            mean = np.frombuffer(r["total"], np.float64).reshape(-1, CLASSES) / np.maximum(seen, 1)[:, None]
-            weights[at] = np.where(seen[:, None] > 0, mean, weights[at])
+            mean = np.frombuffer(r["total"], np.float32).reshape(seen.size, -1) / np.maximum(seen, 1)[:, None]
+            w[at] = np.where(seen[:, None] > 0, mean, w[at])
     return weights
 
 
@@ -206,12 +278,8 @@ def block_counts(table: pa.Table) -> Counter:
     return counts
 
 
-def shared_counts(blocked: DataFrame) -> DataFrame:
-    """Of blocked rows (block, train, text): (block, word, n) where the block cannot tell the word's count n itself.
-
-    Rows of block -1 have sums instead, which are to be added up: word is empty, cls the class, n the
-    training tokens of the class and distinct the different ones.
-    """
+def shared_counts(blocked: DataFrame) -> tuple[DataFrame, np.ndarray, np.ndarray]:
+    """Of blocked rows (block, train, text): (block, word, n) where the block cannot tell the word's count n itself; and of each leaf the training tokens and the different ones."""
 
     def count(table: pa.Table) -> pa.Table:
         counts = block_counts(table)
@@ -219,25 +287,25 @@ def shared_counts(blocked: DataFrame) -> DataFrame:
         release()
         return pa.Table.from_arrays([pa.array(x, t) for x, t in zip(out, (pa.int32(), pa.binary(), pa.int64()))], names=["block", "word", "own"])
 
-    own = blocked.select("block", "train", "text").groupBy("block").applyInArrow(count, "block int, word binary, own bigint")
-    summed = own.selectExpr("*", "sum(own) over (partition by word) as n", "min(block) over (partition by word) as lead")
+    own = cut(blocked.select("block", "train", "text").groupBy("block").applyInArrow(count, "block int, word binary, own bigint"))
+    summed = cut(own.groupBy("word").agg(F.sum("own").alias("n"), F.count("*").alias("blocks")))
 
     @trimmed
-    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["block", "word", "cls", "n", "distinct"]
-        tokens, distinct = np.zeros(CLASSES, np.int64), np.zeros(CLASSES, np.int64)
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokens, distinct = np.zeros(LEAVES, np.int64), np.zeros(LEAVES, np.int64)
         for batch in batches:
-            own_, n, lead, block = (batch.column(x).to_numpy(zero_copy_only=False) for x in ("own", "n", "lead", "block"))
-            cls = key_classes(batch.column("word"))
-            tokens += np.bincount(cls, own_, CLASSES).astype(np.int64)
-            distinct += np.bincount(cls[(lead == block) & (n > 0)], minlength=CLASSES)
-            at = pa.array(np.flatnonzero(n != own_))
-            zero = pa.array(np.zeros(len(at), np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column("block").take(at), batch.column("word").take(at), zero.cast(pa.int32()), batch.column("n").take(at), zero], names=names)
+            of, n = key_leaves(batch.column(0)), batch.column(1).to_numpy(zero_copy_only=False)
+            tokens += np.bincount(of, n, LEAVES).astype(np.int64)
+            distinct += np.bincount(of[n > 0], minlength=LEAVES)
         at = np.flatnonzero(tokens)
-        yield pa.RecordBatch.from_arrays([pa.array([-1] * at.size, pa.int32()), pa.array([b""] * at.size, pa.binary()), pa.array(at, pa.int32()), pa.array(tokens[at]), pa.array(distinct[at])], names=names)
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(tokens[at]), pa.array(distinct[at])], names=["leaf", "n", "distinct"])
 
-    return summed.mapInArrow(split, "block int, word binary, cls int, n bigint, distinct bigint")
+    tokens, distinct = np.zeros(LEAVES, np.int64), np.zeros(LEAVES, np.int64)
+    per = summed.select("word", "n").mapInArrow(sums, "leaf int, n bigint, distinct bigint").groupBy("leaf").agg(F.sum("n"), F.sum("distinct"))
+    for at, n, v in per.collect():  # at most LEAVES rows
+        tokens[at], distinct[at] = n, v
+    several = summed.where("blocks > 1").select("word", "n").hint("merge")
+    return cut(own.join(several, "word").where("n <> own").select("block", "word", "n")), tokens, distinct
 
 
 def score(docs: DataFrame, train_rows: Column, key: str = "doc_id", text: str = "text", rounds: int = 1) -> DataFrame:
@@ -250,11 +318,8 @@ def score(docs: DataFrame, train_rows: Column, key: str = "doc_id", text: str =
     weights = train(rows.where("train"), rounds=rounds)
     total = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     blocks = 1 + int(total) // BLOCK_BYTES
-    blocked = rows.withColumn("block", F.coalesce(F.pmod(F.xxhash64("key"), F.lit(blocks)), F.lit(0)).cast("int"))
-    shared = cut(shared_counts(blocked))
-    tokens, distinct = np.zeros(CLASSES, np.int64), np.zeros(CLASSES, np.int64)
-    for r in shared.where("block = -1").groupBy("cls").agg(F.sum("n"), F.sum("distinct")).collect():
-        tokens[r[0]], distinct[r[0]] = r[1], r[2]
+    blocked = rows.withColumn("block", F.pmod(F.xxhash64("key", "text"), F.lit(blocks)).cast("int"))
+    shared, tokens, distinct = shared_counts(blocked)
     n_all, v_all = int(tokens.sum()), int(distinct.sum())
     held = docs.sparkSession.sparkContext.broadcast(weights)
     schema = f"key {rows.schema['key'].dataType.simpleString()}, train boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"
@@ -263,7 +328,7 @@ def score(docs: DataFrame, train_rows: Column, key: str = "doc_id", text: str =
         w = held.value
         counts = dict(block_counts(table)) if len(table) else {}
         counts.update(zip(counted["word"].to_pylist(), counted["n"].to_pylist()))
-        in_class = np.log10(tokens + distinct + 1.0)
+        in_leaf = np.log10(tokens + distinct + 1.0)
         out: list[tuple] = []
         texts = binary_texts(table["text"].combine_chunks())
         lot, weight = [], 0
@@ -272,27 +337,23 @@ def score(docs: DataFrame, train_rows: Column, key: str = "doc_id", text: str =
             weight += len(t)
             if weight < 1_000_000 and i + 1 < len(texts):
                 continue
-            u = endings(lot)
-            cls, logs = class_of(u), np.empty(u.size)
-            feature = contexts(u)
-            for k in range(0, u.size, STEP):
-                y = cls[k : k + STEP]
-                logs[k : k + STEP] = class_logs(w, feature[:, k : k + STEP])[np.arange(y.size), y]
-            logs = logs / math.log(10) - in_class[cls]
-            ends = np.flatnonzero(u == 0)
+            words, ending, hashed = tokens_of(lot)
+            path = paths(ending, hashed)
+            logs = -in_leaf[leaf(path)]
+            for level, rows_ in enumerate(contexts(ending, hashed, path)):
+                logs += token_logs(w[level], rows_, path[level]) / math.log(10)
             begin = 0
-            for t_, end in zip(lot, ends.tolist()):
-                words = [word_key(x) if len(x) > LONG else x for x in t_.lower().split()]
-                words.append(END)
-                c = np.fromiter(map(counts.get, words, repeat(0)), np.int64, len(words))
+            for own in words:
+                end = begin + len(own)
+                own = [word_key(x) if len(x) > LONG else x for x in own]
+                c = np.fromiter(map(counts.get, own, repeat(0)), np.int64, len(own))
                 seen = float(np.log10(c + 1.0).sum())
-                out.append((c.size, int((c > 0).sum()), n_all, seen - c.size * math.log10(n_all + v_all + 1), seen + float(logs[begin : end + 1].sum())))
-                begin = end + 1
+                out.append((c.size, int((c > 0).sum()), n_all, seen - c.size * math.log10(n_all + v_all + 1), seen + float(logs[begin:end].sum())))
+                begin = end
             lot, weight = [], 0
         release()
         columns = list(zip(*out)) or [[]] * 5
         kinds = [pa.int64()] * 3 + [pa.float64()] * 2
         return pa.Table.from_arrays([table["key"].combine_chunks(), table["train"].combine_chunks(), *(pa.array(list(x), k) for x, k in zip(columns, kinds))], names=["key", "train", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
-    words = shared.where("block >= 0").select("block", "word", "n")
-    return blocked.groupBy("block").cogroup(words.groupBy("block")).applyInArrow(judge, schema).withColumnRenamed("key", key)
+    return blocked.groupBy("block").cogroup(shared.groupBy("block")).applyInArrow(judge, schema).withColumnRenamed("key", key)
