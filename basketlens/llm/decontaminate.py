@@ -15,8 +15,11 @@ fewer than ``rare`` times in the corpus, words independent of each other, is a s
 such an n-gram is its own seed.
 
 Test items are the query side. They are taken in blocks of at most BLOCK_WORDS words, each held in
-full by every task; texts are never shuffled. Null or empty items match nothing, null or empty texts
-hold nothing; repeated items and rows are reported each.
+full by every task; texts are never shuffled. In a block, items of the same words are sought once.
+Null or empty items match nothing, null or empty texts hold nothing; repeated items and rows are
+reported each, and keys may be null or of any type. Very long texts are searched whole. Where the item
+key has the name of the key or of a measure, it is given as ``item_`` and its name. Of other columns
+any name will do. Empty tables give no matches, and leave all documents.
 """
 
 from __future__ import annotations
@@ -29,6 +32,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from basketlens.llm.runtime import binary_texts, ready, trimmed
 
@@ -51,7 +55,10 @@ class Items:
     """A block of test items: their words as numbers from 1, and their seeds."""
 
     def __init__(self, keys: list, texts: list[bytes]):
-        self.keys, split = keys, [words_of(t) for t in texts]
+        same: dict[tuple[bytes, ...], list] = {}
+        for k, t in zip(keys, texts):
+            same.setdefault(tuple(words_of(t)), []).append(k)
+        self.keys, split = list(same.values()), list(same)
         self.number: dict[bytes, int] = {}
         for words in split:
             for w in words:
@@ -219,7 +226,7 @@ def blocks(docs: DataFrame, items: DataFrame, text: str, item_key: str, item_tex
     size = items.agg(F.coalesce(F.sum(F.length(item_text)), F.lit(0))).first()[0] // 2
     parts = 1 + int(size) // BLOCK_WORDS
     for part in range(parts):
-        rows = items.where(F.pmod(F.xxhash64(item_text), F.lit(parts)) == part) if parts > 1 else items
+        rows = items.where(F.pmod(F.xxhash64(item_key, item_text), F.lit(parts)) == part) if parts > 1 else items
         got = rows.select(F.col(item_key).alias("k"), F.col(item_text).alias("t")).where("t is not null").orderBy("k", "t").collect()
         block = Items([r["k"] for r in got], [r["t"].encode() for r in got])
 
@@ -246,8 +253,11 @@ def blocks(docs: DataFrame, items: DataFrame, text: str, item_key: str, item_tex
 def find(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text", rare: float = 0.01, least: float = 0.45) -> DataFrame:
     """key, item_key, score, and the words [first_word, end_word) around it, of every item in every document."""
     ready(docs.sparkSession)
-    schema = f"`{key}` {docs.schema[key].dataType.simpleString()}, `{item_key}` {items.schema[item_key].dataType.simpleString()}, score double, first_word bigint, end_word bigint"
-    kind = pa.int64() if items.schema[item_key].dataType.simpleString() == "bigint" else None
+    measures = ["score", "first_word", "end_word"]
+    named = f"key_{key}" if key in measures else key
+    item_named = f"item_{item_key}" if item_key in (named, *measures) else item_key
+    schema = f"`{named}` {docs.schema[key].dataType.simpleString()}, `{item_named}` {items.schema[item_key].dataType.simpleString()}, score double, first_word bigint, end_word bigint"
+    kind = to_arrow_type(items.schema[item_key].dataType)
     found = None
     for block in blocks(docs, items, text, item_key, item_text, rare, least):
 
@@ -256,11 +266,11 @@ def find(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "te
             for batch in batches:
                 texts = binary_texts(batch.column(1))
                 for k in range(0, len(texts), 1000):
-                    got = matches(block, texts[k : k + 1000], least)
+                    got = [(t, x, *rest) for t, i, *rest in matches(block, texts[k : k + 1000], least) for x in block.keys[i]]
                     t, i, s, a, b = list(zip(*got)) or [[]] * 5
                     yield pa.RecordBatch.from_arrays(
-                        [batch.column(0).take(pa.array([k + x for x in t], pa.int64())), pa.array([block.keys[x] for x in i], kind), pa.array(list(s), pa.float64()), pa.array(list(a), pa.int64()), pa.array(list(b), pa.int64())],
-                        names=[key, item_key, "score", "first_word", "end_word"],
+                        [batch.column(0).take(pa.array([k + x for x in t], pa.int64())), pa.array(list(i), kind), pa.array(list(s), pa.float64()), pa.array(list(a), pa.int64()), pa.array(list(b), pa.int64())],
+                        names=[named, item_named, *measures],
                     )
 
         here = docs.select(F.col(key), F.col(text)).mapInArrow(run, schema)
