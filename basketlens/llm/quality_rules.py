@@ -1,7 +1,9 @@
 """Quality rules: a threshold table compiled into one Spark projection, without user functions.
 
 Words are runs of anything but space and the ASCII controls tab to carriage return. All measures
-come from the whole text. A null text has no words. Rows that repeat get the same verdict each.
+come from the whole text, however long: a row holds its words and windows as arrays. A null text has
+no words. Rows that repeat get the same verdict each. An empty table gives no rows. Columns may have any
+names; those of the verdict are replaced.
 """
 
 from __future__ import annotations
@@ -27,19 +29,24 @@ STOP_WORDS = (
 
 @dataclass(frozen=True)
 class Rule:
-    """A measure by name and the closed range in which it passes; None leaves a side open."""
+    """A measure by name and the closed range in which it passes; None leaves a side open.
+
+    given: another measure and the value above which the rule holds; elsewhere it passes.
+    """
 
     measure: str
     least: float | None = None
     most: float | None = None
+    given: tuple[str, float] | None = None
 
 
-#: The production table. Ratios are to the number of words, but for lines.
+#: The production table. Ratios are to the number of words, but for lines. Few stop words alone are no
+#: fault, since the text may be of a language whose words are not listed; with many symbols they are.
 RULES = (
     Rule("mean_word_chars", 2.0, 14.0),
     Rule("symbol_ratio", None, 0.1),
     Rule("bang_ratio", None, 0.3),
-    Rule("stop_word_ratio", 0.04, None),
+    Rule("stop_word_ratio", 0.04, None, ("symbol_ratio", 0.03)),
     Rule("dup_line_ratio", None, 0.4),
 )
 MIN_WORDS = 50
@@ -116,10 +123,12 @@ def compiled(rules=RULES, of: str = "rules_measures") -> Column:
     """True where every rule of the table passes."""
     passes = F.lit(True)
     for r in rules:
+        within = F.lit(True)
         if r.least is not None:
-            passes = passes & (F.col(of)[r.measure] >= F.lit(r.least))
+            within = within & (F.col(of)[r.measure] >= F.lit(r.least))
         if r.most is not None:
-            passes = passes & (F.col(of)[r.measure] <= F.lit(r.most))
+            within = within & (F.col(of)[r.measure] <= F.lit(r.most))
+        passes = passes & (within if r.given is None else within | (F.col(of)[r.given[0]] <= F.lit(r.given[1])))
     return passes
 
 

@@ -97,7 +97,7 @@ judged as (
 )
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
        not base_failed and mean_chars >= 2.0 and mean_chars <= 14.0 and symbols <= 0.1 and bangs <= 0.3
-       and stops >= 0.04 and dups <= 0.4 as kept
+       and (stops >= 0.04 or symbols <= 0.03) and dups <= 0.4 as kept
 from judged
 """
 

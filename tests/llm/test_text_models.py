@@ -3,6 +3,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -26,6 +27,67 @@ def test_language_edges(docs, nothing):
     assert language_id.predict(nothing, model).count() == 0
 
 
+def test_language_needs_a_letter(spark, monkeypatch):
+    docs = spark.createDataFrame([(1, "½ ² ① Ⅷ", "en"), (2, "the words", "en"), (3, "ª", "fr"), (4, "les mots", "fr")], "doc_id int, text string, lang string")
+    model = language_id.learn(docs, F.lit(True))
+    whole = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in language_id.predict(docs, model).collect()}
+    assert whole[1] == ("und", 0.0) and whole[2][0] == "en" and whole[3][0] == whole[4][0] == "fr"
+    monkeypatch.setattr(language_id, "GATHERED", 5)  # lots that cut through texts
+    got = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in language_id.predict(docs, model).collect()}
+    assert got.keys() == whole.keys() and all(got[k][0] == whole[k][0] and abs(got[k][1] - whole[k][1]) < 1e-9 for k in whole)
+    monkeypatch.setattr(language_id, "MOST_LANGUAGES", 1)
+    with pytest.raises(ValueError):
+        language_id.learn(docs, F.lit(True))
+
+
+def test_language_against_brute_force(spark):
+    """Posteriors of a naive Bayes model counted n-gram by n-gram."""
+    rows = [(1, "das ist ein Haus", "de"), (2, "this is a house", "en"), (3, "this is it", "en"), (4, "ist das it", None)]
+    docs = spark.createDataFrame(rows, "doc_id int, text string, lang string")
+
+    def cells(t):
+        out = []
+        for _, parts, own in language_id.chunks([t]):
+            for b, ok in language_id.buckets(parts, own):
+                out += b[ok].tolist()
+        return out
+
+    counts = {x: Counter(c for _, t, lang in rows if lang == x for c in cells(t)) for x in ("de", "en")}
+    logs = []
+    for x, prior in (("de", 1 / 3), ("en", 2 / 3)):
+        total = sum(counts[x].values())
+        logs.append(math.log(prior) + sum(math.log((counts[x][c] + 0.5) / (total + 0.5 * (1 << language_id.BITS))) for c in cells("ist das it")))
+    p = 1 / (1 + math.exp(min(logs) - max(logs)))
+    got = language_id.predict(docs, language_id.learn(docs, F.lit(True))).where("doc_id = 4").first()
+    assert got["lang_pred"] == ("de" if logs[0] > logs[1] else "en") and abs(got["score"] - p) < 1e-4
+
+
+def test_quality_is_reproducible_and_ties_score_alike(spark, docs):
+    labels = spark.createDataFrame([(i, i % 2) for i in range(1, 13)], "doc_id bigint, quality int")
+    one = quality_ranker.learn(docs, labels)
+    two = quality_ranker.learn(docs.repartition(7), labels.repartition(5))
+    assert np.array_equal(one.weights, two.weights) and one.threshold == two.threshold
+    by_text = {}
+    for r in quality_ranker.score(docs, one).join(docs.select("doc_id", "text").distinct(), "doc_id").collect():
+        by_text.setdefault(r["text"], set()).add(r["score"])
+    assert all(len(x) == 1 for x in by_text.values())
+
+
+def test_pairwise_loss_is_at_its_least():
+    """No small step from the learned weights lowers the mean logistic loss of the pairs."""
+    r = np.random.default_rng(2)
+    x = r.normal(size=(400, quality_ranker.SIZE))
+    good = x[:, 0] + 0.5 * x[:, 20] + r.normal(size=400) > 0
+    ranker = quality_ranker.Ranker(x, good, pairs=3000)
+    z, draw = ranker.squash(x), np.random.default_rng(17)
+    d = z[draw.choice(np.flatnonzero(good), 3000)] - z[draw.choice(np.flatnonzero(~good), 3000)]
+    loss = lambda w: np.log1p(np.exp(-(d @ w))).mean() + 0.5e-3 * (w @ w)
+    best = loss(ranker.weights)
+    assert all(loss(ranker.weights + 1e-2 * r.normal(size=d.shape[1])) >= best for _ in range(50))
+    share = (ranker.score(x) >= 0.7).mean()
+    assert abs(share - good.mean()) < 0.01
+
+
 def test_long_text_scored_whole(monkeypatch):
     text = "abc def " * 50
     count = lambda: sum(int(ok.sum()) for _, parts, own in language_id.chunks([text]) for _, ok in language_id.buckets(parts, own, 12))
@@ -132,6 +194,40 @@ def test_decontamination(spark, docs, nothing):
     assert decontaminate.drop(docs, items).columns == docs.columns
 
 
+def test_find_takes_any_keys_and_names(spark, docs):
+    """Items keyed by an int, by a string, by the documents' own key name, and by nulls; columns with clashing names."""
+    item = "Which of the green rivers, if any, flows past seven old mills before noon on Tuesday?"
+    more = spark.createDataFrame([(50, f"so it began. {item} and went on"), (None, item)], "doc_id bigint, text string")
+    all_ = docs.unionByName(more, allowMissingColumns=True)
+    for kind, value in (("int", 7), ("string", "x"), ("bigint", None)):
+        items = spark.createDataFrame([(value, item), (value, item), (value, "no such words stand anywhere in these few documents")], f"item_id {kind}, text string")
+        got = decontaminate.find(all_, items)
+        assert got.columns == ["doc_id", "item_id", "score", "first_word", "end_word"]
+        assert sorted(map(str, ((r["doc_id"], r["item_id"]) for r in got.collect()))) == sorted(map(str, [(50, value)] * 2 + [(None, value)] * 2))
+    same = decontaminate.find(all_, items.withColumnRenamed("item_id", "doc_id"), item_key="doc_id")
+    assert same.columns[:2] == ["doc_id", "item_doc_id"] and same.count() == 4
+
+
+def test_find_against_brute_force(spark):
+    """Every item with every whole document by Smith-Waterman, on generated copies with edits."""
+    r = np.random.default_rng(4)
+    draw = lambda n: [f"w{k}" for k in r.zipf(1.3, n) % 3000]
+    items = [draw(int(n)) for n in r.integers(8, 40, 12)]
+    texts = []
+    for k, item in enumerate(items):
+        copy = [w if r.random() > 0.2 else f"e{k}" for w in item]
+        texts += [draw(60) + copy + draw(60), draw(100)]
+    number = {w: i + 1 for i, w in enumerate(sorted({w for x in items for w in x}))}
+    ids = lambda words: np.array([number.get(w, 0) for w in words], np.int32)
+    expected = set()
+    for t, words in enumerate(texts):
+        score, _ = decontaminate.align([ids(x) for x in items], [ids(words)] * len(items))
+        expected |= {(t, i) for i, s in enumerate(score.tolist()) if s / (2 * len(items[i])) >= 0.45}
+    docs = spark.createDataFrame([(t, " ".join(x)) for t, x in enumerate(texts)], "doc_id bigint, text string")
+    table = spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(items)], "item_id bigint, text string")
+    assert {(x["doc_id"], x["item_id"]) for x in decontaminate.find(docs, table).collect()} == expected and len(expected) >= 10
+
+
 @pytest.mark.parametrize("size", [12_000_000, 2_000])
 def test_base_score_against_brute_force(docs, rows, monkeypatch, size):
     monkeypatch.setattr(maxent_lm, "BLOCK_BYTES", size)
@@ -146,15 +242,72 @@ def test_base_score_against_brute_force(docs, rows, monkeypatch, size):
     assert all(r["score"] < 0 for r in got)
 
 
+def brute_score(learner, counts, texts):
+    """Log10 probability of each text, token by token, from the weights and the counts of training tokens."""
+    in_leaf, kinds = Counter(), Counter()
+    keys = list(counts)
+    for key, at in zip(keys, maxent_lm.key_leaves(pa.array([maxent_lm.word_key(k) for k in keys], pa.binary())).tolist()):
+        in_leaf[at] += counts[key]
+        kinds[at] += counts[key] > 0
+    out = []
+    for t in texts:
+        words, ending, hashed = maxent_lm.tokens_of([t])
+        path, total = maxent_lm.paths(ending, hashed), 0.0
+        for level, rows in enumerate(maxent_lm.contexts(ending, hashed, path)):
+            for i, y in enumerate(path[level].tolist()):
+                z = sum(learner.w[level][r].astype(float) for r in rows[:, i])
+                total += z[y] - math.log(np.exp(z).sum())
+        for w, at in zip(words[0], maxent_lm.leaf(path).tolist()):
+            total += math.log((counts.get(w, 0) + 1) / (in_leaf[at] + kinds[at] + 1))
+        out.append(total / math.log(10))
+    return out
+
+
 def test_class_probabilities_sum_to_one():
-    u = maxent_lm.endings([b"the cat sat", b"", b"on the mat \xc3\xa9t\xc3\xa9"])
-    learner = maxent_lm.Learner(np.zeros((maxent_lm.FEATURES * maxent_lm.ROWS + 1, maxent_lm.CLASSES), np.float32))
-    before = maxent_lm.class_logs(learner.w, maxent_lm.contexts(u))[np.arange(u.size), maxent_lm.class_of(u)].sum()
+    _, ending, word = maxent_lm.tokens_of([b"the cat sat", b"", b"on the MAT \xc3\xa9t\xc3\xa9 " + b"x" * 50])
+    learner = maxent_lm.Learner([np.zeros(x, np.float32) for x in maxent_lm.shapes()])
+    path = maxent_lm.paths(ending, word)
+    rows = maxent_lm.contexts(ending, word, path)
+    own = lambda: sum(maxent_lm.token_logs(w, r, y).sum() for w, r, y in zip(learner.w, rows, path))
+    before = own()
     for _ in range(5):
-        learner.learn(u)
-    logs = maxent_lm.class_logs(learner.w, maxent_lm.contexts(u))
-    assert np.allclose(np.exp(logs).sum(axis=1), 1, atol=1e-5) and logs[np.arange(u.size), maxent_lm.class_of(u)].sum() > before
-    assert (u == 0).sum() == 3 and u.size == (3 + 1) + 1 + (4 + 1)
+        learner.learn(ending, word)
+    for w, r, y in zip(learner.w, rows, path):
+        logs = maxent_lm.class_logs(w, r)
+        assert np.allclose(np.exp(logs).sum(axis=1), 1, atol=1e-5)
+        assert np.allclose(logs[np.arange(y.size), y], maxent_lm.token_logs(w, r, y), atol=1e-5)
+    assert own() > before
+    assert (ending == 0).sum() == 3 and ending.size == (3 + 1) + 1 + (5 + 1)
+    keys = [b"the", b"", b"x" * 50, "été".encode()]
+    leaves = maxent_lm.leaf(path)[[0, 3, 9, 8]].tolist()
+    assert maxent_lm.key_leaves(pa.array([maxent_lm.word_key(k) for k in keys], pa.binary())).tolist() == leaves
+
+
+def test_gradient_against_brute_force():
+    """One step from zero: the weights of a row move against the sum of its tokens' gradients, scaled by AdaGrad."""
+    _, ending, word = maxent_lm.tokens_of([b"a b a b c", b"b a"])
+    learner = maxent_lm.Learner([np.zeros(x, np.float32) for x in maxent_lm.shapes()])
+    learner.learn(ending, word)
+    path = maxent_lm.paths(ending, word)
+    for level, rows in enumerate(maxent_lm.contexts(ending, word, path)):
+        size = maxent_lm.LEVELS[level]
+        for r in set(rows.ravel().tolist()):
+            g = sum(1 / size - (np.arange(size) == y) for of in rows for x, y in zip(of.tolist(), path[level].tolist()) if x == r)
+            # features before this one have moved, which the step of this one does not see
+            assert np.allclose(learner.w[level][r], -learner.rate * g / np.sqrt(1 + g**2), atol=1e-5)
+
+
+@pytest.mark.parametrize("size", [12_000_000, 2_000])
+def test_score_against_brute_force(docs, rows, monkeypatch, size):
+    monkeypatch.setattr(maxent_lm, "BLOCK_BYTES", size)
+    some = docs.where("doc_id <> 7 or doc_id is null")
+    column = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 7 != 2, F.lit(False))
+    got = {r["key_"]: r["score"] for r in maxent_lm.score(some, column).withColumn("key_", F.col("doc_id").cast("string")).collect()}
+    kept = [(i, (t or "").encode()) for i, t, *_ in rows if i != 7]
+    counts = Counter(w for i, t in kept if i is not None and zlib.crc32(str(i).encode()) % 7 != 2 for w in [*t.lower().split(), b""])
+    learner = maxent_lm.Learner(maxent_lm.train(some.where(column)))
+    for (i, _), s in zip(kept, brute_score(learner, counts, [t for _, t in kept])):
+        assert abs(got[None if i is None else str(i)] - s) < 1e-3 * max(1, abs(s)), i
 
 
 def test_model_beats_base_held_out(spark):
