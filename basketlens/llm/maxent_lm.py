@@ -5,8 +5,9 @@ each of LEVELS: the first BY_ENDING by a hash of its ending, the others by a has
 model's probability of a token is the product of those of its classes, each by a softmax over the
 classes of its level given the words before it and the classes above, and that of the token in its last
 class. Logits are sums of weights of
-hashed features: the word before (n-gram) and the one before that (skip), whole or by their endings, the
-pair of both, and a bias of the class above. Weights are trained by gradient steps: each task runs
+hashed features: the word before (n-gram), the one before that (skip) and the pair of both, whole words
+or, for the classes by ending, endings of the latter two; on top of a prior, the log shares of the classes
+below the class above. Weights are trained by gradient steps: each task runs
 AdaGrad over its own training tokens, and tasks' weights are averaged, each row by how often the task
 saw it, in a tree of sums; ``rounds`` such passes are made. How rows are dealt to tasks thus enters the
 weights. In the last class, which frequent words have nearly for themselves, tokens have add-one
@@ -29,27 +30,29 @@ from __future__ import annotations
 import hashlib
 import math
 import zlib
-from collections import Counter
 from collections.abc import Iterator
-from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from basketlens.llm.runtime import binary_texts, cut, ready, release, trimmed
+from basketlens.llm.runtime import cut, ready, release, trimmed
 
 #: Classes of each level below one of the level above, and rows of weights for each of its features.
 LEVELS = (8, 8, 8, 8)
 ROWS = (1 << 12, 1 << 13, 1 << 13, 1 << 15)
 #: Levels whose class is a hash of the ending.
 BY_ENDING = 3
+#: Features at the levels by ending, and at the others.
+FEATURES = (2, 3)
 LEAVES = math.prod(LEVELS)
-FEATURES = 3
-BLOCK_BYTES = 12_000_000
+BLOCK_BYTES = 32_000_000
 STEP = 8192
+#: Tokens that are learned from or scored at once.
+LOT = 1 << 17
 #: Longer words go by a digest, of equal length whatever the word.
 LONG = 40
 END = b""
@@ -66,42 +69,56 @@ def key_hash(key: bytes) -> int:
     return zlib.crc32(key) if key[:1] != b"\xff" else int.from_bytes(key[17:21], "little")
 
 
-_GAP = np.zeros(256, bool)
-_GAP[[32, 9, 10, 11, 12, 13]] = True
-
-
 def _mixed(h: np.ndarray) -> np.ndarray:
     h = h * np.uint32(0x85EBCA6B)
     return h ^ (h >> np.uint32(13))
 
 
-def _ending(a: np.ndarray, b: np.ndarray, c: np.ndarray) -> np.ndarray:
-    """A hash, not 0, of the last byte, the one before and the third (0 where there is none)."""
-    h = (a.astype(np.uint32) | b.astype(np.uint32) << np.uint32(8) | c.astype(np.uint32) << np.uint32(16)) * np.uint32(0x9E3779B1)
-    return _mixed(h ^ (h >> np.uint32(15))) | np.uint32(1)
-
-
-def endings(texts: list[bytes]) -> np.ndarray:
-    """A hash of each token's ending, over all texts (lower-cased); 0 for an end."""
-    buf = np.frombuffer(b" \xff ".join([*texts, b""]), np.uint8)
-    word = ~_GAP[buf]
-    last = np.flatnonzero(word[:-1] & ~word[1:])
-    a = buf[last]
-    has = (last >= 1) & word[last - 1]
-    b = np.where(has, buf[last - 1], 0)
-    has &= (last >= 2) & word[last - 2]
-    c = np.where(has, buf[last - 2], 0)
-    return np.where(a == 255, np.uint32(0), _ending(a, b, c))
-
-
-def tokens_of(texts: list[bytes]) -> tuple[list[list[bytes]], np.ndarray, np.ndarray]:
-    """Words of each text with its end, and of all tokens the hash of the ending and of the word; 0 for an end."""
-    texts = [t.lower() for t in texts]
-    words = [t.split() for t in texts]
-    for w in words:
-        w.append(END)
-    n = sum(map(len, words))
-    return words, endings(texts), np.fromiter(map(zlib.crc32, chain.from_iterable(words)), np.uint32, n)
+def hashes(keys: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """For each word key a hash of the word's ending (up to three bytes) and one of the word; both are 0 for the end only."""
+    keys = keys.cast(pa.large_binary())
+    if not len(keys):
+        return np.zeros(0, np.uint32), np.zeros(0, np.uint32)
+    offsets = np.frombuffer(keys.buffers()[1], "<i8")[keys.offset : keys.offset + len(keys) + 1]
+    data = np.frombuffer(keys.buffers()[2], np.uint8) if keys.buffers()[2] else np.zeros(1, np.uint8)
+    begin, end = offsets[:-1], offsets[1:]
+    a, b, c = (np.where(end - begin > k, data[np.maximum(end - 1 - k, 0) % max(data.size, 1)], 0).astype(np.uint32) for k in range(3))
+    h = (a | b << np.uint32(8) | c << np.uint32(16)) * np.uint32(0x9E3779B1)
+    some = end > begin
+    ending = np.where(some, _mixed(h ^ (h >> np.uint32(15))) | np.uint32(1), np.uint32(0))
+    word = np.fromiter(map(key_hash, keys.to_pylist()), np.uint32, len(keys))
+    return ending, np.where(some, np.maximum(word, 1), np.uint32(0)).astype(np.uint32)
+
+
+class Tokens:
+    """The tokens of some texts, as places in a list of word keys, of which the first is the end's."""
+
+    def __init__(self, texts: pa.Array):
+        texts = texts.cast(pa.large_string()).fill_null("")
+        split = pc.ascii_split_whitespace(pc.ascii_lower(texts))
+        flat = split.flatten()
+        some = pc.not_equal(flat, "").to_numpy(zero_copy_only=False)  # none before the first and after the last word
+        before = np.concatenate([[0], np.cumsum(some)])
+        lists = split.offsets.to_numpy()
+        #: Where the tokens of each text begin, with the end of the last.
+        self.begin = before[lists - lists[0]] + np.arange(lists.size)
+        coded = flat.filter(pa.array(some)).dictionary_encode()
+        self.at = np.zeros(int(self.begin[-1]), np.int64)
+        inside = np.ones(self.at.size, bool)
+        inside[self.begin[1:] - 1] = False
+        self.at[inside] = coded.indices.to_numpy() + 1
+        words = coded.dictionary.cast(pa.large_binary())
+        if (pc.max(pc.binary_length(words)).as_py() or 0) > LONG:
+            words = pa.array([word_key(w) for w in words.to_pylist()], pa.large_binary())
+        self.keys = pa.concat_arrays([pa.array([END], pa.large_binary()), words])
+
+    def lots(self) -> Iterator[tuple[slice, np.ndarray, np.ndarray]]:
+        """Tokens in lots of LOT: which, and the hashes of their ending and word, with those of two tokens before."""
+        ending, word = hashes(self.keys)
+        at = np.concatenate([np.zeros(2, np.int64), self.at])
+        for k in range(0, self.at.size, LOT):
+            own = at[k : k + LOT + 2]
+            yield slice(k, k + own.size - 2), ending[own], word[own]
 
 
 def paths(ending: np.ndarray, word: np.ndarray) -> list[np.ndarray]:
@@ -124,57 +141,71 @@ def leaf(path: list[np.ndarray]) -> np.ndarray:
 
 def key_leaves(keys: pa.Array) -> np.ndarray:
     """Last class of each word key, as a number."""
-    words = keys.cast(pa.large_binary()).to_pylist()
-    ends = np.array([(*w[-3:][::-1], 0, 0, 0)[:3] for w in words], np.uint32).reshape(-1, 3)
-    ending = np.where([not w for w in words], np.uint32(0), _ending(ends[:, 0], ends[:, 1], ends[:, 2])) if words else np.zeros(0, np.uint32)
-    return leaf(paths(ending, np.fromiter(map(key_hash, words), np.uint32, len(words))))
+    return leaf(paths(*hashes(keys)))
+
+
+def features(level: int) -> int:
+    return FEATURES[level >= BY_ENDING]
 
 
 def contexts(ending: np.ndarray, word: np.ndarray, path: list[np.ndarray]) -> list[np.ndarray]:
-    """For each level, the rows of its weights that each token's features and the classes above name: (FEATURES + 1, tokens); nothing reaches over an end."""
-    e, w = (np.concatenate([np.zeros(2, np.uint32), x]) for x in (ending, word))
-    e1, w1 = e[1:-1], w[1:-1]
-    w2 = np.where(w1 == 0, np.uint32(0), w[:-2])
-    e2 = np.where(w1 == 0, np.uint32(0), e[:-2])
+    """For each level, the rows of its weights that each token's features name, and that of the prior that the classes above name: (features + 1, tokens); nothing reaches over an end.
+
+    ending and word begin with those of the two tokens before.
+    """
+    e1, w1 = ending[1:-1], word[1:-1]
+    over = w1 == 0
+    w2 = np.where(over, np.uint32(0), word[:-2])
+    e2 = np.where(over, np.uint32(0), ending[:-2])
     pair = (w1 * np.uint32(0x01000193)) ^ (w2 * np.uint32(0xC2B2AE35))
     ends = (e1 * np.uint32(0x01000193)) ^ (e2 * np.uint32(0xC2B2AE35))
-    out, above = [], np.zeros(ending.size, np.uint32)
+    out, above = [], np.zeros(w1.size, np.uint32)
     for level, rows in enumerate(ROWS):
         shift = np.uint32(33 - rows.bit_length())
         of = []
-        for k, x in enumerate((w1, ends, e2) if level < BY_ENDING else (w1, w2, pair)):
+        for k, x in enumerate((ends, e2) if level < BY_ENDING else (w1, w2, pair)):
             h = _mixed(x ^ (above * np.uint32(0x9E3779B1)) ^ np.uint32((k + 1) * 0x7F4A7C15 & 0xFFFFFFFF)) * np.uint32(0xC2B2AE3D)
             of.append((h >> shift).astype(np.int64) + k * rows)
-        of.append(above.astype(np.int64) + FEATURES * rows)
+        of.append(above.astype(np.int64))
         out.append(np.stack(of))
         above = above * np.uint32(LEVELS[level]) + path[level].astype(np.uint32)
     return out
 
 
 def shapes() -> list[tuple[int, int]]:
-    """Rows and columns of the weights of each level: hashed features, then a bias for each class above."""
-    return [(FEATURES * rows + math.prod(LEVELS[:level]), LEVELS[level]) for level, rows in enumerate(ROWS)]
+    """Rows and columns of the weights of each level."""
+    return [(features(level) * rows, LEVELS[level]) for level, rows in enumerate(ROWS)]
+
+
+def priors(tokens: np.ndarray) -> list[np.ndarray]:
+    """For each level the log shares of its classes below each class above, add-one, from the training tokens of each leaf."""
+    out, n = [], tokens.astype(np.float64)
+    for size in reversed(LEVELS):
+        n = n.reshape(-1, size)
+        out.append(np.log((n + 1) / (n.sum(axis=1, keepdims=True) + size)).astype(np.float32))
+        n = n.sum(axis=1)
+    return out[::-1]
 
 
-def logits(weights: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    """Sums of the weights that tokens' features name: (tokens, classes)."""
-    z = weights[rows[0]]
-    for r in rows[1:]:
+def logits(weights: np.ndarray, prior: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """The prior and the sums of the weights that tokens' features name: (tokens, classes)."""
+    z = prior[rows[-1]]
+    for r in rows[:-1]:
         z += weights[r]
     return np.clip(z, -60, 60, out=z)  # far beyond what is learned, and short of an overflow
 
 
-def class_logs(weights: np.ndarray, rows: np.ndarray) -> np.ndarray:
+def class_logs(weights: np.ndarray, prior: np.ndarray, rows: np.ndarray) -> np.ndarray:
     """Natural-log probabilities of all classes of a level: (tokens, classes)."""
-    z = logits(weights, rows)
+    z = logits(weights, prior, rows)
     return z - np.log(np.exp(z).sum(axis=1, keepdims=True))
 
 
-def token_logs(weights: np.ndarray, rows: np.ndarray, target: np.ndarray) -> np.ndarray:
+def token_logs(weights: np.ndarray, prior: np.ndarray, rows: np.ndarray, target: np.ndarray) -> np.ndarray:
     """Natural-log probability of each token's class."""
     out = np.empty(target.size, np.float32)
     for k in range(0, target.size, STEP):
-        z, y = logits(weights, rows[:, k : k + STEP]), target[k : k + STEP]
+        z, y = logits(weights, prior, rows[:, k : k + STEP]), target[k : k + STEP]
         own = z[np.arange(y.size), y]
         out[k : k + STEP] = own - np.log(np.exp(z, out=z).sum(axis=1))
     return out
@@ -183,27 +214,28 @@ def token_logs(weights: np.ndarray, rows: np.ndarray, target: np.ndarray) -> np.
 class Learner:
     """AdaGrad over a task's tokens."""
 
-    def __init__(self, weights: list[np.ndarray], rate: float = 0.3, batch: int = 1 << 16):
-        self.w, self.rate, self.batch = [w.copy() for w in weights], rate, batch
+    def __init__(self, weights: list[np.ndarray], prior: list[np.ndarray], rate: float = 0.3, batch: int = 1 << 17):
+        self.w, self.prior, self.rate, self.batch = [w.copy() for w in weights], prior, rate, batch
         self.square = [np.ones(w.shape, np.float32) for w in weights]
         self.seen = [np.zeros(len(w), np.int64) for w in weights]
 
-    def learn(self, ending: np.ndarray, word: np.ndarray) -> None:
-        path = paths(ending, word)
-        rows = contexts(ending, word, path)
-        for k in range(0, ending.size, self.batch):
-            for level, of in enumerate(rows):
-                self.step(level, of[:, k : k + self.batch], path[level][k : k + self.batch])
+    def learn(self, tokens: Tokens) -> None:
+        for _, ending, word in tokens.lots():
+            path = paths(ending[2:], word[2:])
+            rows = contexts(ending, word, path)
+            for k in range(0, path[0].size, self.batch):
+                for level, of in enumerate(rows):
+                    self.step(level, of[:, k : k + self.batch], path[level][k : k + self.batch])
 
     def step(self, level: int, rows: np.ndarray, target: np.ndarray) -> None:
         w, square, seen, size, n = self.w[level], self.square[level], self.seen[level], ROWS[level], target.size
         g = np.empty((n, LEVELS[level]), np.float32)
         for i in range(0, n, STEP):
-            p = logits(w, rows[:, i : i + STEP])
+            p = logits(w, self.prior[level], rows[:, i : i + STEP])
             np.exp(p, out=p)
             g[i : i + STEP] = p / p.sum(axis=1, keepdims=True)
         g[np.arange(n), target] -= 1
-        for f in range(FEATURES + 1):
+        for f in range(features(level)):
             at = (rows[f] - f * size).astype(np.uint16)  # sorted fast; no feature has more rows
             order = np.argsort(at, kind="stable")
             at = at[order]
@@ -214,7 +246,7 @@ class Learner:
             w[met] -= self.rate * step / np.sqrt(square[met])
 
 
-def train(docs: DataFrame, text: str = "text", rounds: int = 1) -> list[np.ndarray]:
+def train(docs: DataFrame, prior: list[np.ndarray], text: str = "text", rounds: int = 1) -> list[np.ndarray]:
     """Weights of each level from all rows of docs."""
     ready(docs.sparkSession)
     weights = [np.zeros(x, np.float32) for x in shapes()]
@@ -229,16 +261,9 @@ def train(docs: DataFrame, text: str = "text", rounds: int = 1) -> list[np.ndarr
 
         @trimmed
         def learn(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
-            learner, lot, weight = Learner(held.value), [], 0
+            learner = Learner(held.value, prior)
             for batch in batches:
-                for t in binary_texts(batch.column(0)):
-                    lot.append(t)
-                    weight += len(t) + 1
-                    if weight > 1_000_000:
-                        learner.learn(*tokens_of(lot)[1:])
-                        lot, weight = [], 0
-            if lot:
-                learner.learn(*tokens_of(lot)[1:])
+                learner.learn(Tokens(batch.column(0)))
             branch = TaskContext.get().partitionId() % fan
             for level, (w, seen) in enumerate(zip(learner.w, learner.seen)):
                 parts = range(0, len(w), _CHUNK_ROWS)
@@ -262,30 +287,22 @@ def train(docs: DataFrame, text: str = "text", rounds: int = 1) -> list[np.ndarr
     return weights
 
 
-def block_counts(table: pa.Table) -> Counter:
-    """Word keys of the block's rows with their training counts; words of other rows count 0."""
-    counts: Counter = Counter()
-    for train_, t in zip(table["train"].to_pylist(), binary_texts(table["text"].combine_chunks())):
-        words = t.lower().split()
-        words.append(END)
-        if train_:
-            counts.update(words)
-        else:
-            for w in words:
-                counts[w] += 0
-    for w in [w for w in counts if len(w) > LONG]:
-        counts[word_key(w)] += counts.pop(w)
-    return counts
+def own_counts(tokens: Tokens, train_: pa.ChunkedArray) -> np.ndarray:
+    """How often each key of tokens stands in rows that are learned from."""
+    learned = np.repeat(train_.combine_chunks().to_numpy(zero_copy_only=False).astype(bool), np.diff(tokens.begin))
+    return np.bincount(tokens.at[learned], minlength=len(tokens.keys))
 
 
 def shared_counts(blocked: DataFrame) -> tuple[DataFrame, np.ndarray, np.ndarray]:
     """Of blocked rows (block, train, text): (block, word, n) where the block cannot tell the word's count n itself; and of each leaf the training tokens and the different ones."""
 
     def count(table: pa.Table) -> pa.Table:
-        counts = block_counts(table)
-        out = [[table["block"][0].as_py()] * len(counts), list(counts), list(counts.values())]
+        tokens = Tokens(table["text"].combine_chunks())
+        n = own_counts(tokens, table["train"])
+        block = pa.array(np.full(n.size, table["block"][0].as_py(), np.int32))
+        out = pa.Table.from_arrays([block, tokens.keys.cast(pa.binary()), pa.array(n)], names=["block", "word", "own"])
         release()
-        return pa.Table.from_arrays([pa.array(x, t) for x, t in zip(out, (pa.int32(), pa.binary(), pa.int64()))], names=["block", "word", "own"])
+        return out
 
     own = cut(blocked.select("block", "train", "text").groupBy("block").applyInArrow(count, "block int, word binary, own bigint"))
     summed = cut(own.groupBy("word").agg(F.sum("own").alias("n"), F.count("*").alias("blocks")))
@@ -315,45 +332,40 @@ def score(docs: DataFrame, train_rows: Column, key: str = "doc_id", text: str =
     """
     ready(docs.sparkSession)
     rows = docs.select(F.col(key).alias("key"), train_rows.alias("train"), F.col(text).alias("text"))
-    weights = train(rows.where("train"), rounds=rounds)
     total = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     blocks = 1 + int(total) // BLOCK_BYTES
     blocked = rows.withColumn("block", F.pmod(F.xxhash64("key", "text"), F.lit(blocks)).cast("int"))
     shared, tokens, distinct = shared_counts(blocked)
     n_all, v_all = int(tokens.sum()), int(distinct.sum())
+    prior = priors(tokens)
+    weights = train(rows.where("train"), prior, rounds=rounds)
     held = docs.sparkSession.sparkContext.broadcast(weights)
     schema = f"key {rows.schema['key'].dataType.simpleString()}, train boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"
 
     def judge(table: pa.Table, counted: pa.Table) -> pa.Table:
-        w = held.value
-        counts = dict(block_counts(table)) if len(table) else {}
-        counts.update(zip(counted["word"].to_pylist(), counted["n"].to_pylist()))
-        in_leaf = np.log10(tokens + distinct + 1.0)
-        out: list[tuple] = []
-        texts = binary_texts(table["text"].combine_chunks())
-        lot, weight = [], 0
-        for i, t in enumerate(texts):
-            lot.append(t)
-            weight += len(t)
-            if weight < 1_000_000 and i + 1 < len(texts):
-                continue
-            words, ending, hashed = tokens_of(lot)
-            path = paths(ending, hashed)
-            logs = -in_leaf[leaf(path)]
-            for level, rows_ in enumerate(contexts(ending, hashed, path)):
-                logs += token_logs(w[level], rows_, path[level]) / math.log(10)
-            begin = 0
-            for own in words:
-                end = begin + len(own)
-                own = [word_key(x) if len(x) > LONG else x for x in own]
-                c = np.fromiter(map(counts.get, own, repeat(0)), np.int64, len(own))
-                seen = float(np.log10(c + 1.0).sum())
-                out.append((c.size, int((c > 0).sum()), n_all, seen - c.size * math.log10(n_all + v_all + 1), seen + float(logs[begin:end].sum())))
-                begin = end
-            lot, weight = [], 0
-        release()
-        columns = list(zip(*out)) or [[]] * 5
+        w, in_leaf = held.value, np.log10(tokens + distinct + 1.0)
+        said = Tokens(table["text"].combine_chunks())
+        counts = own_counts(said, table["train"])
+        known = pc.index_in(said.keys.cast(pa.binary()), counted["word"].combine_chunks()).to_numpy(zero_copy_only=False)
+        other = ~np.isnan(known)
+        counts[other] = counted["n"].to_numpy()[known[other].astype(np.int64)]
+        seen = np.log10(counts + 1.0)
+        logs = np.empty(said.at.size)
+        for own, ending, word in said.lots():
+            path = paths(ending[2:], word[2:])
+            logs[own] = -in_leaf[leaf(path)]
+            for level, rows_ in enumerate(contexts(ending, word, path)):
+                logs[own] += token_logs(w[level], prior[level], rows_, path[level]) / math.log(10)
+        n = np.diff(said.begin)
+        if n.size:
+            per = lambda x: np.add.reduceat(x, said.begin[:-1])
+            base = per(seen[said.at])
+            columns = [n, per((counts > 0)[said.at].astype(np.int64)), np.full(n.size, n_all), base - n * math.log10(n_all + v_all + 1), base + per(logs)]
+        else:
+            columns = [n] * 3 + [np.zeros(0)] * 2
         kinds = [pa.int64()] * 3 + [pa.float64()] * 2
-        return pa.Table.from_arrays([table["key"].combine_chunks(), table["train"].combine_chunks(), *(pa.array(list(x), k) for x, k in zip(columns, kinds))], names=["key", "train", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+        out = pa.Table.from_arrays([table["key"].combine_chunks(), table["train"].combine_chunks(), *(pa.array(x, k) for x, k in zip(columns, kinds))], names=["key", "train", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+        release()
+        return out
 
     return blocked.groupBy("block").cogroup(shared.groupBy("block")).applyInArrow(judge, schema).withColumnRenamed("key", key)

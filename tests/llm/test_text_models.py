@@ -251,49 +251,65 @@ def brute_score(learner, counts, texts):
         kinds[at] += counts[key] > 0
     out = []
     for t in texts:
-        words, ending, hashed = maxent_lm.tokens_of([t])
-        path, total = maxent_lm.paths(ending, hashed), 0.0
+        words = [*t.lower().split(), b""]
+        keys = pa.array([b"", b"", *map(maxent_lm.word_key, words)], pa.binary())
+        ending, hashed = maxent_lm.hashes(keys)
+        path, total = maxent_lm.paths(ending[2:], hashed[2:]), 0.0
         for level, rows in enumerate(maxent_lm.contexts(ending, hashed, path)):
             for i, y in enumerate(path[level].tolist()):
-                z = sum(learner.w[level][r].astype(float) for r in rows[:, i])
+                z = learner.prior[level][rows[-1, i]] + sum(learner.w[level][r].astype(float) for r in rows[:-1, i])
                 total += z[y] - math.log(np.exp(z).sum())
-        for w, at in zip(words[0], maxent_lm.leaf(path).tolist()):
+        for w, at in zip(words, maxent_lm.leaf(path).tolist()):
             total += math.log((counts.get(w, 0) + 1) / (in_leaf[at] + kinds[at] + 1))
         out.append(total / math.log(10))
     return out
 
 
-def test_class_probabilities_sum_to_one():
-    _, ending, word = maxent_lm.tokens_of([b"the cat sat", b"", b"on the MAT \xc3\xa9t\xc3\xa9 " + b"x" * 50])
-    learner = maxent_lm.Learner([np.zeros(x, np.float32) for x in maxent_lm.shapes()])
-    path = maxent_lm.paths(ending, word)
-    rows = maxent_lm.contexts(ending, word, path)
-    own = lambda: sum(maxent_lm.token_logs(w, r, y).sum() for w, r, y in zip(learner.w, rows, path))
+def rows_of(tokens):
+    (_, ending, word), = tokens.lots()
+    path = maxent_lm.paths(ending[2:], word[2:])
+    return path, maxent_lm.contexts(ending, word, path)
+
+
+def test_tokens_and_class_probabilities():
+    texts = ["the cat\x0bsat", None, " on \t the MAT été " + "x" * 50 + "\n"]
+    tokens = maxent_lm.Tokens(pa.array(texts))
+    long = maxent_lm.word_key(b"x" * 50)
+    assert [tokens.keys[i].as_py() for i in tokens.at] == [b"the", b"cat", b"sat", b"", b"", b"on", b"the", b"mat", "été".encode(), long, b""]
+    assert tokens.begin.tolist() == [0, 4, 5, 11]
+    learner = maxent_lm.Learner([np.zeros(x, np.float32) for x in maxent_lm.shapes()], maxent_lm.priors(np.arange(maxent_lm.LEAVES) % 7))
+    path, rows = rows_of(tokens)
+    own = lambda: sum(maxent_lm.token_logs(w, q, r, y).sum() for w, q, r, y in zip(learner.w, learner.prior, rows, path))
     before = own()
     for _ in range(5):
-        learner.learn(ending, word)
-    for w, r, y in zip(learner.w, rows, path):
-        logs = maxent_lm.class_logs(w, r)
+        learner.learn(tokens)
+    for w, q, r, y in zip(learner.w, learner.prior, rows, path):
+        logs = maxent_lm.class_logs(w, q, r)
         assert np.allclose(np.exp(logs).sum(axis=1), 1, atol=1e-5)
-        assert np.allclose(logs[np.arange(y.size), y], maxent_lm.token_logs(w, r, y), atol=1e-5)
+        assert np.allclose(logs[np.arange(y.size), y], maxent_lm.token_logs(w, q, r, y), atol=1e-5)
     assert own() > before
-    assert (ending == 0).sum() == 3 and ending.size == (3 + 1) + 1 + (5 + 1)
-    keys = [b"the", b"", b"x" * 50, "été".encode()]
-    leaves = maxent_lm.leaf(path)[[0, 3, 9, 8]].tolist()
-    assert maxent_lm.key_leaves(pa.array([maxent_lm.word_key(k) for k in keys], pa.binary())).tolist() == leaves
+    assert maxent_lm.key_leaves(tokens.keys)[tokens.at].tolist() == maxent_lm.leaf(path).tolist()
+
+
+def test_lots_cut_anywhere(monkeypatch):
+    tokens = maxent_lm.Tokens(pa.array(["a b c d e f g", "", "h i j"]))
+    _, whole = rows_of(tokens)
+    monkeypatch.setattr(maxent_lm, "LOT", 3)
+    parts = [maxent_lm.contexts(e, w, maxent_lm.paths(e[2:], w[2:])) for _, e, w in tokens.lots()]
+    for level, rows in enumerate(whole):
+        assert np.array_equal(rows, np.concatenate([p[level] for p in parts], axis=1))
 
 
 def test_gradient_against_brute_force():
     """One step from zero: the weights of a row move against the sum of its tokens' gradients, scaled by AdaGrad."""
-    _, ending, word = maxent_lm.tokens_of([b"a b a b c", b"b a"])
-    learner = maxent_lm.Learner([np.zeros(x, np.float32) for x in maxent_lm.shapes()])
-    learner.learn(ending, word)
-    path = maxent_lm.paths(ending, word)
-    for level, rows in enumerate(maxent_lm.contexts(ending, word, path)):
+    tokens = maxent_lm.Tokens(pa.array(["a b a b c", "b a"]))
+    learner = maxent_lm.Learner([np.zeros(x, np.float32) for x in maxent_lm.shapes()], [np.zeros((math.prod(maxent_lm.LEVELS[:k]), n), np.float32) for k, n in enumerate(maxent_lm.LEVELS)])
+    learner.learn(tokens)
+    path, rows_ = rows_of(tokens)
+    for level, rows in enumerate(rows_):
         size = maxent_lm.LEVELS[level]
-        for r in set(rows.ravel().tolist()):
-            g = sum(1 / size - (np.arange(size) == y) for of in rows for x, y in zip(of.tolist(), path[level].tolist()) if x == r)
-            # features before this one have moved, which the step of this one does not see
+        for r in set(rows[:-1].ravel().tolist()):
+            g = sum(1 / size - (np.arange(size) == y) for of in rows[:-1] for x, y in zip(of.tolist(), path[level].tolist()) if x == r)
             assert np.allclose(learner.w[level][r], -learner.rate * g / np.sqrt(1 + g**2), atol=1e-5)
 
 
@@ -305,7 +321,10 @@ def test_score_against_brute_force(docs, rows, monkeypatch, size):
     got = {r["key_"]: r["score"] for r in maxent_lm.score(some, column).withColumn("key_", F.col("doc_id").cast("string")).collect()}
     kept = [(i, (t or "").encode()) for i, t, *_ in rows if i != 7]
     counts = Counter(w for i, t in kept if i is not None and zlib.crc32(str(i).encode()) % 7 != 2 for w in [*t.lower().split(), b""])
-    learner = maxent_lm.Learner(maxent_lm.train(some.where(column)))
+    leaves = np.zeros(maxent_lm.LEAVES, np.int64)
+    np.add.at(leaves, maxent_lm.key_leaves(pa.array([maxent_lm.word_key(k) for k in counts], pa.binary())), list(counts.values()))
+    prior = maxent_lm.priors(leaves)
+    learner = maxent_lm.Learner(maxent_lm.train(some.where(column), prior), prior)
     for (i, _), s in zip(kept, brute_score(learner, counts, [t for _, t in kept])):
         assert abs(got[None if i is None else str(i)] - s) < 1e-3 * max(1, abs(s)), i
 
