@@ -14,10 +14,12 @@ from pyspark.sql.window import Window
 
 from basketlens.functions import text as T
 
+# Elements without text, blocks, invisible characters, kinds of articles, and where their metadata stand.
 SKIPPED = ("script", "style", "iframe", "noscript")
 BLOCKS = ("div", "p", "li", "ul", "ol", "h1", "h2", "h3", "h4", "h5", "h6", "tr", "td", "th", "table", "blockquote", "section", "article")
 _INVISIBLE = re.compile(r"[\u200b-\u200f\u2060\ufeff\u00a0]")
 ARTICLE_TYPES = ("NewsArticle", "Article", "BlogPosting", "Recipe")
+_SCRIPT = re.compile(r"<script[^>]*type=[\"']application/ld\+json[\"'][^>]*>(.*?)</script>", re.I | re.S)
 
 
 class _Lines(HTMLParser):
@@ -103,7 +105,6 @@ def single_section(found: DataFrame, pages: DataFrame, key: str, name: str) -> D
 
 
 _META = StructType([StructField(x, StringType()) for x in ("headline", "published", "category")])
-_SCRIPT = re.compile(r"<script[^>]*type=[\"']application/ld\+json[\"'][^>]*>(.*?)</script>", re.I | re.S)
 
 
 def plain_metadata(html: str) -> tuple[str | None, str | None, str | None]:

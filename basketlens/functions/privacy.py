@@ -10,7 +10,7 @@ import re
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, BooleanType, IntegerType, StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, BooleanType, IntegerType, MapType, StringType, StructField, StructType
 
 from basketlens.functions.text import COMBINING
 
@@ -24,7 +24,7 @@ FOODS = ("นางฟ้า", "นางเล็ด", "นางลอย")
 _D, _GAP = "[0-9๐-๙]", r"[ \t\u00a0\u1680\u2000-\u200a\u202f\u205f\u3000]"
 _HON = "(?:" + "|".join(map(re.escape, HONORIFICS)) + ")"
 _ANCHORED = rf"(?:(?<![ก-๎])|(?<=คุณ)){_HON}(?![{COMBINING}])"
-_SEP = _GAP[:-1] + r"\-]?"
+_SEP = r"[ \t\u00a0\u1680\u2000-\u200a\u202f\u205f\u3000\-]?"
 _PHONE = rf"(?<!{_D})0{_D}{{1,2}}{_SEP}{_D}{{3,4}}{_SEP}{_D}{{4}}(?!{_D})"
 
 # The redaction and leak patterns.
@@ -132,27 +132,21 @@ def scrub(text: pd.Series) -> pd.Series:
 
 
 def string_columns(df: DataFrame) -> list[str]:
-    """SQL expressions, each an array of strings, over every string in the schema, nested ones too."""
-    out: list[str] = []
+    """SQL expressions, each an array of strings, over every string in the schema, however deep: in structs, arrays, and maps' keys and values."""
 
-    def walk(kind, expr: str) -> None:
+    def within(kind, expr: str, depth: int) -> list[str]:
         if isinstance(kind, StringType):
-            out.append(f"array({expr})")
-        elif isinstance(kind, StructType):
-            for f in kind.fields:
-                walk(f.dataType, f"{expr}.`{f.name}`")
-        elif isinstance(kind, ArrayType):
-            inner = kind.elementType
-            if isinstance(inner, StringType):
-                out.append(expr)
-            elif isinstance(inner, StructType):
-                for f in inner.fields:
-                    if isinstance(f.dataType, StringType):
-                        out.append(f"transform({expr}, x -> x.`{f.name}`)")
-
-    for f in df.schema.fields:
-        walk(f.dataType, f"`{f.name}`")
-    return out
+            return [f"array({expr})"]
+        if isinstance(kind, StructType):
+            return [x for f in kind.fields for x in within(f.dataType, f"{expr}.`{f.name}`", depth)]
+        if isinstance(kind, ArrayType):
+            return [f"flatten(transform({expr}, x{depth} -> coalesce({x}, cast(array() as array<string>))))" for x in within(kind.elementType, f"x{depth}", depth + 1)]
+        if isinstance(kind, MapType):
+            parts = ((ArrayType(kind.keyType), f"map_keys({expr})"), (ArrayType(kind.valueType), f"map_values({expr})"))
+            return [x for k, e in parts for x in within(k, e, depth)]
+        return []
+
+    return [f"coalesce({x}, cast(array() as array<string>))" for f in df.schema.fields for x in within(f.dataType, f"`{f.name}`", 0)]
 
 
 def scan(df: DataFrame, table: str) -> DataFrame:

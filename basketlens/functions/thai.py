@@ -114,3 +114,15 @@ def line_tokens(c: Column, words: Iterable[str]) -> Column:
         return text.map(lambda x: tokens(x, segment) if x is not None else None)
 
     return run(c)
+
+
+def words_in(c: Column, words: Iterable[str]) -> Column:
+    """As word_count()."""
+    known = frozenset(words)
+
+    @F.pandas_udf(IntegerType())
+    def run(text: pd.Series) -> pd.Series:
+        segment = fewest_words(known)
+        return pd.Series([None if x is None else word_count(x, segment) for x in text], dtype="Int32")
+
+    return run(c)

@@ -61,3 +61,43 @@ def rebuild(existing: DataFrame, new: DataFrame, key: str, note: str, owned_pref
     """Rows that a rule owns (by the start of their note) replaced; foreign rows stay and win over new ones."""
     foreign = existing.where(~F.coalesce(F.startswith(F.col(note), F.lit(owned_prefix)), F.lit(False)))
     return foreign.unionByName(new.join(foreign.select(key), key, "left_anti"))
+
+
+def term_hits(texts: DataFrame, key: str, text: str, terms: dict[str, tuple[str, str]]) -> DataFrame:
+    """(key, rule, code) of region terms in a text; terms: term -> (rule, region). Terms are a short list in the plan."""
+    found = F.array_compact(F.array(*[F.when(F.contains(F.col(text), F.lit(t)), F.struct(F.lit(rule).alias("rule"), F.lit(region).alias("code"))) for t, (rule, region) in terms.items()]))
+    return texts.select(key, F.inline(F.array_distinct(found)))
+
+
+def title_hits(texts: DataFrame, key: str, title: str, names: DataFrame) -> DataFrame:
+    """(key, rule, code) of titles that are (exact) or hold (substring) a known name; names: (name, code)."""
+    exact = texts.join(names, F.col(title) == F.col("name")).select(key, F.lit("exact").alias("rule"), "code")
+    held = texts.select(key, title).join(F.broadcast(names), F.contains(F.col(title), F.col("name"))).select(key, F.lit("substring").alias("rule"), "code")
+    return exact.unionByName(held).distinct()
+
+
+def agreement(found: DataFrame, key: str, pairs: list[tuple[str, str]]) -> DataFrame:
+    """(left_rule, right_rule, both, same): texts with one code under each of two rules, and with the same one. found: (key, rule, codes, n)."""
+    one = found.where("n = 1").select(key, "rule", F.col("codes")[0].alias("code"))
+    wide = one.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("rule", "code"))).alias("m"))
+    out = None
+    for a, b in pairs:
+        x, y = F.col("m")[a], F.col("m")[b]
+        row = wide.agg(F.count_if(x.isNotNull() & y.isNotNull()).alias("both"), F.count_if(x == y).alias("same")).select(F.lit(a).alias("left_rule"), F.lit(b).alias("right_rule"), "both", "same")
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
+def listed_hits(found: DataFrame, key: str, rules: list[str]) -> DataFrame:
+    """One row per text: each rule's codes, sorted and joined by a bar."""
+    wide = found.groupBy(key).pivot("rule", rules).agg(F.first(F.array_join("codes", "|")))
+    return wide.fillna("", rules)
+
+
+def labelled_fraction(found: DataFrame, texts: DataFrame, key: str, scope: str, rules: list[str]) -> DataFrame:
+    """(scope, rule, n, any, one, share): of all texts in a scope, those with any and with exactly one code under each rule."""
+    fixed = F.broadcast(found.sparkSession.createDataFrame([(r,) for r in rules], "rule string"))
+    n = texts.groupBy(scope).agg(F.count("*").alias("n"))
+    hits = found.join(texts.select(key, scope), key).groupBy(scope, "rule").agg(F.count("*").alias("any"), F.count_if(F.col("n") == 1).alias("one"))
+    out = n.crossJoin(fixed).join(hits, [scope, "rule"], "left").fillna(0, ["any", "one"])
+    return out.withColumn("share", F.try_divide("one", "n"))

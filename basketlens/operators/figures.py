@@ -8,39 +8,67 @@ from pyspark.sql import functions as F
 
 from basketlens.operators.geo import distance_km
 
-MOST_ROWS = 400
+def _least_plus(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """min over k of a[i, k] + b[k, j]."""
+    return np.stack([(row[:, None] + b).min(axis=0) for row in a])
 
 
-def leaf_order(x: np.ndarray) -> list[int]:
-    """Rows so that similar ones stand side by side: average linkage on cosine distance, with each merge turned to its nearer ends.
+def _turned(node, d: np.ndarray) -> tuple[list[int], np.ndarray]:
+    """Leaves of a tree (an int, or two nodes), and the least sum of neighbours' distances for each first and last leaf."""
+    if isinstance(node, int):
+        return [node], np.zeros((1, 1))
+    (left, a), (right, b) = _turned(node[0], d), _turned(node[1], d)
+    n, m = len(left), len(right)
+    across = _least_plus(_least_plus(a, d[np.ix_(left, right)]), b)
+    best = np.full((n + m, n + m), np.inf)
+    best[:n, n:], best[n:, :n] = across, across.T
+    return left + right, best
+
+
+def _placed(node, first: int, last: int, d: np.ndarray) -> list[int]:
+    """The leaves of a tree in the best order that begins and ends so."""
+    if isinstance(node, int):
+        return [node]
+    for one, two in ((node[0], node[1]), (node[1], node[0])):
+        (left, a), (right, b) = _turned(one, d), _turned(two, d)
+        if first in left and last in right:
+            cost = a[left.index(first)][:, None] + d[np.ix_(left, right)] + b[:, right.index(last)][None, :]
+            k, m = np.unravel_index(int(cost.argmin()), cost.shape)
+            return _placed(one, first, left[k], d) + _placed(two, right[m], last, d)
+    raise ValueError("no such leaves")
+
+
+def leaf_order(d: np.ndarray, zero: np.ndarray) -> list[int]:
+    """Rows so that similar ones stand side by side: average linkage on distances, its merges turned for the least sum of neighbours' distances.
 
     Zero rows come last, in their order; two rows or fewer stay as they are.
     """
-    live = [i for i in range(len(x)) if np.any(x[i])]
-    zero = [i for i in range(len(x)) if not np.any(x[i])]
+    live, rest = np.flatnonzero(~zero).tolist(), np.flatnonzero(zero).tolist()
     if len(live) <= 2:
-        return live + zero
-    v = x[live] / np.linalg.norm(x[live], axis=1, keepdims=True)
-    d = 1 - v @ v.T
-    parts = {i: [i] for i in range(len(live))}
-    while len(parts) > 1:
-        keys = sorted(parts)
-        _, a, b = min((d[np.ix_(parts[i], parts[j])].mean(), i, j) for n, i in enumerate(keys) for j in keys[n + 1 :])
-        left, right = parts.pop(a), parts.pop(b)
-        turns = [(p, q) for p in (left, left[::-1]) for q in (right, right[::-1])]
-        p, q = min(turns, key=lambda t: d[t[0][-1], t[1][0]])
-        parts[a] = p + q
-    return [live[i] for i in next(iter(parts.values()))] + zero
+        return live + rest
+    trees: dict[int, tuple[object, list[int]]] = {i: (i, [i]) for i in live}
+    while len(trees) > 1:
+        keys = sorted(trees)
+        _, a, b = min((d[np.ix_(trees[i][1], trees[j][1])].mean(), i, j) for n, i in enumerate(keys) for j in keys[n + 1 :])
+        x, y = trees.pop(a), trees.pop(b)
+        trees[a] = ((x[0], y[0]), x[1] + y[1])
+    tree = next(iter(trees.values()))[0]
+    leaves, best = _turned(tree, d)
+    i, j = np.unravel_index(int(best.argmin()), best.shape)
+    order = _placed(tree, leaves[i], leaves[j], d)
+    return min(order, order[::-1]) + rest
 
 
 def seriated(grid: DataFrame, row: str, column: str, value: str) -> list[str]:
-    """Row names of a figure's grid in drawing order. A figure has few rows; more than MOST_ROWS are refused."""
-    names = [r[0] for r in grid.select(row).distinct().orderBy(row).limit(MOST_ROWS + 1).collect()]
-    if len(names) > MOST_ROWS:
-        raise ValueError("too many rows for a figure")
-    wide = grid.groupBy(row).pivot(column).agg(F.first(value)).fillna(0.0).orderBy(row).toPandas()
-    x = wide.drop(columns=[row]).to_numpy(float)
-    return [wide[row].iloc[i] for i in leaf_order(x)]
+    """Row names of a figure's grid in drawing order. Cosines are taken in Spark; the driver gets one number for each two rows of the figure."""
+    g = grid.groupBy(row, column).agg(F.sum(value).alias("v")).where("v <> 0")
+    a, b = g.select(F.col(row).alias("a"), column, F.col("v").alias("x")), g.select(F.col(row).alias("b"), column, F.col("v").alias("y"))
+    dots = {(r["a"], r["b"]): r["dot"] for r in a.join(b, column).groupBy("a", "b").agg(F.sum(F.col("x") * F.col("y")).alias("dot")).collect()}
+    names = [r[0] for r in grid.select(row).distinct().orderBy(row).collect()]
+    zero = np.array([(x, x) not in dots for x in names])
+    norm = np.array([np.sqrt(dots.get((x, x), 1.0)) for x in names])
+    d = 1 - np.array([[dots.get((x, y), 0.0) for y in names] for x in names]) / np.outer(norm, norm)
+    return [names[i] for i in leaf_order(d, zero)]
 
 
 def panels(prevalence: DataFrame, places: DataFrame, origin: tuple[float, float], patterns: dict[str, str]) -> DataFrame:

@@ -1,13 +1,14 @@
-"""Bootstrap, permutation and jackknife of register distances, as rows.
+"""Bootstrap, permutation and jackknife of register distances.
 
 Random draws are hashes: the first 32 bits of the MD5 of seed, stream, replicate and place. They do
-not depend on partitioning, and SQL elsewhere can make the same ones. For thousands of replicates,
-``kernel`` resamples a dense matrix per scope instead, in Arrow batches of replicates.
+not depend on partitioning, and SQL elsewhere can make the same ones; ``multinomial`` draws from a
+NumPy generator instead. Either gives members with rep; ``replicated`` takes them to distances, with the
+counts of many replicates side by side, so that facts are joined once for all of these.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from statistics import NormalDist
 
 import numpy as np
@@ -17,6 +18,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from basketlens.operators import profiles
+from basketlens.operators.profiles import GROUP
+from basketlens.operators.ranking import numbered, range_cell
 
 SEED = 42
 EPSILON = 1e-12
@@ -33,42 +36,90 @@ def draw_sql(stream: str, *parts: str, seed: int = SEED) -> str:
     return f"('0x' || substr(md5({text}), 1, 8))::bigint"
 
 
-def replicates(df: DataFrame, n: int) -> DataFrame:
-    return df.withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(n))))
+def replicates(df: DataFrame, first: int, last: int) -> DataFrame:
+    return df.withColumn("rep", F.explode(F.sequence(F.lit(first), F.lit(last))))
 
 
-def bootstrap(members: DataFrame, n: int) -> DataFrame:
-    """Every group resampled to its own size with replacement, n times: members with rep."""
-    order = Window.partitionBy("register", "unit").orderBy("recipe_id")
-    ranked = members.select("register", "unit", "recipe_id", (F.row_number().over(order) - 1).cast("bigint").alias("place"))
-    sizes = ranked.groupBy("register", "unit").agg(F.count("*").alias("size"))
-    picks = replicates(sizes, n).withColumn("i", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("size") - 1)))
+def hash_cell(c: Column) -> Column:
+    """A cell of 1024, in the order of a draw."""
+    return F.shiftright(c, 22)
+
+
+def bootstrap(members: DataFrame, last: int, first: int = 1) -> DataFrame:
+    """Every group resampled to its own size with replacement, once for each replicate: members with rep."""
+    ranked = numbered(members.select(*GROUP, "recipe_id"), GROUP, ["recipe_id"], range_cell(members, "recipe_id"))
+    sizes = ranked.groupBy(*GROUP).agg(F.count("*").alias("size"))
+    picks = replicates(sizes, first, last).withColumn("i", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("size") - 1)))
     picks = picks.withColumn("place", draw("boot", F.col("rep"), F.col("register"), F.col("unit"), F.col("i")) % F.col("size"))
-    times = picks.groupBy("rep", "register", "unit", "place").agg(F.count("*").alias("mult"))
-    return times.join(ranked, ["register", "unit", "place"]).select("rep", "register", "unit", "recipe_id", "mult")
+    times = picks.groupBy("rep", *GROUP, "place").agg(F.count("*").alias("mult"))
+    return times.join(ranked, [*GROUP, "place"]).select("rep", *GROUP, "recipe_id", "mult")
+
 
+def multinomial(members: DataFrame, last: int, first: int = 1, stream: int = 0, seed: int = SEED) -> DataFrame:
+    """As bootstrap(), each replicate from a NumPy generator of its own over the groups in order. A task holds one group's counts at a time."""
+    ranked = numbered(members.select(*GROUP, "recipe_id"), GROUP, ["recipe_id"], range_cell(members, "recipe_id"))
+    groups = [tuple(r) for r in ranked.groupBy(*GROUP).agg(F.count("*")).orderBy(*GROUP).collect()]  # as many rows as registers and units make
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rep in (int(r) for b in batches for r in b["rep"]):
+            rng = np.random.default_rng([seed, stream, rep])
+            for register, unit, size in groups:
+                mult = rng.multinomial(size, np.full(size, 1 / size))
+                place = np.flatnonzero(mult)
+                yield pd.DataFrame({"rep": rep, "register": register, "unit": unit, "place": place, "mult": mult[place]})
 
-def permute_registers(members: DataFrame, n: int, left: str, right: str) -> DataFrame:
+    reps = members.sparkSession.range(first, last + 1, 1, min(last - first + 1, 64)).withColumnRenamed("id", "rep")
+    times = reps.mapInPandas(run, "rep int, register string, unit string, place bigint, mult bigint")
+    return times.join(ranked, [*GROUP, "place"]).select("rep", *GROUP, "recipe_id", "mult")
+
+
+def permute_registers(members: DataFrame, left: str, right: str, last: int, first: int = 1) -> DataFrame:
     """Within each unit, the pair's labels shuffled; other registers stay."""
     pair = members.where(F.col("register").isin(left, right))
     n_left = pair.groupBy("unit").agg(F.count_if(F.col("register") == left).alias("n_left"))
-    order = Window.partitionBy("rep", "unit").orderBy("h", "recipe_id")
-    drawn = replicates(pair, n).withColumn("h", draw("register", F.col("rep"), F.col("recipe_id"))).withColumn("place", F.row_number().over(order))
-    drawn = drawn.join(F.broadcast(n_left), "unit").withColumn("register", F.when(F.col("place") <= F.col("n_left"), left).otherwise(right))
-    fixed = replicates(members.where(~F.col("register").isin(left, right)), n)
-    columns = ["rep", "register", "unit", "recipe_id", "mult"]
+    drawn = replicates(pair, first, last).withColumn("h", draw("register", F.col("rep"), F.col("recipe_id")))
+    drawn = numbered(drawn, ["rep", "unit"], ["h", "recipe_id"], hash_cell(F.col("h"))).join(n_left, "unit")
+    drawn = drawn.withColumn("register", F.when(F.col("place") < F.col("n_left"), left).otherwise(right))
+    fixed = replicates(members.where(~F.col("register").isin(left, right)), first, last)
+    columns = ["rep", *GROUP, "recipe_id", "mult"]
     return drawn.select(*columns).unionByName(fixed.select(*columns))
 
 
-def permute_units(members: DataFrame, n: int) -> DataFrame:
+def permute_units(members: DataFrame, last: int, first: int = 1) -> DataFrame:
     """Within each register, the unit labels shuffled; sizes stay."""
-    sizes = members.groupBy("register", "unit").agg(F.count("*").alias("size"))
+    sizes = members.groupBy(*GROUP).agg(F.count("*").alias("size"))
     upto = F.sum("size").over(Window.partitionBy("register").orderBy("unit"))
-    spans = sizes.select("register", "unit", (upto - F.col("size")).alias("lo"), upto.alias("hi"))
-    order = Window.partitionBy("rep", "register").orderBy("h", "recipe_id")
-    drawn = replicates(members.drop("unit"), n).withColumn("h", draw("unit", F.col("rep"), F.col("recipe_id"))).withColumn("place", F.row_number().over(order))
-    placed = drawn.join(F.broadcast(spans), (drawn["register"] == spans["register"]) & (F.col("place") > F.col("lo")) & (F.col("place") <= F.col("hi")))
-    return placed.select("rep", drawn["register"], "unit", "recipe_id", "mult")
+    spans = sizes.select("register", "unit", upto.alias("hi")).groupBy("register").agg(F.array_sort(F.collect_list(F.struct("hi", "unit"))).alias("spans"))
+    drawn = replicates(members.drop("unit"), first, last).withColumn("h", draw("unit", F.col("rep"), F.col("recipe_id")))
+    placed = numbered(drawn, ["rep", "register"], ["h", "recipe_id"], hash_cell(F.col("h"))).join(spans, "register")
+    unit = F.get(F.filter("spans", lambda x: x["hi"] > F.col("place")), F.lit(0))["unit"]
+    return placed.select("rep", "register", unit.alias("unit"), "recipe_id", "mult")
+
+
+#: Replicates whose counts stand side by side.
+BLOCK = 50
+
+
+def replicated(drawn: Callable[[int, int], DataFrame], facts: DataFrame, n: int, weighting: str, left: str, right: str) -> DataFrame:
+    """register_distances() of n replicates with rep; drawn(last, first) gives members with rep.
+
+    Facts are joined once for every BLOCK replicates, with a column of counts for each; only the
+    counts per group and ingredient, which are few, become rows again.
+    """
+    out = None
+    for first in range(1, n + 1, BLOCK):
+        reps = range(first, min(first + BLOCK, n + 1))
+        names = [f"m{r}" for r in reps]
+        each = lambda make: F.array(*[F.struct(F.lit(r).alias("rep"), make(f"m{r}").alias("x")) for r in reps])  # noqa: B023, E731
+        wide = drawn(reps[-1], first).groupBy(*GROUP, "recipe_id").agg(*[F.sum(F.when(F.col("rep") == r, F.col("mult"))).alias(m) for r, m in zip(reps, names)])
+        hits = wide.join(facts, "recipe_id").groupBy(*GROUP, "canonical_id").agg(*[F.sum(m).alias(m) for m in names])
+        hits = hits.select(*GROUP, "canonical_id", F.inline(each(F.col))).where("x > 0").withColumnRenamed("x", "hits")
+        sizes = wide.groupBy(*GROUP).agg(*[F.sum(m).alias(m) for m in names]).select(*GROUP, F.inline(each(F.col))).where("x > 0").withColumnRenamed("x", "n_recipes")
+        keys = ["rep", *GROUP]
+        p = hits.join(sizes, keys).select(*keys, "canonical_id", "n_recipes", (F.col("hits") / F.col("n_recipes")).alias("prevalence"))
+        one = profiles.distances(profiles.weighted(p, weighting, ["rep"]), left, right, ["rep"])
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
 def p_values(observed: DataFrame, null: DataFrame) -> DataFrame:
@@ -174,46 +225,9 @@ def acceleration(left_out: DataFrame) -> DataFrame:
     return d.groupBy("unit").agg(F.coalesce(F.try_divide(F.sum(F.col("d") ** 3), 6 * F.sum(F.col("d") ** 2) ** 1.5), F.lit(0.0)).alias("a"))
 
 
-def kernel(facts: pd.DataFrame, weighting: str, left: str, right: str, reps: np.ndarray, stream: int, seed: int = SEED) -> pd.DataFrame:
-    """Distances of many bootstrap replicates over one dense 0/1 matrix; facts: register, unit, recipe_id, canonical_id."""
-    groups = facts[["register", "unit"]].drop_duplicates().sort_values(["register", "unit"]).to_numpy().tolist()
-    recipes, columns = facts["recipe_id"].unique(), facts["canonical_id"].unique()
-    x = np.zeros((recipes.size, columns.size))
-    x[pd.Categorical(facts["recipe_id"], recipes).codes, pd.Categorical(facts["canonical_id"], columns).codes] = 1
-    first = facts.drop_duplicates("recipe_id").set_index("recipe_id").loc[recipes]
-    rows = [np.flatnonzero((first["register"] == r) & (first["unit"] == u)) for r, u in groups]
-    out = []
-    for rep in reps:
-        rng = np.random.default_rng([seed, stream, int(rep)])
-        p = np.array([rng.multinomial(i.size, np.full(i.size, 1 / i.size)) @ x[i] / i.size for i in rows])
-        w = p * (np.log((1 + len(groups)) / (1 + (p > 0).sum(axis=0))) + 1) if weighting == profiles.TFIDF else p
-        at = {tuple(g): i for i, g in enumerate(groups)}
-        for u in sorted({u for _, u in groups}):
-            if (left, u) in at and (right, u) in at:
-                a, b = w[at[left, u]], w[at[right, u]]
-                norm = np.linalg.norm(a) * np.linalg.norm(b)
-                out.append((u, int(rep), 1 - a @ b / norm if norm else float("nan")))
-    return pd.DataFrame(out, columns=["unit", "rep", "distance"])
-
-
-def bootstrap_kernel(facts: DataFrame, weighting: str, n: int, left: str = "official", right: str = "commercial", chunk: int = 500, most_rows: int = 5_000_000) -> DataFrame:
-    """(unit, rep, distance) of n replicates, chunks of replicates in parallel.
-
-    The fact rows go to every task, so their number is checked; beyond ``most_rows`` the relational
-    form, bootstrap(), does the same work without.
-    """
-    spark = facts.sparkSession
-    rows = facts.select("register", "unit", "recipe_id", "canonical_id")
-    if rows.count() > most_rows:
-        members = rows.select("register", "unit", "recipe_id", F.lit(1).cast("bigint").alias("mult")).distinct()
-        drawn = profiles.register_distances(bootstrap(members, n), rows.select("recipe_id", "canonical_id").distinct(), weighting, left, right, ["rep"])
-        return drawn.select("unit", "rep", "distance")
-    held = spark.sparkContext.broadcast(rows.toPandas())
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            for start in b["start"]:
-                yield kernel(held.value, weighting, left, right, np.arange(start, min(start + chunk, n + 1)), 0)
-
-    starts = spark.range(1, n + 1, chunk, max(1, n // chunk)).withColumnRenamed("id", "start")
-    return starts.mapInPandas(run, "unit string, rep int, distance double")
+def bootstrap_kernel(facts: DataFrame, weighting: str, n: int, left: str = "official", right: str = "commercial") -> DataFrame:
+    """(unit, rep, distance) of n replicates drawn by NumPy, for facts (register, unit, recipe_id, canonical_id) of any number; units without a side are left out."""
+    members = facts.select(*GROUP, "recipe_id").distinct().withColumn("mult", F.lit(1).cast("bigint"))
+    pairs = facts.select("recipe_id", "canonical_id").distinct()
+    far = replicated(lambda last, first: multinomial(members, last, first), pairs, n, weighting, left, right)
+    return far.where("n_left > 0 and n_right > 0").select("unit", "rep", "distance")

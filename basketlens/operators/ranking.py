@@ -39,6 +39,28 @@ def ranked(counts: DataFrame, key: str, n: str = "n", group: list[str] = []) ->
     return counts.withColumn("rank", F.row_number().over(order)).withColumn("cum_share", running / F.sum(n).over(whole))
 
 
+def numbered(df: DataFrame, group: list[str], order: list[str], cell: Column) -> DataFrame:
+    """df with ``place``, from 0 in each group by the order; no task holds more than a cell of a group.
+
+    cell must not fall where the order rises.
+    """
+    celled = df.withColumn("__cell", cell)
+    counts = celled.groupBy(*group, "__cell").agg(F.count("*").alias("__n"))
+    before = F.sum("__n").over(Window.partitionBy(*group).orderBy("__cell").rowsBetween(Window.unboundedPreceding, -1))
+    counts = counts.select(*group, "__cell", F.coalesce(before, F.lit(0)).alias("__before"))
+    within = F.row_number().over(Window.partitionBy(*group, "__cell").orderBy(*order)) - 1
+    placed = celled.withColumn("__within", within).join(counts, [*group, "__cell"])
+    return placed.withColumn("place", (F.col("__before") + F.col("__within")).cast("bigint")).select(*df.columns, "place")
+
+
+def range_cell(df: DataFrame, column: str, cells: int = 1024) -> Column:
+    """A cell for numbered(), in the order of a column of whole numbers; of other columns there is one cell."""
+    if df.schema[column].dataType.typeName() not in ("byte", "short", "integer", "long"):
+        return F.lit(0)
+    low, high = df.agg(F.min(column), F.max(column)).first()
+    return F.floor((F.col(column) - F.lit(low or 0)) / max(1, ((high or 0) - (low or 0)) // cells + 1))
+
+
 def rank_reaching(ranks: DataFrame, share: float, group: list[str] = []) -> DataFrame:  # noqa: B006
     """First rank whose running share reaches ``share``."""
     reach = F.min(F.when(F.col("cum_share") >= share, F.col("rank"))).alias("rank_reaching")
@@ -129,3 +151,33 @@ def unconflicted(df: DataFrame, key: str, value: str, order: list[str]) -> DataF
     one = df.groupBy(key).agg(F.count_distinct(value).alias("v")).where("v = 1").select(key)
     first = F.row_number().over(Window.partitionBy(key).orderBy(*order))
     return df.join(one, key, "left_semi").withColumn("__i", first).where("__i = 1").drop("__i")
+
+
+def age_days(day: Column, today: Column) -> Column:
+    return F.datediff(today, day)
+
+
+def scaled(value: Column, low: Column, high: Column, out_low: float, out_high: float) -> Column:
+    """Linear from one range to another; the middle where the range is empty."""
+    share = F.when(high == low, F.lit(0.5)).otherwise((value - low) / (high - low))
+    return out_low + share * (out_high - out_low)
+
+
+def radius(value: Column, most: Column, largest: float) -> Column:
+    """Of a circle whose area is in proportion to the value."""
+    return largest * F.sqrt(F.try_divide(value, most))
+
+
+def dated_sections(lines: DataFrame, file: str, line: str, value: str) -> DataFrame:
+    """(file, n_dated, latest) of a Markdown log's lines: sections that carry at least one date field, and the latest date in the file."""
+    order = Window.partitionBy(file).orderBy(line)
+    day = F.regexp_extract(value, r"\*\*Date[^*]*:\*\*\s*([0-9]{4}-[0-9]{2}-[0-9]{2})", 1)
+    rows = lines.withColumn("__section", F.sum(F.startswith(F.col(value), F.lit("## ")).cast("int")).over(order)).withColumn("__day", F.nullif(day, F.lit("")))
+    per = rows.groupBy(file, "__section").agg(F.max("__day").alias("__day"))
+    return per.groupBy(file).agg(F.count_if((F.col("__section") > 0) & F.col("__day").isNotNull()).alias("n_dated"), F.max("__day").alias("latest"))
+
+
+def examples(rows: DataFrame, group: str, order: list[str], clean: Column, most: int) -> DataFrame:
+    """``most`` rows, one of each group, of those that are clean."""
+    first = F.row_number().over(Window.partitionBy(group).orderBy(*order))
+    return rows.where(clean).withColumn("__i", first).where("__i = 1").drop("__i").orderBy(group).limit(most)

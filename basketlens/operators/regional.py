@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from basketlens.operators.inference import draw
+from basketlens.operators.inference import draw, hash_cell
+from basketlens.operators.ranking import numbered, range_cell
 
 
 def centroids(vectors: DataFrame) -> DataFrame:
@@ -26,14 +27,11 @@ def cosine_pairs(long: DataFrame, key: str) -> DataFrame:
 
 def relabelled(labels: DataFrame, reps: int, stream: str = "separation") -> DataFrame:
     """(rep, id, label): labels shuffled, by ranks of hashes; rep 0 is as observed."""
-    from pyspark.sql.window import Window
-
     base = labels.select("id", "label")
-    place = F.row_number().over(Window.orderBy("id"))  # a studied cohort: hundreds of vectors
-    slots = base.withColumn("place", place).select("place", "label")
-    drawn = base.select("id").withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(reps))))
-    drawn = drawn.withColumn("place", F.row_number().over(Window.partitionBy("rep").orderBy(draw(stream, F.col("rep"), F.col("id")), "id")))
-    return drawn.join(F.broadcast(slots), "place").select("rep", "id", "label").unionByName(base.select(F.lit(0).alias("rep"), "id", "label"))
+    slots = numbered(base, [], ["id"], range_cell(base, "id")).select("place", "label")
+    drawn = base.select("id").withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(reps)))).withColumn("h", draw(stream, F.col("rep"), F.col("id")))
+    drawn = numbered(drawn, ["rep"], ["h", "id"], hash_cell(F.col("h")))
+    return drawn.join(slots, "place").select("rep", "id", "label").unionByName(base.select(F.lit(0).alias("rep"), "id", "label"))
 
 
 def separation(vectors: DataFrame, reps: int) -> DataFrame:
@@ -69,7 +67,10 @@ def one_sided(null: DataFrame, value: str) -> DataFrame:
 
 
 def mantel(left: DataFrame, right: DataFrame, reps: int) -> DataFrame:
-    """(rep, r): correlation of two distance lists (a, b, distance) over the same ids, rows and columns of one shuffled together."""
+    """(rep, r): correlation of two distance lists (a, b, distance), rows and columns of one shuffled together. Lists over different ids are refused."""
+    named = lambda df: df.select(F.col("a").alias("id")).union(df.select("b")).distinct()
+    if named(left).join(named(right), "id", "left_anti").limit(1).count() or named(right).join(named(left), "id", "left_anti").limit(1).count():
+        raise ValueError("the two lists of distances are over different ids")
     ids = left.select(F.col("a").alias("id")).union(left.select("b")).distinct()
     moved = relabelled(ids.withColumn("label", F.col("id")), reps, "mantel")
     a, b = moved.select("rep", F.col("id").alias("a"), F.col("label").alias("ma")), moved.select("rep", F.col("id").alias("b"), F.col("label").alias("mb"))

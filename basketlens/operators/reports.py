@@ -4,16 +4,18 @@ from __future__ import annotations
 
 from decimal import ROUND_HALF_UP, Decimal
 
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.utils import AnalysisException
 
 
 def guarded(read) -> DataFrame | None:
-    """A part of a report that cannot be read is missing; the rest stands."""
+    """A part of a report that cannot be read, when planned or when run, is missing; the rest stands. Parts are few rows, which are read here."""
     try:
-        return read()
-    except AnalysisException:
+        df = read()
+        return df.sparkSession.createDataFrame(df.collect(), df.schema)
+    except (PySparkException, Py4JJavaError):
         return None
 
 

@@ -59,11 +59,20 @@ def list_confidence(kind: str) -> Column:
 
 def resolve_region(recipes: DataFrame, provinces: DataFrame, own: str = "own_region") -> tuple[DataFrame, DataFrame]:
     """recipes with region (the province's, else their own), and the rows where both exist and differ."""
-    df = recipes.join(F.broadcast(provinces.select("province", F.col("region").alias("of_province"))), "province", "left")
+    df = recipes.join(provinces.select("province", F.col("region").alias("of_province")), "province", "left")
     clash = df.where(F.col("of_province") != F.col(own))
     return df.withColumn("region", F.coalesce("of_province", own)).drop("of_province"), clash
 
 
+def resolved(recipes: DataFrame, provinces: DataFrame, own: str = "own_region") -> DataFrame:
+    """As resolve_region(); refused where a recipe's own region is not its province's."""
+    df, clash = resolve_region(recipes, provinces, own)
+    n = clash.count()
+    if n:
+        raise ValueError(f"{n} recipes have a region that is not their province's")
+    return df
+
+
 def fact_rows(recipes: DataFrame, facts: DataFrame, unit: str) -> DataFrame:
     """(register, unit, recipe_id, canonical_id); rows without a unit are dropped before any weighting."""
     rows = recipes.select("recipe_id", "register", F.col(unit).alias("unit")).where("unit is not null")

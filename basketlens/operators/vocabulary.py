@@ -155,3 +155,96 @@ def problems(entries: DataFrame, aliases: DataFrame, splits: DataFrame, exclusio
     for x in found[1:]:
         out = out.unionByName(x)
     return out.where("n > 0")
+
+
+def mapping_counts(lines: DataFrame, entries: DataFrame, registers: tuple[str, ...]) -> DataFrame:
+    """(register, mentions, mapped, split, entries) of lines (register, recipe_id, key); entries: (key, canonical_id, is_split).
+
+    A register that is not known is refused, but only if it has mapped lines.
+    """
+    hits = entries.groupBy("key").agg(F.count("*").alias("n"), F.bool_or("is_split").alias("is_split"))
+    found = lines.join(hits, "key", "left").groupBy("register").agg(
+        F.count("*").alias("mentions"), F.count("n").alias("mapped"), F.count_if("is_split").alias("split"), F.coalesce(F.sum("n"), F.lit(0)).alias("entries")
+    )
+    strange = [r[0] for r in found.where((F.col("mapped") > 0) & ~F.col("register").isin(*registers)).select("register").collect()]  # registers are few
+    if strange:
+        raise ValueError(f"unknown register: {', '.join(map(str, strange))}")
+    return found
+
+
+def trusted_coverage(mentions: DataFrame, entries: DataFrame, trusted: DataFrame, registers: tuple[str, ...]) -> DataFrame:
+    """coverage() with mapped_trusted and its share: mentions mapped to an entry that is trusted (canonical_id)."""
+    known = trusted.select(F.col("canonical_id").alias("entry"), F.lit(True).alias("is_trusted"))
+    pairs = mentions.select("source_id", "register", "recipe_id", "key").distinct().join(entries, "key").join(known, "entry")
+    n = pairs.withColumn("scope", F.explode(scopes(registers))).groupBy("scope").agg(F.count("*").alias("mapped_trusted"))
+    out = coverage(mentions, entries, registers).join(n, "scope", "left").fillna(0, ["mapped_trusted"])
+    return out.withColumn("trusted_share", F.coalesce(F.try_divide("mapped_trusted", "mentions"), F.lit(0.0)))
+
+
+def worklist_by(mentions: DataFrame, column: str, values: list[str]) -> DataFrame:
+    """(key, n, a column for each value, its rank among the strings of that value): recipes that have the string, in all and by source or register."""
+    pairs = mentions.select(column, "recipe_id", "key").distinct()
+    per = ranked(pairs.groupBy(column, "key").agg(F.count("*").alias("n")), "key", group=[column])
+    wide = per.groupBy("key").pivot(column, values).agg(F.first("n").alias("n"), F.first("rank").alias("rank"))
+    total = pairs.select("recipe_id", "key").distinct().groupBy("key").agg(F.count("*").alias("n"))
+    return total.join(wide.fillna(0, [f"{v}_n" for v in values]), "key")
+
+
+def suggestions(groups: DataFrame, entries: DataFrame) -> DataFrame:
+    """groups (group, ...) with the entry whose key the group's name is, if that is exactly one; nothing is guessed."""
+    one = entries.where(~F.col("entry").isin(CONFLICT, EXCLUDED)).select(F.col("key").alias("group"), F.col("entry").alias("suggested"))
+    return groups.join(one, "group", "left")
+
+
+def planned(decisions: DataFrame, entries: DataFrame, known: DataFrame) -> DataFrame:
+    """(key, action, ids, problem) of decisions (key, decision): alias, split, exclude, already, or refused with what is wrong.
+
+    A decision is ids joined by bars, or exclude. entries: (key, entry), all those of a key; known:
+    (canonical_id). What the vocabulary says otherwise is never changed.
+    """
+    ids = F.filter(F.split(F.trim("decision"), r"\s*\|\s*"), lambda x: x != "")
+    current = entries.groupBy("key").agg(F.array_sort(F.collect_set("entry")).alias("current"))
+    rows = decisions.withColumn("excludes", F.lower(F.trim("decision")) == "exclude").withColumn("ids", F.when(~F.col("excludes"), ids).otherwise(F.array()))
+    missing = rows.select("key", F.explode("ids").alias("canonical_id")).join(known, "canonical_id", "left_anti").select("key").distinct().withColumn("missing", F.lit(True))
+    x = rows.join(current, "key", "left").join(missing, "key", "left")
+    wanted = F.when(F.col("excludes"), F.array(F.lit(EXCLUDED))).otherwise(F.array_sort("ids"))
+    problem = (
+        F.when(~F.col("excludes") & ((F.size("ids") == 0) | F.exists("ids", lambda i: ~i.rlike("^ING_[0-9]{4}$"))), "not an entry's id")
+        .when(F.coalesce("missing", F.lit(False)), "no such entry")
+        .when(F.size(F.array_distinct("ids")) < F.size("ids"), "an id is repeated")
+        .when(F.col("current").isNotNull() & (F.col("current") != wanted), "the vocabulary says otherwise")
+    )
+    action = F.when(problem.isNotNull(), "refused").when(F.col("current").isNotNull(), "already").when(F.col("excludes"), "exclude").when(F.size("ids") > 1, "split").otherwise("alias")
+    return x.select("key", action.alias("action"), F.array_join("ids", "|").alias("ids"), problem.alias("problem"))
+
+
+def category_coverage(work: DataFrame, entries: DataFrame, categories: DataFrame) -> DataFrame:
+    """(category, n, share) of (recipe, string) pairs: work (key, n) by the category of its entry; conflicts, exclusions and unmapped strings count in the total only."""
+    total = work.agg(F.sum("n").alias("total"))
+    rows = work.join(entries.where(~F.col("entry").isin(CONFLICT, EXCLUDED)), "key").join(categories.select(F.col("canonical_id").alias("entry"), "category"), "entry")
+    return rows.groupBy("category").agg(F.sum("n").alias("n")).crossJoin(F.broadcast(total)).select("category", "n", F.try_divide("n", "total").alias("share"))  # one row
+
+
+def category_check(entries: DataFrame) -> DataFrame:
+    """(category, n, known, over) in the list's order, zeros kept, strange ones last: over is true of other above its ceiling."""
+    n = entries.groupBy("category").agg(F.count("*").alias("n"))
+    total = entries.agg(F.greatest(F.count("*"), F.lit(1)).alias("total"))
+    fixed = entries.sparkSession.createDataFrame(list(enumerate(CATEGORIES)), "place int, category string")
+    both = fixed.join(n, "category", "full").crossJoin(F.broadcast(total))
+    over = (F.col("category") == "other") & (F.coalesce("n", F.lit(0)) / F.col("total") > OTHER_CEILING)
+    return both.select("category", F.coalesce("n", F.lit(0)).alias("n"), F.col("place").isNotNull().alias("known"), over.alias("over"))
+
+
+def parsed_modes(coding: DataFrame, enum: tuple[str, ...]) -> tuple[DataFrame, DataFrame]:
+    """(string, codes) of a coding (string, modes): none gives an empty list, blank is not coded; and the strings with a mode that is not in the list."""
+    m = F.trim("modes")
+    codes = F.when(F.lower(m) == "none", F.array().cast("array<string>")).otherwise(F.array_distinct(F.filter(F.transform(F.split(m, r"\|"), F.trim), lambda x: x != "")))
+    rows = coding.where(m != "").select("string", codes.alias("codes"), (F.lower(m) == "none").alias("none"))
+    bad = (F.size(F.array_except("codes", F.array(*[F.lit(x) for x in enum]))) > 0) | ((F.size("codes") == 0) & ~F.col("none"))
+    return rows.where(~bad).select("string", "codes"), rows.where(bad).select("string")
+
+
+def coding_coverage(lines: DataFrame, coding: DataFrame) -> DataFrame:
+    """(n_rows, n_coded, n_strings, n_strings_coded) of lines (string), by strings that a coding (string, codes) has."""
+    n = lines.where("string <> ''").groupBy("string").agg(F.count("*").alias("n")).join(coding.select("string", F.lit(True).alias("coded")), "string", "left")
+    return n.agg(F.sum("n").alias("n_rows"), F.coalesce(F.sum(F.when(F.col("coded"), F.col("n"))), F.lit(0)).alias("n_coded"), F.count("*").alias("n_strings"), F.count("coded").alias("n_strings_coded"))

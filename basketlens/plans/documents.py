@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 
 from pyspark.sql import functions as F
 
-from basketlens.functions import layout, text
+from basketlens.functions import text
 from basketlens.operators import figures, geo, profiles, ranking, reports, similarity, views
 from basketlens.plans.statistics import _clean, _members, r6
+from basketlens.plans import mapping
 from basketlens.plans.testbed import BASE_SQL, Testbed
-from basketlens.sources import conduct, tables
+from basketlens.session import shared_folder
 from basketlens.streaming import ingest
 
 QUERIES, ORACLE_SQL = {}, {}
@@ -115,36 +116,17 @@ def iso_dates(spark, sf_dir):
     return Testbed(spark, sf_dir).table("events").select("event_id", text.iso_date(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss")).alias("day"))
 
 
-@registered()
+_OWN_SQL = "own as (select recipe_id, region as of_province, case when recipe_id % 50 = 7 then 'ASIA' else region end as own_region from recipes)"
+
+
+@registered(f"with {BASE_SQL}, {_OWN_SQL} select of_province as region, count(*) as n, count(*) filter (own_region <> of_province) as clashes from own group by 1")
 def resolved_regions(spark, sf_dir):
+    """The province's region, and where a recipe's own is another: every fiftieth recipe says ASIA."""
     t = Testbed(spark, sf_dir)
-    own = t.recipes().withColumn("own_region", F.col("region")).drop("region")
+    own = t.recipes().withColumn("own_region", F.when(F.col("recipe_id") % 50 == 7, "ASIA").otherwise(F.col("region"))).drop("region")
     resolved, clash = views.resolve_region(own, t.places())
-    return resolved.join(clash.select("recipe_id"), "recipe_id", "left_anti").groupBy("region").agg(F.count("*").alias("n"))
-
-
-@registered()
-def payload_lines(spark, sf_dir):
-    """Both payload shapes, made from documents: flat lists of even ids, sections of odd ones."""
-    d = Testbed(spark, sf_dir).table("documents").select(F.col("doc_id").alias("recipe_id"), F.split("text", "\n").alias("l"))
-    flat = F.to_json(F.struct(F.transform("l", lambda x: F.struct(x.alias("name_th"))).alias("ingredients")))
-    deep = F.to_json(F.struct(F.array(F.struct(F.lit("h").alias("heading"), F.col("l").alias("items"))).alias("sections")))
-    return tables.ingredient_lines(d.select("recipe_id", F.when(F.col("recipe_id") % 2 == 0, flat).otherwise(deep).alias("parsed_json")))
-
-
-@registered()
-def layout_lines(spark, sf_dir):
-    """Words of documents as runs on a page, and back to lines."""
-    d = Testbed(spark, sf_dir).table("documents").select(F.col("doc_id").alias("doc"), F.posexplode(F.split("text", "\n")).alias("l", "line"))
-    runs = d.select("doc", "l", F.posexplode(F.split("line", " ")).alias("w", "text"))
-    return layout.documents(runs.select("doc", "text", (F.col("w") * 30.0).alias("x"), (F.col("l") * 12.0 + F.col("w") % 2).alias("y"), F.lit(1).alias("page")))
-
-
-@registered("select user_id, event_type, count(*) as copies from events group by all")
-def manifest_latest(spark, sf_dir):
-    """How often each (user, type) was logged, beside its latest row, as a crawl's manifest is read."""
-    e = Testbed(spark, sf_dir).table("events").select(F.concat_ws("/", F.col("user_id").cast("string"), "event_type").alias("url"), F.col("ts").alias("fetched_at"), "user_id", "event_type")
-    return conduct.current(e).join(e.groupBy("url").agg(F.count("*").alias("copies")), "url").select("user_id", "event_type", "copies")
+    n = clash.groupBy(F.col("of_province").alias("region")).agg(F.count("*").alias("clashes"))
+    return resolved.groupBy("region").agg(F.count("*").alias("n")).join(n, "region", "left").fillna(0, ["clashes"])
 
 
 @registered("select sha256(text) as content_hash, source from documents group by all")
@@ -153,14 +135,25 @@ def stream_ingest(spark, sf_dir):
     t = Testbed(spark, sf_dir)
     schema = t.table("documents").schema
     stream = ingest.read(spark, f"{sf_dir}/documents*.parquet", schema)
-    stream = ingest.once(stream.withColumn("seen_at", F.lit("2024-01-01").cast("timestamp")), "source", "text", "seen_at").select("content_hash", "source")
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="basketlens-stream-")
-    out = f"{base}/stream-{spark.sparkContext.applicationId}-{abs(hash(sf_dir))}"
-    ingest.start(stream, f"{out}/out", f"{out}/state").awaitTermination()
+    stream = stream.withColumn("content_hash", F.sha2("text", 256)).select("content_hash", "source")
+    out = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    ingest.start_keyed(stream, f"{out}/out", f"{out}/state", ["content_hash", "source"]).awaitTermination()
     return spark.read.parquet(f"{out}/out")
 
 
+@registered("select event_type, date_trunc('hour', ts) as start, count(*) as n from events group by all")
+def windowed_events(spark, sf_dir):
+    """Counts by hour and type over the events as a stream."""
+    stream = ingest.read(spark, f"{sf_dir}/events*.parquet", Testbed(spark, sf_dir).table("events").schema)
+    name = f"windowed_{uuid.uuid4().hex}"
+    counts = ingest.windowed_counts(stream.withColumn("ts", F.col("ts").cast("timestamp")), "ts", "event_type")
+    counts.writeStream.format("memory").queryName(name).outputMode("complete").trigger(availableNow=True).option("checkpointLocation", f"{shared_folder(spark)}/{name}").start().awaitTermination()
+    return spark.table(name).select("event_type", F.col("window.start").cast("timestamp_ntz").alias("start"), "n")
+
+
 @registered()
 def near_names(spark, sf_dir):
+    """Strings that the vocabulary has no entry for, near those it maps."""
     names = Testbed(spark, sf_dir).table("part").select(F.col("p_name").alias("key")).distinct()
-    return similarity.near_strings(names.where("key like 'red%'"), names.where("key not like 'red%'"), 0.7)
+    mapped = mapping._entries(Testbed(spark, sf_dir)).select("key")
+    return similarity.near_strings(names.join(mapped, "key", "left_anti"), names.join(mapped, "key", "left_semi"), 0.7)

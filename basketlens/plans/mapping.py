@@ -305,13 +305,6 @@ def normalise_key(spark, sf_dir):
     return Testbed(spark, sf_dir).table("documents").select("doc_id", F.md5(text.key(F.col("text"))).alias("key_md5"))
 
 
-@registered()
-def strip_quantity(spark, sf_dir):
-    p = Testbed(spark, sf_dir).table("part")
-    raw = F.format_string("• %s %d kg (%s)", "p_name", "p_size", "p_type")
-    return p.select("p_partkey", text.strip_quantity(raw).alias("name"), text.first_quantity(raw).alias("q"), text.suggestion_key(raw).alias("suggestion")).select("p_partkey", "name", "q.value", "q.unit", "suggestion")
-
-
 @registered()
 def html_lines(spark, sf_dir):
     p = Testbed(spark, sf_dir).table("pages")

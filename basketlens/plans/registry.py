@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from basketlens.plans import documents, mapping, statistics
+from basketlens.plans import documents, mapping, statistics, studies, texts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
-for _m in (statistics, mapping, documents):
+for _m in (statistics, mapping, documents, texts, studies):
     QUERIES |= _m.QUERIES
     ORACLE_SQL |= _m.ORACLE_SQL

@@ -192,7 +192,7 @@ boot as (select rep, register, unit, recipe_id, count(*)::bigint as mult from pi
 def _boot(spark, sf_dir):
     members, facts = _members(spark, sf_dir)
     observed = profiles.register_distances(members, facts, profiles.TFIDF, A, B)
-    return observed, profiles.register_distances(inference.bootstrap(members, REPS), facts, profiles.TFIDF, A, B, ["rep"])
+    return observed, inference.replicated(lambda last, first: inference.bootstrap(members, last, first), facts, REPS, profiles.TFIDF, A, B)
 
 
 @registered(f"{MEMBERS_SQL}, {BOOT_SQL} select rep, unit, round(distance, 6) as distance from bd")
@@ -222,8 +222,8 @@ def bias_corrected_interval(spark, sf_dir):
 def _permuted(kind: str):
     def run(spark, sf_dir):
         members, facts = _members(spark, sf_dir)
-        moved = inference.permute_registers(members, REPS, A, B) if kind == "register" else inference.permute_units(members, REPS)
-        null = profiles.register_distances(moved, facts, profiles.TFIDF, A, B, ["rep"])
+        moved = {"register": lambda last, first: inference.permute_registers(members, A, B, last, first), "unit": lambda last, first: inference.permute_units(members, last, first)}
+        null = inference.replicated(moved[kind], facts, REPS, profiles.TFIDF, A, B)
         observed = profiles.register_distances(members, facts, profiles.TFIDF, A, B)
         return inference.p_values(observed, null).select("unit", r6("p"))
 
@@ -267,7 +267,7 @@ from (select unit, p, row_number() over (order by p, unit) as rk, count(*) over
 )
 def holm_adjusted(spark, sf_dir):
     members, facts = _members(spark, sf_dir)
-    null = profiles.register_distances(inference.permute_registers(members, REPS, A, B), facts, profiles.TFIDF, A, B, ["rep"])
+    null = inference.replicated(lambda last, first: inference.permute_registers(members, A, B, last, first), facts, REPS, profiles.TFIDF, A, B)
     p = inference.p_values(profiles.register_distances(members, facts, profiles.TFIDF, A, B), null)
     return inference.holm(p.withColumn("family", F.lit("register")), ["family"], "unit").select("unit", r6("p"), r6("p_holm"))
 
@@ -276,7 +276,7 @@ def holm_adjusted(spark, sf_dir):
 def rq_result_table(spark, sf_dir):
     """Both weightings: distance, interval, and both nulls' p-values with Holm adjustment."""
     members, facts = _members(spark, sf_dir)
-    kinds = {"boot": inference.bootstrap(members, REPS), "register": inference.permute_registers(members, REPS, A, B), "unit": inference.permute_units(members, REPS)}
+    kinds = {"boot": inference.bootstrap(members, REPS), "register": inference.permute_registers(members, A, B, REPS), "unit": inference.permute_units(members, REPS)}
     every = members.withColumn("kind", F.lit("observed")).withColumn("rep", F.lit(0))
     for kind, moved in kinds.items():
         every = every.unionByName(moved.withColumn("kind", F.lit(kind)))
@@ -324,7 +324,7 @@ def bca_interval(spark, sf_dir):
 @registered()
 def bootstrap_kernel(spark, sf_dir):
     recipes, facts = _clean(spark, sf_dir)
-    return inference.bootstrap_kernel(views.fact_rows(recipes, facts, "region"), profiles.TFIDF, 40, A, B, chunk=10)
+    return inference.bootstrap_kernel(views.fact_rows(recipes, facts, "region"), profiles.TFIDF, 40, A, B)
 
 
 @registered(

@@ -11,6 +11,7 @@ from pyspark.sql import SparkSession
 
 _PACKAGE = Path(__file__).resolve().parent
 _shipped: set[str] = set()
+_folders: dict[str, str] = {}
 
 
 def ship(spark: SparkSession) -> None:
@@ -24,3 +25,16 @@ def ship(spark: SparkSession) -> None:
         for p in sorted(_PACKAGE.rglob("*.py")):
             z.write(p, p.relative_to(_PACKAGE.parent))
     context.addPyFile(archive)
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: the one that spark.checkpoint.dir names. Only where all run on one machine, as in tests, a folder of our own does without."""
+    context = spark.sparkContext
+    named = context.getConf().get("spark.checkpoint.dir")
+    if named:
+        return named
+    if not context.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    if context.applicationId not in _folders:
+        _folders[context.applicationId] = tempfile.mkdtemp(prefix="basketlens-shared-")
+    return _folders[context.applicationId]

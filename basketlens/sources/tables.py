@@ -8,11 +8,14 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
+from pyspark.sql.window import Window
 
 from basketlens.functions import privacy, text
+from basketlens.operators.ranking import latest
+from basketlens.operators.release import Files, content_digest, swap
 
 
 def exact_csv(spark: SparkSession, path: str, columns: list[str], kept: list[str] | None = None) -> DataFrame:
@@ -82,9 +85,12 @@ def unsettled(wanted: DataFrame, manifest: DataFrame, key: str = "url", retry_em
     return wanted.join(done.select(key).distinct(), key, "left_anti")
 
 
-def upsert(old: DataFrame, new: DataFrame, key: list[str], updated: list[str]) -> DataFrame:
-    """old with new rows; where a key is there already only the ``updated`` columns change, and null changes nothing."""
-    o, n = old.alias("o"), new.dropDuplicates(key).alias("n")
+def upsert(old: DataFrame, new: DataFrame, key: list[str], updated: list[str], order: list[str] = []) -> DataFrame:  # noqa: B006
+    """old with new rows; where a key is there already only the ``updated`` columns change, and null changes nothing.
+
+    Of new rows with one key the last by ``order`` counts, and of equal ones the greatest in all columns.
+    """
+    n = latest(new, key, order or [c for c in new.columns if c not in key]).alias("n")
     pick = lambda c: F.coalesce(f"n.{c}", f"o.{c}") if c in updated or c in key else F.when(F.col("o.__in"), F.col(f"o.{c}")).otherwise(F.col(f"n.{c}"))
     o = old.withColumn("__in", F.lit(True)).alias("o")
     cond = [F.col(f"o.{k}").eqNullSafe(F.col(f"n.{k}")) for k in key]
@@ -94,29 +100,56 @@ def upsert(old: DataFrame, new: DataFrame, key: list[str], updated: list[str]) -
     return o.join(n, on, "full").select(*[pick(c).alias(c) for c in old.columns])
 
 
+def insert_new(old: DataFrame, new: DataFrame, key: list[str], order: list[str] = []) -> DataFrame:  # noqa: B006
+    """old with those new rows whose key it has not."""
+    return upsert(old, new, key, [], order)
+
+
+def replaced(old: DataFrame, new: DataFrame, key: list[str], order: list[str] = []) -> DataFrame:  # noqa: B006
+    """old with new rows in the place of those with their key, whole."""
+    return old.join(new.select(*key).distinct(), key, "left_anti").unionByName(latest(new, key, order or [c for c in new.columns if c not in key]))
+
+
+def numbered_upsert(old: DataFrame, new: DataFrame, key: list[str], identity: str, order: list[str] = []) -> DataFrame:  # noqa: B006
+    """As replaced(), with a number for each row: known keys keep theirs, new ones get the next in the order of their key."""
+    most = old.agg(F.coalesce(F.max(identity), F.lit(0)).alias("__most"))
+    known = old.select(*key, identity)
+    rows = latest(new, key, order or [c for c in new.columns if c not in key]).join(known, key, "left")
+    fresh = rows.where(F.col(identity).isNull()).select(*key).withColumn("__next", F.row_number().over(Window.orderBy(*key)))  # new keys of one load
+    rows = rows.join(fresh, key, "left").crossJoin(F.broadcast(most)).withColumn(identity, F.coalesce(identity, F.col("__most") + F.col("__next"))).select(*old.columns)
+    return old.join(new.select(*key).distinct(), key, "left_anti").unionByName(rows)
+
+
+def summed_upsert(old: DataFrame, new: DataFrame, key: list[str], counters: list[str]) -> DataFrame:
+    """Counters of new rows added to those of old, key by key."""
+    both = old.select(*key, *counters).unionByName(new.select(*key, *counters))
+    return both.groupBy(*key).agg(*[F.sum(c).alias(c) for c in counters])
+
+
+def not_in_files(old: DataFrame, files: DataFrame, key: list[str]) -> DataFrame:
+    """Rows that the files no longer have: reported, never deleted."""
+    return old.join(files.select(*key).distinct(), key, "left_anti")
+
+
 def publish(frames: dict[str, DataFrame], folder: str) -> None:
-    """All tables or none: written to a staging folder, scanned for personal data, then moved together."""
+    """All tables or none: written to a staging folder, scanned for personal data, then swapped in; what was there comes back if that fails."""
     spark = next(iter(frames.values())).sparkSession
     staging = f"{folder}/_staging-{uuid.uuid4().hex}"
-    fs_path = spark._jvm.org.apache.hadoop.fs.Path
-    fs = fs_path(folder).getFileSystem(spark._jsc.hadoopConfiguration())
     try:
         for name, df in frames.items():
             df.write.parquet(f"{staging}/{name}.parquet")
         leaks = [r for name in frames for r in privacy.scan(spark.read.parquet(f"{staging}/{name}.parquet"), name).collect()]  # classes per table
         if leaks:
             raise ValueError("not published: " + "; ".join(f"{r['table']}: {r['class']} ({r['n_rows']})" for r in leaks))
-        for name in frames:
-            fs.delete(fs_path(f"{folder}/{name}.parquet"), True)
-            fs.rename(fs_path(f"{staging}/{name}.parquet"), fs_path(f"{folder}/{name}.parquet"))
+        swap(spark, folder, {f"{name}.parquet": f"{staging}/{name}.parquet" for name in frames})
     finally:
-        fs.delete(fs_path(staging), True)
+        Files(spark, folder).remove(staging)
 
 
 def snapshot(df: DataFrame, folder: str, day: str, settings: dict) -> None:
     """A dated CSV of four decimals, NaN as empty, beside the settings that made it; df is a report."""
     numbers = {f.name for f in df.schema if f.dataType.simpleString() in ("double", "float")}
-    shown = [F.when(F.col(c).isNull() | F.isnan(c), "").otherwise(F.format_number(c, "0.0000")).alias(c) if c in numbers else F.col(c) for c in df.columns]
+    shown = [F.when(F.col(c).isNull() | F.isnan(c), "").otherwise(F.format_string("%.4f", c)).alias(c) if c in numbers else F.col(c) for c in df.columns]
     df.select(*shown).coalesce(1).write.mode("overwrite").csv(f"{folder}/{day}.csv", header=True)
     spark = df.sparkSession
     spark.createDataFrame([(json.dumps(settings, sort_keys=True),)], "value string").coalesce(1).write.mode("overwrite").text(f"{folder}/{day}.json")
@@ -128,10 +161,21 @@ def merge_sheet(lines: DataFrame, existing: DataFrame, key: str, human: list[str
 
 
 def manifest(tables: dict[str, DataFrame]) -> DataFrame:
-    """(table, n_rows, digest): a checksum of the rows that does not depend on their order."""
+    """(table, n_rows, digest): a digest of the rows that does not depend on their order, and to which every copy of a row counts."""
     out = None
     for name, df in tables.items():
-        row = F.xxhash64(*[F.col(f"`{c}`") for c in df.columns])
-        one = df.agg(F.count("*").alias("n_rows"), F.hex(F.coalesce(F.bit_xor(row), F.lit(0))).alias("digest")).select(F.lit(name).alias("table"), "n_rows", "digest")
+        one = content_digest(df).select(F.lit(name).alias("table"), "n_rows", "digest")
         out = one if out is None else out.unionByName(one)
     return out
+
+
+def log_appended(rows: DataFrame, folder: str) -> None:
+    """Rows added to an append-only manifest; those of bodies that are not 200 keep no body."""
+    body = F.when(F.col("status") == 200, F.col("body")) if "body" in rows.columns else None
+    (rows if body is None else rows.withColumn("body", body)).write.mode("append").parquet(folder)
+
+
+def enumerated_outcome(status: Column, body: Column, magic: bytes = b"%PDF") -> Column:
+    """What a request for an enumerated address gave: found, missing (404 is an answer), soft_missing (200 without the magic bytes), or failed."""
+    real = F.coalesce(F.substring(body, 1, len(magic)) == F.lit(magic), F.lit(False))
+    return F.when(status == 404, "missing").when((status == 200) & real, "found").when(status == 200, "soft_missing").otherwise("failed")

@@ -32,3 +32,17 @@ def windowed_counts(stream: DataFrame, time: str, group: str, length: str = "1 h
 def start(stream: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
     """Appends what is there and stops; to be run again for more."""
     return stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
+
+
+def start_keyed(stream: DataFrame, out: str, checkpoint: str, key: list[str]) -> StreamingQuery:
+    """As start(), but each key once however late it comes again: a batch adds only keys that the table has not, also when it is run twice."""
+
+    def add(batch: DataFrame, _: int) -> None:
+        spark = batch.sparkSession
+        new = batch.dropDuplicates(key)
+        path = spark._jvm.org.apache.hadoop.fs.Path(out)
+        if path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
+            new = new.join(spark.read.parquet(out).select(*key), key, "left_anti").select(*batch.columns)
+        new.write.mode("append").parquet(out)
+
+    return stream.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -83,7 +83,7 @@ def test_bootstrap_keeps_sizes(data):
 def test_permutations_keep_sizes(data):
     members = data[0]
     sizes = {(r["register"], r["unit"]): r["n_recipes"] for r in profiles.sizes(members).collect()}
-    for moved in (inference.permute_registers(members, 3, "official", "commercial"), inference.permute_units(members, 3)):
+    for moved in (inference.permute_registers(members, "official", "commercial", 3), inference.permute_units(members, 3)):
         assert {(r["register"], r["unit"]): r["n_recipes"] for r in profiles.sizes(moved, ["rep"]).where("rep = 2").collect()} == sizes
 
 
@@ -91,7 +91,7 @@ def test_planted_and_null_signal(spark):
     for gap in (True, False):
         df = spark.createDataFrame(corpus(4, gap), LONG)
         members, facts = df.select("register", "unit", "recipe_id", F.lit(1).cast("bigint").alias("mult")).distinct(), df.select("recipe_id", "canonical_id")
-        null = profiles.register_distances(inference.permute_registers(members, 60, "official", "commercial"), facts, "tfidf", scope=["rep"])
+        null = profiles.register_distances(inference.permute_registers(members, "official", "commercial", 60), facts, "tfidf", scope=["rep"])
         p = {r["unit"]: r["p"] for r in inference.p_values(profiles.register_distances(members, facts, "tfidf"), null).collect()}
         assert all(x >= 1 / 61 for x in p.values())
         assert max(p.values()) < 0.05 if gap else max(p.values()) > 0.05
@@ -120,12 +120,42 @@ def test_bias_corrected_interval():
     assert inference.bias_corrected(b, 2.0)[0] > 0.9
 
 
-def test_kernel_is_reproducible_and_near_relational(data):
-    facts = data[2].toPandas()
-    a = inference.kernel(facts, "tfidf", "official", "commercial", np.arange(1, 40), 0)
-    assert a.equals(inference.kernel(facts, "tfidf", "official", "commercial", np.arange(1, 40), 0))
-    b = profiles.register_distances(inference.bootstrap(data[0], 40), data[1], "tfidf", scope=["rep"]).where("unit = 'n'").agg(F.avg("distance")).first()[0]
-    assert abs(a[a["unit"] == "n"]["distance"].mean() - b) < 0.05
+def test_multinomial_bootstrap_against_numpy(data):
+    """The same draws as one generator for each replicate gives, group by group, whatever the size of a block."""
+    members, facts, rows = data
+    got = {(r["unit"], r["rep"]): r["distance"] for r in inference.bootstrap_kernel(rows, "tfidf", 3).collect()}
+    pdf = rows.toPandas()
+    groups = sorted({(r, u) for r, u in zip(pdf["register"], pdf["unit"])})
+    for rep in (1, 2, 3):
+        rng, drawn = np.random.default_rng([42, 0, rep]), []
+        for r, u in groups:
+            of = pdf[(pdf["register"] == r) & (pdf["unit"] == u)]
+            ids = sorted(of["recipe_id"].unique())
+            for i, n in zip(ids, rng.multinomial(len(ids), np.full(len(ids), 1 / len(ids)))):
+                drawn += [(f"{i}#{k}", r, u, c) for k in range(n) for c in of[of["recipe_id"] == i]["canonical_id"]]
+        for u, d in numpy_distances(drawn).items():
+            assert got[u, rep] == pytest.approx(d, abs=1e-9)
+    assert len(got) == 3 * len({u for _, u in got})
+
+
+def test_blocks_of_replicates_do_not_matter(data, monkeypatch):
+    members, facts, _ = data
+    far = lambda: sorted((r["rep"], r["unit"], r["distance"]) for r in inference.replicated(lambda last, first: inference.bootstrap(members, last, first), facts, 5, "tfidf", "official", "commercial").where("distance is not null").collect())
+    whole = far()
+    monkeypatch.setattr(inference, "BLOCK", 2)
+    plain = profiles.register_distances(inference.bootstrap(members, 5), facts, "tfidf", scope=["rep"]).where("distance is not null").collect()
+    expected = sorted((r["rep"], r["unit"], r["distance"]) for r in plain)
+    for got in (whole, far()):
+        assert [x[:2] for x in got] == [x[:2] for x in expected] and [x[2] for x in got] == pytest.approx([x[2] for x in expected])
+
+
+def test_numbered_equals_one_window(spark):
+    rows = [("ab"[i % 2], (i * 37) % 101, i) for i in range(200)]
+    df = spark.createDataFrame(rows, "g string, v int, i int")
+    got = {(r["g"], r["v"], r["i"]): r["place"] for r in ranking.numbered(df, ["g"], ["v", "i"], F.floor(F.col("v") / 7)).collect()}
+    for g in "ab":
+        for place, row in enumerate(sorted((v, i) for h, v, i in rows if h == g)):
+            assert got[g, *row] == place
 
 
 def test_sweep_is_inclusive_and_keeps_zeros(spark):
@@ -149,11 +179,31 @@ def test_backbone_and_pmi(spark):
     assert set(got) == {("a", "b"), ("c", "d")} and got["a", "b"]["pmi"] == pytest.approx(np.log(2 * 6 / (3 * 3)))
 
 
-def test_leaf_order():
-    x = np.array([[1, 0, 0], [0, 1, 0], [1, 0.1, 0], [0, 0, 0], [0, 1, 0.1]])
-    order = figures.leaf_order(x)
-    assert order[-1] == 3 and abs(order.index(0) - order.index(2)) == 1 and abs(order.index(1) - order.index(4)) == 1
-    assert figures.leaf_order(x[:2]) == [0, 1]
+def test_leaf_order_is_the_best_of_all_turns():
+    r = np.random.default_rng(3)
+    for n in (3, 5, 7):
+        x = r.random((n, 4))
+        u = x / np.linalg.norm(x, axis=1, keepdims=True)
+        d = 1 - u @ u.T
+        zero = np.zeros(n, bool)
+        order = figures.leaf_order(d, zero)
+        assert sorted(order) == list(range(n))
+        trees = {i: i for i in range(n)}
+        sets = {i: [i] for i in range(n)}
+        while len(trees) > 1:
+            _, a, b = min((d[np.ix_(sets[i], sets[j])].mean(), i, j) for i in sets for j in sets if i < j)
+            trees[a], sets[a] = (trees[a], trees.pop(b)), sets[a] + sets.pop(b)
+
+        def turns(t):
+            if isinstance(t, int):
+                return [[t]]
+            return [p + q for x, y in (t, t[::-1]) for p in turns(x) for q in turns(y)]
+
+        cost = lambda o: sum(d[i, j] for i, j in zip(o, o[1:]))
+        assert cost(order) == pytest.approx(min(map(cost, turns(trees[0]))))
+    d[0, :] = d[:, 0] = 1
+    assert figures.leaf_order(d, np.arange(7) == 0)[-1] == 0
+    assert figures.leaf_order(d[:2, :2], np.zeros(2, bool)) == [0, 1]
 
 
 def test_histogram_closes_its_last_bin(spark):
