@@ -15,7 +15,9 @@ smaller document are reported as intervals. Anchors in more than ``crowd`` stret
 windows filed by 128-bit hash instead, one row each, so that no task has to hold them.
 
 Keys are integers. Rows with a null key lose nothing and take nothing from others; null text has no
-words. Rows that repeat key and text get the same result.
+words. Rows that repeat key and text get the same result, and count once. A very long text is hashed in
+parts; its words and removed spans are held whole. Only key and text are read, so other columns may have
+any names. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -29,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from basketlens.llm.phrases import merged, phrases
+from basketlens.llm.phrases import merged, phrase_lots
 from basketlens.llm.prefix_free import _runs, in_lots
 from basketlens.llm.runtime import binary_texts, cut, dealt_anew, ready, trimmed
 
@@ -55,15 +57,14 @@ def parsed(docs: DataFrame, length: int) -> DataFrame:
             hashes, grams, rest = [], [], []
             for doc, t in zip(batch.column(0).to_pylist(), binary_texts(batch.column(1))):
                 words = t.split()
-                first, last, at = phrases(np.fromiter(map(zlib.crc32, words), np.uint32, len(words)), length, GRAM)
-                if not first.size:
-                    continue
-                hashes += [xxhash.xxh3_128_digest(b" ".join(words[a:b])) for a, b in zip(first.tolist(), (last + length).tolist())]
-                grams += [xxhash.xxh3_64_digest(b" ".join(words[a : a + GRAM])) for a in at.tolist()]
-                rest.append((np.full(first.size, doc), np.full(first.size, text_hash(t)), first, last))
-                if len(hashes) > 200_000:
-                    yield lot(hashes, grams, rest)
-                    hashes, grams, rest = [], [], []
+                t_hash = text_hash(t)
+                for first, last, at in phrase_lots(np.fromiter(map(zlib.crc32, words), np.uint32, len(words)), length, GRAM):
+                    hashes += [xxhash.xxh3_128_digest(b" ".join(words[a:b])) for a, b in zip(first.tolist(), (last + length).tolist())]
+                    grams += [xxhash.xxh3_64_digest(b" ".join(words[a : a + GRAM])) for a in at.tolist()]
+                    rest.append((np.full(first.size, doc), np.full(first.size, t_hash), first, last))
+                    if len(hashes) > 200_000:
+                        yield lot(hashes, grams, rest)
+                        hashes, grams, rest = [], [], []
             if hashes:
                 yield lot(hashes, grams, rest)
 
@@ -188,7 +189,7 @@ def repeated(docs: DataFrame, length: int = 50, crowd: int = 20_000) -> DataFram
     settled = cut(above.unionByName(found))
     whole = settled.where("m = 0").select("doc", "t", "span")
     open_ = settled.where("m > 0").select("anchor", "m", "doc", "t", F.shiftrightunsigned("span", 32).cast("int").alias("first"), F.col("span").bitwiseAND(0xFFFFFFFF).cast("int").alias("last"))
-    wanted = open_.groupBy("doc", "t").agg(F.collect_list(F.struct("anchor", "m", "first", "last")).alias("open"))
+    wanted = open_.groupBy("doc", "t").agg(F.collect_set(F.struct("anchor", "m", "first", "last")).alias("open"))
 
     @trimmed
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -11,6 +11,8 @@ Windows of different stretches can be equal only if their anchors' k-grams are.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 
 
@@ -42,27 +44,32 @@ def anchors(symbols: np.ndarray, size: int, k: int) -> np.ndarray:
 
 
 #: Symbols that are hashed at once, so that a very long text needs little memory besides itself.
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 
 
-def phrases(symbols: np.ndarray, size: int, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """first and last window start, and anchor, of each phrase; none for a sequence under ``size``."""
-    firsts, lasts, found = [], [], []
+def phrase_lots(symbols: np.ndarray, size: int, k: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """first and last window start, and anchor, of phrases in order, about CHUNK windows at a time; none for a sequence under ``size``."""
+    held = np.zeros((3, 0), np.int64)  # the last phrase so far, which may go on
     for lo in range(0, symbols.size - size + 1, CHUNK):
         at = anchors(symbols[lo : lo + CHUNK + size - 1].astype(np.uint32, copy=False), size, k) + lo
         new = np.flatnonzero(at[1:] != at[:-1]) + 1
-        first, last, own = np.concatenate([[0], new]) + lo, np.concatenate([new - 1, [at.size - 1]]) + lo, at[np.concatenate([[0], new])]
-        if found and found[-1][-1] == own[0]:  # one phrase on both sides of the border
-            lasts[-1][-1] = last[0]
-            first, last, own = first[1:], last[1:], own[1:]
-        if own.size:
-            firsts.append(first)
-            lasts.append(last)
-            found.append(own)
-    if not found:
-        none = np.zeros(0, np.int64)
-        return none, none, none
-    return np.concatenate(firsts), np.concatenate(lasts), np.concatenate(found)
+        found = np.stack([np.concatenate([[0], new]) + lo, np.concatenate([new - 1, [at.size - 1]]) + lo, at[np.concatenate([[0], new])]])
+        if held.size and held[2, 0] == found[2, 0]:  # one phrase on both sides of the border
+            found[0, 0] = held[0, 0]
+            held = held[:, :0]
+        found = np.concatenate([held, found], axis=1)
+        held = found[:, -1:]
+        if found.shape[1] > 1:
+            yield found[0, :-1], found[1, :-1], found[2, :-1]
+    if held.size:
+        yield held[0], held[1], held[2]
+
+
+def phrases(symbols: np.ndarray, size: int, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """phrase_lots() joined."""
+    lots = list(phrase_lots(symbols, size, k)) or [(np.zeros(0, np.int64),) * 3]
+    first, last, anchor = (np.concatenate(x) for x in zip(*lots))
+    return first, last, anchor
 
 
 def merged(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -13,7 +13,9 @@ and neighbours that agree on ``length`` bytes are repeats. Anchors in more than
 have their windows counted by 128-bit hash instead, one row each, so that no task has to hold them.
 
 Identical texts share a key and hence their result. Null is empty text. Texts under ``length`` bytes
-keep all. Counts are combined before shuffles, and joins on hot phrases can be split at run time.
+keep all. A very long text is hashed in parts; its removed spans are held whole. Counts are combined
+before shuffles, and joins on hot phrases can be split at run time. Columns may have any names. An empty
+table gives no rows.
 """
 
 from __future__ import annotations
@@ -26,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from basketlens.llm.phrases import merged, phrases
+from basketlens.llm.phrases import merged, phrase_lots
 from basketlens.llm.runtime import binary_texts, cut, dealt_anew, ready, renamed, text_key, text_keys, trimmed
 
 GRAM = 32
@@ -52,16 +54,14 @@ def parsed(docs: DataFrame, text: str, length: int) -> DataFrame:
         for batch in batches:
             hashes, grams, rest = [], [], []
             for t in binary_texts(batch.column(0)):
-                first, last, at = phrases(np.frombuffer(t, np.uint8), length, GRAM)
-                if not first.size:
-                    continue
                 key = text_key(t)
-                hashes += [xxhash.xxh3_128_digest(t[a:b]) for a, b in zip(first.tolist(), (last + length).tolist())]
-                grams += [xxhash.xxh3_64_digest(t[a : a + GRAM]) for a in at.tolist()]
-                rest.append((np.full(first.size, key[0]), np.full(first.size, key[1]), first, last))
-                if len(hashes) > 200_000:
-                    yield lot(hashes, grams, rest)
-                    hashes, grams, rest = [], [], []
+                for first, last, at in phrase_lots(np.frombuffer(t, np.uint8), length, GRAM):
+                    hashes += [xxhash.xxh3_128_digest(t[a:b]) for a, b in zip(first.tolist(), (last + length).tolist())]
+                    grams += [xxhash.xxh3_64_digest(t[a : a + GRAM]) for a in at.tolist()]
+                    rest.append((np.full(first.size, key[0]), np.full(first.size, key[1]), first, last))
+                    if len(hashes) > 200_000:
+                        yield lot(hashes, grams, rest)
+                        hashes, grams, rest = [], [], []
             if hashes:
                 yield lot(hashes, grams, rest)
 
@@ -216,7 +216,7 @@ def repeated(docs: DataFrame, text: str = "text", length: int = 200, crowd: int
     open_ = settled.where("m > 0").select("anchor", "m", "n", "k1", "k2", F.shiftrightunsigned("span", 32).cast("int").alias("first"), F.col("span").bitwiseAND(0xFFFFFFFF).cast("int").alias("last"))
 
     # the bytes of the stretches that are still open
-    wanted = open_.groupBy("k1", "k2").agg(F.collect_list(F.struct("anchor", "m", "n", "first", "last")).alias("open"))
+    wanted = open_.groupBy("k1", "k2").agg(F.collect_set(F.struct("anchor", "m", "n", "first", "last")).alias("open"))
 
     @trimmed
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

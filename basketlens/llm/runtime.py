@@ -6,41 +6,36 @@ import ctypes
 import functools
 import hashlib
 import struct
-import tempfile
+import threading
 import uuid
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from basketlens.session import ship
+from basketlens.session import shared_folder, ship
 
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 BATCH_BYTES = 4_000_000
+_lock, _depth, _before = threading.Lock(), [0], ["false"]
 
 
 def ready(spark: SparkSession) -> None:
     """Sends this package to the executors, sees to a checkpoint folder, and bounds Arrow batches.
 
-    The folder is the one that spark.checkpoint.dir names. Only where that is unset, as in tests
-    on one machine, a folder of our own is set. Batches are bounded by rows as Spark comes, which
-    lets ten thousand long texts into one; a bound in bytes is set unless the session has one.
+    The folder is the one that spark.checkpoint.dir names (session.shared_folder). Batches are bounded
+    by rows as Spark comes, which lets ten thousand long texts into one; a bound in bytes is set unless
+    the session has one.
     """
     context = spark.sparkContext
-    if not context.getConf().get("spark.checkpoint.dir") and context.getCheckpointDir() is None:
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="basketlens-checkpoint-"))
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(shared_folder(spark))
     if spark.conf.get(_BATCH, None) is None:
         spark.conf.set(_BATCH, str(BATCH_BYTES))
     ship(spark)
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share."""
-    ready(spark)
-    return spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
-
-
 def cut(df: DataFrame) -> DataFrame:
     """The same rows, written to the shared checkpoint folder and read from there.
 
@@ -49,12 +44,18 @@ def cut(df: DataFrame) -> DataFrame:
     """
     spark = df.sparkSession
     ready(spark)
-    before = spark.conf.get(_CLEANUP, "false")
-    spark.conf.set(_CLEANUP, "true")
+    with _lock:  # several threads can be here: the first sets, the last sets back
+        _depth[0] += 1
+        if _depth[0] == 1:
+            _before[0] = spark.conf.get(_CLEANUP, "false")
+            spark.conf.set(_CLEANUP, "true")
     try:
         return df.select("*").checkpoint(eager=True)
     finally:
-        spark.conf.set(_CLEANUP, before)
+        with _lock:
+            _depth[0] -= 1
+            if not _depth[0]:
+                spark.conf.set(_CLEANUP, _before[0])
 
 
 def dealt_anew(df: DataFrame, *columns: str) -> DataFrame:
