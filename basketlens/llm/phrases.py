@@ -17,19 +17,25 @@ import numpy as np
 
 
 def rolling(symbols: np.ndarray, k: int) -> np.ndarray:
-    """A 32-bit hash of each k-gram of the uint32 symbols (k a power of two), by doubling."""
+    """A 32-bit hash of each k-gram of the uint32 symbols, by doubling; where k is no power of two, of two that overlap."""
     h = (symbols + np.uint32(0x9E3779B9)) * np.uint32(0x85EBCA6B)
     h ^= h >> np.uint32(15)
     n, factor = 1, 0x01000193
     while n < k:
-        h = h[:-n] * np.uint32(factor) + h[n:]
+        step = min(n, k - n)
+        h = h[:-step] * np.uint32(factor) + h[step:]
         factor = factor * factor & 0xFFFFFFFF
-        n *= 2
+        n += step
     h ^= h >> np.uint32(16)
     h *= np.uint32(0x7FEB352D)
     return h ^ (h >> np.uint32(15))
 
 
+def finer(gram: int, length: int) -> int:
+    """The next length of anchors' grams: twice as long, and at last the windows themselves, each then a phrase of its own."""
+    return min(2 * gram, length)
+
+
 def anchors(symbols: np.ndarray, size: int, k: int) -> np.ndarray:
     """For each window of ``size`` symbols, where its anchor is."""
     h = rolling(symbols, k).astype(np.uint64)

@@ -10,7 +10,8 @@ stretch as well; their bytes are dealt by anchor, so windows that might be equal
 lot is put in corpus order by prefix-free parsing: finer triggers cut it into phrases that overlap,
 the suffix array of the dictionary of phrases and that of the parse give the order of all suffixes,
 and neighbours that agree on ``length`` bytes are repeats. Anchors in more than ``crowd`` stretches
-have their windows counted by 128-bit hash instead, one row each, so that no task has to hold them.
+are split: these stretches are cut anew by grams twice as long, as often as needed, up to grams as long as
+a window. So no task has to hold a crowd, and what is left of it goes the same way.
 
 Identical texts share a key and hence their result. Null is empty text. Texts under ``length`` bytes
 keep all. A very long text is hashed in parts; its removed spans are held whole. Counts are combined
@@ -20,6 +21,7 @@ table gives no rows.
 
 from __future__ import annotations
 
+import struct
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -28,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from basketlens.llm.phrases import merged, phrase_lots
+from basketlens.llm.phrases import finer, merged, phrase_lots
 from basketlens.llm.runtime import binary_texts, cut, dealt_anew, ready, renamed, text_key, text_keys, trimmed
 
 GRAM = 32
@@ -200,7 +202,7 @@ def in_lots(order_of: str, size: Callable[[dict], int], work: Callable[[list[dic
 
 
 def repeated(docs: DataFrame, text: str = "text", length: int = 200, crowd: int = 20_000) -> DataFrame:
-    """k1, k2 (key of a text) and spans: array of (first << 32 | last) of repeated window starts; texts without any are absent."""
+    """k1, k2 (key of a text) and spans: array of (first << 32 | last - first) of repeated window starts; texts without any are absent."""
     ready(docs.sparkSession)
     rows = parsed(docs, text, length)
     known = ("anchor", "r1", "r2", "rf", "rl")
@@ -208,12 +210,12 @@ def repeated(docs: DataFrame, text: str = "text", length: int = 200, crowd: int
     # all uses read all columns of the counts, so that Spark makes them once
     read = F.coalesce(*known).isNotNull()
     shared = counts.groupBy("anchor").agg(F.count("*").alias("m"), F.min("n").alias("least"), F.min(F.coalesce(*known)).alias("read")).where("m > 1 and least = 1 and read is not null").select("anchor", "m")
-    span = F.expr("shiftleft(cast(first as bigint), 32) + last").alias("span")
+    span = F.expr("shiftleft(cast(first as bigint), 32) + last - first").alias("span")
     twice = dealt_anew(counts.where(read & (F.col("n") > 1)).select("s1", "s2", "n"), "s1", "s2")
     same = rows.drop("anchor").join(twice, ["s1", "s2"]).select("k1", "k2", span, F.lit(None).cast("bigint").alias("anchor"), F.lit(0).cast("bigint").alias("m"), "n")
-    shares = counts.join(shared, "anchor").select(F.col("r1").alias("k1"), F.col("r2").alias("k2"), F.expr("shiftleft(cast(rf as bigint), 32) + rl").alias("span"), "anchor", "m", "n")
+    shares = counts.join(shared, "anchor").select(F.col("r1").alias("k1"), F.col("r2").alias("k2"), F.expr("shiftleft(cast(rf as bigint), 32) + rl - rf").alias("span"), "anchor", "m", "n")
     settled = cut(same.unionByName(shares))
-    open_ = settled.where("m > 0").select("anchor", "m", "n", "k1", "k2", F.shiftrightunsigned("span", 32).cast("int").alias("first"), F.col("span").bitwiseAND(0xFFFFFFFF).cast("int").alias("last"))
+    open_ = settled.where("m > 0").select("anchor", "m", "n", "k1", "k2", F.shiftrightunsigned("span", 32).cast("int").alias("first"), (F.shiftrightunsigned("span", 32) + F.col("span").bitwiseAND(0xFFFFFFFF)).cast("int").alias("last"))
 
     # the bytes of the stretches that are still open
     wanted = open_.groupBy("k1", "k2").agg(F.collect_set(F.struct("anchor", "m", "n", "first", "last")).alias("open"))
@@ -241,32 +243,53 @@ def repeated(docs: DataFrame, text: str = "text", length: int = 200, crowd: int
             unique.setdefault(r["stretch"], len(unique))
         texts = list(unique)
         hits = repeated_windows(texts, np.array([len(t) - length + 1 for t in texts]), length)
-        return [(r["k1"], r["k2"], (r["first"] + a) << 32 | (r["first"] + b)) for r in lot if r["n"] == 1 for a, b in _runs(hits[unique[r["stretch"]]])]
+        return [(r["k1"], r["k2"], (r["first"] + a) << 32 | (b - a)) for r in lot if r["n"] == 1 for a, b in _runs(hits[unique[r["stretch"]]])]
 
-    kinds = [pa.int64()] * 3
-    few = stretches.where(F.col("m") <= crowd)
-    few = few.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(in_lots("anchor", lambda r: len(r["stretch"]), order, ["k1", "k2", "span"], kinds, LOT), "k1 bigint, k2 bigint, span bigint")
+    def ordered(rows: DataFrame) -> DataFrame:
+        near = rows.repartition("anchor").sortWithinPartitions("anchor")
+        return near.mapInArrow(in_lots("anchor", lambda r: len(r["stretch"]), order, ["k1", "k2", "span"], [pa.int64()] * 3, LOT), "k1 bigint, k2 bigint, span bigint")
+
+    out, gram = settled.where("m = 0").select("k1", "k2", "span").unionByName(ordered(stretches.where(F.col("m") <= crowd))), GRAM
+    crowded = stretches.where(F.col("m") > crowd)
+    while gram < length and crowded.limit(1).count():
+        gram = finer(gram, length)
+        whole, stretches = _refiled(crowded, length, gram)
+        out = out.unionByName(whole).unionByName(ordered(stretches.where(F.col("m") <= crowd)))
+        crowded = stretches.where(F.col("m") > crowd)
+    return out.groupBy("k1", "k2").agg(F.collect_set("span").alias("spans"))
+
+
+def _refiled(crowded: DataFrame, length: int, gram: int) -> tuple[DataFrame, DataFrame]:
+    """Stretches of crowded anchors, cut by longer grams: the spans that this settles (k1, k2, span), and those still open, as they came, with how often each is found (n)."""
 
     @trimmed
-    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            out: list[tuple] = []
             for r in batch.to_pylist():
-                t, n = r["stretch"], len(r["stretch"]) - length + 1
-                h = np.frombuffer(b"".join(xxhash.xxh3_128_digest(t[i : i + length]) for i in range(n)), "<i8").reshape(-1, 2)
-                at = (np.arange(n) + r["first"]).astype(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(h[:, 0]), pa.array(h[:, 1]), pa.array([r["k1"]] * n, pa.int64()), pa.array([r["k2"]] * n, pa.int64()), pa.array(at << 32 | at)], names=["w1", "w2", "k1", "k2", "span"])
-
-    every = stretches.where(F.col("m") > crowd).mapInArrow(windows, "w1 bigint, w2 bigint, k1 bigint, k2 bigint, span bigint")
-    twice = every.groupBy("w1", "w2").count().where("count > 1").select("w1", "w2")
-    many = every.join(twice, ["w1", "w2"]).select("k1", "k2", "span")
-    same = settled.where("m = 0").select("k1", "k2", "span")
-    return same.unionByName(few).unionByName(many).groupBy("k1", "k2").agg(F.collect_set("span").alias("spans"))
+                t = r["stretch"]
+                for first, last, at in phrase_lots(np.frombuffer(t, np.uint8), length, gram):
+                    for a, b, c in zip(first.tolist(), last.tolist(), at.tolist()):
+                        part = t[a : b + length]
+                        out.append((*struct.unpack("<qq", xxhash.xxh3_128_digest(part)), struct.unpack("<q", xxhash.xxh3_64_digest(t[c : c + gram]))[0], r["k1"], r["k2"], r["n"], r["first"] + a, r["first"] + b, part))
+            kinds = [pa.int64()] * 6 + [pa.int32()] * 2 + [pa.binary()]
+            yield pa.RecordBatch.from_arrays([pa.array(list(x), k) for x, k in zip(list(zip(*out)) or [[]] * 9, kinds)], names=["s1", "s2", "anchor", "k1", "k2", "own", "first", "last", "stretch"])
+
+    rows = cut(crowded.mapInArrow(parse, "s1 bigint, s2 bigint, anchor bigint, k1 bigint, k2 bigint, own bigint, first int, last int, stretch binary"))
+    place = F.struct("k1", "k2", "first")
+    counts = rows.groupBy("s1", "s2").agg(F.sum("own").alias("n"), F.first("anchor").alias("a"), F.min(place).alias("one"))
+    shared = counts.groupBy(F.col("a").alias("anchor")).agg(F.count("*").alias("m"), F.min("n").alias("least")).where("m > 1 and least = 1").select("anchor", "m")
+    judged = rows.join(dealt_anew(counts.drop("a"), "s1", "s2").hint("merge"), ["s1", "s2"])
+    span = F.expr("shiftleft(cast(first as bigint), 32) + last - first").alias("span")
+    whole = judged.where("n > 1 and own = 1").select("k1", "k2", span)
+    left = judged.where(place == F.col("one")).join(dealt_anew(shared, "anchor").hint("merge"), "anchor")
+    return cut(whole), cut(left.select("anchor", "m", "n", "k1", "k2", "first", "stretch"))
 
 
 def covered(spans: list[int] | None, length: int) -> tuple[np.ndarray, np.ndarray]:
     """Disjoint removed byte runs of a text."""
     s = np.array(spans or [], np.int64)
-    return merged(s >> 32, (s & 0xFFFFFFFF) + length)
+    return merged(s >> 32, (s >> 32) + (s & 0xFFFFFFFF) + length)
 
 
 def strip(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = 200, crowd: int = 20_000) -> DataFrame:

@@ -66,6 +66,42 @@ def test_substrings_against_brute_force(docs, rows, crowd):
     assert got == expected
 
 
+def crowded_texts(r, n, sizes):
+    """Texts that share an anchor's gram and differ around it, and some that share windows."""
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(5))
+    middle = [word() for _ in range(40)]
+    texts = []
+    for k in range(n):
+        a, b = r.choice(sizes), r.choice(sizes)
+        texts.append(" ".join([*(word() for _ in range(60)), *middle[20 - a : 20 + b], *(word() for _ in range(60))]))
+    return texts
+
+
+@pytest.mark.parametrize("crowd", [20_000, 3, 1])
+def test_crowds_are_split_without_loss(spark, crowd):
+    r = random.Random(8)
+    texts = crowded_texts(r, 30, (4, 10, 20)) + crowded_texts(r, 6, (20,)) * 2
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(3)
+    raw = [t.encode() for t in texts]
+    got = {x["doc_id"]: (bytes(x["kept"]), len(x["runs"])) for x in prefix_free.strip(docs, length=60, crowd=crowd).collect()}
+    assert got == dict(enumerate(brute_bytes(raw, 60)))
+    least, split = {}, [t.split() for t in raw]
+    for i, w in enumerate(split):
+        for j in range(len(w) - 19):
+            least.setdefault(tuple(w[j : j + 20]), i)
+    expected = {}
+    for i, w in enumerate(split):
+        gone = {j + k for j in range(len(w) - 19) if least[tuple(w[j : j + 20])] < i for k in range(20)}
+        expected[i] = b" ".join(x for j, x in enumerate(w) if j not in gone)
+    assert {x["doc_id"]: bytes(x["kept"]) for x in fm_dedup.strip(docs, length=20, crowd=crowd).collect()} == expected
+
+
+def test_very_long_repetitive_texts(spark):
+    docs = spark.createDataFrame([(1, "x" * 400_000), (2, "ab " * 100_000), (3, "y" * 150)], "doc_id bigint, text string")
+    got = {x["doc_id"]: (x["n_bytes"], len(x["kept"])) for x in prefix_free.strip(docs).collect()}
+    assert got == {1: (400_000, 0), 2: (300_000, 0), 3: (150, 150)}
+
+
 def test_clean_keeps_columns_and_whole_characters(docs, rows):
     got = prefix_free.clean(docs)
     assert got.columns == docs.columns
@@ -120,3 +156,30 @@ def test_empty_tables(nothing):
     assert prefix_free.strip(nothing).count() == prefix_free.clean(nothing).count() == fm_dedup.strip(nothing).count() == 0
 
 
+
+
+def test_least_of_ranges():
+    r = np.random.default_rng(1)
+    for n in (1, 63, 64, 65, 1000):
+        v = r.integers(0, 50, n).astype(np.int32)
+        lo = r.integers(0, n, 400)
+        hi = lo + 1 + (r.random(400) * (n - lo)).astype(int)
+        hi = np.minimum(hi, n)
+        assert fm_dedup.Least(v).find(lo, hi).tolist() == [v[a:b].min() for a, b in zip(lo, hi)]
+
+
+def test_matching_statistics_against_brute_force():
+    r = random.Random(6)
+    for _ in range(40):
+        seqs = [np.array([r.randint(1, 4) for _ in range(r.randint(3, 30))], np.int32) for _ in range(r.randint(1, 6))]
+        index = fm_dedup.FMIndex(seqs, np.arange(len(seqs)))
+        stream = np.array([r.randint(1, 4) for _ in range(40)], np.int32)
+        last = np.arange(7, 40)
+        joined = ["".join(map(str, s)) for s in seqs]
+        times = lambda x: sum(s.startswith(x, i) for s in joined for i in range(len(s)))
+        known = [c for c in range(1, 5) if any((s == c).any() for s in seqs)]
+        if known != [1, 2, 3, 4]:
+            continue
+        text = "".join(map(str, stream))
+        expected = [max(k for k in range(9) if k == 0 or (k <= 8 and times(text[e + 1 - k : e + 1]) > 1)) for e in last]
+        assert index.matching(stream, last, 8)[0].tolist() == expected
