@@ -6,12 +6,14 @@ document, so they are plain functions over a document's runs, applied to many by
 
 from __future__ import annotations
 
+import re
 from typing import NamedTuple
 
 import pandas as pd
 from pyspark.sql import DataFrame
 
 BASELINE, CLUSTER, BOX_BASELINE = 2.5, 14.0, 3.0
+_INDEX, _TO_ARABIC = re.compile(r"([0-9]{1,2})[.)]?"), str.maketrans("๐๑๒๓๔๕๖๗๘๙", "0123456789")
 TICKED = ("☑", "☒", "✓", "✔")
 
 
@@ -33,26 +35,35 @@ def lines(runs: list[Run]) -> list[list[Run]]:
     return [sorted(x, key=lambda r: r.x) for x in out]
 
 
-def anchors(rows: list[list[Run]], least: int = 2) -> list[float]:
-    """x positions that several rows share, within CLUSTER of each other; left to right."""
+def anchors(rows: list[list[Run]], expected: int | None = None, least: int = 2) -> list[float]:
+    """x positions of columns, left to right: runs within CLUSTER of each other count once for each row. With ``expected`` the positions on most rows are kept, so many; else those on ``least`` rows or more."""
     groups: list[list[tuple[float, int]]] = []
     for x, row in sorted((r.x, i) for i, row in enumerate(rows) for r in row):
         if groups and x - groups[-1][0][0] <= CLUSTER:
             groups[-1].append((x, row))
         else:
             groups.append([(x, row)])
-    return [sum(x for x, _ in g) / len(g) for g in groups if len({i for _, i in g}) >= least]
+    seen = [(sum(x for x, _ in g) / len(g), len({i for _, i in g})) for g in groups]
+    if expected is None:
+        return [x for x, n in seen if n >= least]
+    return sorted(x for x, _ in sorted(seen, key=lambda g: (-g[1], g[0]))[:expected])
 
 
-def table(rows: list[list[Run]], columns: list[float]) -> list[list[str]]:
-    """Cells by the nearest column at or left of a run; a row without a first cell continues the one above."""
+def number_of(text: str) -> int | None:
+    """The number of an index cell, of one or two digits with an optional mark; None of any other."""
+    m = _INDEX.fullmatch(text.strip().translate(_TO_ARABIC))
+    return int(m.group(1)) if m else None
+
+
+def table(rows: list[list[Run]], columns: list[float], numbered: bool = False) -> list[list[str]]:
+    """Cells by the nearest column at or left of a run; a row without a first cell, or where ``numbered`` without a number in it, continues the one above."""
     out: list[list[str]] = []
     for row in rows:
         cells = [""] * len(columns)
         for r in row:
             at = max((i for i, c in enumerate(columns) if c <= r.x + CLUSTER), default=0)
             cells[at] = f"{cells[at]} {r.text}".strip()
-        if out and not cells[0]:
+        if out and (number_of(cells[0]) is None if numbered else not cells[0]):
             out[-1] = [f"{a} {b}".strip() for a, b in zip(out[-1], cells)]
         else:
             out.append(cells)

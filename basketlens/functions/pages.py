@@ -107,6 +107,63 @@ def single_section(found: DataFrame, pages: DataFrame, key: str, name: str) -> D
 _META = StructType([StructField(x, StringType()) for x in ("headline", "published", "category")])
 
 
+_PAGE_ADDRESS = re.compile(r"view\d+")
+_ADDRESS = re.compile(r"<loc>\s*(.*?)\s*</loc>", re.S)
+TAXONOMIES = ("category", "tag", "course", "cuisine", "taxonomy")
+
+
+def _is_page(crumb: dict) -> bool:
+    """Whether an element of a breadcrumb is the page itself, by the shape of its address."""
+    item = crumb.get("item")
+    return bool(_PAGE_ADDRESS.search(str(item.get("@id", "") if isinstance(item, dict) else item or "")))
+
+
+def sitemap(xml: str, kinds: tuple[str, ...] = TAXONOMIES) -> tuple[bool, list[str], list[str]]:
+    """Whether a sitemap is an index, its addresses, and those that name a taxonomy."""
+    found = _ADDRESS.findall(xml)
+    return "<sitemapindex" in xml, found, [u for u in found if any(k in u.lower() for k in kinds)]
+
+
+def probe(start: list[str], get, most: int = 10) -> tuple[list[str], list[str], int]:
+    """Terms (addresses of taxonomy pages), notes, and requests used: the first start that answers, and of an index its taxonomy sitemaps, ``most`` requests in all.
+
+    get(url) gives (status, text), or None if the address is not allowed.
+    """
+    used, notes, terms = 0, [], []
+
+    def fetch(url: str) -> str | None:
+        nonlocal used
+        if used >= most:
+            notes.append(f"no more requests before {url}")
+            return None
+        answer = get(url)
+        if answer is None:
+            notes.append(f"not allowed: {url}")
+            return None
+        used += 1
+        if answer[0] != 200:
+            notes.append(f"{answer[0]}: {url}")
+            return None
+        return answer[1]
+
+    first = next((x for x in map(fetch, start) if x is not None), None)
+    if first is None:
+        return [], [*notes, "no sitemap"], used
+    index, _, children = sitemap(first)
+    if not index:
+        return children, notes, used
+    for child in children:
+        body = fetch(child)
+        if body is not None:
+            terms += sitemap(body)[1]
+    return terms, notes, used
+
+
+def policy_text(html: Column) -> Column:
+    """Readable text of a whole page, without scripts and styles, its lines joined by line ends."""
+    return F.array_join(html_lines(html, None), "\n")
+
+
 def plain_metadata(html: str) -> tuple[str | None, str | None, str | None]:
     """Headline and date of the first article node; the breadcrumb without root and page itself."""
     headline = published = category = None
@@ -124,7 +181,7 @@ def plain_metadata(html: str) -> tuple[str | None, str | None, str | None]:
             if category is None and "BreadcrumbList" in kinds:
                 crumbs = sorted((x for x in node.get("itemListElement", []) if isinstance(x, dict)), key=lambda x: x.get("position", 0))
                 names = [x.get("name") or (x.get("item") or {}).get("name") if isinstance(x.get("item"), dict) else x.get("name") for x in crumbs]
-                category = " > ".join(n for n in names[1:-1] if n) or None
+                category = " > ".join(n for c, n in list(zip(crumbs, names))[1:] if n and not _is_page(c)) or None
     return headline, published, category
 
 

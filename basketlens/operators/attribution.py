@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from basketlens.operators.similarity import contained
+
 
 def name_hits(texts: DataFrame, key: str, text: str, names: DataFrame, rules: dict[str, Column]) -> DataFrame:
     """(key, rule, code): names (code, name, ambiguous) contained in the text, by rule.
@@ -53,7 +55,7 @@ def merge_labels(decided: DataFrame, by_hand: DataFrame, key: str) -> DataFrame:
 
 def from_field(forms: DataFrame, provinces: DataFrame, field: str) -> DataFrame:
     """Exact lookup of a form's field; a miss is a null province with low confidence."""
-    out = forms.join(F.broadcast(provinces.select(F.col("name").alias(field), "code")), field, "left")
+    out = forms.join(provinces.select(F.col("name").alias(field), "code"), field, "left")
     return out.withColumn("confidence", F.when(F.col("code").isNotNull(), "high").otherwise("low"))
 
 
@@ -72,7 +74,7 @@ def term_hits(texts: DataFrame, key: str, text: str, terms: dict[str, tuple[str,
 def title_hits(texts: DataFrame, key: str, title: str, names: DataFrame) -> DataFrame:
     """(key, rule, code) of titles that are (exact) or hold (substring) a known name; names: (name, code)."""
     exact = texts.join(names, F.col(title) == F.col("name")).select(key, F.lit("exact").alias("rule"), "code")
-    held = texts.select(key, title).join(F.broadcast(names), F.contains(F.col(title), F.col("name"))).select(key, F.lit("substring").alias("rule"), "code")
+    held = contained(texts, key, title, names, "name").join(names, "name").select(key, F.lit("substring").alias("rule"), "code")
     return exact.unionByName(held).distinct()
 
 

@@ -80,4 +80,4 @@ def panels(prevalence: DataFrame, places: DataFrame, origin: tuple[float, float]
     per = prevalence.groupBy("unit", "recipe_id").agg(*tests).groupBy("unit").agg(*[F.avg(f"p{i}").alias(n) for i, n in enumerate(patterns)])
     long = per.unpivot("unit", list(patterns), "panel", "share")
     far = distance_km(F.lit(origin[0]), F.lit(origin[1]), F.col("lon"), F.col("lat"))
-    return long.join(F.broadcast(places), "unit").select("panel", "unit", far.alias("distance_km"), "share")
+    return long.join(places, "unit").select("panel", "unit", far.alias("distance_km"), "share")

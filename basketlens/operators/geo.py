@@ -77,3 +77,21 @@ def load_shapes(reference: DataFrame, features: DataFrame, fixes: dict[str, str]
     if missing:
         raise ValueError(f"{missing} of the reference's places have no shape")
     return reference.withColumn("__k", norm(F.col(key))).join(shapes, "__k").drop("__k")
+
+
+def features(df: DataFrame, column: str = "value") -> DataFrame:
+    """(name, geojson) of the features of GeoJSON collections, one collection in a row."""
+    shape = "features array<struct<properties:map<string,string>, geometry:string>>"
+    rows = df.select(F.explode(F.from_json(column, shape)["features"]).alias("f"))
+    return rows.select(F.coalesce(F.col("f.properties")["name"], F.col("f.properties")["NAME_1"]).alias("name"), F.col("f.geometry").alias("geojson"))
+
+
+def region_points(shapes: DataFrame, region: str) -> DataFrame:
+    """(region, lon, lat): a point within the union of a region's shapes (geojson); shapes of one region do not overlap, so all their polygons are the union."""
+    joined = shapes.groupBy(region).agg(F.array_sort(F.collect_list("geojson")).alias("parts"))
+
+    @F.pandas_udf(_POINT)
+    def run(parts: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([point_on_surface([p for g in x for p in polygons(g)]) for x in parts], columns=["lon", "lat"])
+
+    return joined.select(region, run("parts").alias("p")).select(region, "p.lon", "p.lat")

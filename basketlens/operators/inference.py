@@ -155,6 +155,12 @@ def evidence(observed: DataFrame, draws: DataFrame, alpha: float = 0.05) -> Data
     return stats.withColumn("bias", F.col("mean") - F.col("distance")).withColumn("outside", (F.col("distance") < F.col("lo")) | (F.col("distance") > F.col("hi")))
 
 
+def more_evidence(e: DataFrame) -> DataFrame:
+    """evidence() with the basic interval and the bias-corrected point, both mirrored at the observed distance."""
+    twice = 2 * F.col("distance")
+    return e.withColumns({"basic_lo": twice - F.col("hi"), "basic_hi": twice - F.col("lo"), "bc_point": twice - F.col("mean")})
+
+
 def bias_corrected(draws: np.ndarray, observed: float, alpha: float = 0.05, acceleration: float = 0.0) -> tuple[float, float]:
     """Bias-corrected (and accelerated) interval of one unit's draws."""
     b = np.sort(draws[np.isfinite(draws)])

@@ -133,6 +133,15 @@ def grid(weights: DataFrame, columns: DataFrame) -> DataFrame:
     return groups.crossJoin(F.broadcast(columns)).join(weights.select("register", "unit", "canonical_id", "weight"), ["register", "unit", "canonical_id"], "left").fillna(0.0, ["weight"])
 
 
+def full_grid(weights: DataFrame, columns: DataFrame, registers: list[str]) -> DataFrame:
+    """grid() over all units in every register: a group without any recipe has null, not 0, so that figures share their axes."""
+    groups = weights.select("register", "unit").distinct().withColumn("__has", F.lit(True))
+    fixed = weights.sparkSession.createDataFrame([(r,) for r in registers], "register string")
+    every = weights.select("unit").distinct().crossJoin(F.broadcast(fixed)).join(groups, ["register", "unit"], "left").crossJoin(F.broadcast(columns))
+    cells = every.join(weights.select("register", "unit", "canonical_id", "weight"), ["register", "unit", "canonical_id"], "left")
+    return cells.select("register", "unit", "canonical_id", F.when(F.col("__has"), F.coalesce("weight", F.lit(0.0))).alias("weight"))
+
+
 def every_kth(df: DataFrame, group: list[str], order: list[str], step: int, most: int) -> DataFrame:
     """A stratified sample: every step-th row of each group, ``most`` at most."""
     i = F.row_number().over(Window.partitionBy(*group).orderBy(*order))

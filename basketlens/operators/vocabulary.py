@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from basketlens.functions import privacy
 from basketlens.operators.ranking import ranked
 
 JOINER = " ‖ "
@@ -135,7 +136,29 @@ def problems(entries: DataFrame, aliases: DataFrame, splits: DataFrame, exclusio
     other = entries.agg((F.count_if(F.col("category") == "other") / F.greatest(F.count("*"), F.lit(1))).alias("s")).where(F.col("s") > OTHER_CEILING)
     unordered = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     few = splits.groupBy("key").agg(F.count_distinct("canonical_id").alias("n")).where("n < 2")
+    named = entries.where(~blank("name")).select(F.col("name").alias("key"), F.col("canonical_id").alias("of"))
+    more = []
+    for column, rule, wrong in (
+        ("drafted_by", "drafter given", lambda c: blank(c)),
+        ("reviewed_at", "review dated", lambda c: ~blank(c) & F.try_to_date(c, "yyyy-MM-dd").isNull()),
+        ("is_fermented", "flag true or false", lambda c: ~F.coalesce(c.isin("true", "false"), F.lit(False))),
+        ("regional_note", "no personal data in notes", lambda c: F.size(privacy.personal_data_classes(F.coalesce(c, F.lit("")))) > 0),
+    ):
+        if column in entries.columns:
+            more.append(one("entries", rule, entries.where(wrong(F.col(column).cast("string")))))
+    for where, df in (("pairs", pairs), ("exclusions", exclusions)):
+        if "reason" in df.columns:
+            more.append(one(where, "reason given", df.where(blank("reason"))))
+            more.append(one(where, "no personal data in reasons", df.where(F.size(privacy.personal_data_classes(F.coalesce("reason", F.lit("")))) > 0)))
     found = [
+        *more,
+        one("aliases", "no other entry's name", aliases.join(named, "key").where(F.col("canonical_id") != F.col("of"))),
+        one("splits", "no entry's name", splits.select("key").distinct().join(named, "key", "left_semi")),
+        one("splits", "entry once", twice(splits, "key", "canonical_id")),
+        one("splits", "key given", splits.where(blank("key"))),
+        one("exclusions", "key once", twice(exclusions.select("key"), "key")),
+        one("exclusions", "key given", exclusions.where(blank("key"))),
+        one("pairs", "entries exist", pairs.select(F.explode(F.array("a", "b")).alias("canonical_id")).join(known, "canonical_id", "left_anti")),
         one("entries", "id is ING_ and four digits", entries.where(~F.col("canonical_id").rlike("^ING_[0-9]{4}$"))),
         one("entries", "id once", twice(entries, "canonical_id")),
         one("entries", "name once", twice(entries.where(~blank("name")), "name")),

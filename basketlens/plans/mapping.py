@@ -169,10 +169,10 @@ def latest_per_key(spark, sf_dir):
     return ranking.latest(e, ["user_id"], ["ts", "event_id"]).select("user_id", "event_id", "event_type", "value")
 
 
-@registered("select case when value < 10 then 0 when value < 20 then 1 when value < 50 then 2 else 3 end as bin, count(*) as n from events where value between 0 and 100 group by 1")
+@registered("select bin, count(event_id) as n from (select unnest([0, 1, 2, 3, 4]) as bin) left join (select event_id, case when value < 10 then 0 when value < 20 then 1 when value < 50 then 2 when value <= 100 then 3 when value <= 1e9 then 4 end as b from events) on b = bin group by bin")
 def value_histogram(spark, sf_dir):
-    h = ranking.histogram(Testbed(spark, sf_dir).table("events"), "value", [0, 10, 20, 50, 100])
-    return h.where("n > 0").select("bin", "n")
+    h = ranking.histogram(Testbed(spark, sf_dir).table("events"), "value", [0, 10, 20, 50, 100.0000001, 1e9])
+    return h.select("bin", "n")
 
 
 @registered("select event_type, max(value) filter (i = n // 2 + 1) as median from (select event_type, value, row_number() over (partition by event_type order by value) as i, count(*) over (partition by event_type) as n from events where value is not null) group by 1")
@@ -222,11 +222,11 @@ def label_decision(spark, sf_dir):
     return attribution.decide(texts, "k", s.where("rule = 'strict'"), s.where("rule = 'marker'"))
 
 
-@registered("select doc_id, item_id from documents d join (select item_id, split_part(text, chr(10), 1) as head from benchmark) on contains(d.text, head)")
+@registered("select doc_id, item_id from documents d join (select item_id, text as head from benchmark) on contains(d.text, head)")
 def substring_match(spark, sf_dir):
     t = Testbed(spark, sf_dir)
-    items = t.table("benchmark").select("item_id", F.split("text", "\n")[0].alias("head"))
-    return similarity.contained(t.table("documents"), "doc_id", "text", items, "head").join(F.broadcast(items), "head").select("doc_id", "item_id")
+    items = t.table("benchmark").select("item_id", F.col("text").alias("head"))
+    return similarity.contained(t.table("documents"), "doc_id", "text", items, "head").join(items, "head").select("doc_id", "item_id")
 
 
 @registered(f"with {BASE_SQL}, b as (select f.recipe_id, canonical_id from facts f join clean using (recipe_id)), n as (select recipe_id, count(*) as n from b group by 1), x as (select a.recipe_id as a, c.recipe_id as b, count(*) as k from b a join b c using (canonical_id) where a.recipe_id < c.recipe_id group by all) select a, b, round(k / (p.n + q.n - k)::double, 6) as similarity from x join n p on p.recipe_id = a join n q on q.recipe_id = b where k / (p.n + q.n - k)::double > 0.5")
@@ -248,14 +248,14 @@ def duplicate_candidates(spark, sf_dir):
     f"""with {BASE_SQL}, l as (select recipe_id as l, canonical_id from facts join clean using (recipe_id) where register = '{A}' and recipe_id % 50 = 0), r as (select recipe_id as r, canonical_id from facts join clean using (recipe_id) where register = '{B}'),
 nl as (select l, count(*) as n from l group by 1), nr as (select r, count(*) as n from r group by 1), x as (select l, r, count(*) as k from l join r using (canonical_id) group by all),
 best as (select l, r, k / (nl.n + nr.n - k)::double as s from x join nl using (l) join nr using (r) qualify row_number() over (partition by l order by s desc, r) = 1)
-select case when s < 0.25 then 0 when s < 0.5 then 1 when s < 0.75 then 2 else 3 end as bin, count(*) as n from best group by 1"""
+select bin, count(l) as n from (select unnest([0, 1, 2, 3]) as bin) left join (select l, case when s < 0.25 then 0 when s < 0.5 then 1 when s < 0.75 then 2 else 3 end as b from best) on b = bin group by bin"""
 )
 def histogram_best_match(spark, sf_dir):
     """A search: official recipes whose id is divisible by 50, against all commercial ones."""
     recipes, facts = _clean(spark, sf_dir)
     items = recipes.select("recipe_id", "register").join(facts, "recipe_id").select("register", F.col("recipe_id").alias("key"), F.col("canonical_id").alias("item"))
     best = similarity.best_matches(items.where(f"register = '{A}' and key % 50 = 0"), items.where(f"register = '{B}'"))
-    return ranking.histogram(best, "similarity", [0, 0.25, 0.5, 0.75, 1]).where("n > 0").select("bin", "n")
+    return ranking.histogram(best, "similarity", [0, 0.25, 0.5, 0.75, 1]).select("bin", "n")
 
 
 @registered()
@@ -429,7 +429,7 @@ def presence_absence_split(spark, sf_dir):
     return network.presence_absence(weights, A, B).select("unit", r6("share_present"))
 
 
-@registered("with h as (select distinct doc_id, item_id from documents d join (select item_id, split_part(text, chr(10), 1) as head from benchmark) on contains(d.text, head)) select source, count(*) as texts, count(*) filter (doc_id in (select doc_id from h)) as present, round(count(*) filter (doc_id in (select doc_id from h)) / count(*)::double, 6) as rate from documents group by source")
+@registered("with h as (select distinct doc_id, item_id from documents d join (select item_id, text as head from benchmark) on contains(d.text, head)) select source, count(*) as texts, count(*) filter (doc_id in (select doc_id from h)) as present, round(count(*) filter (doc_id in (select doc_id from h)) / count(*)::double, 6) as rate from documents group by source")
 def web_presence_rates(spark, sf_dir):
     d = Testbed(spark, sf_dir).table("documents")
     hit = substring_match(spark, sf_dir).select("doc_id").distinct().withColumn("hit", F.lit(1))

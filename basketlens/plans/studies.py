@@ -4,15 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from basketlens.functions import records
-from basketlens.operators import attribution, inference, quality, ranking, release, reports, study, validation, views, vocabulary
+from basketlens.functions import forms, records, text
+from basketlens.operators import attribution, geo, inference, profiles, quality, ranking, release, reports, study, validation, views, vocabulary
 from basketlens.plans.mapping import VOCABULARY_SQL, _aliases, _entries, _keys, _mentions, _splits
-from basketlens.plans.statistics import A, B, MEMBERS_SQL, _clean, r6
+from basketlens.plans.statistics import A, B, MEMBERS_SQL, _clean, _members, r6
 from basketlens.plans.testbed import BASE_SQL, Testbed
+from basketlens.plans.texts import _html
 from basketlens.sources import tables
 
 QUERIES, ORACLE_SQL = {}, {}
+_WEIGHTS_SQL = profiles.distances_sql("members", profiles.TFIDF)
 
 
 def registered(sql: str | None = None):
@@ -288,15 +291,11 @@ def export_rows(spark, sf_dir):
         F.concat(F.lit(" https://x.example/"), n.cast("string"), F.when(n % 4 == 0, "/081-234-5678").otherwise("")).alias("url"), F.when(n % 5 == 0, "13.75631, 100.50177").otherwise("none").alias("place"),
     )
     df = records.clean_url(records.cleaned(raw, ["title", "place"], {"tags": "bars", "lines": "semicolons"}), "url")
-    from basketlens.functions import text
-
     return df.select("p_partkey", "title", F.array_join("tags", "~").alias("tags"), F.array_join("lines", "~").alias("lines"), text.iso_date(F.col("published")).alias("published"), "n_redactions", "url")
 
 
 @registered("select p_partkey, p_name as title, cast('2024-01-02' as date) as published, p_type as category, case when p_partkey % 3 = 0 then 0 when p_partkey % 5 = 0 then 11 else 6 end::bigint as n_lines, case when p_partkey % 3 = 0 then 'no article' end as note, 0::bigint as n_redactions from part")
 def page_records(spark, sf_dir):
-    from basketlens.plans.texts import _html
-
     found = records.page_records(_html(spark, sf_dir), "p_partkey", "html")
     return found.select("p_partkey", "title", "published", "category", F.size("lines").cast("long").alias("n_lines"), "note", "n_redactions")
 
@@ -559,9 +558,84 @@ def guarded_counts(spark, sf_dir):
 @registered("select l_orderkey, loss, row_number() over (order by loss desc, day, l_orderkey) as place from (select l_orderkey, sum(case l_returnflag when 'R' then 2 when 'A' then 1 else 0 end)::bigint as loss, min(l_shipdate) as day from lineitem group by 1) qualify place <= 50")
 def most_damaged(spark, sf_dir):
     """The fifty most damaged, ties by date: a report's head."""
-    from pyspark.sql.window import Window
-
     rows = Testbed(spark, sf_dir).table("lineitem").select("l_orderkey", "l_shipdate", F.when(F.col("l_returnflag") == "R", "lost").when(F.col("l_returnflag") == "A", "degraded").alias("state"))
     loss = quality.fidelity(rows, "l_orderkey", "state").join(rows.groupBy("l_orderkey").agg(F.min("l_shipdate").alias("day")), "l_orderkey")
     top = loss.orderBy(F.desc("loss"), "day", "l_orderkey").limit(50)
     return top.select("l_orderkey", "loss", F.row_number().over(Window.orderBy(F.desc("loss"), "day", "l_orderkey")).cast("long").alias("place"))
+
+
+@registered(
+    """select p_partkey as doc, p_name as dish, p_brand as province, case p_partkey % 2 when 0 then 'เกลือ~ข้าว หอม~น้ำ' else 'เกลือ~ข้าว~หอม~น้ำ' end as names, case p_partkey % 2 when 0 then 'ตลาด~ตลาด~ตลาด' else '~~~' end as origins,
+  case p_partkey % 2 when 0 then '' else 'names by column' end as notes, 'near_lost' as level from part"""
+)
+def form_records(spark, sf_dir):
+    """Forms as runs on a page; every other one has no row numbers."""
+    def run(said, x, y):
+        return F.struct((F.lit(said) if isinstance(said, str) else said).alias("text"), F.lit(float(x)).alias("x"), F.lit(float(y)).alias("y"))
+
+    table = [
+        (("ที่", 10), ("ชื่อวัตถุดิบ/เครื่องปรุง", 60), ("สรรพคุณ", 200), ("ที่มา", 300)), (("1.", 10), ("เกลือ", 60), ("ช่วย", 200), ("ตลาด", 300)), (("๒", 10), ("ข้าว", 60), ("ดี", 200), ("ตลาด", 300)),
+        (("หอม", 60),), (("4", 10), ("น้ำ", 60), ("ดี", 200), ("ตลาด", 300)), (("☑", 10), ("มีส่วนผสมของวัตถุดิบ", 30)), (("ด้านการเผยแพร่", 10),), (("5", 10), ("ลวง", 60)), (("☑", 10), ("ใกล้สูญหายแล้ว", 30)), (("☐", 10), ("สูญหายแล้ว", 30)),
+    ]
+    head = [run(F.concat(F.lit("ชื่อเมนูอาหาร ...."), "p_name", F.lit("....")), 10, 20), run(F.concat(F.lit("จังหวัด ..."), "p_brand"), 10, 40), run("เลขที่ 12/3", 10, 60)]
+    runs = [run(t, x, 100 + 20 * y) for y, line in enumerate(table) for t, x in line]
+    no_numbers = [run(t, x, 100 + 20 * y) for y, line in enumerate(table) for t, x in line if not (0 < y < 5 and x == 10)]
+    p = _part(spark, sf_dir).select(F.col("p_partkey").alias("doc"), F.explode(F.when(F.col("p_partkey") % 2 == 0, F.array(*head, *runs)).otherwise(F.array(*head, *no_numbers))).alias("r")).select("doc", "r.*", F.lit(1).alias("page"))
+    r = forms.records(p, {"level": [("สูญหายแล้ว", "lost"), ("ใกล้สูญหาย", "near_lost")]})
+    return r.select("doc", "dish", "province", *[F.array_join(c, "~").alias(c) for c in ("names", "origins", "notes")], "level")
+
+
+@registered(
+    """select p_type as extractor, count(*) as documents, count(*) filter (p_size = 7) as failed, coalesce(sum(p_size + 3) filter (p_size <> 7), 0)::bigint as thai_chars, count(*) filter (p_size <> 7) as orphans, count(*) filter (p_size <> 7) as split_vowels,
+  round(2000.0 * count(*) filter (p_size <> 7) / sum(p_size + 3) filter (p_size <> 7)::double, 2) as defects_per_1k from part group by 1"""
+)
+def extractor_comparison(spark, sf_dir):
+    made = F.concat(F.expr("repeat('ก', p_size)"), F.lit(" ่ก า x"))
+    p = _part(spark, sf_dir).select(F.col("p_partkey").alias("doc"), F.col("p_type").alias("extractor"), F.when(F.col("p_size") != 7, made).alias("text"))
+    return reports.extractors(p).withColumn("thai_chars", F.col("thai_chars").cast("long"))
+
+
+@registered("select p_brand as region, max(p_partkey) - 0.5 + 2.0::double as lon, 2.0::double as lat, 0::bigint as n_outside from part group by 1")
+def region_points(spark, sf_dir):
+    """Each part a square of side 4 far from the others; the region's widest is its last, which is a little wider."""
+    p = _part(spark, sf_dir)
+    last = p.groupBy("p_brand").agg(F.max("p_partkey").alias("last"))
+    lo = F.col("p_partkey") - 1.0 + F.lit(0.5)
+    hi = F.when(F.col("p_partkey") == F.col("last"), lo + 4.0).otherwise(lo + 0.25)
+    ring = F.concat_ws(",", *[F.concat(F.lit("["), x.cast("string"), F.lit(f",{y}]")) for x, y in ((lo, 0), (hi, 0), (hi, 4), (lo, 4))])
+    shapes = p.join(last, "p_brand").select(F.col("p_brand").alias("region"), F.concat(F.lit('{"type":"Polygon","coordinates":[['), ring, F.lit("]]}")).alias("geojson"), "p_partkey", "last")
+    points = geo.region_points(shapes, "region")
+    out = geo.contains_point("geojson", "lon", "lat")
+    n = shapes.where("p_partkey = last").join(points, "region").groupBy("region").agg(F.count_if(~out).alias("n_outside"))
+    return points.join(n, "region")
+
+
+@registered(
+    f"""{MEMBERS_SQL}, {_WEIGHTS_SQL}, u as (select distinct unit from dist_w), i as (select canonical_id from dist_w group by 1 order by count(*) desc, 1 limit 10), r as (select unnest(['{A}', 'household']) as register)
+select r.register, u.unit, i.canonical_id, case when (select count(*) from dist_w w where w.register = r.register and w.unit = u.unit) > 0 then round(coalesce(w.weight, 0), 6) end as weight
+from r cross join u cross join i left join dist_w w on w.register = r.register and w.unit = u.unit and w.canonical_id = i.canonical_id"""
+)
+def heatmap_with_gaps(spark, sf_dir):
+    """Two registers on the same axes, one of which has no recipes anywhere."""
+    weights = profiles.weighted(profiles.prevalence(*_members(spark, sf_dir)), profiles.TFIDF)
+    top = profiles.document_frequency(weights).orderBy(F.desc("df"), "canonical_id").limit(10).select("canonical_id")
+    return ranking.full_grid(weights, top, [A, "household"]).withColumn("weight", F.round("weight", 6))
+
+
+@registered(f"{MEMBERS_SQL}, {_WEIGHTS_SQL} select distinct register from dist_w where weight > 0")
+def drawn_registers(spark, sf_dir):
+    return study.drawn(profiles.weighted(profiles.prevalence(*_members(spark, sf_dir)), profiles.TFIDF))
+
+
+@registered(
+    """with l as (select n_name as unit, n_nationkey, case o_orderkey % 4 when 0 then ['market'] when 1 then ['grown', 'market'] when 2 then ['foraged'] else [] end as modes from orders join customer on o_custkey = c_custkey join nation on c_nationkey = n_nationkey),
+t as (select unit, count(*) as total from l where len(modes) > 0 group by 1), n as (select unit, n_nationkey, mode, count(*) as n from (select unit, n_nationkey, unnest(modes) as mode from l) group by all)
+select unit, mode, round(n / total::double, 6) as share, n_nationkey * 10.0::double as km from n join t using (unit)"""
+)
+def mode_shares(spark, sf_dir):
+    t = Testbed(spark, sf_dir)
+    o = t.table("orders").join(t.table("customer"), F.col("o_custkey") == F.col("c_custkey")).join(t.table("nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+    n = F.col("o_orderkey") % 4
+    modes = F.when(n == 0, F.array(F.lit("market"))).when(n == 1, F.array(F.lit("grown"), F.lit("market"))).when(n == 2, F.array(F.lit("foraged"))).otherwise(F.array().cast("array<string>"))
+    places = t.table("nation").select(F.col("n_name").alias("unit"), F.col("n_nationkey").alias("lon"))
+    return reports.mode_shares(o.select(F.col("n_name").alias("unit"), modes.alias("modes")), "modes", "unit", places, F.col("lon") * 10.0).withColumn("share", F.round("share", 6))

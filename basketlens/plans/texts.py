@@ -177,7 +177,7 @@ def _html(spark, sf_dir):
     listing = F.concat(F.lit("<h2>ส่วนผสม</h2><ul><li>• "), "p_name", F.lit(" &amp; co</li><li>1. "), "p_brand", F.lit("</li></ul><p>วิธีทำ<br>"), "p_type", F.lit("</p>"))
     twice = F.when(F.col("p_partkey") % 5 == 0, F.concat(listing, listing)).otherwise(listing)
     body = F.concat(F.lit("<script>var x = '<p>no</p>';</script><p>"), "p_type", F.lit("</p>"), twice)
-    about = _f('<script type="application/ld+json">{"@graph":[{"@type":"WebPage"},{"@type":["Recipe"],"headline":"%s","datePublished":"2024-01-02","author":"no"},{"@type":"BreadcrumbList","itemListElement":[{"position":3,"name":"page"},{"position":1,"name":"root"},{"position":2,"item":{"name":"%s"}}]}]}</script>', "p_name", "p_type")
+    about = _f('<script type="application/ld+json">{"@graph":[{"@type":"WebPage"},{"@type":["Recipe"],"headline":"%s","datePublished":"2024-01-02","author":"no"},{"@type":"BreadcrumbList","itemListElement":[{"position":3,"name":"page","item":"https://x.example/view123.html"},{"position":1,"name":"root"},{"position":2,"item":{"name":"%s"}}]}]}</script>', "p_name", "p_type")
     tag = F.when(F.col("p_partkey") % 3 == 0, "div").otherwise("article")
     return _part(spark, sf_dir).select("p_partkey", "p_name", F.concat(F.lit("<html><nav>menu</nav><"), tag, F.lit(">"), body, F.lit("</"), tag, F.lit(">"), about, F.lit("</html>")).alias("html"))
 

@@ -69,3 +69,30 @@ def addresses(regions: dict[str, int], menus: int, pattern: str, spark) -> DataF
     for c in ("region", "province", "menu"):
         url = F.replace(url, F.lit("{" + c + "}"), F.col(c).cast("string"))
     return df.withColumn("url", url)
+
+
+HEADING = "## Register of sources"
+
+
+def appended(document: str, cells: list[str], columns: list[str], heading: str = HEADING) -> str:
+    """A Markdown document with one more row in the register's section, which is made if it is not there; bars within cells are escaped."""
+    row = "| " + " | ".join(c.replace("|", "\\|").replace("\n", " ") for c in cells) + " |"
+    before, found, after = document.partition(heading)
+    if not found:
+        table = [heading, "", "| " + " | ".join(columns) + " |", "|" + "---|" * len(columns), row]
+        return document.rstrip("\n") + "\n\n" + "\n".join(table) + "\n"
+    section, mark, rest = after.partition("\n## ")
+    return before + heading + section.rstrip("\n") + "\n" + row + "\n" + (f"{mark}{rest}" if mark else "")
+
+
+@dataclass(frozen=True)
+class Site:
+    """A source that is described, and may be audited only until its register row says go."""
+
+    source_id: str
+    base_url: str
+    language: str = "th"
+    stage: str = "audit"
+
+    def discover(self) -> None:
+        raise NotImplementedError(f"{self.source_id}: only audited so far")

@@ -72,7 +72,7 @@ def test_publish_is_all_or_nothing(spark, tmp_path):
 def test_pages():
     html = "<nav>x</nav><article><script>y</script>ส่วนผสม<br>a&amp;b<br/><p>c</p></article>z"
     assert pages.plain_lines(html) == ["ส่วนผสม", "a&b", "c"] and pages.plain_lines("<p>x</p>") is None
-    ld = '<script type="application/ld+json">{"@graph":[{"@type":"Recipe","headline":"h","datePublished":"2024"},{"@type":"BreadcrumbList","itemListElement":[{"position":3,"name":"p"},{"position":1,"name":"r"},{"position":2,"name":"c"}]}]}</script>'
+    ld = '<script type="application/ld+json">{"@graph":[{"@type":"Recipe","headline":"h","datePublished":"2024"},{"@type":"BreadcrumbList","itemListElement":[{"position":3,"name":"p","item":"/view1.html"},{"position":1,"name":"r"},{"position":2,"name":"c"}]}]}</script>'
     assert pages.plain_metadata(ld) == ("h", "2024", "c") and pages.plain_metadata("<script type='application/ld+json'>{</script>") == (None, None, None)
 
 
@@ -226,3 +226,141 @@ def test_similar_sets_against_brute_force(spark):
         expected = {(a, b) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= least}
         got = {(x["a"], x["b"]) for x in similarity.similar_sets(df, least, strict=False).collect()}
         assert got == expected
+
+
+def test_near_strings_lose_nothing(spark):
+    from difflib import SequenceMatcher
+
+    r = random.Random(2)
+    base = ["".join(r.choice("abcde") for _ in range(n)) for n in (1, 2, 5, 9, 24, 44, 130, 181, 271, 300)]
+    strings = sorted({b[: max(1, int(len(b) * f))] + "z" * k for b in base for f in (1, 0.8, 0.6) for k in (0, 1, len(b) // 2, len(b))})
+    df = spark.createDataFrame([(x,) for x in strings], "key string")
+    for least in (0.5, 0.7, 0.8, 0.95, 1.0):
+        expected = {(a, b) for a in strings for b in strings if a != b and SequenceMatcher(None, a, b).ratio() >= least}
+        assert {(x["key"], x["other"]) for x in similarity.near_strings(df, df, least).collect()} == expected, least
+
+
+def test_publish_comes_back_when_a_move_fails(spark, tmp_path, monkeypatch):
+    from basketlens.operators import release
+
+    one, two = spark.createDataFrame([("old",)], "t string"), spark.createDataFrame([("new",)], "t string")
+    tables.publish({"a": one, "b": one}, str(tmp_path))
+    move, calls = release.Files.move, []
+
+    def failing(self, old, new):
+        calls.append(new)
+        if len(calls) == 4:
+            raise OSError("no")
+        move(self, old, new)
+
+    monkeypatch.setattr(release.Files, "move", failing)
+    with pytest.raises(OSError):
+        tables.publish({"a": two, "b": two}, str(tmp_path))
+    monkeypatch.setattr(release.Files, "move", move)
+    for name in "ab":
+        assert spark.read.parquet(f"{tmp_path}/{name}.parquet").first()[0] == "old"
+    assert len(list(tmp_path.iterdir())) == 2
+    tables.publish({"a": two, "b": two}, str(tmp_path))
+    assert spark.read.parquet(f"{tmp_path}/a.parquet").first()[0] == "new"
+
+
+def test_append_is_taken_back_if_not_valid(spark, tmp_path):
+    from basketlens.operators import release
+
+    once = lambda df: df.count() == df.select("k").distinct().count()
+    release.append(str(tmp_path), "t", spark.createDataFrame([(1,), (2,)], "k int"), once)
+    with pytest.raises(ValueError):
+        release.append(str(tmp_path), "t", spark.createDataFrame([(2,)], "k int"), once)
+    release.append(str(tmp_path), "t", spark.createDataFrame([(3,)], "k int"), once)
+    assert sorted(r[0] for r in spark.read.parquet(f"{tmp_path}/t").collect()) == [1, 2, 3] and len(list(tmp_path.iterdir())) == 1
+
+
+def test_manifest_counts_copies(spark):
+    digest = lambda *v: tables.manifest({"t": spark.createDataFrame([(x,) for x in v], "x string")}).first()["digest"]
+    assert digest("a", "b") == digest("b", "a") != digest("a", "b", "c", "c") and digest("a", None) != digest("a", "")
+
+
+def test_freeze_and_regions_refuse(spark):
+    from basketlens.operators import regional, release, views
+
+    df = spark.createDataFrame([("call 081-234-5678",)], "t string")
+    with pytest.raises(ValueError) as e:
+        release.freeze({"t": df}, df, ["t"], {"tree clean": False})
+    assert "tree clean" in str(e.value) and "phone" in str(e.value) and "081" not in str(e.value)
+    recipes = spark.createDataFrame([(1, "p", "x")], "recipe_id int, province string, own_region string")
+    with pytest.raises(ValueError):
+        views.resolved(recipes, spark.createDataFrame([("p", "y")], "province string, region string"))
+    one = spark.createDataFrame([(1, 2, 0.5)], "a int, b int, distance double")
+    with pytest.raises(ValueError):
+        regional.mantel(one, spark.createDataFrame([(1, 3, 0.5)], "a int, b int, distance double"), 3)
+    assert release.health({"t": df}) == {"t": 1}
+
+
+def test_stream_takes_each_key_once(spark, tmp_path):
+    rows = lambda *v: spark.createDataFrame([(x,) for x in v], "k string")
+    for k, batch in enumerate((rows("a", "a", "b"), rows("b", "c"))):
+        batch.write.mode("append").parquet(f"{tmp_path}/in")
+        stream = ingest.read(spark, f"{tmp_path}/in", batch.schema)
+        ingest.start_keyed(stream, f"{tmp_path}/out", f"{tmp_path}/state", ["k"]).awaitTermination()
+        assert spark.read.parquet(f"{tmp_path}/out").count() == (2, 3)[k]
+
+
+def test_readers(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("﻿x,y\n1, a  b \n", encoding="utf-8")
+    got = tables.exact_csv(spark, str(tmp_path / "a.csv"), ["x", "y"], ["y"]).collect()
+    assert [tuple(r) for r in got] == [("a b",)]
+    with pytest.raises(ValueError):
+        tables.exact_csv(spark, str(tmp_path / "a.csv"), ["y", "x"])
+    spark.createDataFrame([(1, "a")], "k int, v string").write.parquet(f"{tmp_path}/p")
+    from pyspark.sql.types import StructType
+
+    assert tables.required_parquet(spark, f"{tmp_path}/p", StructType.fromDDL("v string")).columns == ["v"]
+    with pytest.raises(ValueError):
+        tables.required_parquet(spark, f"{tmp_path}/p", StructType.fromDDL("v int"))
+    (tmp_path / "r.md").write_text("| source_id | decision |\n|---|---|\n| a | go |\n| b \\| c | stop |\n| a | Stop |\n")
+    register = tables.markdown_table(spark, str(tmp_path / "r.md"), ["source_id", "decision"])
+    assert register.count() == 4 and not conduct.may_run(register, "a", "full") and conduct.may_run(register, "a", "audit")
+    wanted = spark.createDataFrame([("u",), ("v",), ("w",)], "url string")
+    log = spark.createDataFrame([("u", "fetched"), ("v", "empty")], "url string, outcome string")
+    assert [r[0] for r in tables.unsettled(wanted, log).collect()] == ["w"] and tables.unsettled(wanted, log, retry_empty=True).count() == 2
+    tables.snapshot(spark.createDataFrame([("s", 1.23456, float("nan"))], "k string, a double, b double"), str(tmp_path / "snap"), "2024-01-02", {"n": 1})
+    assert spark.read.csv(f"{tmp_path}/snap/2024-01-02.csv", header=True).first()["a"] == "1.2346"
+    space = conduct.addresses({"north": 2}, 3, "http://x/{region}/{province}/{menu}.pdf", spark)
+    assert space.count() == 6 and "http://x/north/2/3.pdf" in {r["url"] for r in space.collect()}
+    answers = spark.createDataFrame([(404, None), (200, b"%PDF-1"), (200, b"<html>"), (500, None)], "status int, body binary")
+    assert [r[0] for r in answers.select(tables.enumerated_outcome(F.col("status"), F.col("body"))).collect()] == ["missing", "found", "soft_missing", "failed"]
+
+
+def test_shapes(spark):
+    import json
+
+    square = json.dumps({"type": "Polygon", "coordinates": [[[0, 0], [2, 0], [2, 2], [0, 2]]]})
+    features = spark.createDataFrame([("Buri Ram", square)], "name string, geojson string")
+    got = geo.load_shapes(spark.createDataFrame([("buri-ram",)], "name string"), features, {})
+    assert got.select(geo.surface_point("geojson").alias("p")).first()["p"]["lon"] == 1.0
+    with pytest.raises(ValueError):
+        geo.load_shapes(spark.createDataFrame([("elsewhere",)], "name string"), features, {})
+    assert geo.outside(spark.createDataFrame([(square, 1.0, 1.0), (square, 3.0, 1.0)], "geojson string, lon double, lat double")).first()[0] == 1
+
+
+def test_constraints_of_arrays_and_order(spark):
+    df = spark.createDataFrame([(["a"], 1, 2), (["a", "x"], 3, 2), ([], 2, 2)], "l array<string>, a int, b int")
+    got = {r["rule"]: r["violations"] for r in quality.violations({"t": df}, [quality.subset_of("t", "l", ("a", "b")), quality.in_order("t", "a", "b")]).collect()}
+    assert got == {"l within list": 1, "a <= b": 1}
+
+
+def test_contained_either_way(spark):
+    texts = spark.createDataFrame([(1, "the green rivers run"), (2, "a b"), (3, ""), (4, None), (5, "green riverbed")], "k int, t string")
+    names = spark.createDataFrame([("green riv",), ("green rivers",), ("b",), ("zz",), ("",), (None,)], "n string")
+    expected = {(1, "green riv"), (1, "green rivers"), (2, "b"), (5, "green riv"), (5, "b")}
+    for most in (None, 0):
+        assert {tuple(r) for r in similarity.contained(texts, "k", "t", names, "n", most=most).collect()} == expected
+    assert {tuple(r) for r in similarity.contained(texts, "k", "t", spark.createDataFrame([("a b",)], "n string"), "n", exact=True).collect()} == {(2, "a b")}
+
+
+def test_equal_sets_are_one_class(spark):
+    items = spark.createDataFrame([(k, c) for k in range(30) for c in ("abcd" if k < 20 else "abce" if k < 29 else "xyz")], "key int, item string")
+    pairs, members = similarity.similar_classes(items, 0.5)
+    assert pairs.count() == 1 and members.count() == 30 and members.select("cls").distinct().count() == 3
+    got = {(r["a"], r["b"]): r["similarity"] for r in similarity.similar_sets(items, 0.5).collect()}
+    assert len(got) == 29 * 28 // 2 and got[0, 1] == 1.0 and got[0, 20] == 0.6
