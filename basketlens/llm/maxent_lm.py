@@ -49,7 +49,7 @@ BY_ENDING = 3
 #: Features at the levels by ending, and at the others.
 FEATURES = (2, 3)
 LEAVES = math.prod(LEVELS)
-BLOCK_BYTES = 32_000_000
+BLOCK_BYTES = 20_000_000
 STEP = 8192
 #: Tokens that are learned from or scored at once.
 LOT = 1 << 17

@@ -123,7 +123,7 @@ def learn(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     n = known.count()
     share = min(1.0, 0.95 * max_rows / max(1, n))  # within the bound though hashes scatter
     picked = known.where(F.pmod(F.xxhash64(F.col(key)), F.lit(1_000_003)) < int(share * 1_000_003) + 1)
-    rows = docs.select(F.col(key), F.col(text)).join(F.broadcast(picked), key).orderBy(key, text)  # at most max_rows keys
+    rows = docs.select(F.col(key), F.col(text)).join(F.broadcast(picked), key).orderBy(key, F.xxhash64(text))  # at most max_rows keys
     got = _mapped(rows.select("preferred", F.col(text)), "preferred", text, "x binary", lambda x: [("x", pa.array([v.astype("<f4").tobytes() for v in x], pa.binary()))]).toArrow()
     x = np.frombuffer(b"".join(got["x"].to_pylist()), "<f4").astype(float).reshape(-1, SIZE)
     return Ranker(x, np.array(got["preferred"].to_pylist(), bool))
