@@ -215,7 +215,7 @@ def test_vocabulary_problems_in_one_report(spark):
     bad = frame([*entries, ("ING_1", "n1", "none"), ("ING_0001", None, "other")], "canonical_id string, name string, category string")
     lists = (frame([("x", "ING_0001"), ("x", "ING_0002"), ("y", "ING_9999"), ("e", "ING_0003")], "key string, canonical_id string"), ok[1].limit(1), ok[2], frame([("A", "B"), ("B", "A"), ("C", "C")], "a string, b string"))
     got = {(r["list"], r["rule"]) for r in vocabulary.problems(bad, *lists).collect()}
-    assert len(got) == 11 and ("entries", "others within their ceiling") not in got
+    assert len(got) == 12 and ("entries", "others within their ceiling") not in got
 
 
 def test_similar_sets_against_brute_force(spark):
@@ -364,3 +364,38 @@ def test_equal_sets_are_one_class(spark):
     assert pairs.count() == 1 and members.count() == 30 and members.select("cls").distinct().count() == 3
     got = {(r["a"], r["b"]): r["similarity"] for r in similarity.similar_sets(items, 0.5).collect()}
     assert len(got) == 29 * 28 // 2 and got[0, 1] == 1.0 and got[0, 20] == 0.6
+
+
+def test_probe_of_sitemaps():
+    index = "<sitemapindex><loc>http://x/category.xml</loc><loc>http://x/posts.xml</loc><loc>http://x/tag.xml</loc></sitemapindex>"
+    answers = {"http://x/sitemap.xml": (200, index), "http://x/category.xml": (200, "<urlset><loc> http://x/c/1 </loc></urlset>"), "http://x/tag.xml": (404, ""), "http://x/flat.xml": (200, "<urlset><loc>http://x/tag/1</loc><loc>http://x/p</loc></urlset>")}
+    terms, notes, used = pages.probe(["http://x/none.xml", "http://x/sitemap.xml"], lambda u: answers.get(u))
+    assert terms == ["http://x/c/1"] and notes == ["not allowed: http://x/none.xml", "404: http://x/tag.xml"] and used == 3
+    assert pages.probe(["http://x/flat.xml"], answers.get)[0] == ["http://x/tag/1"]
+    assert pages.probe(["http://x/sitemap.xml"], answers.get, most=1)[1] == ["no more requests before http://x/category.xml", "no more requests before http://x/tag.xml"]
+    assert pages.probe([], answers.get) == ([], ["no sitemap"], 0)
+
+
+def test_register_rows_are_appended():
+    one = conduct.appended("# Log\n", ["a|b", "go"], ["source_id", "decision"])
+    two = conduct.appended(one + "\n## More\n\ntext\n", ["c", "stop"], ["source_id", "decision"])
+    assert one.count(conduct.HEADING) == two.count(conduct.HEADING) == 1 and "| a\\|b | go |\n| c | stop |\n\n## More" in two
+    with pytest.raises(NotImplementedError):
+        conduct.Site("s", "http://x").discover()
+
+
+def test_forms_end_where_numbers_do():
+    from basketlens.functions import forms
+
+    R = layout.Run
+    line = lambda y, *cells, page=1: [R(t, x, y, page) for t, x in cells]
+    head = line(10, ("ที่", 10), ("ชื่อวัตถุดิบ", 60))
+    rows = [line(30, ("1", 10), ("เกลือ", 60)), line(50, ("หยาบ", 60)), line(70, ("๓.", 10), ("ข้าว", 60)), line(90, ("9", 10), ("หก", 60)), line(400, ("4", 10), ("ไกล", 60))]
+    assert [forms.shown(x) for x in forms.bounded([head, *rows])] == ["1เกลือ", "หยาบ", "๓.ข้าว"]
+    over = line(20, ("4", 10), ("น้ำ", 60), page=2)
+    assert forms.shown(forms.bounded([head, *rows[:4], over])[-1]) == "4น้ำ"
+    assert forms.table_names([head, *rows[:3]]) == [("เกลือ หยาบ", ""), ("ข้าว", "")]
+    spoken = [head, line(30, ("ช่วยบำรุง", 60)), line(50, ("ป้องกันโรค", 60)), line(70, ("เกลือ", 60))]
+    assert forms.listed_names(spoken) == [] and forms.listed_names([head, line(30, ("1.เกลือ", 60)), line(50, ("น้ำ", 60))]) == [("เกลือ", ""), ("น้ำ", "")]
+    assert forms.bounded([rows[0]]) == [] and forms.record([], {})["notes"] == ["nothing redacted", "no boxes", "no names"]
+    assert layout.anchors([[R("a", 0, 0), R("b", 50, 0)], [R("a", 1, 9)], [R("c", 90, 18)]], expected=1) == [0.5]
