@@ -1,3 +1,5 @@
+import re
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -218,3 +220,18 @@ def test_upper_median_and_ceiling(spark):
     n = spark.createDataFrame([("other", 5), ("acid", 95)], "c string, n long")
     assert ranking.over_ceiling(n, "c", "other", 0.05).first()["over"] is False
     assert [r["n"] for r in ranking.with_zeros(n, ["acid", "fat", "other"], "c").orderBy("place").collect()] == [95, 0, 5]
+
+
+@pytest.mark.parametrize("resampled", [inference.bootstrap, inference.multinomial])
+def test_draws_are_not_broadcast(data, resampled):
+    drawn = resampled(data[0], 3)
+    assert drawn.count()
+    drawn.collect()
+    assert re.search(r"SortMergeJoin \[register#\d+, unit#\d+, place#\d+L?\]", drawn._jdf.queryExecution().executedPlan().toString())
+
+
+def test_picks_in_lots_are_the_same(data, monkeypatch):
+    rows = lambda: sorted(map(tuple, inference.bootstrap(data[0], 3).collect()))
+    whole = rows()
+    monkeypatch.setattr(inference, "PICKS", 4)
+    assert rows() == whole
