@@ -399,3 +399,27 @@ def test_forms_end_where_numbers_do():
     assert forms.listed_names(spoken) == [] and forms.listed_names([head, line(30, ("1.เกลือ", 60)), line(50, ("น้ำ", 60))]) == [("เกลือ", ""), ("น้ำ", "")]
     assert forms.bounded([rows[0]]) == [] and forms.record([], {})["notes"] == ["nothing redacted", "no boxes", "no names"]
     assert layout.anchors([[R("a", 0, 0), R("b", 50, 0)], [R("a", 1, 9)], [R("c", 90, 18)]], expected=1) == [0.5]
+
+
+def test_candidates_are_not_shuffled(spark):
+    """Many sets share rare pairs and few are alike: what is shuffled grows with the sets, not with the pairs that are judged."""
+    items = spark.range(300).select(F.col("id").alias("key"), F.explode(F.array(F.lit(-1), F.lit(-2), F.col("id") * 2, F.col("id") * 2 + 1)).alias("item"))
+    pairs, members = similarity.similar_classes(items, 0.5)
+    assert pairs.count() == 0 and members.count() == 300
+    plan = pairs._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join Inner") == 1 + 2  # the candidates', and one of item counts on each side
+
+
+def test_best_matches_against_brute_force(spark):
+    r = random.Random(3)
+    sets = {k: frozenset(r.sample(range(9), r.randint(1, 4))) for k in range(80)}
+    df = spark.createDataFrame([(k, f"i{x}") for k, s in sets.items() for x in s], "key long, item string")
+    found = similarity.best_matches(df.where("key < 30"), df.where("key >= 30"))
+    want = {}
+    for k in range(30):
+        near = [(-len(sets[k] & sets[j]) / len(sets[k] | sets[j]), j) for j in range(30, 80) if sets[k] & sets[j]]
+        if near:
+            want[k] = (min(near)[1], -min(near)[0])
+    assert {x["left"]: (x["right"], x["similarity"]) for x in found.collect()} == want
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan and plan.count("Join Inner") == 2
