@@ -51,9 +51,8 @@ def _type(v: Column, key: str) -> Column:
     return F.nullif(F.coalesce(kind, F.lit("VOID")), F.lit("VOID"))
 
 
-def _rules(form: Form, raw: Column) -> Column:
-    """array<string>: what is wrong with one record, apart from its lists' entries."""
-    v = F.try_parse_json(raw)
+def _rules(form: Form, raw: Column, v: Column) -> Column:
+    """array<string>: what is wrong with one record, apart from its lists' entries. v: the record, parsed once in a column of its own."""
     unknown = F.filter(F.json_object_keys(raw), lambda k: ~k.isin(*form.keys))
     named = F.transform(unknown, lambda k: F.when(F.lower(k).rlike(form.finer), F.concat(F.lit("finer than district: "), k)).when(F.lower(k).rlike(form.refused), F.concat(F.lit("personal key: "), k)).otherwise(F.concat(F.lit("unknown key: "), k)))
     shown = {k: text.collapse(_value(v, k)) for k in form.texts}
@@ -82,15 +81,16 @@ def _rules(form: Form, raw: Column) -> Column:
 
 def check(files: DataFrame, form: Form) -> DataFrame:
     """(file, place, rule) of files (file, data): place is empty for the record itself, else the list and the entry's number."""
-    broken = files.where(F.try_parse_json("data").isNull()).select("file", F.lit("").alias("place"), F.lit("not readable").alias("rule"))
-    good = files.where(F.try_parse_json("data").isNotNull())
-    out = broken.unionByName(good.select("file", F.lit("").alias("place"), F.explode(_rules(form, F.col("data"))).alias("rule")))
+    parsed = files.select("file", "data", F.try_parse_json("data").alias("v"))
+    broken = parsed.where(F.col("v").isNull()).select("file", F.lit("").alias("place"), F.lit("not readable").alias("rule"))
+    good = parsed.where(F.col("v").isNotNull())
+    out = broken.unionByName(good.select("file", F.lit("").alias("place"), F.explode(_rules(form, F.col("data"), F.col("v"))).alias("rule")))
     for name, inner in form.lists.items():
-        entries = good.select("file", F.posexplode(_value(F.try_parse_json("data"), name, "array<variant>")).alias("i", "v"))
-        rows = entries.select("file", F.concat(F.lit(f"{name} "), F.col("i") + 1).alias("place"), F.to_json("v").alias("data"))
-        out = out.unionByName(rows.select("file", "place", F.explode(_rules(inner, F.col("data"))).alias("rule")))
+        entries = good.select("file", F.posexplode(_value(F.col("v"), name, "array<variant>")).alias("i", "v"))
+        rows = entries.select("file", F.concat(F.lit(f"{name} "), F.col("i") + 1).alias("place"), F.to_json("v").alias("data"), "v")
+        out = out.unionByName(rows.select("file", "place", F.explode(_rules(inner, F.col("data"), F.col("v"))).alias("rule")))
         if inner.numbered:
-            number = _value(F.try_parse_json("data"), inner.numbered)
+            number = _value(F.col("v"), inner.numbered)
             twice = rows.groupBy("file", number.alias("number")).agg(F.count("*").alias("n"), F.min("place").alias("place")).where("n > 1 and number is not null")
             out = out.unionByName(twice.select("file", F.lit(name).alias("place"), F.lit(f"{inner.numbered}: used twice").alias("rule")).distinct())
     return out

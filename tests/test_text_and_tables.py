@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from basketlens.functions import layout, pages, privacy, text, thai
-from basketlens.operators import attribution, geo, quality, reports, similarity, vocabulary
+from basketlens.operators import attribution, geo, quality, reports, similarity, validation, vocabulary
 from basketlens.sources import conduct, tables
 from basketlens.streaming import ingest
 
@@ -423,3 +423,17 @@ def test_best_matches_against_brute_force(spark):
     assert {x["left"]: (x["right"], x["similarity"]) for x in found.collect()} == want
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert "Window" not in plan and plan.count("Join Inner") == 2
+
+
+def test_documents_are_read_in_batches(spark):
+    runs = spark.createDataFrame([(d, f"t{d}-{i}", float(i), 0.0 if i < 2 else 20.0, 1) for d in range(50) for i in range(3)], "doc long, text string, x double, y double, page int")
+    got = layout.documents(runs)
+    assert sorted(map(tuple, got.collect())) == [(d, i, t, 0) for d in range(50) for i, t in enumerate((f"t{d}-0 t{d}-1", f"t{d}-2"))]
+    assert "FlatMapGroupsInPandas" not in got._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_records_are_parsed_once(spark):
+    files = spark.createDataFrame([("a", '{"recipe_id":5}'), ("b", "{")], "file string, data string")
+    found = validation.check(files, validation.COOKED)
+    assert {tuple(r) for r in found.collect()} == {("a", "", "cook_date: required"), ("b", "", "not readable")}
+    assert found._jdf.queryExecution().optimizedPlan().toString().lower().count("parse_json") + found._jdf.queryExecution().optimizedPlan().toString().count("parseJson") < 10
