@@ -235,3 +235,20 @@ def test_picks_in_lots_are_the_same(data, monkeypatch):
     whole = rows()
     monkeypatch.setattr(inference, "PICKS", 4)
     assert rows() == whole
+
+
+def test_spans_equal_places(spark):
+    df = spark.range(500).select((F.col("id") % 3).alias("g"), F.xxhash64("id").alias("h"), "id")
+    cell = F.shiftright("h", 61)
+    spans = spark.createDataFrame([(g, upto, name) for g in range(3) for upto, name in ((1, "a"), (40, "b"), (41, "c"), (167 - g // 2, "d"))], "g long, upto long, span string")
+    got = ranking.spanned(df, ["g"], ["h", "id"], cell, spans)
+    places = {r["id"]: r["place"] for r in ranking.numbered(df, ["g"], ["h", "id"], cell).collect()}
+    assert {r["id"]: r["span"] for r in got.collect()} == {i: "a" if p < 1 else "b" if p < 40 else "c" if p < 41 else "d" for i, p in places.items()}
+
+
+def test_permuted_rows_are_not_sorted(data):
+    for moved in (inference.permute_units(data[0], 3), inference.permute_registers(data[0], "official", "commercial", 3)):
+        plan = moved._jdf.queryExecution().optimizedPlan().toString()
+        top = [line for line in plan.splitlines() if "Join" in line][0]
+        assert "rightHint=(strategy=broadcast)" in top
+        assert moved.count() == 3 * data[0].count()
