@@ -46,13 +46,27 @@ def scopes(registers: tuple[str, ...], register: str = "register", source: str =
     return F.array_compact(F.array(F.lit("all"), F.when(r.isin(*registers), "studied"), F.concat(F.lit("register:"), r), F.concat(F.lit("source:"), F.col(source))))
 
 
+def dealt(df: DataFrame, key: str) -> DataFrame:
+    """df dealt by a key to so many tasks that none has more of it the larger its inputs are: one for each PIECE bytes of these.
+
+    Distinct rows with that key are then found where they are. Left to Spark, small shuffles go to a few tasks, and these hold them whole.
+    """
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    size = sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
+    return df.repartition(max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(size // PIECE, 100_000)), key)
+
+
+#: Bytes of input files for each task of dealt().
+PIECE = 4 << 20
+
+
 def coverage(mentions: DataFrame, entries: DataFrame, registers: tuple[str, ...]) -> DataFrame:
     """Per scope: distinct (recipe, key) mentions, mapped ones, conflicts and exclusions.
 
     mentions: (source_id, register, recipe_id, key). Excluded strings are not in the denominator;
     conflicting ones are not mapped.
     """
-    pairs = mentions.select("source_id", "register", "recipe_id", "key").distinct().join(entries, "key", "left")
+    pairs = dealt(mentions.select("source_id", "register", "recipe_id", "key"), "recipe_id").distinct().join(entries, "key", "left")
     rows = pairs.withColumn("scope", F.explode(scopes(registers)))
     e = F.col("entry")
     out = rows.groupBy("scope").agg(
@@ -64,7 +78,7 @@ def coverage(mentions: DataFrame, entries: DataFrame, registers: tuple[str, ...]
 
 def worklist(mentions: DataFrame, entries: DataFrame) -> DataFrame:
     """Strings by the number of recipes that have them: rank, running share, registers in columns, entry."""
-    pairs = mentions.select("register", "recipe_id", "key").distinct()
+    pairs = dealt(mentions.select("register", "recipe_id", "key"), "recipe_id").distinct()
     total = pairs.select("recipe_id", "key").distinct().groupBy("key").agg(F.count("*").alias("n"))
     wide = pairs.groupBy("key").pivot("register", ["official", "commercial", "domestic"]).agg(F.count("recipe_id")).fillna(0)
     return ranked(total, "key").join(wide, "key").join(entries, "key", "left")
@@ -198,7 +212,7 @@ def mapping_counts(lines: DataFrame, entries: DataFrame, registers: tuple[str, .
 def trusted_coverage(mentions: DataFrame, entries: DataFrame, trusted: DataFrame, registers: tuple[str, ...]) -> DataFrame:
     """coverage() with mapped_trusted and its share: mentions mapped to an entry that is trusted (canonical_id)."""
     known = trusted.select(F.col("canonical_id").alias("entry"), F.lit(True).alias("is_trusted"))
-    pairs = mentions.select("source_id", "register", "recipe_id", "key").distinct().join(entries, "key").join(known, "entry")
+    pairs = dealt(mentions.select("source_id", "register", "recipe_id", "key"), "recipe_id").distinct().join(entries, "key").join(known, "entry")
     n = pairs.withColumn("scope", F.explode(scopes(registers))).groupBy("scope").agg(F.count("*").alias("mapped_trusted"))
     out = coverage(mentions, entries, registers).join(n, "scope", "left").fillna(0, ["mapped_trusted"])
     return out.withColumn("trusted_share", F.coalesce(F.try_divide("mapped_trusted", "mentions"), F.lit(0.0)))
@@ -206,7 +220,7 @@ def trusted_coverage(mentions: DataFrame, entries: DataFrame, trusted: DataFrame
 
 def worklist_by(mentions: DataFrame, column: str, values: list[str]) -> DataFrame:
     """(key, n, a column for each value, its rank among the strings of that value): recipes that have the string, in all and by source or register."""
-    pairs = mentions.select(column, "recipe_id", "key").distinct()
+    pairs = dealt(mentions.select(column, "recipe_id", "key"), "recipe_id").distinct()
     per = ranked(pairs.groupBy(column, "key").agg(F.count("*").alias("n")), "key", group=[column])
     wide = per.groupBy("key").pivot(column, values).agg(F.first("n").alias("n"), F.first("rank").alias("rank"))
     total = pairs.select("recipe_id", "key").distinct().groupBy("key").agg(F.count("*").alias("n"))

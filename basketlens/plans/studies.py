@@ -412,7 +412,7 @@ select register, count(*) as mentions, count(n) as mapped, count(*) filter (s) a
 )
 def mapping_counts(spark, sf_dir):
     t = Testbed(spark, sf_dir)
-    lines = _mentions(t).select("register", "recipe_id", "key").distinct()
+    lines = vocabulary.dealt(_mentions(t).select("register", "recipe_id", "key"), "recipe_id").distinct()
     return vocabulary.mapping_counts(lines, vocabulary.lookup(_aliases(t), _splits(t)), (A, B, "domestic")).withColumn("entries", F.col("entries").cast("long"))
 
 
@@ -468,7 +468,7 @@ select category, sum(n)::bigint as n, round(sum(n) / (select sum(n) from w)::dou
 )
 def category_coverage(spark, sf_dir):
     t = Testbed(spark, sf_dir)
-    work = _mentions(t).groupBy("key").agg(F.count_distinct("recipe_id").alias("n"))
+    work = vocabulary.dealt(_mentions(t).select("recipe_id", "key"), "recipe_id").distinct().groupBy("key").agg(F.count("recipe_id").alias("n"))
     of = t.table("part").select(F.col("p_brand").alias("canonical_id"), F.when(F.col("p_brand").isin("Brand#1", "Brand#2"), "acid").otherwise("other").alias("category")).distinct()
     return vocabulary.category_coverage(work, _entries(t), of).select("category", F.col("n").cast("long").alias("n"), r6("share"))
 

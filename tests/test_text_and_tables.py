@@ -437,3 +437,12 @@ def test_records_are_parsed_once(spark):
     found = validation.check(files, validation.COOKED)
     assert {tuple(r) for r in found.collect()} == {("a", "", "cook_date: required"), ("b", "", "not readable")}
     assert found._jdf.queryExecution().optimizedPlan().toString().lower().count("parse_json") + found._jdf.queryExecution().optimizedPlan().toString().count("parseJson") < 10
+
+
+def test_mentions_are_dealt_by_the_size_of_their_input(spark, sf, monkeypatch):
+    lines = spark.read.parquet(f"{sf}/lineitem.parquet").select(F.lit("official").alias("register"), F.lit("s").alias("source_id"), F.col("l_orderkey").alias("recipe_id"), F.col("l_partkey").cast("string").alias("key"))
+    monkeypatch.setattr(vocabulary, "PIECE", 1000)
+    rows = vocabulary.dealt(lines, "recipe_id").distinct()
+    assert rows.rdd.getNumPartitions() > 4 and rows.count() == lines.distinct().count()
+    found = vocabulary.coverage(lines, spark.createDataFrame([], "key string, entry string"), ("official",))
+    assert "RepartitionByExpression" in found._jdf.queryExecution().optimizedPlan().toString()
