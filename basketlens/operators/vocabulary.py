@@ -53,7 +53,7 @@ def dealt(df: DataFrame, key: str) -> DataFrame:
     """
     leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
     size = sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
-    return df.repartition(max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(size // PIECE, 100_000)), key)
+    return df.repartition(max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(size // PIECE, 100_000)) + 1, key)  # one more than a join has, or it would be taken for the join's own
 
 
 #: Bytes of input files for each task of dealt().
