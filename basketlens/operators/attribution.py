@@ -72,10 +72,19 @@ def term_hits(texts: DataFrame, key: str, text: str, terms: dict[str, tuple[str,
 
 
 def title_hits(texts: DataFrame, key: str, title: str, names: DataFrame) -> DataFrame:
-    """(key, rule, code) of titles that are (exact) or hold (substring) a known name; names: (name, code)."""
-    exact = texts.join(names, F.col(title) == F.col("name")).select(key, F.lit("exact").alias("rule"), "code")
-    held = contained(texts, key, title, names, "name").join(names, "name").select(key, F.lit("substring").alias("rule"), "code")
-    return exact.unionByName(held).distinct()
+    """(key, rule, code) of titles that are (exact) or hold (substring) a known name; names: (name, code).
+
+    Each distinct title is looked up once. A key with one title has each of its hits once then, so the
+    rows, many for each text, are neither held nor shuffled; only those of keys with several titles are
+    made distinct.
+    """
+    titles = texts.select(F.col(title).alias("__title")).distinct().withColumn("__key", F.col("__title"))
+    exact = titles.join(names, F.col("__title") == F.col("name")).select("__key", F.lit("exact").alias("rule"), "code")
+    held = contained(titles, "__key", "__title", names, "name").join(names, "name").select("__key", F.lit("substring").alias("rule"), "code")
+    hits = exact.unionByName(held).distinct().groupBy("__key").agg(F.collect_list(F.struct("rule", "code")).alias("__hits"))
+    own = texts.groupBy(key).agg(F.collect_set(title).alias("__own")).select(key, (F.size("__own") > 1).alias("__several"), F.explode("__own").alias("__key"))
+    rows = own.join(hits, "__key").select(key, "__several", F.inline("__hits"))
+    return rows.where("not __several").drop("__several").unionByName(rows.where("__several").drop("__several").distinct())
 
 
 def agreement(found: DataFrame, key: str, pairs: list[tuple[str, str]]) -> DataFrame:

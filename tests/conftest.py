@@ -26,3 +26,23 @@ def spark():
 @pytest.fixture
 def sf():
     return SF
+
+
+@pytest.fixture
+def shuffled():
+    """Of a frame that was collected: how many rows its shuffles wrote, and how many bytes."""
+
+    def nodes(plan):
+        name = plan.getClass().getSimpleName()
+        if name == "AdaptiveSparkPlanExec":
+            return nodes(plan.executedPlan())
+        if name.endswith("QueryStageExec"):
+            return nodes(plan.plan())
+        children = plan.children()
+        return [plan] + [x for i in range(children.size()) for x in nodes(children.apply(i))]
+
+    def run(df):
+        found = [x.metrics() for x in nodes(df._jdf.queryExecution().executedPlan()) if x.getClass().getSimpleName() == "ShuffleExchangeExec"]
+        return tuple(sum(m.apply(k).value() for m in found) for k in ("shuffleRecordsWritten", "shuffleBytesWritten"))
+
+    return run

@@ -446,3 +446,19 @@ def test_mentions_are_dealt_by_the_size_of_their_input(spark, sf, monkeypatch):
     assert rows.rdd.getNumPartitions() > 4 and rows.count() == lines.distinct().count()
     found = vocabulary.coverage(lines, spark.createDataFrame([], "key string, entry string"), ("official",))
     assert "RepartitionByExpression" in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_title_hits_are_not_shuffled(spark, shuffled):
+    texts = spark.range(400).selectExpr("id", "concat('name', id % 4, case when id % 40 = 0 then ' and name1' else '' end) as title")
+    names = spark.range(4).selectExpr("concat('name', id) as name", "explode(transform(sequence(1, 30), x -> concat('c', x))) as code")
+    hits = attribution.title_hits(texts, "id", "title", names)
+    n = len(hits.collect())
+    assert n == 390 * 60 + 10 * 30 and shuffled(hits)[0] < n / 4
+
+
+def test_title_hits_of_keys_with_several_titles(spark):
+    texts = spark.createDataFrame([(1, "ab"), (1, "b"), (1, None), (None, "b"), (None, "ab"), (2, "b"), (2, "b"), (3, "c"), (4, None)], "id long, title string")
+    names = spark.createDataFrame([("b", "x"), ("b", None), ("ab", "x"), ("ab", "x")], "name string, code string")
+    got = [tuple(r) for r in attribution.title_hits(texts, "id", "title", names).collect()]
+    want = {(i, rule, code) for i in (1, None, 2) for rule in ("exact", "substring") for code in ("x", None)}
+    assert len(got) == len(set(got)) and set(got) == want
