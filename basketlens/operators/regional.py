@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from basketlens.operators.inference import draw, hash_cell
 from basketlens.operators.ranking import numbered, range_cell
+from basketlens.operators.vocabulary import dealt
 
 
 def centroids(vectors: DataFrame) -> DataFrame:
@@ -82,11 +83,44 @@ def mantel(left: DataFrame, right: DataFrame, reps: int) -> DataFrame:
     return d.groupBy("rep").agg(F.coalesce(F.when((vx > 0) & (vy > 0), F.try_divide(cov, F.sqrt(vx * vy))), F.lit(0.0)).alias("r"))
 
 
-def tfidf(tokens: DataFrame, least: int = 2) -> DataFrame:
-    """(doc, token, weight): raw counts times ln((1+n)/(1+df))+1 over tokens in ``least`` documents, to length 1."""
-    tf = tokens.groupBy("doc", "token").agg(F.count("*").alias("tf"))
+#: Words that are sent to every task with their document frequencies, and their greatest length; the others are joined.
+FREQUENT, LONGEST = 200_000, 100
+
+
+def term_counts(texts: DataFrame, pattern: str) -> DataFrame:
+    """(doc, token, tf) of texts (doc, text), in lower case: how often each match of a pattern occurs.
+
+    Only texts are shuffled, to bring those of one doc together; their words are counted where they are then,
+    in tasks that get no larger with the input.
+    """
+    words = dealt(texts, "doc", texts.sparkSession.sparkContext.defaultParallelism).select("doc", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(pattern), 0)).alias("token"))
+    return words.where("token is not null").groupBy("doc", "token").agg(F.count("*").alias("tf"))
+
+
+def term_weights(texts: DataFrame, pattern: str, least: int = 2) -> DataFrame:
+    """(doc, token, w): raw counts times ln((1+n)/(1+df))+1 over tokens in ``least`` documents.
+
+    Frequent words, which most rows have, find their document frequency without a shuffle; only rows of
+    the others are joined.
+    """
+    tf = term_counts(texts, pattern)
     df = tf.groupBy("token").agg(F.count("*").alias("df")).where(F.col("df") >= least)
-    n = F.broadcast(tokens.agg(F.count_distinct("doc").alias("n")))
-    w = tf.join(df, "token").crossJoin(n).select("doc", "token", (F.col("tf") * (F.ln((1 + F.col("n")) / (1 + F.col("df"))) + 1)).alias("w"))
+    frequent = df.orderBy(F.desc("df"), "token").limit(FREQUENT).where(F.length("token") <= LONGEST)
+    n = F.broadcast(texts.where(F.lower("text").rlike(pattern)).agg(F.count_distinct("doc").alias("n")))
+    known = tf.join(F.broadcast(frequent), "token")
+    rare = tf.join(F.broadcast(frequent.select("token")), "token", "left_anti").join(df, "token")
+    w = (F.col("tf") * (F.ln((1 + F.col("n")) / (1 + F.col("df"))) + 1)).alias("w")
+    return known.crossJoin(n).select("doc", "token", w).unionByName(rare.crossJoin(n).select("doc", "token", w))
+
+
+def tfidf(texts: DataFrame, pattern: str, least: int = 2) -> DataFrame:
+    """(doc, token, weight): term_weights() of texts (doc, text) to length 1."""
+    w = term_weights(texts, pattern, least)
     norm = w.groupBy("doc").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
     return w.join(norm, "doc").select("doc", "token", (F.col("w") / F.col("norm")).alias("weight"))
+
+
+def tfidf_tops(texts: DataFrame, pattern: str, least: int = 2) -> DataFrame:
+    """(doc, tokens, top): of tfidf(), how many tokens a document has and the greatest weight, without the rows."""
+    w = F.col("w")
+    return term_weights(texts, pattern, least).groupBy("doc").agg(F.count("*").alias("tokens"), (F.max(w) / F.sqrt(F.sum(w * w))).alias("top"))

@@ -46,14 +46,16 @@ def scopes(registers: tuple[str, ...], register: str = "register", source: str =
     return F.array_compact(F.array(F.lit("all"), F.when(r.isin(*registers), "studied"), F.concat(F.lit("register:"), r), F.concat(F.lit("source:"), F.col(source))))
 
 
-def dealt(df: DataFrame, key: str) -> DataFrame:
-    """df dealt by a key to so many tasks that none has more of it the larger its inputs are: one for each PIECE bytes of these.
+def dealt(df: DataFrame, key: str, least: int | None = None) -> DataFrame:
+    """df dealt by a key to so many tasks that none has more of it the larger its inputs are: one for each PIECE bytes of these, and ``least`` (the session's shuffle partitions).
 
     Distinct rows with that key are then found where they are. Left to Spark, small shuffles go to a few tasks, and these hold them whole.
+    Inputs of unknown size count for nothing.
     """
     leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
-    size = sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
-    return df.repartition(max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(size // PIECE, 100_000)) + 1, key)  # one more than a join has, or it would be taken for the join's own
+    sizes = [int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())]
+    size = sum(x for x in sizes if x < 1 << 60)  # Spark takes what it does not know for 2**63
+    return df.repartition(max(least or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(size // PIECE, 100_000)) + 1, key)  # one more than a join has, or it would be taken for the join's own
 
 
 #: Bytes of input files for each task of dealt().

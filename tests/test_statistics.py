@@ -252,3 +252,30 @@ def test_permuted_rows_are_not_sorted(data):
         top = [line for line in plan.splitlines() if "Join" in line][0]
         assert "rightHint=(strategy=broadcast)" in top
         assert moved.count() == 3 * data[0].count()
+
+
+def test_tfidf_shuffles_texts_rather_than_words(spark, shuffled, monkeypatch):
+    words = [f"{'ab'[i % 2]}{'xyz'[i % 3]}{chr(97 + i % 26)}" for i in range(156)]
+    rows = [(i % 290, " ".join(words[(i * 7 + j) % 156] for j in range(100))) for i in range(300)] + [(1000, "Once."), (1001, None), (1002, "12"), (None, "AB ab")]
+    texts = spark.createDataFrame(rows, "doc long, text string")
+    counts = {}
+    for d, x in rows:
+        for w in re.findall("[a-z]+", (x or "").lower()):
+            counts.setdefault(d, {}).setdefault(w, 0)
+            counts[d][w] += 1
+    df = {w: sum(w in c for c in counts.values()) for c in counts.values() for w in c}
+    n = len([d for d in counts if d is not None])
+    want = {}
+    for d, c in counts.items():
+        w = {t: k * (np.log((1 + n) / (1 + df[t])) + 1) for t, k in c.items() if df[t] >= 2}
+        if w:
+            want[d] = (len(w), max(w.values()) / np.sqrt(sum(x * x for x in w.values())))
+    for most in (200_000, 5):  # words that are joined give the same
+        monkeypatch.setattr(regional, "FREQUENT", most)
+        tops = regional.tfidf_tops(texts, "[a-z]+")
+        got = {r["doc"]: (r["tokens"], r["top"]) for r in tops.collect()}
+        assert got.keys() == want.keys() and all(got[d] == pytest.approx(want[d]) for d in want)
+        if most == 200_000:
+            assert shuffled(tops)[0] < sum(map(len, counts.values())) / 4
+    long = regional.tfidf(texts, "[a-z]+").where("doc is not null").groupBy("doc").agg(F.count("*").alias("tokens"), F.max("weight").alias("top"))
+    assert {r["doc"]: (r["tokens"], r["top"]) for r in long.collect()} == {d: pytest.approx(x) for d, x in want.items() if d is not None}
