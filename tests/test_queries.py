@@ -2,8 +2,10 @@ from difflib import SequenceMatcher
 from statistics import NormalDist
 
 import numpy as np
+import pandas as pd
 import pytest
 from oracle import duck, same
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from basketlens.functions import pages, privacy
@@ -160,3 +162,19 @@ def test_kernel_query(spark, sf):
 def test_entry(spark):
     assert entry.entry(spark).count() == 5
     assert set(registry.QUERIES) <= set(entry.queries()) and set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_batches_are_bounded_in_bytes(spark, sf):
+    @F.pandas_udf("long")
+    def rows_of_batch(x: pd.Series) -> pd.Series:
+        return pd.Series([len(x)] * len(x))
+
+    before = spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", None)
+    spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
+    try:
+        registry.QUERIES["single_section_outcome"](spark, sf)
+        texts = spark.range(0, 2000, 1, 1).select(F.repeat(F.lit("x"), 20_000).alias("t"))
+        assert texts.agg(F.max(rows_of_batch("t"))).first()[0] <= 400
+    finally:
+        if before is not None:
+            spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", before)
