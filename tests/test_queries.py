@@ -178,3 +178,8 @@ def test_batches_are_bounded_in_bytes(spark, sf):
     finally:
         if before is not None:
             spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", before)
+
+
+def test_leak_scan_goes_to_python_once(spark, sf):
+    plan = registry.QUERIES["leak_scan"](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1
