@@ -279,3 +279,10 @@ def test_tfidf_shuffles_texts_rather_than_words(spark, shuffled, monkeypatch):
             assert shuffled(tops)[0] < sum(map(len, counts.values())) / 4
     long = regional.tfidf(texts, "[a-z]+").where("doc is not null").groupBy("doc").agg(F.count("*").alias("tokens"), F.max("weight").alias("top"))
     assert {r["doc"]: (r["tokens"], r["top"]) for r in long.collect()} == {d: pytest.approx(x) for d, x in want.items() if d is not None}
+
+
+def test_jackknife_computes_profiles_once(spark, sf):
+    from basketlens.plans import registry
+
+    plan = registry.QUERIES["jackknife_distances"](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert 1 <= plan.count("FileScan parquet [l_orderkey") <= 2  # to count a recipe's ingredients, and for its rows
