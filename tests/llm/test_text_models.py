@@ -1,4 +1,6 @@
 import math
+import time
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -291,6 +293,15 @@ def test_tokens_and_class_probabilities():
     assert maxent_lm.key_leaves(tokens.keys)[tokens.at].tolist() == maxent_lm.leaf(path).tolist()
 
 
+def test_tokens_hold_few_bytes_each():
+    texts = pa.array(["a b c " * 50_000, " d  e\n", "f g " * 50_000])
+    tracemalloc.start()
+    tokens = maxent_lm.Tokens(texts)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert np.diff(tokens.begin).tolist() == [150_001, 3, 100_001] and peak < 16 * tokens.at.size
+
+
 def test_lots_cut_anywhere(monkeypatch):
     tokens = maxent_lm.Tokens(pa.array(["a b c d e f g", "", "h i j"]))
     _, whole = rows_of(tokens)
@@ -313,6 +324,69 @@ def test_gradient_against_brute_force():
             assert np.allclose(learner.w[level][r], -learner.rate * g / np.sqrt(1 + g**2), atol=1e-5)
 
 
+def test_key_hashes_are_crc32():
+    words = ["", "a", "é", "x" * 40, "y" * 41, "日" * 30, *(f"w{i}" * (i % 9 + 1) for i in range(500))]
+    keys = pa.array([b"before", *(maxent_lm.word_key(w.encode()) for w in words)], pa.binary())
+    assert maxent_lm.hashes(keys[1:])[1].tolist() == [0 if w == "" else max(1, zlib.crc32(w.encode())) for w in words]
+    assert [len(x) for x in maxent_lm.hashes(keys[:0])] == [0, 0]
+
+
+def plain_step(learner, level, rows, target):
+    """Learner.step by plain indexing, sums along rows, and a sort."""
+    w, size = learner.w[level], maxent_lm.ROWS[level]
+    g = np.empty((target.size, maxent_lm.LEVELS[level]), np.float32)
+    for i in range(0, target.size, maxent_lm.STEP):
+        own = rows[:, i : i + maxent_lm.STEP]
+        p = np.exp(learner.prior[level][own[-1]] + sum(w[r] for r in own[:-1]))
+        g[i : i + maxent_lm.STEP] = p / p.sum(axis=1, keepdims=True)
+    g[np.arange(target.size), target] -= 1
+    for f in range(maxent_lm.features(level)):
+        at = (rows[f] - f * size).astype(np.uint16)
+        order = np.argsort(at, kind="stable")
+        first = np.flatnonzero(np.diff(at[order].astype(int), prepend=-1))
+        step, met = np.add.reduceat(g[order], first, axis=0), at[order][first].astype(int) + f * size
+        learner.seen[level][met] += np.diff(np.append(first, target.size))
+        learner.square[level][met] += step**2
+        w[met] -= learner.rate * step / np.sqrt(learner.square[level][met])
+
+
+def plain_logs(w, prior, rows, target):
+    out = []
+    for i in range(0, target.size, maxent_lm.STEP):
+        own, y = rows[:, i : i + maxent_lm.STEP], target[i : i + maxent_lm.STEP]
+        z = prior[own[-1]] + sum(w[r] for r in own[:-1])
+        out.append(z[np.arange(y.size), y] - np.log(np.exp(z).sum(axis=1)))
+    return np.concatenate(out)
+
+
+def test_model_equals_the_plain_form_in_less_cpu_time():
+    draw = np.random.default_rng(5)
+    words = [f"w{i:x}"[::-1] for i in range(20_000)]
+    tokens = maxent_lm.Tokens(pa.array([" ".join(words[i] for i in draw.zipf(1.3, 120_000) % len(words))]))
+    path, rows = rows_of(tokens)
+    prior = maxent_lm.priors(np.bincount(maxent_lm.leaf(path), minlength=maxent_lm.LEAVES))
+    ours, plain = (maxent_lm.Learner([np.zeros(x, np.float32) for x in maxent_lm.shapes()], prior) for _ in range(2))
+    took = {k: [] for k in ("step", "plain step", "logs", "plain logs")}
+
+    def timed(kind, f, *args):
+        before = time.process_time()
+        out = f(*args)
+        took[kind].append(time.process_time() - before)
+        return out
+
+    for _ in range(3):
+        for level, (r, y) in enumerate(zip(rows, path)):
+            timed("step", ours.step, level, r, y)
+            timed("plain step", plain_step, plain, level, r, y)
+            got = timed("logs", maxent_lm.token_logs, ours.w[level], prior[level], r, y)
+            assert np.allclose(got, timed("plain logs", plain_logs, plain.w[level], prior[level], r, y), atol=1e-3)
+    for level in range(len(path)):
+        assert np.allclose(ours.w[level], plain.w[level], atol=1e-3)
+        assert np.array_equal(ours.seen[level], plain.seen[level])
+    least = {k: sum(min(x[level :: len(path)]) for level in range(len(path))) for k, x in took.items()}
+    assert least["step"] < 0.7 * least["plain step"] and least["logs"] < 0.7 * least["plain logs"], least
+
+
 @pytest.mark.parametrize("size", [12_000_000, 2_000])
 def test_score_against_brute_force(docs, rows, monkeypatch, size):
     monkeypatch.setattr(maxent_lm, "BLOCK_BYTES", size)
